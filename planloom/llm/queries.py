@@ -3,11 +3,26 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from planloom.llm import leaks, tokens
+from planloom.llm import canonical, leaks, tokens
 from planloom.session import read
 
 
+def p3_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every row of both tables with its canonical status, how it was found and the score."""
+    names = read(spark, sf_dir, "status_reference")
+    parts = []
+    for table, column in (("external_input", "completion_status"), ("legacy_tasks", "status")):
+        m = canonical.match_canonical(read(spark, sf_dir, table), column, names, "status_id", "status_name", ["row_id"])
+        parts.append(m.select(F.lit(table).alias("src"), "row_id", F.col("canonical_id").alias("status_id"), "how", "score"))
+    return parts[0].unionByName(parts[1])
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p3_matched(spark, sf_dir).where(~F.col("how").isin("empty", "exact")).select("src", "row_id", "status_id")
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(read(spark, sf_dir, "documents"))
 
@@ -16,5 +31,5 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {"p7_ids": p7_ids, "p8_found": p8_found}
+QUERIES = {"p3_found": p3_found, "p3_matched": p3_matched, "p7_ids": p7_ids, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}
