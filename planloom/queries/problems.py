@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.operators import packed
+from planloom.operators import drift, hierarchy, impute, packed
 from planloom.session import read
 
 
@@ -16,5 +16,62 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts[0].unionByName(parts[1])
 
 
-QUERIES = {"p1_found": p1_found}
+def _footers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    lines, files, fields = (read(spark, sf_dir, t) for t in ("staged_lines", "staged_files", "field_catalog"))
+    return drift.resolved_footers(lines, files, fields), lines, files, fields
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    foot, _, files, _ = _footers(spark, sf_dir)
+    return drift.changes(drift.presence(foot), files)
+
+
+def p2_lifespans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return drift.lifespans(drift.presence(_footers(spark, sf_dir)[0]))
+
+
+def p2_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    foot, lines, _, fields = _footers(spark, sf_dir)
+    return drift.one_table(lines, foot, fields)
+
+
+AMOUNTS = ["planned_effort", "actual_cost", "effort_score"]
+
+
+def p4_filled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every missing amount with its fill, the level it was filled at and the donors."""
+    return impute.hot_deck(read(spark, sf_dir, "external_input"), "row_id", AMOUNTS, "task", "project", "completion_status", "week")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p4_filled(spark, sf_dir).select("row_id", "field_name")
+
+
+def p4_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read(spark, sf_dir, "external_input")
+    return impute.filled_table(df, p4_filled(spark, sf_dir), "row_id", AMOUNTS)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tree = hierarchy.hierarchy(read(spark, sf_dir, "external_input"), "task", "depends_on", "row_id", paths=False)
+    return tree.select(F.col("name").alias("task"), F.col("root").alias("root_task"), "depth")
+
+
+def p5_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every task with its path, depth, root and the interval of its descendants."""
+    tree = hierarchy.hierarchy(read(spark, sf_dir, "external_input"), "task", "depends_on", "row_id")
+    return tree.select(F.col("name").alias("task"), F.col("root").alias("root_task"), "depth", F.array_join("path", " > ").alias("path"), "first", "n_descendants")
+
+
+def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pair of a task and one of its descendants, with their distance."""
+    tree = hierarchy.hierarchy(read(spark, sf_dir, "external_input"), "task", "depends_on", "row_id")
+    pairs = tree.select(F.col("name").alias("descendant"), "depth", F.posexplode("path").alias("at", "task"))
+    return pairs.where(F.col("at") < F.col("depth")).select("task", "descendant", (F.col("depth") - F.col("at")).alias("distance"))
+
+
+QUERIES = {
+    "p1_found": p1_found, "p2_found": p2_found, "p2_lifespans": p2_lifespans, "p2_table": p2_table, "p4_found": p4_found, "p4_filled": p4_filled, "p4_table": p4_table,
+    "p5_found": p5_found, "p5_tree": p5_tree, "p5_descendants": p5_descendants,
+}
 ORACLES: dict[str, str] = {}
