@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from planloom.llm import canonical, leaks, tokens
+from planloom.llm import canonical, leaks, names, pii, tokens
 from planloom.session import read
 
 
@@ -23,6 +23,21 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p3_matched(spark, sf_dir).where(~F.col("how").isin("empty", "exact")).select("src", "row_id", "status_id")
 
 
+def _entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = read(spark, sf_dir, "external_input")
+    both = df.select("project", F.explode(F.array("assigned_member", "task_leader")).alias("name"))
+    return names.link_names(both)
+
+
+def p6_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every distinct name of a project with the number of the person or organisation it means."""
+    return _entities(spark, sf_dir)
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.variant_pairs(_entities(spark, sf_dir))
+
+
 def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(read(spark, sf_dir, "documents"))
 
@@ -31,5 +46,15 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
 
-QUERIES = {"p3_found": p3_found, "p3_matched": p3_matched, "p7_ids": p7_ids, "p8_found": p8_found}
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find_pii(read(spark, sf_dir, "documents")).select("doc_id", "kind", "pii_text").distinct()
+
+
+def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with typed placeholders in place of personal information."""
+    docs = read(spark, sf_dir, "documents")
+    return pii.redact(docs, pii.find_pii(docs)).select("doc_id", "redacted")
+
+
+QUERIES = {"p9_found": p9_found, "p9_redacted": p9_redacted, "p6_found": p6_found, "p6_entities": p6_entities, "p3_found": p3_found, "p3_matched": p3_matched, "p7_ids": p7_ids, "p8_found": p8_found}
 ORACLES: dict[str, str] = {}
