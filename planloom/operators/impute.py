@@ -8,8 +8,7 @@
    all rows, ordered by a measure, then by time.
 3. Within a block donors are numbered in order. A gap's `k` donors before and `k` after it are found by
    an equi-join on block and number: no pairs are formed, however large the block.
-4. The fill is the donors' median weighted by closeness (categories: the weightiest value). Each fill
-   names its level and donors.
+4. The fill is the donors' median weighted by closeness. Each fill names its level and donors.
 
 Scale: numbering is two-level (histogram cells, then rows in a cell), and cells over `cell_rows` rows
 are salted, so a block of a third of all rows is spread over tasks; in a salted cell donors are
@@ -29,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from planloom.session import cut
+from planloom.session import cut, drop_cut
 
 _CELL = 16  # histogram cells per unit of the coordinate
 
@@ -65,33 +64,40 @@ def observed(column: str, stand: list[float]) -> Column:
 
 
 def _numbered(units: DataFrame, cell_rows: int) -> DataFrame:
-    """units (k1.., block, x, id, donor, ...) with `at`: how many donors of the block stand at or before it."""
-    u = units.withColumn("cell", F.floor(F.col("x") * _CELL))
-    counts = u.groupBy("block", "cell").agg(F.count(F.lit(1)).alias("n"))
-    big = counts.where(F.col("n") > cell_rows).select("block", "cell", F.ceil(F.col("n") / cell_rows).alias("parts"))
-    u = u.join(big, ["block", "cell"], "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1)))).drop("parts")
+    """units (block, x, id, donor, ...) with `at`: how many donors of the block stand at or before it."""
+    u = units.withColumn("cell", F.floor(F.col("x") * _CELL).cast("int"))
+    big = u.groupBy("block", "cell").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell_rows).select("block", "cell", F.ceil(F.col("n") / cell_rows).alias("parts"))
+    u = u.join(big, ["block", "cell"], "left").withColumn("salt", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    u = cut(u, "salted")
     sums = u.groupBy("block", "cell", "salt").agg(F.sum(F.col("donor").cast("long")).alias("n"))
     base = sums.select("block", "cell", "salt", F.coalesce(F.sum("n").over(W.partitionBy("block").orderBy("cell", "salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("base"))
     inner = W.partitionBy("block", "cell", "salt").orderBy("x", "id").rowsBetween(W.unboundedPreceding, W.currentRow)
-    u = u.withColumn("own", F.sum(F.col("donor").cast("long")).over(inner))
-    return u.join(base, ["block", "cell", "salt"]).withColumn("at", F.col("base") + F.col("own")).drop("own", "base", "cell", "salt")
+    u2 = u.withColumn("own", F.sum(F.col("donor").cast("long")).over(inner))
+    out = cut(u2.join(base, ["block", "cell", "salt"]).withColumn("at", F.col("base") + F.col("own")).drop("own", "base", "cell", "salt"), "numbered")
+    drop_cut(u)
+    return out
 
 
-def _neighbours(units: DataFrame, k: int, cell_rows: int, name: str, categorical: bool) -> DataFrame:
-    """(id, field, value, donors, n_donors, level) for the gaps of units that have donors in their block."""
-    needed = units.where(~F.col("donor")).select("block").distinct()
-    n = cut(_numbered(units.join(needed, "block", "left_semi"), cell_rows), "numbered")
+def _fills(units: DataFrame, k: int, cell_rows: int) -> DataFrame:
+    """(id, field, value, donors, n_donors, level): each gap's fill at its best level that has donors."""
+    n = _numbered(units, cell_rows)
     donors = n.where("donor").select("block", "at", F.col("x").alias("x2"), F.col("id").alias("donor_id"), "value")
-    gaps = n.where(~F.col("donor")).select("block", "x", "id", "field", F.explode(F.sequence(F.col("at") - k + 1, F.col("at") + k)).alias("at"))
+    gaps = n.where(~F.col("donor")).select("block", "x", "id", "field", "level", F.explode(F.sequence(F.col("at") - k + 1, F.col("at") + k)).alias("at"))
     near = gaps.join(donors, ["block", "at"]).withColumn("w", 1.0 / (0.02 + F.abs(F.col("x") - F.col("x2"))))
-    each = near.groupBy("id", "field").agg(F.array_sort(F.collect_list(F.struct("value", "w", "donor_id"))).alias("d"))  # 2k at most
-    total = F.aggregate("d", F.lit(0.0), lambda a, d: a + d["w"])
-    if categorical:
-        value = F.array_max(F.transform(F.array_distinct(F.col("d.value")), lambda v: F.struct(F.aggregate(F.filter("d", lambda d: d["value"] == v), F.lit(0.0), lambda a, d: a + d["w"]).alias("w"), v.alias("value"))))["value"]
-    else:
-        start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("value"))
-        value = F.aggregate("d", start, lambda a, d: F.struct((a["sum"] + d["w"]).alias("sum"), F.when(a["value"].isNull() & (a["sum"] + d["w"] >= F.col("half")), d["value"]).otherwise(a["value"]).alias("value")))["value"]
-    return each.withColumn("half", total / 2).select("id", "field", value.alias("value"), F.col("d.donor_id").alias("donors"), F.size("d").alias("n_donors"), F.lit(name).alias("level"))
+    # 2k donors at most for each gap and level
+    each = near.groupBy("id", "field", "level").agg(F.array_sort(F.collect_list(F.struct("value", "w", "donor_id"))).alias("d"))
+    best = each.groupBy("id", "field").agg(F.min_by(F.struct("d", "level"), "level").alias("b")).select("id", "field", "b.d", "b.level")
+    half = F.aggregate("d", F.lit(0.0), lambda a, d: a + d["w"]) / 2
+    start = F.struct(F.lit(0.0).alias("sum"), F.lit(None).cast("double").alias("value"))
+
+    def median(a: Column, d: Column) -> Column:
+        return F.struct((a["sum"] + d["w"]).alias("sum"), F.when(a["value"].isNull() & (a["sum"] + d["w"] >= F.col("half")), d["value"]).otherwise(a["value"]).alias("value"))
+
+    out = best.withColumn("half", half).select("id", "field", F.aggregate("d", start, median)["value"].alias("value"), F.col("d.donor_id").alias("donors"), F.size("d").alias("n_donors"), "level")
+    return cut(out, "fills")
+
+
+LEVELS = {1: "record", 2: "group and category", 3: "group", 4: "group and time", 5: "measure", 6: "time"}
 
 
 def hot_deck(
@@ -99,52 +105,63 @@ def hot_deck(
 ) -> DataFrame:
     """One row per missing cell of the numeric `targets`: (row, field_name, filled_value, level, n_donors, donors)."""
     stand = stand_ins(df, targets)
-    base = df.select(
-        F.col(row).alias("id"), F.col(key).cast("string").alias("key"), F.col(group).cast("string").alias("grp"), F.lower(F.trim(F.col(category).cast("string"))).alias("cat"),
-        F.col(time).cast("double").alias("time"), *[observed(c, stand[c]).alias(f"t{i}") for i, c in enumerate(targets)],
-    )
-    base = cut(base, "measures")
     cols = [f"t{i}" for i in range(len(targets))]
-    wide = base.withColumns({f"log_{c}": F.log1p(c) for c in cols})
-    gaps = reduce(DataFrame.unionByName, [wide.where(F.col(c).isNull()).select("id", F.lit(c).alias("field")) for c in cols]).distinct()
-    todo = cut(gaps, "gaps")
+    wide = cut(df.select(
+        F.col(row).alias("id"), F.col(key).cast("string").alias("key"), F.col(group).cast("string").alias("grp"), F.lower(F.trim(F.col(category).cast("string"))).alias("cat"),
+        F.col(time).cast("double").alias("time"), *[observed(c, stand[c]).alias(t) for c, t in zip(targets, cols)],
+    ), "measures")
+    when_then = F.coalesce(F.col("time"), F.lit(0.0)) / 4
+
+    def entry(level: int, field: str, parts: list[str], x: Column, of: str = "") -> Column:
+        """A unit of one level's block, or null where a part of the block is null."""
+        block = F.xxhash64(F.lit(level), F.lit(field), F.lit(of), *parts)
+        made = F.struct(F.lit(level).alias("level"), F.lit(field).alias("field"), block.alias("block"), x.cast("double").alias("x"), F.col(field).alias("value"))
+        for p in parts:
+            made = F.when(F.col(p).isNotNull(), made)
+        return made
+
+    def entries(field: str, levels: tuple[int, ...], gap: bool) -> list[Column]:
+        others = [m for m in cols if m != field]
+        out, taken = [], F.lit(False)
+        for m in others:
+            # a gap goes by its first observed measure, a donor stands under every one
+            use = F.col(m).isNotNull() & ~taken if gap else F.col(m).isNotNull()
+            for level, parts in ((2, ["grp", "cat"]), (3, ["grp"]), (5, [])):
+                if level in levels:
+                    out.append(F.when(use, entry(level, field, parts, F.log1p(m), m)))
+            taken = taken | F.col(m).isNotNull()
+        if 1 in levels:
+            out.append(entry(1, field, ["key"], F.lit(0.0)))
+        if 4 in levels:
+            out.append(F.when(F.lit(not gap) | ~taken, entry(4, field, ["grp"], when_then)))
+        if 6 in levels:
+            out.append(entry(6, field, [], when_then))
+        return [F.when(F.col(field).isNull() if gap else F.col(field).isNotNull(), e) for e in out]
+
+    def exploded(d: DataFrame, levels: tuple[int, ...], gap: bool) -> DataFrame:
+        every = F.explode(F.array_compact(F.array(*[e for c in cols for e in entries(c, levels, gap)])))
+        return d.select("id", every.alias("u")).select("id", "u.*", F.lit(not gap).alias("donor"))
+
+    missing = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in cols])
+    listed = F.explode(F.array_compact(F.array(*[F.when(F.col(c).isNull(), F.lit(c)) for c in cols])))
+    todo = cut(wide.where(missing).select("id", listed.alias("field")).distinct(), "gaps")
     out: list[DataFrame] = []
-
-    def blocks(parts: list[Column]) -> Column:
-        return F.when(reduce(lambda a, b: a & b, [p.isNotNull() for p in parts]), F.to_json(F.struct(*[p.alias(f"b{i}") for i, p in enumerate(parts)])))
-
-    def units(keys: list[str], by_measure: bool, by_time: bool) -> DataFrame:
-        made = []
-        for c in cols:
-            others = [m for m in cols if m != c]
-            chosen = F.coalesce(*[F.when(F.col(m).isNotNull(), m) for m in others])  # a gap's first observed measure
-            here = wide.join(todo.where(F.col("field") == c).select("id", F.lit(True).alias("open")), "id", "left")
-            field = F.lit(c)
-            if by_measure:
-                for m in others:
-                    b = blocks([F.lit(c), F.lit(m), *map(F.col, keys)])
-                    part = here.where((F.col(m).isNotNull() & F.col(c).isNotNull()) | (F.col("open") & (chosen == m)))
-                    made.append(part.select(b.alias("block"), F.col(f"log_{m}").alias("x"), "id", field.alias("field"), F.col(c).isNotNull().alias("donor"), F.col(c).alias("value")))
-            else:
-                x = F.coalesce(F.col("time"), F.lit(0.0)) / 4 if by_time else F.lit(0.0)
-                part = here.where(F.col(c).isNotNull() | F.col("open"))
-                made.append(part.select(blocks([F.lit(c), *map(F.col, keys)]).alias("block"), x.alias("x"), "id", field.alias("field"), F.col(c).isNotNull().alias("donor"), F.col(c).alias("value")))
-        return reduce(DataFrame.unionByName, made).where(F.col("block").isNotNull())
-
-    levels = [
-        ("record", ["key"], False, False), ("group and category", ["grp", "cat"], True, False), ("group", ["grp"], True, False),
-        ("group and time", ["grp"], False, True), ("measure", [], True, False), ("time", [], False, True),
-    ]
-    for name, keys, by_measure, by_time in levels:
+    # The second round has the levels that few gaps need, for the gaps the first has left.
+    for levels in ((1, 2, 4), (3, 5, 6)):
         if todo.isEmpty():
             break
-        got = cut(_neighbours(units(keys, by_measure, by_time), k, cell_rows, name, False), "fills")
+        gaps = exploded(wide.where(missing), levels, True).join(todo, ["id", "field"], "left_semi").dropDuplicates(["id", "field", "block"])
+        gaps = cut(gaps, "open")
+        donors = exploded(wide, levels, False).join(gaps.select("block").distinct(), "block", "left_semi")
+        got = _fills(gaps.unionByName(donors), k, cell_rows)
         out.append(got)
         todo = cut(todo.join(got.select("id", "field"), ["id", "field"], "left_anti"), "gaps")
-    rest = todo.select("id", "field", F.lit(None).cast("double").alias("value"), F.lit(None).cast("array<" + df.schema[row].dataType.simpleString() + ">").alias("donors"), F.lit(0).alias("n_donors"), F.lit("none").alias("level"))
+    donors_type = "array<" + df.schema[row].dataType.simpleString() + ">"
+    rest = todo.select("id", "field", F.lit(None).cast("double").alias("value"), F.lit(None).cast(donors_type).alias("donors"), F.lit(0).alias("n_donors"), F.lit(0).alias("level"))
     fills = reduce(DataFrame.unionByName, [*out, rest])
-    names = F.coalesce(*[F.when(F.col("field") == f"t{i}", c) for i, c in enumerate(targets)])
-    return fills.select(F.col("id").alias(row), names.alias("field_name"), F.col("value").alias("filled_value"), "level", "n_donors", "donors")
+    names = F.coalesce(*[F.when(F.col("field") == t, c) for c, t in zip(targets, cols)])
+    level = F.coalesce(*[F.when(F.col("level") == n, name) for n, name in LEVELS.items()], F.lit("none"))
+    return fills.select(F.col("id").alias(row), names.alias("field_name"), F.col("value").alias("filled_value"), level.alias("level"), "n_donors", "donors")
 
 
 def filled_table(df: DataFrame, fills: DataFrame, row: str, targets: list[str]) -> DataFrame:
