@@ -75,12 +75,12 @@ def huber_mean(df: DataFrame, value: str, c: float = 1.345, eps: float = 1e-6, m
     """One row (huber_mean) by iterated weights from the median; each round is one aggregate over distinct values."""
     x = df.select(F.col(value).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf"))).groupBy("x").agg(F.count(F.lit(1)).alias("k")).cache()
     spark = df.sparkSession
-    mu = x.agg(F.percentile("x", 0.5, "k")).first()[0]
+    mu = x.agg(F.percentile("x", 0.5, F.col("k"))).first()[0]
     if mu is None:
         return spark.createDataFrame([(0.0,)], "huber_mean double")
     for _ in range(max_iter):
         r = F.abs(F.col("x") - mu)
-        s = x.agg(F.percentile(r, 0.5, "k")).first()[0] + eps
+        s = x.agg(F.percentile(r, 0.5, F.col("k"))).first()[0] + eps
         w = F.least(F.lit(1.0), c * s / (r + eps)) * F.col("k")
         new = x.agg(F.sum(w * F.col("x")) / F.sum(w)).first()[0]
         close = abs(new - mu) < eps

@@ -1,2 +1,493 @@
-QUERIES: dict = {}
+"""Queries of the project-control operators and the SQL each is checked against."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from planloom.functions import text
+from planloom.operators import flow, forecast, inequality, people, schedule, similarity
+from planloom.plans.tasks import TASKS_SQL, canonical, order_tasks
+from planloom.session import read
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+TYPE_BUCKETS = {"Frontend & Design": ("ECONOMY", "STANDARD"), "Backend": ("PROMO",), "Data & AI": ("LARGE",)}
+
+_T = "WITH " + TASKS_SQL
+_WEEKS = _T + """,
+wk AS (SELECT week, sum(effort) AS scope, sum(CASE WHEN status = 'Completed' THEN effort ELSE 0 END) AS completed FROM tasks GROUP BY week),
+bu AS (SELECT week, sum(scope) OVER (ORDER BY week) AS scope_cumulative, sum(completed) OVER (ORDER BY week) AS completed_cumulative FROM wk),
+vel AS (SELECT week, greatest(completed_cumulative - coalesce(lag(completed_cumulative) OVER (ORDER BY week), 0), 0) AS velocity FROM bu),
+rem AS (SELECT coalesce(sum(CASE WHEN status <> 'Completed' THEN effort END), 0) AS remaining_effort FROM tasks)"""
+_EXP = _T + """,
+ex AS (SELECT task, project, week, effort, skills, status, unnest(CASE WHEN len(assignees) > 0 THEN assignees ELSE [leader] END) AS member FROM tasks),
+sk AS (SELECT task, member, week, CASE WHEN effort = 0 THEN 1.0 ELSE effort END AS effort, unnest(skills) AS skill FROM ex)"""
+_ME = _EXP + ", me AS (SELECT member, sum(effort) AS effort, count(*) AS n_tasks FROM ex GROUP BY member)"
+_BUCKET = """CASE WHEN skill IN ('ECONOMY', 'STANDARD') THEN 'Frontend & Design' WHEN skill = 'PROMO' THEN 'Backend' WHEN skill = 'LARGE' THEN 'Data & AI' ELSE 'General' END"""
+
+
+def query(sql: str | None = None, name: str | None = None):  # noqa: ANN201
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[name or f.__name__] = f
+        if sql:
+            ORACLES[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+def _expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return people.expand_members(order_tasks(spark, sf_dir))
+
+
+def _velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow.velocity(order_tasks(spark, sf_dir))
+
+
+def r9(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: F.round(c, digits) for c in cols})
+
+
+# Weekly flow
+
+
+@query(_WEEKS + " SELECT * FROM bu")
+def burnup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow.burnup(order_tasks(spark, sf_dir))
+
+
+@query(_WEEKS + " SELECT week, scope_cumulative - completed_cumulative AS remaining_effort FROM bu")
+def burndown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow.burndown(order_tasks(spark, sf_dir))
+
+
+_CFD = _T + """ SELECT week, sum(n) OVER w AS not_started, sum(p) OVER w AS in_progress, sum(c) OVER w AS completed FROM (
+  SELECT week, sum(CASE WHEN status = 'Not Started' THEN effort ELSE 0 END) AS n, sum(CASE WHEN status = 'In Progress' THEN effort ELSE 0 END) AS p,
+         sum(CASE WHEN status = 'Completed' THEN effort ELSE 0 END) AS c FROM tasks GROUP BY week) WINDOW w AS (ORDER BY week)"""
+
+
+@query(_CFD)
+def cfd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow.cumulative_flow(order_tasks(spark, sf_dir))
+
+
+@query(_CFD)
+def cfd_binned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow.binned_flow(order_tasks(spark, sf_dir))
+
+
+@query(_WEEKS + " SELECT week, scope AS total_effort, completed AS completed_effort, greatest(sum(scope - completed) OVER (ORDER BY week), 0.0) AS remaining_effort FROM wk")
+def burndown_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow.burndown_detail(order_tasks(spark, sf_dir))
+
+
+@query(_WEEKS + """, s AS (SELECT week, sum(sum(effort)) OVER (ORDER BY week) AS scope_cumulative FROM tasks GROUP BY week),
+c AS (SELECT week, sum(sum(effort)) OVER (ORDER BY week) AS c FROM tasks WHERE status = 'Completed' GROUP BY week)
+SELECT s.week, scope_cumulative, coalesce(last_value(c IGNORE NULLS) OVER (ORDER BY s.week), 0.0) AS completed_cumulative FROM s LEFT JOIN c ON s.week = c.week""")
+def burnup_ffill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow.burnup_filled(order_tasks(spark, sf_dir))
+
+
+@query(_WEEKS + " SELECT * FROM vel")
+def velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _velocity(spark, sf_dir)
+
+
+@query(_WEEKS + " SELECT * FROM rem")
+def remaining_effort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flow.remaining_effort(order_tasks(spark, sf_dir))
+
+
+@query(_WEEKS + """, st AS (SELECT avg(velocity) AS mu, CASE WHEN stddev_pop(velocity) > 0 THEN stddev_pop(velocity) ELSE greatest(1e-6, avg(velocity) / 4) END AS sd FROM vel),
+n AS (SELECT week, velocity, row_number() OVER (ORDER BY week) AS i FROM vel),
+e AS (SELECT a.week, any_value(a.velocity) AS velocity, power(0.7, any_value(a.i)) * any_value(mu) + sum(0.3 * power(0.7, a.i - b.i) * b.velocity) AS ewma, any_value(sd) AS sd
+      FROM n a JOIN n b ON b.i <= a.i CROSS JOIN st GROUP BY a.week)
+SELECT week, velocity, round(ewma, 6) AS ewma, round(ewma + 3 * sd * sqrt(0.3 / 1.7), 6) AS ucl, round(greatest(ewma - 3 * sd * sqrt(0.3 / 1.7), 0), 6) AS lcl FROM e""")
+def control_ewma(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r9(flow.control_limits(_velocity(spark, sf_dir)), "ewma", "ucl", "lcl")
+
+
+@query(_WEEKS + """, st AS (SELECT avg(velocity) AS mu, CASE WHEN stddev_pop(velocity) > 0 THEN stddev_pop(velocity) ELSE greatest(1e-6, avg(velocity) / 4) END AS sd FROM vel),
+r AS (SELECT week, velocity, sd, sum(velocity - mu - sd / 2) OVER (ORDER BY week) AS u, sum(velocity - mu + sd / 2) OVER (ORDER BY week) AS d FROM vel CROSS JOIN st),
+c AS (SELECT week, velocity, sd, u - least(0, min(u) OVER (ORDER BY week)) AS p, d - greatest(0, max(d) OVER (ORDER BY week)) AS n FROM r)
+SELECT week, velocity, round(p, 4) AS cusum_pos, round(n, 4) AS cusum_neg, p > 5 * sd AS alarm_pos, n < -5 * sd AS alarm_neg FROM c""")
+def control_cusum(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r9(flow.cusum(_velocity(spark, sf_dir)), "cusum_pos", "cusum_neg", digits=4)
+
+
+@query(_WEEKS + """, n AS (SELECT week, scope_cumulative AS pv, lead(scope_cumulative) OVER (ORDER BY week) AS pv1, lead(week) OVER (ORDER BY week) AS week1, row_number() OVER (ORDER BY week) AS i FROM bu),
+o AS (SELECT arg_max(completed_cumulative, week) AS ev, max(week) AS "at", count(*) AS n FROM bu),
+k AS (SELECT ev, "at", greatest(least((SELECT count(*) FROM n WHERE pv <= ev) - 1, n - 2), 0) AS idx FROM o),
+e AS (SELECT week + (ev - pv) / (pv1 - pv) * (week1 - week) AS es, CAST("at" AS DOUBLE) AS "at" FROM n JOIN k ON i = idx + 1)
+SELECT round(es, 6) AS es, "at", round(es - "at", 6) AS sv_t, round(es / "at", 6) AS spi_t FROM e""")
+def earned_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r9(flow.earned_schedule(flow.burnup(order_tasks(spark, sf_dir))), "es", "sv_t", "spi_t")
+
+
+@query(_T + """, w AS (SELECT week, coalesce(sum(CASE WHEN status = 'Completed' THEN effort END), 0) AS ev, sum(planned) AS pv, sum(cost) AS ac, count(*) FILTER (status = 'Completed') AS n_done FROM tasks GROUP BY week),
+s AS (SELECT week, n_done, ev AS velocity, sum(ev) OVER (ORDER BY week) AS e, CAST(sum(pv) OVER (ORDER BY week) AS DOUBLE) AS p, CAST(sum(ac) OVER (ORDER BY week) AS DOUBLE) AS a FROM w)
+SELECT week, n_done, velocity, round(e, 4) AS ev_sum, round(p, 4) AS pv_sum, round(a, 2) AS ac_sum, round(CASE WHEN p > 0 THEN e / p ELSE 1 END, 6) AS spi, round(CASE WHEN a > 0 THEN e / a ELSE 1 END, 9) AS cpi FROM s""")
+def evm_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = flow.earned_value(order_tasks(spark, sf_dir))
+    return r9(r9(r9(e, "ev_sum", "pv_sum", digits=4), "ac_sum", digits=2), "spi").withColumn("cpi", F.round("cpi", 9))
+
+
+_WHAT = """, mu AS (SELECT avg(velocity) FILTER (velocity > 0) AS mu FROM vel),
+b AS (SELECT remaining_effort AS r, mu AS m, ceil(round(remaining_effort / mu, 9)) AS base FROM rem CROSS JOIN mu WHERE mu > 0)
+SELECT 'baseline' AS name, base AS eta_weeks, 0.0 AS delta_vs_base FROM b
+UNION ALL SELECT 'velocity+10%', ceil(round(r / (m * 1.1::DOUBLE), 9)), ceil(round(r / (m * 1.1::DOUBLE), 9)) - base FROM b
+UNION ALL SELECT 'velocity+25%', ceil(round(r / (m * 1.25::DOUBLE), 9)), ceil(round(r / (m * 1.25::DOUBLE), 9)) - base FROM b
+UNION ALL SELECT 'scope-20%', ceil(round(r * 0.8::DOUBLE / m, 9)), ceil(round(r * 0.8::DOUBLE / m, 9)) - base FROM b"""
+
+
+@query(_WEEKS + _WHAT)
+def what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = order_tasks(spark, sf_dir)
+    return flow.what_if(flow.remaining_effort(t), flow.velocity(t))
+
+
+# Members and skills
+
+
+@query(_EXP + " SELECT task, project, week, effort, status, member FROM ex")
+def member_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _expanded(spark, sf_dir).select("task", "project", "week", "effort", "status", "member")
+
+
+@query(_ME + " SELECT * FROM me")
+def member_effort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return people.member_effort(_expanded(spark, sf_dir))
+
+
+@query(_EXP + " SELECT member, week, sum(effort) AS effort FROM ex GROUP BY member, week")
+def workload_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return people.workload(_expanded(spark, sf_dir))
+
+
+@query(_EXP + " SELECT member, skill, sum(effort) AS effort FROM sk GROUP BY member, skill")
+def skill_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return people.skill_matrix(_expanded(spark, sf_dir))
+
+
+@query(_EXP + f", b AS (SELECT member, {_BUCKET} AS bucket, sum(effort) AS e FROM sk GROUP BY 1, 2) SELECT member, bucket, round_even(e / max(e) OVER (PARTITION BY member) * 100, 2) AS score FROM b")
+def skill_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return people.skill_profile(_expanded(spark, sf_dir), TYPE_BUCKETS)
+
+
+@query(_EXP + ", b AS (SELECT member, skill, sum(effort) AS e FROM sk GROUP BY 1, 2) SELECT member, round(sum(e * e) / (sum(e) * sum(e)), 9) AS hhi FROM b GROUP BY member")
+def skill_hhi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r9(people.concentration(people.skill_rows(_expanded(spark, sf_dir)), "member", "skill", "effort"), "hhi", digits=9)
+
+
+@query(_T + """, b AS (SELECT week, unnest(CASE WHEN len(skills) > 0 THEN skills ELSE ['General'] END) AS skill, effort FROM tasks),
+c AS (SELECT week, skill, sum(effort) AS e FROM b GROUP BY 1, 2) SELECT week, round(sum(e * e) / (sum(e) * sum(e)), 9) AS hhi FROM c GROUP BY week""")
+def hhi_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r9(people.week_concentration(order_tasks(spark, sf_dir)), "hhi", digits=9)
+
+
+@query(_T + " SELECT week, skill, sum(effort) AS effort FROM (SELECT week, effort, unnest(skills) AS skill FROM tasks) GROUP BY week, skill")
+def skill_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return people.skill_timeline(order_tasks(spark, sf_dir))
+
+
+@query(_EXP + """, m AS (SELECT member, skill, sum(effort) AS effort FROM sk GROUP BY 1, 2)
+SELECT skill, member, effort FROM m WHERE skill IN (SELECT skill FROM m GROUP BY 1 ORDER BY sum(effort) DESC, 1 LIMIT 6) AND member IN (SELECT member FROM m GROUP BY 1 ORDER BY sum(effort) DESC, 1 LIMIT 8)""")
+def skill_flow_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return people.skill_flow(_expanded(spark, sf_dir))
+
+
+@query(_EXP + """, p AS (SELECT DISTINCT task, member FROM ex), q AS (SELECT member, task, count(*) OVER (PARTITION BY task) AS mpt FROM p),
+d AS (SELECT member, CAST(count(*) AS DOUBLE) AS degree_tasks, CAST(count(*) FILTER (mpt = 1) AS DOUBLE) AS solo_tasks FROM q GROUP BY member)
+SELECT member, degree_tasks, solo_tasks, round(solo_tasks / degree_tasks, 9) AS solo_share, round(0.7 * (solo_tasks / degree_tasks) + 0.3 * degree_tasks / (SELECT max(degree_tasks) FROM d), 9) AS key_person_index FROM d""")
+def bus_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r9(people.bus_factor(_expanded(spark, sf_dir)), "solo_share", "key_person_index", digits=9)
+
+
+@query(_EXP + " SELECT member, task, effort FROM ex")
+def bipartite_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return people.bipartite(_expanded(spark, sf_dir))
+
+
+@query(_T + """, r AS (SELECT project, unnest(assignees) AS member, effort / len(assignees) AS v FROM tasks WHERE len(assignees) > 0 AND effort > 0),
+s AS (SELECT project, member, sum(v) AS value FROM r GROUP BY 1, 2) SELECT project, member, round(value, 6) AS value, round(100 * value / sum(value) OVER (PARTITION BY project), 6) AS contribution_pct FROM s""")
+def shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r9(people.contribution(order_tasks(spark, sf_dir)), "value", "contribution_pct")
+
+
+@query(_EXP + ", m AS (SELECT member, skill, sum(effort) AS e FROM (SELECT member, effort, unnest(skills) AS skill FROM ex) GROUP BY 1, 2) SELECT member, skill, round(100 * e / max(e) OVER (PARTITION BY member), 6) AS score FROM m")
+def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r9(people.leaderboard(_expanded(spark, sf_dir)), "score")
+
+
+@query(_EXP + f""", b AS (SELECT member, {_BUCKET} AS bucket, sum(effort) AS e FROM sk GROUP BY 1, 2),
+prof AS (SELECT member, bucket, round_even(e / max(e) OVER (PARTITION BY member) * 100, 2) AS score FROM b),
+tl AS (SELECT task, unnest(CASE WHEN len(skills) > 0 THEN skills ELSE ['General'] END) AS skill FROM tasks),
+tb AS (SELECT task, {_BUCKET} AS bucket, CAST(count(*) AS DOUBLE) AS n FROM tl GROUP BY 1, 2),
+need AS (SELECT task, string_agg(bucket || ':' || n, ',' ORDER BY bucket) AS need FROM tb GROUP BY 1),
+nb AS (SELECT DISTINCT need, bucket, n FROM need JOIN tb USING (task)),
+dots AS (SELECT need, member, sum(n * score) AS dot FROM nb JOIN prof USING (bucket) GROUP BY 1, 2),
+sc AS (SELECT d.need, d.member, round(dot / ((SELECT sqrt(sum(n * n)) FROM nb WHERE nb.need = d.need) * (SELECT sqrt(sum(score * score)) FROM prof WHERE prof.member = d.member)), 9) AS score FROM dots d WHERE dot > 0),
+best AS (SELECT *, row_number() OVER (PARTITION BY need ORDER BY score DESC, member) AS r FROM sc)
+SELECT task, member, score FROM need JOIN best USING (need) WHERE r <= 3""")
+def assign_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    profile = people.skill_profile(_expanded(spark, sf_dir), TYPE_BUCKETS)
+    return people.suggest(order_tasks(spark, sf_dir), profile, buckets=TYPE_BUCKETS)
+
+
+_CLEAN = "CASE WHEN isnan({0}) THEN NULL ELSE {0} END"
+_PRIO = "SELECT row_id, project, task, " + ", ".join(
+    f"{_CLEAN.format(c)} AS {c}" for c in ("effort_score", "job_size", "effort", "business_value", "time_criticality", "risk_reduction", "reach", "impact", "confidence")
+) + " FROM external_input"
+
+
+@query(f"WITH t AS ({_PRIO}) SELECT row_id, round((coalesce(business_value, 1) + coalesce(time_criticality, 1) + coalesce(risk_reduction, 1)) / greatest(coalesce(job_size, 1), 0.1), 9) AS wsjf FROM t")
+def wsjf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = canonical(read(spark, sf_dir, "external_input")).withColumn("task", F.col("row_id"))
+    return people.priority(t).select(F.col("task").alias("row_id"), F.round("wsjf", 9).alias("wsjf"))
+
+
+@query(f"WITH t AS ({_PRIO}) SELECT row_id, round(coalesce(reach, 1) * coalesce(impact, 1) * coalesce(confidence, 0.7) / greatest(coalesce(effort, 1), 0.1), 9) AS rice FROM t")
+def rice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = canonical(read(spark, sf_dir, "external_input")).withColumn("task", F.col("row_id"))
+    return people.priority(t).select(F.col("task").alias("row_id"), F.round("rice", 9).alias("rice"))
+
+
+# Inequality
+
+
+def _efforts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return people.member_effort(_expanded(spark, sf_dir))
+
+
+@query(_ME + ", n AS (SELECT effort AS x, row_number() OVER (ORDER BY effort) AS i, count(*) OVER () AS n FROM me) SELECT round(2 * sum(i * x) / (max(n) * sum(x)) - (max(n) + 1.0) / max(n), 9) AS gini FROM n")
+def gini(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r9(inequality.gini(_efforts(spark, sf_dir), "effort"), "gini", digits=9)
+
+
+_MEAN = _ME + ", j AS (SELECT effort AS x, avg(effort) OVER () AS mu FROM me) SELECT "
+
+
+@query(_MEAN + """round(avg(x / mu * ln(x / mu)) FILTER (x > 0), 9) AS theil_t, round(avg(ln(mu / x)) FILTER (x > 0), 9) AS theil_l,
+round(1 - power(avg(sqrt(x)), 2) / avg(x), 9) AS atkinson, round(0.5 * avg(abs(x - mu)) / avg(mu), 9) AS hoover FROM j""")
+def inequality_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r9(inequality.measures(_efforts(spark, sf_dir), "effort"), "theil_t", "theil_l", "atkinson", "hoover", digits=9)
+
+
+@query(_EXP + """, d AS (SELECT project AS g, sum(effort) AS x FROM ex GROUP BY project, member), q AS (SELECT g, x, avg(x) OVER () AS mu, avg(x) OVER (PARTITION BY g) AS mg, sum(x) OVER () AS t FROM d),
+b AS (SELECT g, sum(x) AS s, avg(x / mg * ln(x / mg)) AS tg, max(t) AS t FROM q GROUP BY g)
+SELECT (SELECT round(avg(x / mu * ln(x / mu)), 9) FROM q) AS t_total, round(avg(s / (t / n) * ln(s / (t / n))), 9) AS t_between, round(sum(s / t * tg), 9) AS t_within FROM b CROSS JOIN (SELECT count(*) AS n FROM b)""")
+def theil_decomp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _expanded(spark, sf_dir).groupBy("project", "member").agg(F.sum("effort").alias("effort"))
+    return r9(inequality.theil_decomposition(d, "project", "effort"), "t_total", "t_between", "t_within", digits=9)
+
+
+@query(_ME + " SELECT row_number() OVER w AS rank, round(row_number() OVER w / count(*) OVER (), 9) AS population_share, round(sum(effort) OVER w / sum(effort) OVER (), 9) AS value_share FROM me WINDOW w AS (ORDER BY effort, member ROWS UNBOUNDED PRECEDING)")
+def lorenz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r9(inequality.lorenz(_efforts(spark, sf_dir), "member", "effort"), "population_share", "value_share", digits=9)
+
+
+@query("WITH q AS (SELECT quantile_cont(o_totalprice, 0.05) AS a, quantile_cont(o_totalprice, 0.95) AS b FROM orders) SELECT o_orderkey, round(least(greatest(o_totalprice, a), b), 4) AS o_totalprice_w FROM orders CROSS JOIN q")
+def winsorize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inequality.winsorize(read(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice"), "o_totalprice").select("o_orderkey", F.round("o_totalprice_w", 4).alias("o_totalprice_w"))
+
+
+@query()
+def huber(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inequality.huber_mean(read(spark, sf_dir, "orders"), "o_totalprice")
+
+
+# Text
+
+_TIDY = "trim(regexp_replace(coalesce({0}, ''), '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
+
+
+@query("SELECT row_id, array_to_string(list_filter(list_transform(regexp_split_to_array(" + _TIDY.format("assignees") + ", '[+;,/|&]+'), lambda x: trim(x)), lambda x: x <> ''), '~') AS people FROM legacy_tasks")
+def assignee_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "legacy_tasks").select("row_id", F.array_join(text.split_people(F.col("assignees")), "~").alias("people"))
+
+
+def _like(s: str, parts: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains({s}, '{p}')" for p in parts) + ")"
+
+
+def _in(words: tuple[str, ...]) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+@query(f"WITH t AS (SELECT row_id, lower({_TIDY.format('completion_status')}) AS s FROM external_input) SELECT row_id, CASE WHEN s IN {_in(text.NOT_STARTED_WORDS)} THEN 'Not Started' WHEN {_like('s', text.PROGRESS_PARTS)} THEN 'In Progress' WHEN {_like('s', text.DONE_PARTS)} THEN 'Completed' ELSE 'In Progress' END AS state FROM t")
+def status_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "external_input").select("row_id", text.status_value(F.col("completion_status")).alias("state"))
+
+
+@query(f"SELECT row_id, s IN {_in(text.DONE_WORDS)} OR {_like('s', ('done', 'hoàn thành', 'hoan thanh', 'completed', 'xong', '100%'))} AS done FROM (SELECT row_id, lower(trim(coalesce(completion_status, ''))) AS s FROM external_input)")
+def done_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "external_input").select("row_id", text.detect_done(F.col("completion_status")).alias("done"))
+
+
+@query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN 'Completed' ELSE 'In Progress' END AS status FROM orders WHERE o_orderstatus IN ('F', 'O')")
+def status_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders").where(F.col("o_orderstatus").isin("F", "O")).select("o_orderkey", F.when(F.col("o_orderstatus") == "F", "done").otherwise("to do").alias("status"))
+    return text.collapsed_status(o, "status")
+
+
+_WORDS = " + ".join(f"CAST(contains(t, '{w}') AS INTEGER)" for w in text.EFFORT_WORDS)
+
+
+@query(f"WITH d AS (SELECT row_id, lower(coalesce(task, '')) AS t FROM legacy_tasks), e AS (SELECT row_id, greatest(1.0, least(10.0, len(list_filter(regexp_split_to_array(t, '\\s+'), lambda x: x <> '')) / 6.0)) AS base, {_WORDS} AS hits FROM d) SELECT row_id, round(greatest(1.0, least(10.0, base + 0.8 * hits)), 6) AS effort FROM e")
+def effort_estimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "legacy_tasks").select("row_id", F.round(text.effort_estimate(F.col("task")), 6).alias("effort"))
+
+
+def _tag(tag: str, words: tuple[str, ...]) -> str:
+    return "CASE WHEN " + _like("t", tuple(f" {w} " for w in words)) + f" THEN '{tag}' END"
+
+
+@query("WITH d AS (SELECT row_id, ' ' || regexp_replace(lower(coalesce(task, '')), '\\s+', ' ', 'g') || ' ' AS t FROM legacy_tasks) SELECT row_id, array_to_string(list_sort(list_filter([" + ", ".join(_tag(k, v) for k, v in text.SKILL_TAGS.items()) + "], lambda x: x IS NOT NULL)), ',') AS tags FROM d")
+def skill_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "legacy_tasks").select("row_id", F.array_join(text.skill_tags(F.col("task")), ",").alias("tags"))
+
+
+@query()
+def skill_infer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read(spark, sf_dir, "legacy_tasks").select("row_id", F.array_join(text.task_skills(F.col("task")), ",").alias("labels"))
+
+
+@query("SELECT row_id, CAST(greatest(coalesce(last_value(week IGNORE NULLS) OVER (ORDER BY row_id), 1), 1) AS INTEGER) AS week_no FROM external_input")
+def week_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.week_numbers(read(spark, sf_dir, "external_input"), "week", "row_id").select("row_id", "week_no")
+
+
+@query("SELECT week, row_number() OVER (ORDER BY f, week) AS rank FROM (SELECT week, min(row_id) AS f FROM legacy_tasks WHERE week IS NOT NULL GROUP BY week)")
+def week_relabel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.first_seen_rank(read(spark, sf_dir, "legacy_tasks"), "week", "row_id")
+
+
+@query("SELECT row_id, task, project FROM (SELECT *, row_number() OVER (PARTITION BY project, task, task_leader ORDER BY row_id) AS r FROM external_input) WHERE r = 1")
+def dedupe_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text.keep_first(read(spark, sf_dir, "external_input").select("row_id", "task", "project", "task_leader"), ["project", "task", "task_leader"], "row_id").select("row_id", "task", "project")
+
+
+@query("WITH n AS (SELECT DISTINCT lower(p_name) AS p_name FROM part) SELECT a.p_name AS name_a, b.p_name AS name_b, round(jaro_winkler_similarity(a.p_name, b.p_name), 6) AS sim FROM n a JOIN n b ON a.p_name < b.p_name WHERE round(jaro_winkler_similarity(a.p_name, b.p_name), 9) >= 0.92")
+def jw_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = read(spark, sf_dir, "part").select(F.lower("p_name").alias("p_name"))
+    return r9(similarity.similar_pairs(n, "p_name"), "sim")
+
+
+@query()
+def name_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity.greedy_groups(read(spark, sf_dir, "part"), "p_name")
+
+
+# Schedule
+
+
+def _order_graph(spark: SparkSession, sf_dir: str, circles: bool = False) -> tuple[DataFrame, DataFrame]:
+    """A customer's orders by date form a heap: each waits for the one at half its place."""
+    t = order_tasks(spark, sf_dir).select(F.col("id"), F.col("effort").alias("dur"), F.col("id").alias("ordinal"), "customer", F.row_number().over(W.partitionBy("customer").orderBy("dated", "id")).alias("rn"))
+    up = t.select("customer", F.col("rn").alias("half"), F.col("id").alias("pred"))
+    deps = t.withColumn("half", F.floor(F.col("rn") / 2).cast("int")).join(up, ["customer", "half"]).select("pred", "id")
+    if circles:
+        pair = t.where("rn <= 2 and customer % 10 = 0").groupBy("customer").agg(F.max_by("id", "rn").alias("pred"), F.min_by("id", "rn").alias("id"), F.count(F.lit(1)).alias("n")).where("n = 2")
+        deps = deps.unionByName(pair.select("pred", "id"))
+    return t.select("id", "dur", "ordinal"), deps
+
+
+@query(_T + """, n AS (SELECT id, effort AS dur, customer, row_number() OVER (PARTITION BY customer ORDER BY dated, id) AS rn FROM tasks),
+f AS (SELECT id, customer, rn, dur, dur AS ef FROM n WHERE rn = 1)
+, lv AS (WITH RECURSIVE r AS (SELECT id, customer, rn, dur, dur AS ef FROM n WHERE rn = 1 UNION ALL SELECT n.id, n.customer, n.rn, n.dur, r.ef + n.dur FROM n JOIN r ON n.customer = r.customer AND n.rn // 2 = r.rn AND n.rn > 1) SELECT * FROM r)
+, up AS (WITH RECURSIVE u AS (SELECT id, customer, rn, rn AS at, dur AS t FROM n UNION ALL SELECT u.id, u.customer, u.rn, n.rn AS at, u.t + n.dur FROM u JOIN n ON n.customer = u.customer AND n.rn // 2 = u.at AND n.rn > 1) SELECT id, max(t) AS tail FROM u GROUP BY id)
+SELECT lv.id, ef - dur AS es, ef, d - tail AS ls, d - tail + dur AS lf, dur AS duration, d - tail - (ef - dur) AS slack, abs(d - tail - (ef - dur)) < 1e-9 AS critical
+FROM lv JOIN up ON lv.id = up.id CROSS JOIN (SELECT max(ef) AS d FROM lv)""")
+def cpm_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schedule.critical_path(*_order_graph(spark, sf_dir))
+
+
+@query()
+def cpm_relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return schedule.relaxed_path(*_order_graph(spark, sf_dir, circles=True))
+
+
+@query()
+def pert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tasks, deps = _order_graph(spark, sf_dir)
+    plan = schedule.critical_path(tasks, deps)
+    t = tasks.withColumns({c: F.lit(None).cast("double") for c in ("o", "m", "p")})
+    return schedule.pert_samples(t.select("id", *schedule.durations("dur", "o", "m", "p")), plan)
+
+
+# Forecasts
+
+
+@query(_WEEKS + """, st AS (SELECT avg(velocity) FILTER (velocity > 0) AS mu, stddev_pop(velocity) FILTER (velocity > 0) AS sd FROM vel),
+u AS (SELECT t AS trial, (CAST('0x' || substr(md5('42-' || t || 'a'), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS a, (CAST('0x' || substr(md5('42-' || t || 'b'), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE AS b FROM range(2000) r(t)),
+w AS (SELECT ceil(round(remaining_effort / greatest(mu + sd * (sqrt(-2 * ln(a)) * cos(2 * pi() * b)), 1e-6), 6)) AS weeks FROM u CROSS JOIN st CROSS JOIN rem)
+SELECT quantile_cont(weeks, 0.1) AS p10, quantile_cont(weeks, 0.5) AS p50, quantile_cont(weeks, 0.9) AS p90 FROM w""")
+def eta_hash_mc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = order_tasks(spark, sf_dir)
+    return forecast.summarize(forecast.eta_normal(flow.remaining_effort(t), flow.velocity(t)))
+
+
+@query(_WEEKS + """, v AS (SELECT list(velocity ORDER BY week) AS v FROM vel),
+d AS (SELECT t, w, greatest(v[CAST(floor((CAST('0x' || substr(md5('42-' || t || '-' || w), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE * len(v)) AS INTEGER) + 1], 0.1) AS x FROM range(5000) r(t) CROSS JOIN range(1, 105) s(w) CROSS JOIN v),
+c AS (SELECT t, w, sum(x) OVER (PARTITION BY t ORDER BY w) AS s FROM d),
+f AS (SELECT t, coalesce(min(w) FILTER (s >= remaining_effort), 104) AS weeks FROM c CROSS JOIN rem GROUP BY t)
+SELECT CAST(quantile_cont(weeks, 0.1) AS DOUBLE) AS p10, CAST(quantile_cont(weeks, 0.5) AS DOUBLE) AS p50, CAST(quantile_cont(weeks, 0.9) AS DOUBLE) AS p90 FROM f""")
+def eta_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = order_tasks(spark, sf_dir)
+    return forecast.summarize(forecast.eta_bootstrap(flow.remaining_effort(t), flow.velocity(t)))
+
+
+@query()
+def eta_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = order_tasks(spark, sf_dir)
+    return forecast.histogram(forecast.eta_normal(flow.remaining_effort(t), flow.velocity(t)))
+
+
+@query(_WEEKS + " SELECT step, m AS mean FROM (SELECT round(avg(velocity), 6) AS m FROM (SELECT velocity FROM vel ORDER BY week DESC LIMIT 5)) CROSS JOIN range(1, 17) r(step)")
+def ma_forecast(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return r9(forecast.moving_average(_velocity(spark, sf_dir)), "mean")
+
+
+@query()
+def anomaly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forecast.anomalies(read(spark, sf_dir, "weekly_evm").select("evm_id", "project", "week", "velocity"), "velocity", ["evm_id"])
+
+
+@query()
+def effort_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = read(spark, sf_dir, "legacy_tasks").select("row_id", "description", F.when(~F.isnan("actual_effort"), F.col("actual_effort")).alias("actual_effort"))
+    return forecast.effort_model(t, "description", "actual_effort").select("row_id", "effort_p10", "effort_p50", "effort_p90")
+
+
+# Reports
+
+
+@query("""WITH w AS (SELECT project, week, evm_id, CASE WHEN isnan(spi) THEN NULL ELSE spi END AS spi, CASE WHEN isnan(cpi) THEN NULL ELSE cpi END AS cpi, CASE WHEN isnan(velocity) THEN NULL ELSE velocity END AS velocity FROM weekly_evm),
+l AS (SELECT project, row_number() OVER (PARTITION BY project ORDER BY week DESC, evm_id DESC) AS r, spi, cpi, velocity FROM w)
+SELECT m.project, n_weeks, round(spi_mean, 6) AS spi_mean, round(cpi_mean, 6) AS cpi_mean, round(velocity_mean, 6) AS velocity_mean, spi AS spi_last, cpi AS cpi_last, velocity AS velocity_last
+FROM (SELECT project, count(*) AS n_weeks, avg(spi) AS spi_mean, avg(cpi) AS cpi_mean, avg(velocity) AS velocity_mean FROM w GROUP BY project) m JOIN l ON m.project = l.project AND r = 1""")
+def kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means and last values of the weekly indicators of each project; the last row of a week is its latest."""
+    cols = ["spi", "cpi", "velocity"]
+    w = read(spark, sf_dir, "weekly_evm").select("project", "week", "evm_id", *[F.when(~F.isnan(c), F.col(c)).alias(c) for c in cols]).where(F.col("project").isNotNull())
+    last = F.max_by(F.struct(*cols), F.struct("week", "evm_id"))
+    g = w.groupBy("project").agg(F.count(F.lit(1)).alias("n_weeks"), *[F.round(F.avg(c), 6).alias(f"{c}_mean") for c in cols], last.alias("l"))
+    return g.select("project", "n_weeks", *[f"{c}_mean" for c in cols], *[F.col(f"l.{c}").alias(f"{c}_last") for c in cols])
+
+
+@query(_EXP + """, me AS (SELECT member, sum(effort) AS effort FROM ex GROUP BY member), n AS (SELECT effort AS x, row_number() OVER (ORDER BY effort) AS i, count(*) OVER () AS n FROM me)
+SELECT (SELECT count(DISTINCT project) FROM tasks) AS projects, (SELECT count(*) FROM me) AS members, (SELECT sum(effort) FROM tasks) AS effort_total, (SELECT sum(effort) FROM tasks WHERE status <> 'Completed') AS effort_remaining,
+round(2 * sum(i * x) / (max(n) * sum(x)) - (max(n) + 1.0) / max(n), 6) AS gini FROM n""")
+def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = order_tasks(spark, sf_dir)
+    e = people.expand_members(t)
+    m = people.member_effort(e)
+    one = t.agg(F.count_distinct("project").alias("projects"), F.sum("effort").alias("effort_total"), F.sum(F.when(~flow.is_done(F.col("status")), F.col("effort"))).alias("effort_remaining"))
+    members = m.agg(F.count(F.lit(1)).alias("members"))
+    # each side is one row
+    return one.join(F.broadcast(members)).join(F.broadcast(inequality.gini(m, "effort"))).select("projects", "members", "effort_total", "effort_remaining", F.round("gini", 6).alias("gini"))
