@@ -4,10 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
+from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
-_RUN = W.orderBy("week").rowsBetween(W.unboundedPreceding, W.currentRow)
-_WEEK = W.orderBy("week")
+
+def _week() -> WindowSpec:
+    return W.orderBy("week")
+
+
+def _run() -> WindowSpec:
+    return _week().rowsBetween(W.unboundedPreceding, W.currentRow)
 
 
 def is_done(status: Column) -> Column:
@@ -31,7 +37,7 @@ def weekly(tasks: DataFrame) -> DataFrame:
 
 
 def burnup(tasks: DataFrame) -> DataFrame:
-    return weekly(tasks).select("week", F.sum("scope").over(_RUN).alias("scope_cumulative"), F.sum("completed").over(_RUN).alias("completed_cumulative"))
+    return weekly(tasks).select("week", F.sum("scope").over(_run()).alias("scope_cumulative"), F.sum("completed").over(_run()).alias("completed_cumulative"))
 
 
 def burndown(tasks: DataFrame) -> DataFrame:
@@ -42,20 +48,20 @@ def cumulative_flow(tasks: DataFrame) -> DataFrame:
     """Running effort of the three states whose title-cased name is exact."""
     names = ["Not Started", "In Progress", "Completed"]
     p = tasks.select("week", F.initcap(F.lower("status")).alias("s"), F.coalesce("effort", F.lit(1.0)).alias("e")).where(F.col("week").isNotNull()).groupBy("week").pivot("s", names).agg(F.sum("e"))
-    return p.select("week", *[F.sum(F.coalesce(F.col(f"`{n}`"), F.lit(0.0))).over(_RUN).alias(n.lower().replace(" ", "_")) for n in names])
+    return p.select("week", *[F.sum(F.coalesce(F.col(f"`{n}`"), F.lit(0.0))).over(_run()).alias(n.lower().replace(" ", "_")) for n in names])
 
 
 def binned_flow(tasks: DataFrame) -> DataFrame:
     names = ["Not Started", "In Progress", "Completed"]
     p = tasks.select("week", status_bin(F.col("status")).alias("s"), "effort").where(F.col("week").isNotNull()).groupBy("week").pivot("s", names).agg(F.sum("effort"))
-    return p.select("week", *[F.sum(F.coalesce(F.col(f"`{n}`"), F.lit(0.0))).over(_RUN).alias(n.lower().replace(" ", "_")) for n in names])
+    return p.select("week", *[F.sum(F.coalesce(F.col(f"`{n}`"), F.lit(0.0))).over(_run()).alias(n.lower().replace(" ", "_")) for n in names])
 
 
 def burndown_detail(tasks: DataFrame) -> DataFrame:
     """(week, total_effort, completed_effort, remaining_effort >= 0), states by bins, missing effort skipped."""
     e = F.coalesce("effort", F.lit(0.0))
     by = tasks.where(F.col("week").isNotNull()).groupBy(F.greatest("week", F.lit(1)).alias("week")).agg(F.sum(e).alias("total_effort"), F.sum(F.when(status_bin(F.col("status")) == "Completed", e).otherwise(0.0)).alias("completed_effort"))
-    return by.withColumn("remaining_effort", F.greatest(F.sum(F.col("total_effort") - F.col("completed_effort")).over(_RUN), F.lit(0.0)))
+    return by.withColumn("remaining_effort", F.greatest(F.sum(F.col("total_effort") - F.col("completed_effort")).over(_run()), F.lit(0.0)))
 
 
 def burnup_filled(tasks: DataFrame) -> DataFrame:
@@ -63,14 +69,14 @@ def burnup_filled(tasks: DataFrame) -> DataFrame:
     e = F.coalesce("effort", F.lit(0.0))
     done = F.sum(F.when(status_bin(F.col("status")) == "Completed", e))
     by = tasks.where(F.col("week").isNotNull()).groupBy("week").agg(F.sum(e).alias("s"), done.alias("c"))
-    line = by.withColumns({"scope_cumulative": F.sum("s").over(_RUN), "line": F.when(F.col("c").isNotNull(), F.sum("c").over(_RUN))})
-    return line.select("week", "scope_cumulative", F.coalesce(F.last("line", ignorenulls=True).over(_RUN), F.lit(0.0)).alias("completed_cumulative"))
+    line = by.withColumns({"scope_cumulative": F.sum("s").over(_run()), "line": F.when(F.col("c").isNotNull(), F.sum("c").over(_run()))})
+    return line.select("week", "scope_cumulative", F.coalesce(F.last("line", ignorenulls=True).over(_run()), F.lit(0.0)).alias("completed_cumulative"))
 
 
 def velocity(tasks: DataFrame) -> DataFrame:
     """First differences of the completed line, not below 0; the first week is itself."""
     b = burnup(tasks)
-    before = F.lag("completed_cumulative").over(_WEEK)
+    before = F.lag("completed_cumulative").over(_week())
     return b.select("week", F.greatest(F.coalesce(F.col("completed_cumulative") - before, F.col("completed_cumulative")), F.lit(0.0)).alias("velocity"))
 
 
@@ -81,7 +87,7 @@ def remaining_effort(tasks: DataFrame) -> DataFrame:
 def earned_schedule(series: DataFrame) -> DataFrame:
     """One row (es, at, sv_t, spi_t): the week at which the scope line met today's completed effort, by
     interpolation, outside the line by extrapolation. No row for fewer than two weeks or nothing done."""
-    n = series.select("week", F.col("scope_cumulative").alias("pv"), F.col("completed_cumulative").alias("ev"), F.row_number().over(_WEEK).alias("i"), F.lead("scope_cumulative").over(_WEEK).alias("pv1"), F.lead("week").over(_WEEK).alias("week1"))
+    n = series.select("week", F.col("scope_cumulative").alias("pv"), F.col("completed_cumulative").alias("ev"), F.row_number().over(_week()).alias("i"), F.lead("scope_cumulative").over(_week()).alias("pv1"), F.lead("week").over(_week()).alias("week1"))
     now = n.agg(F.max_by("ev", "week").alias("ev"), F.max("week").alias("at"), F.count(F.lit(1)).alias("n"), F.max("ev").alias("most"))
     # both sides are weekly or single rows
     place = n.join(F.broadcast(now.select(F.col("ev").alias("now"))), F.col("pv") <= F.col("now"), "left").agg(F.count("now").alias("k"))
@@ -101,7 +107,7 @@ def earned_value(tasks: DataFrame) -> DataFrame:
     whole = W.partitionBy()
     w = w.withColumns({"no_plan": F.max(F.abs("pv")).over(whole) == 0, "no_cost": F.sum("ac").over(whole) == 0, "spread": F.sum("effort").over(whole) / F.count(F.lit(1)).over(whole)})
     w = w.withColumns({"pv": F.when(F.col("no_plan"), F.col("spread")).otherwise(F.col("pv")), "ac": F.when(F.col("no_cost"), F.col("ev_done")).otherwise(F.col("ac"))})
-    s = w.select("week", "n_done", F.col("ev_done").alias("velocity"), F.sum("ev_done").over(_RUN).alias("ev_sum"), F.sum("pv").over(_RUN).alias("pv_sum"), F.sum("ac").over(_RUN).alias("ac_sum"))
+    s = w.select("week", "n_done", F.col("ev_done").alias("velocity"), F.sum("ev_done").over(_run()).alias("ev_sum"), F.sum("pv").over(_run()).alias("pv_sum"), F.sum("ac").over(_run()).alias("ac_sum"))
     return s.withColumns({"spi": F.when(F.col("pv_sum") > 0, F.col("ev_sum") / F.col("pv_sum")).otherwise(1.0), "cpi": F.when(F.col("ac_sum") > 0, F.col("ev_sum") / F.col("ac_sum")).otherwise(1.0)})
 
 
@@ -138,6 +144,6 @@ def cusum(vel: DataFrame) -> DataFrame:
     mu = F.avg("velocity").over(whole)
     raw = F.stddev_pop("velocity").over(whole)
     v = vel.withColumns({"mu": mu, "sd": F.when(raw > 0, raw).otherwise(F.greatest(F.lit(1e-6), mu * 0.25))})
-    v = v.withColumns({"up": F.sum(F.col("velocity") - F.col("mu") - 0.5 * F.col("sd")).over(_RUN), "down": F.sum(F.col("velocity") - F.col("mu") + 0.5 * F.col("sd")).over(_RUN)})
-    v = v.withColumns({"cusum_pos": F.col("up") - F.least(F.lit(0.0), F.min("up").over(_RUN)), "cusum_neg": F.col("down") - F.greatest(F.lit(0.0), F.max("down").over(_RUN))})
+    v = v.withColumns({"up": F.sum(F.col("velocity") - F.col("mu") - 0.5 * F.col("sd")).over(_run()), "down": F.sum(F.col("velocity") - F.col("mu") + 0.5 * F.col("sd")).over(_run())})
+    v = v.withColumns({"cusum_pos": F.col("up") - F.least(F.lit(0.0), F.min("up").over(_run())), "cusum_neg": F.col("down") - F.greatest(F.lit(0.0), F.max("down").over(_run()))})
     return v.select("week", "velocity", "cusum_pos", "cusum_neg", (F.col("cusum_pos") > 5 * F.col("sd")).alias("alarm_pos"), (F.col("cusum_neg") < -5 * F.col("sd")).alias("alarm_neg"))

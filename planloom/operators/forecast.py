@@ -117,6 +117,10 @@ def anomalies(df: DataFrame, value: str, order: list[str], share: float = 0.1, t
     return scored.join(F.broadcast(edge)).withColumn("anomaly", (F.col("score") > F.col("__edge")).cast("int")).drop("__edge")
 
 
+def _cut_at(t: Column, k: int):  # noqa: ANN202
+    return lambda i: F.substring(t, i, F.lit(k))
+
+
 def effort_model(df: DataFrame, text: str, actual: str, features: int = 1 << 10, trees: int = 10, least: int = 20, seed: int = 42) -> DataFrame:
     """df with effort_p10, effort_p50 and effort_p90: gradient-boosted median of hashed character n-grams,
     the interval from the residuals of held-out rows (a fifth, by hash). With fewer than `least` rows
@@ -125,7 +129,7 @@ def effort_model(df: DataFrame, text: str, actual: str, features: int = 1 << 10,
     from pyspark.ml.regression import GBTRegressor
 
     t = F.concat(F.lit(" "), F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit(" "))
-    grams = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (k - 1), F.lit(1))), lambda i, k=k: F.substring(t, i, F.lit(k))) for k in (3, 4, 5)]))
+    grams = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length(t) - (k - 1), F.lit(1))), _cut_at(t, k)) for k in (3, 4, 5)]))
     rows = df.withColumn("__grams", grams)
     train = rows.where(F.col(actual) > 0)
     if train.count() < least:

@@ -491,3 +491,28 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     members = m.agg(F.count(F.lit(1)).alias("members"))
     # each side is one row
     return one.join(F.broadcast(members)).join(F.broadcast(inequality.gini(m, "effort"))).select("projects", "members", "effort_total", "effort_remaining", F.round("gini", 6).alias("gini"))
+
+
+# Sources and streams
+
+
+@query()
+def header_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The header among the first rows of raw cells: the catalogue's names stand in row 2 of a sheet made of it."""
+    from planloom.sources import trackers
+
+    names = read(spark, sf_dir, "field_catalog").agg(F.array_sort(F.collect_list("field_name")).alias("cells"))
+    title = names.select(F.lit(0).alias("row_idx"), F.array(F.lit("Plan")).alias("cells"))
+    rows = title.unionByName(names.select(F.lit(1).alias("row_idx"), F.concat(F.array(F.lit("Status")), "cells").alias("cells")))
+    return trackers.detect_headers(rows.withColumns({"path": F.lit("catalog"), "sheet": F.lit("s")}))
+
+
+@query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, CAST(sum(CAST(coalesce(value, 0) AS DECIMAL(18,4))) AS DOUBLE) AS total FROM events GROUP BY 1, 2")
+def stream_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planloom.streaming import events
+
+    path = f"{sf_dir}/events.parquet"
+    table = spark.read.parquet(path)
+    alone = table.inputFiles()[0].endswith("/events.parquet")  # streams read folders
+    source = spark.readStream.schema(table.schema).option("pathGlobFilter", "events.parquet" if alone else "*.parquet")
+    return events.run_to_table(events.daily(source.parquet(sf_dir if alone else path)), spark, ["day", "event_type"])
