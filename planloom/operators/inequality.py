@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 
 def _clean(df: DataFrame, value: str) -> DataFrame:
-    v = F.col(value).cast("double")
-    return df.select(F.greatest(v, F.lit(0.0)).alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    v = df.select(F.col(value).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    return v.select(F.greatest("x", F.lit(0.0)).alias("x"))
 
 
 def summed_ranks(df: DataFrame) -> DataFrame:
@@ -42,7 +42,7 @@ def measures(df: DataFrame, value: str, eps: float = 0.5) -> DataFrame:
 
 def theil_decomposition(df: DataFrame, group: str, value: str) -> DataFrame:
     """One row (t_total, t_between, t_within): between is the Theil of group sums, within is weighted by share."""
-    d = df.select(F.col(group).alias("g"), F.greatest(F.col(value).cast("double"), F.lit(0.0)).alias("x")).where(F.col("g").isNotNull() & F.col("x").isNotNull())
+    d = df.select(F.col(group).alias("g"), F.col(value).cast("double").alias("x")).where(F.col("g").isNotNull() & F.col("x").isNotNull()).withColumn("x", F.greatest("x", F.lit(0.0)))
     by = d.groupBy("g").agg(F.avg("x").alias("mu_g"), F.sum("x").alias("s"))
     mu = by.agg(F.avg("s").alias("mu_s"), F.sum("s").alias("total"))
     every = d.agg(F.avg("x").alias("mu"))
@@ -58,7 +58,7 @@ def lorenz(df: DataFrame, key: str, value: str) -> DataFrame:
     """(rank, population_share, value_share) over the keys' values in ascending order; keys are already aggregated."""
     order = W.orderBy("x", "k")
     run = order.rowsBetween(W.unboundedPreceding, W.currentRow)
-    d = df.select(F.col(key).alias("k"), F.greatest(F.col(value).cast("double"), F.lit(0.0)).alias("x")).where(F.col("x").isNotNull())
+    d = df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("x")).where(F.col("x").isNotNull()).withColumn("x", F.greatest("x", F.lit(0.0)))
     whole = W.partitionBy()
     n, t = F.count(F.lit(1)).over(whole), F.sum("x").over(whole)
     return d.select(F.row_number().over(order).cast("long").alias("rank"), (F.row_number().over(order) / n).alias("population_share"), F.when(t > 0, F.sum("x").over(run) / t).otherwise(0.0).alias("value_share"))

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-# Delimiters between values, and the words that join the last two.
+# Delimiters between values, and the words (lower case) that join the last two.
 DELIMITERS = ",;|/\t\n\r+&、；，"
 JOINING_WORDS = ("and", "und", "et", "y", "và")
 # A joining word before one of these belongs to a firm's name.
@@ -35,13 +35,13 @@ _D = re.escape(DELIMITERS)
 _WORDS = "|".join(JOINING_WORDS)
 _LEX = re.compile(
     r"(?P<uni>\\u[0-9a-fA-F]{4})|(?P<esc>\\.)|(?P<quote>[\"'“”])"
-    rf"|(?P<word>\s(?:{_WORDS})\s(?!(?:{'|'.join(FIRM_TAILS)})\b))|(?P<delim>[{_D}])"
+    rf"|(?P<word>\s(?:{_WORDS})\s(?!(?i:{'|'.join(FIRM_TAILS)})\b))|(?P<delim>[{_D}])"
     rf"|(?P<text>[^\\\"'“”{_D}\s]+|\s)",
-    re.IGNORECASE | re.DOTALL,
+    re.DOTALL,
 )
 _NUMBER = re.compile(r"(?:^|(?<=[\s;,|/]))(?:\(\d{1,4}\)|\d{1,4}[.)])(?=\s)\s*")
 _FIRST_NUMBER = re.compile(r"\s*(?:\(\d{1,4}\)|\d{1,4}[.)])\s")
-_SPECIAL = re.compile(rf"[\\\"“”{_D}\[\]{{}}()\d]|\s(?:{_WORDS})\s", re.IGNORECASE)
+_SPECIAL = re.compile(rf"[\\\"“”{_D}\[\]{{}}()\d]|\s(?:{_WORDS})\s")
 _JSON_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
 
 
@@ -156,7 +156,7 @@ def _surrogates(values: list[str]) -> list[str]:
     return [v.encode("utf-16", "surrogatepass").decode("utf-16", "replace") for v in values]
 
 
-_AFTER_QUOTE = re.compile(rf"\s*(?:$|\x00|[{_D}\]}}])|\s+(?:{_WORDS})\s", re.IGNORECASE)
+_AFTER_QUOTE = re.compile(rf"\s*(?:$|\x00|[{_D}\]}}])|\s+(?:{_WORDS})\s")
 
 
 def _ends(s: str, pos: int) -> bool:
