@@ -48,7 +48,7 @@ LEGAL = {
 }
 NICKNAMES = {
     "abigail": "abby gail abbie", "alexander": "alex sasha sandy lex xander", "anastasia": "stasia nastya ana stacy tasia", "augustin": "gus august augie", "bartholomew": "bart barty",
-    "benjamin": "ben benny benji", "charlotte": "charlie lottie lotte", "christopher": "chris kit topher", "cornelius": "neil nelly corny con", "deborah": "deb debbie debby",
+    "benjamin": "ben benny benji", "charlotte": "charlie lottie lotte", "christopher": "chris kit topher", "cornelius": "neil nelly corny connie", "deborah": "deb debbie debby",
     "desmond": "des desi", "dmitri": "dima mitya", "ekaterina": "katya katia kate", "elizabeth": "liz lizzie beth eliza betty betsy lisa", "francisco": "paco pancho fran cisco kiko",
     "friedrich": "fritz fred", "gabriel": "gabe gabi", "giuseppe": "beppe peppe pino joe", "guadalupe": "lupe lupita", "henrietta": "hettie hetty etta henry", "ignacio": "nacho iggy",
     "jennifer": "jenny jen jenni", "johannes": "hans jo jan hannes", "josephine": "josie jo fina", "katherine": "kate katie kathy kat kitty", "leopold": "leo poldi",
@@ -158,6 +158,8 @@ def compare(a: Name, b: Name, common) -> tuple[float, bool]:  # noqa: ANN001
     """(similarity, strong): strong when both spell out the parts that agree, or are the same short form."""
     if not a.tokens or not b.tokens:
         return (1.0, True) if a.raw.strip() == b.raw.strip() else (0.0, False)
+    if a.legal and b.legal and a.legal != b.legal:
+        return 0.0, False
     if len(a.tokens) > len(b.tokens):
         a, b = b, a
     if a.joined == b.joined or sorted(a.tokens) == sorted(b.tokens):
@@ -197,8 +199,6 @@ def _align(a: Name, b: Name, common) -> tuple[float, bool]:  # noqa: ANN001
             best, spelled = mean, k
     if not best:
         return 0.0, False
-    if a.legal and b.legal and a.legal != b.legal:
-        best -= 0.5
     same_form = all(i == j for i, j in zip(sorted(a.initials), sorted(b.initials))) and m == n
     return best, spelled >= 2 or (same_form and spelled == 1 and best > 0.85)
 
