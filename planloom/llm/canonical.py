@@ -86,7 +86,7 @@ def normal(value: str) -> str:
 
 
 def _limit(n: int) -> int:
-    return 0 if n <= 2 else 1 if n <= 5 else 2 if n <= 8 else 3
+    return 0 if n <= 2 else 1 if n <= 4 else 2 if n <= 6 else 3
 
 
 class Matcher:
@@ -196,7 +196,7 @@ def _token_set(alias: list[str], tokens: list[str]) -> float:
 
 def match_canonical(
     df: DataFrame, column: str, names: DataFrame, id_column: str, name_column: str, keep: list[str],
-    aliases: dict[str, tuple[str, ...]] | None = None, threshold: float = 0.6, max_names: int = 10_000,
+    aliases: dict[str, tuple[str, ...]] | None = None, threshold: float = 0.57, max_names: int = 10_000,
 ) -> DataFrame:
     """The `keep` columns with canonical_id, how and score for each row of df."""
     rows = names.where(F.col(name_column).isNotNull()).select(F.col(id_column).alias("i"), F.col(name_column).alias("n")).limit(max_names + 1).collect()

@@ -8,18 +8,18 @@ ID = {n: i for i, n in NAMES}
 CASES = [
     ("Completed ", "Completed"), ("IN_PROGRESS", "In Progress"), ("InReview.", "In Review"), ("done!!", "Completed"), ("fertig (12/03)", "Completed"), ("đang làm @ 3/4", "In Progress"),
     ("0% ?", "Not Started"), ("100%", "Completed"), ("haflway htrough", "In Progress"), ("wrappe pu", "Completed"), ("status: cxl", "Cancelled"), ("✅ Blokced", "Blocked"), ("waiting for sign-off", "Awaiting Approval"),
-    ("now pushed to next quarter", "Deferred"), ("went live since Monday", "Deployed"), ("re-opned", "Reopened"), ("rdy for tset", "Ready for Testing"), ("en pausa pls check", "On Hold"),
+    ("now pushed to next quarter", "Deferred"), ("went live since Monday", "Deployed"), ("re-opned", "Reopened"), ("rdy for tset", "Ready for Testing"), ("cnopl.", "Completed"), ("en psaa", "On Hold"), ("en pausa pls check", "On Hold"),
 ]
 
 
 @pytest.mark.parametrize(("value", "name"), CASES)
 def test_means(value, name):
-    assert Matcher(NAMES, STATUS_ALIASES, 0.6).match(value)[0] == ID[name]
+    assert Matcher(NAMES, STATUS_ALIASES, 0.57).match(value)[0] == ID[name]
 
 
 @pytest.mark.parametrize("value", ["check mail", "42", "???", "red", "P2", "see notes!", "low priority", "x" * 5000, "--", "13/04"])
 def test_means_none(value):
-    assert Matcher(NAMES, STATUS_ALIASES, 0.6).match(value)[:2] == (-1, "none")
+    assert Matcher(NAMES, STATUS_ALIASES, 0.57).match(value)[:2] == (-1, "none")
 
 
 def test_edits():
