@@ -25,6 +25,7 @@ from __future__ import annotations
 import pickle
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 
 from planloom.llm.formats import typed_spans
 from planloom.llm.names import LONG_FORMS, NICKNAMES
-from planloom.llm.textfold import fold
+from planloom.llm.textfold import fold_word as fold
 from planloom.session import cut
 
 BUCKETS = 1 << 20
@@ -59,6 +60,7 @@ _CODE = re.compile(r"(?<![\w.,/:+\-])(?=(?:[ .\-/]?\w)*)[A-Z]{0,4}[ \-]?\d(?:[ .
 _PLACE = {"email": "<E>", "phone": "<P>", "id_number": "<I>", "address": "<A>"}
 
 
+@lru_cache(maxsize=1 << 18)
 def _bucket(s: str) -> int:
     return xxhash.xxh32_intdigest(s) & (BUCKETS - 1)
 
@@ -199,6 +201,7 @@ def _keys(left: list[str], right: list[str]) -> tuple[str, str, str]:
     return "l" + " ".join(left), "r" + " ".join(right), "m" + left[-1] + " | " + right[0]
 
 
+@lru_cache(maxsize=1 << 17)
 def _plain(w: str) -> str:
     f = fold(w.rstrip("."))
     # other accented words that fold to a seed are not that name

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from functools import lru_cache
 
 import regex
 
@@ -26,3 +27,9 @@ def fold(text: str) -> str:
 def words(text: str) -> list[str]:
     """The folded words: unbroken runs of letters or digits."""
     return _WORD.findall(fold(text))
+
+
+@lru_cache(maxsize=1 << 17)
+def fold_word(word: str) -> str:
+    """fold() of a single word, remembered: words recur."""
+    return fold(word)
