@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import argparse
 
-from planloom.plans import pipeline
+from planloom.plans import ingest, pipeline
 from planloom.session import get_session
 from planloom.sinks import report
 from planloom.sources import trackers
@@ -33,7 +33,7 @@ def main(argv: list[str] | None = None) -> int:
     if a.what == "run":
         df = trackers.load(spark, a.demo_tasks, a.board_csv, a.csv, a.sheet_url, a.sep, a.encoding)
     else:
-        df = trackers.ingest_workbook(spark, a.source, a.sheet)
+        df = ingest.build_tasks(trackers.ingest_workbook(spark, a.source, a.sheet), a.sheet or "")
         report.stage(df, a.staging)
     names = {c.lower() for c in df.columns}
     if not {"completion_status", "effort_score"} & names:

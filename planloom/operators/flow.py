@@ -147,3 +147,21 @@ def cusum(vel: DataFrame) -> DataFrame:
     v = v.withColumns({"up": F.sum(F.col("velocity") - F.col("mu") - 0.5 * F.col("sd")).over(_run()), "down": F.sum(F.col("velocity") - F.col("mu") + 0.5 * F.col("sd")).over(_run())})
     v = v.withColumns({"cusum_pos": F.col("up") - F.least(F.lit(0.0), F.min("up").over(_run())), "cusum_neg": F.col("down") - F.greatest(F.lit(0.0), F.max("down").over(_run()))})
     return v.select("week", "velocity", "cusum_pos", "cusum_neg", (F.col("cusum_pos") > 5 * F.col("sd")).alias("alarm_pos"), (F.col("cusum_neg") < -5 * F.col("sd")).alias("alarm_neg"))
+
+
+def risk(evm: DataFrame, tasks: DataFrame, shares: DataFrame) -> DataFrame:
+    """One row (spi_last, spi_trend, overdue_rate, creep, gini, score): 100 times the logistic of a weighted sum.
+
+    evm has week and spi, shares has contribution_pct; all but the shares' ranks are one-row aggregates."""
+    from planloom.operators.inequality import gini
+
+    last = evm.select("week", "spi", F.row_number().over(W.orderBy(F.desc("week"))).alias("r"), F.lag("spi").over(_week()).alias("before")).agg(
+        F.max_by("spi", "week").alias("spi_last"), F.max("week").alias("latest"), F.count(F.lit(1)).alias("n"), F.avg(F.when(F.col("r") <= 3, F.col("spi") - F.col("before"))).alias("trend")
+    )
+    count = tasks.where(F.col("week").isNotNull()).groupBy("week").agg(F.count(F.lit(1)).alias("k")).withColumns({"r": F.row_number().over(W.orderBy(F.desc("week"))), "n": F.count(F.lit(1)).over(W.partitionBy())})
+    creep = count.agg(F.avg(F.when((F.col("r") <= 3) | (F.col("n") < 3), F.col("k"))).alias("recent"), F.avg(F.when((F.col("r") > 3) | (F.col("n") <= 3), F.col("k"))).alias("prev"))
+    late = tasks.join(F.broadcast(last.select("latest"))).agg((F.count_if((F.col("status") != "Completed") & (F.col("week") < F.col("latest"))) / F.greatest(F.count(F.lit(1)), F.lit(1))).alias("overdue_rate"))
+    one = last.join(F.broadcast(creep)).join(F.broadcast(late)).join(F.broadcast(gini(shares, "contribution_pct")))
+    one = one.select("spi_last", F.when(F.col("n") >= 4, F.col("trend")).otherwise(0.0).alias("spi_trend"), "overdue_rate", ((F.col("recent") - F.col("prev")) / F.greatest("prev", F.lit(1e-6))).alias("creep"), "gini")
+    z = -1.5 * (1 - F.col("spi_last")) - F.col("overdue_rate") - 0.5 * F.greatest("creep", F.lit(0.0)) - 0.3 * F.col("gini") + 0.8 * F.col("spi_trend")
+    return one.withColumn("score", 100 / (1 + F.exp(-z)))

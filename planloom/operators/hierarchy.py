@@ -63,7 +63,7 @@ def _sizes(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
         gain = climbing.groupBy(F.col("up").alias("v")).agg(F.sum("size").alias("gain"))
         further = climbing.select("v", "up").join(climbing.select(F.col("v").alias("up"), F.col("up").alias("up2")), "up").select("v", "up2")
         state = cut(
-            state.join(gain, "v", "left").join(further, "v", "left").select("v", F.col("up2").alias("up"), (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size")), "sizes"
+            state.join(gain, "v", "left").join(further, "v", "left").select("v", F.col("up2").alias("up"), (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size")), "sizes", state
         )
         now = state.where(F.col("up").isNotNull()).count()
         if now == left:
@@ -76,7 +76,7 @@ def _circles(nodes: DataFrame, caught: DataFrame) -> DataFrame:
     """(v, root): for nodes on or into a circle the smallest name on it."""
     images = caught.select("up").distinct().count()
     while True:
-        on = cut(caught.join(caught.select(F.col("v").alias("up"), F.col("up").alias("up2")), "up").select("v", F.col("up2").alias("up")), "caught")
+        on = cut(caught.join(caught.select(F.col("v").alias("up"), F.col("up").alias("up2")), "up").select("v", F.col("up2").alias("up")), "caught", caught)
         now = on.select("up").distinct().count()
         caught = on
         if now == images:
@@ -102,7 +102,7 @@ def _chains(forest: DataFrame) -> DataFrame:
     while not state.where(~F.col("done")).isEmpty():
         above = state.select(F.col("v").alias("head"), F.col("head").alias("head2"), F.col("pos").alias("pos2"), F.col("done").alias("done2"))
         moved = state.where(~F.col("done")).join(above, "head").select("v", F.col("head2").alias("head"), (F.col("pos") + F.col("pos2")).alias("pos"), F.col("done2").alias("done"))
-        state = cut(state.where("done").unionByName(moved), "chain")
+        state = cut(state.where("done").unionByName(moved), "chain", state)
     return state.drop("done")
 
 

@@ -493,6 +493,27 @@ def summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.join(F.broadcast(members)).join(F.broadcast(inequality.gini(m, "effort"))).select("projects", "members", "effort_total", "effort_remaining", F.round("gini", 6).alias("gini"))
 
 
+@query(_T + """, w AS (SELECT week, sum(CASE WHEN status = 'Completed' THEN effort ELSE 0 END) AS ev, sum(planned) AS pv, count(*) AS k FROM tasks GROUP BY week),
+s AS (SELECT week, k, sum(ev) OVER (ORDER BY week) / CAST(sum(pv) OVER (ORDER BY week) AS DOUBLE) AS spi, row_number() OVER (ORDER BY week DESC) AS r FROM w),
+r AS (SELECT project, unnest(assignees) AS member, effort / len(assignees) AS v FROM tasks WHERE len(assignees) > 0 AND effort > 0),
+c AS (SELECT 100 * sum(v) / sum(sum(v)) OVER (PARTITION BY project) AS x FROM r GROUP BY project, member), ci AS (SELECT x, row_number() OVER (ORDER BY x) AS i, count(*) OVER () AS n FROM c),
+o AS (SELECT (SELECT spi FROM s WHERE r = 1) AS a, (SELECT (max(spi) FILTER (r = 1) - max(spi) FILTER (r = 4)) / 3 FROM s) AS t,
+  (SELECT count(*) FILTER (status <> 'Completed' AND week < (SELECT max(week) FROM tasks)) / CAST(count(*) AS DOUBLE) FROM tasks) AS d,
+  (SELECT (avg(k) FILTER (r <= 3) - avg(k) FILTER (r > 3)) / avg(k) FILTER (r > 3) FROM s) AS p, (SELECT 2 * sum(i * x) / (max(n) * sum(x)) - (max(n) + 1.0) / max(n) FROM ci) AS g)
+SELECT round(a, 6) AS spi_last, round(t, 6) AS spi_trend, round(d, 6) AS overdue_rate, round(p, 6) AS creep, round(g, 6) AS gini,
+round(100 / (1 + exp(-(-1.5 * (1 - a) - d - 0.5 * greatest(p, 0) - 0.3 * g + 0.8 * t))), 4) AS score FROM o""")
+def risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = order_tasks(spark, sf_dir)
+    return r9(r9(flow.risk(flow.earned_value(t), t, people.contribution(t)), "spi_last", "spi_trend", "overdue_rate", "creep", "gini"), "score", digits=4)
+
+
+@query("""SELECT row_id, rank AS week_no FROM (SELECT row_id, week(loaded_at) AS w FROM legacy_tasks) JOIN (SELECT w, row_number() OVER (ORDER BY f) AS rank FROM (SELECT week(loaded_at) AS w, min(row_id) AS f FROM legacy_tasks GROUP BY 1)) USING (w)""")
+def week_from_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from planloom.plans import ingest
+
+    return ingest.iso_weeks(read(spark, sf_dir, "legacy_tasks").select("row_id", "loaded_at"), "loaded_at", "row_id").select("row_id", "week_no")
+
+
 # Sources and streams
 
 

@@ -3,11 +3,9 @@
 from __future__ import annotations
 
 import atexit
-import os
 import shutil
 import tempfile
 import uuid
-from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,31 +33,43 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir), or a temporary one where it is unset."""
+    """The folder all executors share (spark.checkpoint.dir); on one machine a temporary one where it is unset."""
     d = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if d:
         return d.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if "dir" not in _FALLBACK:
         _FALLBACK["dir"] = tempfile.mkdtemp(prefix="planloom-")
         atexit.register(shutil.rmtree, _FALLBACK["dir"], ignore_errors=True)
     return "file://" + _FALLBACK["dir"]
 
 
-def cut(df: DataFrame, name: str = "t") -> DataFrame:
+def _file_system(spark: SparkSession, path: str):  # noqa: ANN202
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def cut(df: DataFrame, name: str = "t", instead_of: DataFrame | None = None) -> DataFrame:
     """Write df as a table in the shared folder and read it back: lineage ends there, and the
-    planner sees true sizes. The files stay until the session's process ends."""
+    planner sees true sizes. The table it replaces in an iteration is deleted, the others when
+    the session's process ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/planloom/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    u = urlparse(path)
-    if u.scheme in ("", "file"):
-        atexit.register(shutil.rmtree, u.path, ignore_errors=True)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, p = _file_system(spark, path)
+    fs.deleteOnExit(p)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._cut_path = path
+    if instead_of is not None:
+        drop_cut(instead_of)
+    return out
 
 
 def drop_cut(df: DataFrame) -> None:
-    """Delete the files of a table made by cut() that no later step reads."""
-    for f in df.inputFiles()[:1]:
-        u = urlparse(f)
-        if u.scheme in ("", "file") and "/planloom/" in u.path:
-            shutil.rmtree(os.path.dirname(u.path), ignore_errors=True)
+    """Delete the files of a table that cut() returned and no later step reads; other frames are left alone."""
+    path = getattr(df, "_cut_path", None)
+    if path:
+        fs, p = _file_system(df.sparkSession, path)
+        fs.delete(p, True)
+        df._cut_path = None

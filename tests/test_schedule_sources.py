@@ -100,3 +100,27 @@ def test_pipeline_from_every_source(spark, tmp_path):
     s = results["summary"].first()
     assert s.tasks == 60 and s.projects == 2 and results["07_cpm"].count() == 60
     assert results["01_burnup"].count() == results["03_burndown"].count() > 0
+
+
+def test_build_tasks(spark):
+    from planloom.plans import ingest
+
+    rows = [
+        (0, "Fix  the api", "Alice Nguyen; Bo Tran", "doing", "2", "", "1,5"), (1, "Fix the api", "Alice Nguyen", "done", "3", "P", None), (2, "Monday", "Ann", "done", "3", "P", None), (3, "Test it", "", "done", "3", "P", None),
+        (4, "Fix  the api", "Alice Nguyen + X", "todo", None, "", None), (5, "Deploy docker", "Alice Nguyn", "finished", "x", "P", "7"),
+    ]
+    raw = spark.createDataFrame(rows, "row_id long, `Work item` string, Owner string, Status string, Week string, Project string, Estimate string")
+    got = {r.row_id: r for r in ingest.build_tasks(raw, "Board").collect()}
+    assert sorted(got) == [0, 1, 5]
+    assert (got[0].project, got[0].task, got[0].planned_effort, got[0].week, got[0].completion_status) == ("Board", "Fix the api", 1.5, 2, "In Progress")
+    assert got[5].task_leader == got[0].task_leader == "Alice Nguyn" and got[0].assignees_list == '["Alice Nguyn","Bo Tran"]'
+    assert got[5].week == 3 and got[1].completion_status == "Completed" and '"DevOps"' in got[5].skills
+
+
+def test_build_without_hints(spark):
+    from planloom.plans import ingest
+
+    raw = spark.createDataFrame([(i, f"some longer text {i}", "Ann", f"{i + 1:02d}/03/2024", "x" if i % 2 else "") for i in range(10)], "row_id long, blah string, owner string, `due date` string, `done?` string")
+    got = {r.row_id: r for r in ingest.build_tasks(raw, "S", merge=False).collect()}
+    assert [got[i].week for i in (0, 2, 3, 9)] == [1, 1, 2, 2] and got[1].completion_status == "Completed" and got[0].completion_status == "Not Started"
+    assert got[0].actual_cost == got[0].effort_score * 150
