@@ -108,11 +108,16 @@ def footers(lines: DataFrame) -> DataFrame:
     return cells(lines).groupBy("file_id", "name").agg(F.count(F.lit(1)).alias("n_lines"), *counts)
 
 
-def _evidence(lines: DataFrame, files: DataFrame, named: DataFrame) -> DataFrame:
+def _evidence(lines: DataFrame, files: DataFrame, foot: DataFrame, named: DataFrame) -> DataFrame:
     """(name, field) for names without alias, from values that other files of the tracker hold for the same card."""
-    c = cells(lines).join(files.select("file_id", "tracker_id"), "file_id").join(named, "name")
+    # only trackers in which such a name stands are read again
+    placed = files.select("file_id", "tracker_id")
+    odd = foot.join(named.where(F.col("alias_field").isNull()), "name").select("file_id").distinct().join(placed, "file_id").select("tracker_id").distinct()
+    placed = cut(placed.join(odd, "tracker_id", "left_semi"), "placed")
+    c = cells(lines.join(placed.select("file_id"), "file_id", "left_semi")).join(placed, "file_id").join(named, "name")
     t = F.lower(F.trim(text_of(F.col("v"))))
-    c = c.select("tracker_id", "file_id", "line_no", "name", "alias_field", F.coalesce(number_of(t).cast("string"), t).alias("t"))
+    c = c.select("tracker_id", "file_id", "line_no", "name", "alias_field", t.alias("t"))
+    c = cut(c.withColumn("t", F.coalesce(number_of(F.col("t")).cast("string"), "t")), "cells")
     card = c.where(F.col("alias_field") == "card_no").select("file_id", "line_no", F.col("t").alias("card")).distinct()
     c = c.where(F.col("t").isNotNull()).join(card, ["file_id", "line_no"])
     unknown = c.where(F.col("alias_field").isNull()).select("tracker_id", "card", "t", "name").groupBy("tracker_id", "card", "t", "name").agg(F.count(F.lit(1)).alias("n"))
@@ -134,7 +139,7 @@ def resolved_footers(lines: DataFrame, files: DataFrame, fields: DataFrame, alia
     if named.where(F.col("alias_field").isNull()).isEmpty():
         mapped = named.select("name", F.col("alias_field").alias("field"))
     else:
-        found = _evidence(lines, files, named)
+        found = _evidence(lines, files, foot, named)
         mapped = named.join(found, "name", "left").select("name", F.coalesce("alias_field", "field").alias("field"))
     return foot.join(placed, "file_id").join(mapped, "name", "left")
 
