@@ -74,4 +74,39 @@ QUERIES = {
     "p1_found": p1_found, "p2_found": p2_found, "p2_lifespans": p2_lifespans, "p2_table": p2_table, "p4_found": p4_found, "p4_filled": p4_filled, "p4_table": p4_table,
     "p5_found": p5_found, "p5_tree": p5_tree, "p5_descendants": p5_descendants,
 }
-ORACLES: dict[str, str] = {}
+
+
+def _values(rows: list[tuple[str, str]]) -> str:
+    return ", ".join("('{}', '{}')".format(*(x.replace("'", "''") for x in r)) for r in rows)
+
+
+_PLAIN = "regexp_replace(lower({0}), '[^\\p{{L}}\\p{{N}}]+', '', 'g')"
+_P2 = f"""WITH al AS (SELECT {_PLAIN.format('a')} AS plain, f FROM (VALUES {_values([(a, f) for f, names in drift.FIELD_ALIASES.items() for a in (f, *names)])}) v(a, f)),
+c AS (SELECT file_id, line_no, j.key AS name, CASE j.type WHEN 'ARRAY' THEN 'array' WHEN 'OBJECT' THEN 'object' WHEN 'VARCHAR' THEN 'string' WHEN 'NULL' THEN NULL WHEN 'BOOLEAN' THEN NULL ELSE 'number' END AS kind
+  FROM (SELECT * FROM staged_lines WHERE json_valid(payload)) l, json_each(l.payload) j WHERE json_type(l.payload) = 'OBJECT'),
+n AS (SELECT file_id, f AS field, name, count(*) AS k, count(*) FILTER (kind = 'array') AS a, count(*) FILTER (kind = 'number') AS u, count(*) FILTER (kind = 'object') AS o, count(*) FILTER (kind = 'string') AS s
+  FROM c JOIN al ON al.plain = {_PLAIN.format('c.name')} GROUP BY ALL),
+b AS (SELECT file_id, field, name, CASE greatest(a, u, o, s) WHEN 0 THEN NULL WHEN a THEN 'array' WHEN u THEN 'number' WHEN o THEN 'object' ELSE 'string' END AS kind FROM n
+  QUALIFY row_number() OVER (PARTITION BY file_id, field ORDER BY k DESC, name) = 1),
+f AS (SELECT file_id, tracker_id, row_number() OVER (PARTITION BY tracker_id ORDER BY exported_at, file_id) AS seq FROM staged_files),
+g AS (SELECT f.tracker_id, f.seq, f.file_id, x.field, b.name, last_value(b.kind IGNORE NULLS) OVER (PARTITION BY f.tracker_id, x.field ORDER BY f.seq) AS kind
+  FROM f CROSS JOIN (SELECT DISTINCT field FROM b) x LEFT JOIN b ON b.file_id = f.file_id AND b.field = x.field),
+w AS (SELECT *, lag(name) OVER o AS name0, lag(kind) OVER o AS kind0 FROM g WINDOW o AS (PARTITION BY tracker_id, field ORDER BY seq))
+SELECT file_id, field AS field_name, unnest(list_filter([CASE WHEN name0 IS NULL AND name IS NOT NULL THEN 'added' END, CASE WHEN name0 IS NOT NULL AND name IS NULL THEN 'removed' END,
+  CASE WHEN name <> name0 THEN 'renamed' END, CASE WHEN name IS NOT NULL AND name0 IS NOT NULL AND kind <> kind0 THEN 'retyped' END], lambda x: x IS NOT NULL)) AS change FROM w WHERE seq > 1"""
+
+_P4 = """WITH v AS (SELECT row_id, 'planned_effort' AS field_name, planned_effort AS x FROM external_input UNION ALL SELECT row_id, 'actual_cost', actual_cost FROM external_input UNION ALL SELECT row_id, 'effort_score', effort_score FROM external_input),
+r AS (SELECT field_name, x FROM v WHERE x >= 0 AND NOT isnan(x) AND x < 'infinity'::DOUBLE),
+m AS (SELECT field_name, quantile_disc(x, 0.5) AS med, count(*) AS n FROM r GROUP BY 1),
+k AS (SELECT field_name, x, count(*) AS k, replace(rtrim(CAST(CAST(x AS DECIMAL(24,4)) AS VARCHAR), '0'), '.', '') AS d FROM r GROUP BY 1, 2),
+st AS (SELECT field_name, x FROM k JOIN m USING (field_name) WHERE x > 20 * greatest(med, 1e-9) AND ((length(d) >= 4 AND d[1] <> '0' AND replace(d, d[1], '') = '' AND (n < 1000 OR k >= greatest(2, 1e-4 * n)))
+  OR (k >= greatest(20, 5e-4 * n) AND x > 100 * greatest(med, 1e-9))))
+SELECT DISTINCT row_id, field_name FROM v LEFT JOIN st USING (field_name, x) WHERE v.x IS NULL OR isnan(v.x) OR v.x < 0 OR v.x = 'infinity'::DOUBLE OR st.x IS NOT NULL"""
+
+_KEY = "lower(regexp_replace({0}, '^[\\s\\p{{Z}}\"''“”„‘’`´«»\\[\\](){{}}<>,;|/\\\\.:&+*#-]+|[\\s\\p{{Z}}\"''“”„‘’`´«»\\[\\](){{}}<>,;|/\\\\.:&+*#-]+$', '', 'g'))"
+_P5 = f"""WITH RECURSIVE n AS (SELECT task, arg_min(ref, row_id) FILTER (ref IS NOT NULL) AS ref FROM (SELECT task, row_id, nullif({_KEY.format('depends_on')}, '') AS ref FROM external_input WHERE trim(task) <> '') GROUP BY task),
+k AS (SELECT {_KEY.format('task')} AS key, min(task) AS parent FROM n GROUP BY 1), e AS (SELECT task, parent FROM n LEFT JOIN k ON ref = key), z AS (SELECT count(*) AS z FROM e),
+w AS (SELECT task, task AS at_task, 0 AS d FROM e UNION ALL SELECT w.task, e.parent, d + 1 FROM w JOIN e ON e.task = w.at_task CROSS JOIN z WHERE e.parent IS NOT NULL AND d < 2 * z)
+SELECT task, CASE WHEN max(d) < any_value(2 * z) THEN arg_max(at_task, d) ELSE min(at_task) FILTER (d >= z) END AS root_task, CASE WHEN max(d) < any_value(2 * z) THEN max(d) ELSE -1 END AS depth FROM w CROSS JOIN z GROUP BY task"""
+
+ORACLES: dict[str, str] = {"p2_found": _P2, "p4_found": _P4, "p5_found": _P5}
