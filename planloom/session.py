@@ -73,3 +73,9 @@ def drop_cut(df: DataFrame) -> None:
         fs, p = _file_system(df.sparkSession, path)
         fs.delete(p, True)
         df._cut_path = None
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over as many partitions as the session has cores, where its scan has fewer; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
