@@ -30,6 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from planloom.llm.textfold import words
+from planloom.session import spread
 
 _PASS_WORDS = 150_000  # words whose bit sums are held at once
 
@@ -122,6 +123,7 @@ def leaks(
     """One row (doc_id, item_id, n_words) per document and item that share a run of n words;
     n_words counts the item's words that stand in shared runs."""
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") >= 2 * n - 1)
+    docs = spread(docs)
     its = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).where(F.col("text").isNotNull()).distinct()
     schema = T.StructType([docs.schema["doc_id"], T.StructField("item_id", its.schema["item_id"].dataType), T.StructField("n_words", T.IntegerType())])
     # The items are the stated query set: taken in blocks of bounded size, against all documents.

@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from planloom.llm.formats import typed_spans
 from planloom.llm.names import LONG_FORMS, NICKNAMES
 from planloom.llm.textfold import fold_word as fold
-from planloom.session import cut
+from planloom.session import cut, spread
 
 BUCKETS = 1 << 20
 # Seed given names (with those of NICKNAMES), titles and particles.
@@ -306,7 +306,7 @@ def _join_reversed(found: list, text_gap) -> list[tuple[int, int]]:  # noqa: ANN
 
 def slots_table(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, text, slots): the slots and typed stretches of each text, serialised."""
-    docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") > 0)
+    docs = spread(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") > 0))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for whole in batches:

@@ -31,6 +31,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from planloom.session import spread
+
 _ENCODERS: dict[str, object] = {}
 _SAFE = re.compile(r"(?<=[^\W_]) (?=[^\W_])|(?<=[!-~]) (?=[!-~])")
 _WINDOW = 16
@@ -86,7 +88,7 @@ def encode_corpus(documents: DataFrame, doc_id: str = "doc_id", text: str = "tex
         raise ValueError("mean_chunk must be a power of two")
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     id_type = docs.schema["doc_id"].dataType.simpleString()
-    full = docs.where(F.length("text") > 0)
+    full = spread(docs.where(F.length("text") > 0))
 
     def pieces(batches: Iterator[pd.DataFrame], with_text: bool) -> Iterator[pd.DataFrame]:
         for whole in batches:
