@@ -519,13 +519,18 @@ def week_from_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def header_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The header among the first rows of raw cells: the catalogue's names stand in row 2 of a sheet made of it."""
+    """The headers of made sheets: of a shared sheet the catalogue's names in row 2; of workbooks the names deep below notes, and Vietnamese names under a title."""
     from planloom.sources import trackers
 
     names = read(spark, sf_dir, "field_catalog").agg(F.array_sort(F.collect_list("field_name")).alias("cells"))
     title = names.select(F.lit(0).alias("row_idx"), F.array(F.lit("Plan")).alias("cells"))
-    rows = title.unionByName(names.select(F.lit(1).alias("row_idx"), F.concat(F.array(F.lit("Status")), "cells").alias("cells")))
-    return trackers.detect_headers(rows.withColumns({"path": F.lit("catalog"), "sheet": F.lit("s")}))
+    header = names.select(F.lit(1).alias("row_idx"), F.concat(F.array(F.lit("Status")), "cells").alias("cells"))
+    shared = title.unionByName(header).withColumns({"path": F.lit("catalog"), "sheet": F.lit("s")})
+    notes = spark.range(150).select(F.col("id").cast("int").alias("row_idx"), F.array(F.concat(F.lit("Note "), "id")).alias("cells"))
+    deep = notes.unionByName(header.withColumn("row_idx", F.lit(150))).withColumn("sheet", F.lit("deep"))
+    vietnamese = [(0, ["Kế hoạch"]), (1, ["STT", "Công việc", "Người đảm nhận", "Trạng thái", "Tuần"]), (2, ["1", "Viết báo cáo", "An", "xong", "3"])]
+    other = spark.createDataFrame(vietnamese, "row_idx int, cells array<string>").withColumn("sheet", F.lit("vi"))
+    return trackers.detect_headers(shared).unionByName(trackers.find_headers(deep.unionByName(other).withColumn("path", F.lit("workbook"))))
 
 
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, CAST(sum(CAST(coalesce(value, 0) AS DECIMAL(18,4))) AS DOUBLE) AS total FROM events GROUP BY 1, 2")

@@ -240,18 +240,34 @@ def header_score(cells: Column) -> Column:
     return score
 
 
-def detect_headers(cells: DataFrame, scan: int = 30) -> DataFrame:
-    """(path, sheet, header_row, score): the best-scored row among the first of each sheet, the first of equals."""
-    s = cells.where(F.col("row_idx") < scan).withColumn("score", header_score(F.col("cells")))
+def _best_rows(scored: DataFrame) -> DataFrame:
     best = F.max_by(F.struct("row_idx", "score"), F.struct("score", -F.col("row_idx")))
-    return s.groupBy("path", "sheet").agg(best.alias("b")).select("path", "sheet", F.col("b.row_idx").alias("header_row"), F.col("b.score").alias("score"))
+    return scored.groupBy("path", "sheet").agg(best.alias("b")).select("path", "sheet", F.col("b.row_idx").alias("header_row"), F.col("b.score").alias("score"))
+
+
+def detect_headers(cells: DataFrame, scan: int = 30) -> DataFrame:
+    """(path, sheet, header_row, score) of shared sheets: the best-scored row among the first of each, the first of equals."""
+    return _best_rows(cells.where(F.col("row_idx") < scan).withColumn("score", header_score(F.col("cells"))))
+
+
+def hint_score(cells: Column) -> Column:
+    """+1 for each hint contained in the row's text, +1 for three cells or more up to the last filled one; null for blank rows."""
+    texts = F.transform(cells, lambda x: F.regexp_replace(F.coalesce(x, F.lit("")), r"^[\s\p{Z}]+|[\s\p{Z}]+$", ""))
+    filled = F.array_max(F.transform(texts, lambda x, i: F.when(x != "", i + 1)))
+    low = F.lower(F.array_join(texts, " "))
+    hints = sum((low.contains(h).cast("int") for words in HINTS.values() for h in words), F.lit(0))
+    return F.when(filled.isNotNull(), hints + (filled >= 3).cast("int"))
+
+
+def find_headers(cells: DataFrame, scan: int = 200) -> DataFrame:
+    """(path, sheet, header_row, score) of workbooks: the first maximum of hint_score over the first rows, blank ones left out."""
+    return _best_rows(cells.where(F.col("row_idx") < scan).withColumn("score", hint_score(F.col("cells"))).where(F.col("score").isNotNull()))
 
 
-def sheet_scores(cells: DataFrame, scan: int = 30) -> DataFrame:
+def sheet_scores(cells: DataFrame, headers: DataFrame) -> DataFrame:
     """(path, sheet, header_row, sheet_score): the header's score and a tenth of the rows below it, 20 at most."""
-    h = detect_headers(cells, scan)
-    n = cells.join(h, ["path", "sheet"]).where("row_idx > header_row").groupBy("path", "sheet").agg(F.count(F.lit(1)).alias("n"))
-    return h.join(n, ["path", "sheet"], "left").select("path", "sheet", "header_row", (F.col("score") + F.floor(F.least(F.coalesce("n", F.lit(0)), F.lit(200)) / 10)).alias("sheet_score"))
+    n = cells.join(headers, ["path", "sheet"]).where("row_idx > header_row").groupBy("path", "sheet").agg(F.count(F.lit(1)).alias("n"))
+    return headers.join(n, ["path", "sheet"], "left").select("path", "sheet", "header_row", (F.col("score") + F.floor(F.least(F.coalesce("n", F.lit(0)), F.lit(200)) / 10)).alias("sheet_score"))
 
 
 def sheet_table(cells: DataFrame, path: str, sheet: str, header_row: int) -> DataFrame:
@@ -272,7 +288,7 @@ def sheet_table(cells: DataFrame, path: str, sheet: str, header_row: int) -> Dat
 def ingest_workbook(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
     """The task table of a workbook: the named sheet, else the one that scores best (the first of equals)."""
     cells = read_workbook(spark, path)
-    best = sheet_scores(cells)
+    best = sheet_scores(cells, find_headers(cells))
     chosen = (best.where(F.col("sheet") == sheet) if sheet else best).orderBy(F.desc("sheet_score"), "sheet").first()
     if chosen is None:
         raise ValueError("the workbook has no such sheet with rows")
