@@ -1,8 +1,11 @@
 """Filling missing values from similar records: nearest-neighbour hot deck in hash blocks.
 
 1. `missing_cells`: a numeric cell is missing when it is null, not a number, infinite, negative, or a
-   stand-in: a value far above the column's median that is written with one digit only (9999,
-   999999.99, 88888888) or recurs far too often. Zero is an amount; large amounts that occur once are too.
+   stand-in. Zero is an amount, and so are most large ones. A value over 20 times the column's median
+   is a stand-in when it is written with one digit only, four times or more (9999, 999999.99, 88888888),
+   and occurs twice or is over 500 times the median; any other value when it is over 100 times the
+   median and occurs 20 times. No count depends on the number of rows, so a value is judged alike in
+   a small and a large table; the price is that a real round amount so large and so common is taken for one.
 2. Levels of hash blocks, tried in order: rows of the same record key; rows of the same group and
    category, ordered by a measure that both have (on a log scale); rows of the group ordered by time;
    all rows, ordered by a measure, then by time.
@@ -33,20 +36,19 @@ from planloom.session import cut, drop_cut
 _CELL = 16  # histogram cells per unit of the coordinate
 
 
-def stand_ins(df: DataFrame, columns: list[str], far: float = 20.0, share: float = 1e-4) -> dict[str, list[float]]:
-    """Positive values of each column that stand for 'missing'. At most 1/share values a column exist."""
+def stand_ins(df: DataFrame, columns: list[str], far: float = 20.0) -> dict[str, list[float]]:
+    """Positive values of each column that stand for 'missing'. Those of one digit are some hundreds at most, as doubles have few lengths."""
     real = {c: F.when(~F.isnan(c) & (F.col(c) >= 0) & (F.col(c) < float("inf")), F.col(c)) for c in columns}
-    stats = df.agg(*[F.percentile_approx(real[c], 0.5).alias(f"m_{c}") for c in columns], *[F.count(real[c]).alias(f"n_{c}") for c in columns]).first()
+    medians = df.agg(*[F.percentile_approx(real[c], 0.5).alias(c) for c in columns]).first()
     long = []
     for c in columns:
-        median, n = stats[f"m_{c}"], stats[f"n_{c}"]
-        if n:
+        if medians[c] is not None:
+            unit = max(medians[c], 1e-9)
             digits = F.regexp_replace(F.regexp_replace(F.col("value").cast("decimal(24,4)").cast("string"), r"0*$", ""), r"\.", "")
-            one_digit = digits.rlike(r"^([1-9])\1{3,}$")
-            counts = df.select(real[c].alias("value")).where(F.col("value") > far * max(median, 1e-9)).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
-            often = F.col("n") >= max(2.0, share * n) if n >= 1000 else F.lit(True)
-            spike = (F.col("n") >= max(20.0, 5 * share * n)) & (F.col("value") > 5 * far * max(median, 1e-9))
-            long.append(counts.where((one_digit & often) | spike).select(F.lit(c).alias("c"), "value"))
+            one_digit = digits.rlike(r"^([1-9])\1{3,}$") & ((F.col("n") >= 2) | (F.col("value") > 25 * far * unit))
+            counts = df.select(real[c].alias("value")).where(F.col("value") > far * unit).groupBy("value").agg(F.count(F.lit(1)).alias("n"))
+            spike = (F.col("n") >= 20) & (F.col("value") > 5 * far * unit)
+            long.append(counts.where(one_digit | spike).select(F.lit(c).alias("c"), "value"))
     found: dict[str, list[float]] = {c: [] for c in columns}
     if long:
         for r in reduce(DataFrame.unionByName, long).collect():

@@ -30,6 +30,14 @@ def test_stand_ins(spark):
     assert impute.stand_ins(df, ["planned", "cost"]) == {"planned": [9999.0], "cost": [88888888.0]}
 
 
+def test_stand_ins_at_every_size(spark):
+    """30 uses of a stand-in are found in 40 000 rows and in 400 000."""
+    odd = spark.createDataFrame([(9999.0, 88888888.0)] * 30 + [(12345678.0, 800.0)] * 30 + [(444.4, 22222.0)], "planned double, cost double")
+    for n in (900, 40_000, 400_000):
+        real = spark.range(n).selectExpr("CAST(5 + id % 7 AS DOUBLE) AS planned", "CAST(500 + id % 600 AS DOUBLE) AS cost")
+        assert impute.stand_ins(real.unionByName(odd), ["planned", "cost"]) == {"planned": [9999.0, 12345678.0], "cost": [88888888.0]}
+
+
 def test_no_donor_and_empty(spark):
     got = fills(spark, [(1, "t", "p", "a", 1, None, 3.0)])
     assert got[1, "planned"].level == "none" and got[1, "planned"].filled_value is None
