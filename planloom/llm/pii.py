@@ -8,7 +8,12 @@
    known name, and a word is as name-like as the share of its uses in accepted slots. Accepted
    slots make their words known, which lifts further patterns. Codes (words with many digits) that
    have no known format are scored in the same way against identity and phone numbers.
+   A run of more than 7 words (capitals, a heading, names without commas) is cut once lower-case uses
+   are known: at words seen more in lower case or hardly ever as names, at titles, before given names
+   that follow a surname, and at last after 7 words. The pieces are slots like others.
 3. In the last pass slots in good patterns, after a title, or made of known names are put out.
+   All-capitals slots without a listed given name need a good pattern, and a word of four letters or
+   one that is known as a name: shorter ones are mostly abbreviations.
 
 Scale: texts are tokenised once into a table of slots; each round is one narrow pass with partial
 aggregation. Scores live in arrays of 2^20 buckets, so what is collected and broadcast has a fixed
@@ -54,6 +59,8 @@ TITLES = frozenset(
     "mr mrs ms miss mx dr prof herr frau hr fr sr sra srta dra m mme mlle monsieur madame señor señora don doña ing eng ông bà chị cô ong ba chi co anh professor".split()
 )
 _LOWER_TITLES = frozenset("ông bà chị cô anh".split())
+_SURE_TITLES = frozenset("mr mrs miss mx dr prof herr frau madame monsieur".split())
+LONGEST = 7  # words of a slot
 PARTICLES = frozenset("van von der den de di del della la le du da dos".split())
 _TOKEN = re.compile(r"\x00\d+\x00|[^\W\d_]+(?:[-'’][^\W\d_]+)*|\d[\w.,:/\-]*|\n|[^\w\s]", re.UNICODE)
 _CODE = re.compile(r"(?<![\w.,/:+\-])(?=(?:[ .\-/]?\w)*)[A-Z]{0,4}[ \-]?\d(?:[ .\-/]?[\dA-Z]){4,20}(?![\w])")
@@ -68,10 +75,10 @@ def _bucket(s: str) -> int:
 class Slot:
     """A run of name-like words: word texts with offsets, and the tokens around."""
 
-    __slots__ = ("before", "code", "left", "right", "titled", "words")
+    __slots__ = ("before", "code", "left", "piece", "right", "titled", "words")
 
-    def __init__(self, words: list[tuple[str, int, int]], left: list[str], right: list[str], before: int, titled: bool, code: bool) -> None:
-        self.words, self.left, self.right, self.before, self.titled, self.code = words, left, right, before, titled, code
+    def __init__(self, words: list[tuple[str, int, int]], left: list[str], right: list[str], before: int, titled: bool, code: bool, piece: bool = False) -> None:
+        self.words, self.left, self.right, self.before, self.titled, self.code, self.piece = words, left, right, before, titled, code, piece
 
 
 def _scan(text: str, typed: list[tuple[int, int, str]]) -> list[tuple[str, int, int]]:
@@ -90,7 +97,8 @@ def _is_cap(w: str) -> bool:
     return w[0].isalpha() and w[0].isupper()
 
 
-def find_slots(text: str, typed: list[tuple[int, int, str]]) -> list[Slot]:
+def find_slots(text: str, typed: list[tuple[int, int, str]], lower_case: set[int] | None = None) -> list[Slot]:
+    """The slots of a text; lower_case gets the buckets of its lower-case words."""
     tokens = _scan(text, typed)
     n = len(tokens)
     low = [t if t[0] in "<\n" else "#" if t[0].isdigit() else fold(t) for t, _, _ in tokens]
@@ -107,6 +115,8 @@ def find_slots(text: str, typed: list[tuple[int, int, str]]) -> list[Slot]:
             kinds.append("s")
         else:
             kinds.append("l")
+    if lower_case is not None:
+        lower_case.update(_bucket("w" + _plain(t[0])) for t, k in zip(tokens, kinds) if k == "l")
     slots: list[Slot] = []
     last_end = -9
     i = 0
@@ -147,7 +157,7 @@ def find_slots(text: str, typed: list[tuple[int, int, str]]) -> list[Slot]:
         if words and not titled and i > 0 and fold(tokens[i - 1][0]) in ("ong", "ba", "chi", "co", "anh") and tokens[i - 1][0] in _LOWER_TITLES:
             titled = True
             first = i - 1
-        if words and len(words) <= 7:
+        if words:
             left = low[max(0, first - 2) : first]
             while len(left) < 2:
                 left.insert(0, "\n")
@@ -178,6 +188,8 @@ class Scores:
         self.all = np.zeros((3, BUCKETS), dtype=np.float32)
         self.used = np.zeros(BUCKETS, dtype=np.float32)  # words: uses in accepted slots
         self.seen = np.zeros(BUCKETS, dtype=np.float32)
+        self.low = np.zeros(BUCKETS, dtype=np.float32)  # words: texts that have it in lower case
+        self.learnt = False
 
     def word(self, f: str) -> float | None:
         """Share of a word's uses that are names; None when it has hardly been seen."""
@@ -185,6 +197,11 @@ class Scores:
         n = float(self.seen[b])
         return float(self.used[b]) / n if n >= 3 else None
 
+    def common(self, f: str) -> bool:
+        """A word seen more in lower case than in capitals."""
+        b = _bucket("w" + f)
+        return bool((f not in SEED_NAMES or f in WORDS_TOO) and self.low[b] >= 3 and self.low[b] > self.seen[b])
+
     def is_known(self, f: str) -> bool:
         if f in SEED_NAMES:
             return True
@@ -208,17 +225,53 @@ def _plain(w: str) -> str:
     return f if w.isascii() or f not in SEED_NAMES or f in ACCENTED else f + "~"
 
 
+def _shouted(words: list[tuple[str, int, int]]) -> bool:
+    return all(w[0].isupper() for w in words) and any(len(_plain(w[0])) > 1 for w in words)
+
+
+def pieces(s: Slot, scores: Scores) -> list[Slot]:
+    """A slot of more than LONGEST words cut into slots; the words between them are context."""
+    n = len(s.words)
+    plain = [_plain(w[0]) for w in s.words]
+    around = [*s.left, *plain, *s.right]  # word k stands at k + 2
+    out: list[Slot] = []
+    a, titled = 0, s.titled
+
+    def close(b: int) -> None:
+        if b > a:
+            out.append(Slot(list(s.words[a:b]), around[a : a + 2], around[b + 2 : b + 4], s.before if a == 0 else 9, titled, False, True))
+
+    for k, f in enumerate(plain):
+        share = scores.word(f)
+        given = f in SEED_NAMES and f not in WORDS_TOO
+        is_title = f in _SURE_TITLES and k + 1 < n
+        # 'WILL' is a name only before one
+        word_too = f in WORDS_TOO and scores.common(f) and not (k + 1 < n and scores.is_known(plain[k + 1]))
+        odd = len(f) > 1 and f not in SEED_NAMES and f not in PARTICLES and ((share is not None and share < 0.15) or scores.common(f))
+        if is_title or word_too or odd:
+            if titled and k == a and not is_title and not scores.common(f):
+                continue  # a title outweighs a word's share
+            close(k)
+            a, titled = k + 1, is_title
+        elif k > a and ((given and len(plain[k - 1]) > 1 and plain[k - 1] not in SEED_NAMES and plain[k - 1] not in PARTICLES) or k - a >= LONGEST):
+            close(k)
+            a, titled = k, False
+    close(n)
+    return out
+
+
 def trimmed(s: Slot, scores: Scores) -> tuple[list[tuple[str, int, int]], list[str], list[str]]:
     """The slot without leading and trailing words that are hardly ever names, and its contexts."""
     words = list(s.words)
     left, right = list(s.left), list(s.right)
+    capitals = _shouted(words)
 
     def odd(w: str) -> bool:
         f = _plain(w)
         if len(f) == 1 or f in SEED_NAMES or f in PARTICLES:
             return False
         share = scores.word(f)
-        return share is not None and share < 0.15
+        return (share is not None and share < 0.15) or (capitals and scores.common(f))
 
     while words and not s.titled and (odd(words[0][0])):
         left = [left[-1], _plain(words.pop(0)[0])]
@@ -242,7 +295,7 @@ def _rest(s: Slot, words: list[tuple[str, int, int]], scores: Scores) -> Slot |
     after = [w for w in s.words if w[1] > words[-1][1]]
     if len(after) < 2:
         return None
-    return Slot(after[1:], [_plain(words[-1][0]), _plain(after[0][0])], s.right, 9, False, False)
+    return Slot(after[1:], [_plain(words[-1][0]), _plain(after[0][0])], s.right, 9, False, False, s.piece)
 
 
 def judge(slots: list[Slot], scores: Scores, threshold: float) -> list[tuple[Slot, list[tuple[str, int, int]], bool, tuple[str, str, str], bool]]:
@@ -256,6 +309,10 @@ def judge(slots: list[Slot], scores: Scores, threshold: float) -> list[tuple[Slo
             keys = _keys(s.left, s.right)
             out.append((s, s.words, False, keys, False))
             continue
+        if len(s.words) > LONGEST and not s.piece:
+            # without counts of lower-case words there is nothing to cut by
+            waiting += reversed(pieces(s, scores) if scores.learnt else [])
+            continue
         words, left, right = trimmed(s, scores)
         rest = _rest(s, words, scores)
         if rest is not None:
@@ -273,10 +330,14 @@ def judge(slots: list[Slot], scores: Scores, threshold: float) -> list[tuple[Slo
         spelled = [f for f in plain if len(f) > 1 and f not in PARTICLES]
         lower = words[0][0][0].islower() and plain[0] not in PARTICLES
         seeds = plain[0] in SEED_NAMES or plain[-1] in SEED_NAMES
-        shouted = all(w[0].isupper() for w in words) and any(len(_plain(w[0])) > 1 for w in words) and not s.titled
+        shouted = _shouted(words) and not s.titled
         full = len(spelled) >= 2 and (plain[0] in SEED_NAMES or plain[-1] in SEED_NAMES) and not lower
         accepted = bool(spelled) and ((s.titled and not lower) or good >= threshold or (full and good >= threshold / 4) or (full and plain[0] in SEED_NAMES and scores.word(spelled[-1]) is None))
-        if (shouted and not seeds) or (lower and len(spelled) < 2):
+        if s.piece and full and plain[0] in SEED_NAMES and scores.is_known(spelled[-1]):
+            accepted = True
+        if shouted and not seeds:
+            accepted = good >= threshold and any(len(f) > 3 or scores.is_known(f) for f in spelled)
+        if lower and len(spelled) < 2:
             accepted = False
         out.append((s, words, accepted, keys, known))
         previous = accepted
@@ -315,10 +376,11 @@ def slots_table(documents: DataFrame, doc_id: str = "doc_id", text: str = "text"
                 blobs = []
                 for t in b["text"]:
                     typed = typed_spans(t)
-                    slots = [(s.words, s.left, s.right, s.before, s.titled, s.code) for s in find_slots(t, typed)]
+                    low: set[int] = set()
+                    slots = [(s.words, s.left, s.right, s.before, s.titled, s.code) for s in find_slots(t, typed, low)]
                     gaps = {(x[0][-1][2], y[0][0][1]): t[x[0][-1][2] : y[0][0][1]] for x, y in zip(slots, slots[1:]) if 0 < y[0][0][1] - x[0][-1][2] <= 3}
                     around = [(k, *_around(t, x, y)) for x, y, k in typed if k in ("id_number", "phone")]
-                    blobs.append(pickle.dumps(([(x, y, k, t[x:y]) for x, y, k in typed], slots, gaps, around)))
+                    blobs.append(pickle.dumps(([(x, y, k, t[x:y]) for x, y, k in typed], slots, gaps, around, np.array(list(low), dtype=np.uint32).tobytes())))
                 yield pd.DataFrame({"doc_id": b["doc_id"], "text": b["text"], "slots": blobs})
 
     return docs.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, slots binary")
@@ -330,14 +392,15 @@ def _around(text: str, a: int, b: int) -> tuple[str, str]:
 
 
 def _load(blob: bytes):  # noqa: ANN202
-    typed, slots, gaps, around = pickle.loads(blob)  # noqa: S301 - written by slots_table
-    return typed, [Slot(*s) for s in slots], gaps, around
+    typed, slots, gaps, around, low = pickle.loads(blob)  # noqa: S301 - written by slots_table
+    return typed, [Slot(*s) for s in slots], gaps, around, low
 
 
 def learn(table: DataFrame, rounds: int = 3, threshold: float = 0.5) -> Scores:
     """Score patterns and words over the whole table, round by round."""
     spark = table.sparkSession
     scores = Scores()
+    lower_case = scores.low
     for k in range(rounds):
         shared = spark.sparkContext.broadcast(scores)
 
@@ -345,6 +408,7 @@ def learn(table: DataFrame, rounds: int = 3, threshold: float = 0.5) -> Scores:
             now = shared.value
             for b in batches:
                 counts: dict[tuple[int, int], list[int]] = {}
+                lows: list[bytes] = []
 
                 def add(kind: int, key: str, good: bool, counts=counts) -> None:  # noqa: ANN001
                     c = counts.setdefault((kind, _bucket(key)), [0, 0])
@@ -352,7 +416,9 @@ def learn(table: DataFrame, rounds: int = 3, threshold: float = 0.5) -> Scores:
                     c[1] += 1
 
                 for blob in b["slots"]:
-                    typed, slots, gaps, around = _load(blob)
+                    typed, slots, gaps, around, low = _load(blob)
+                    if k == 0:
+                        lows.append(low)
                     for kind, left, _ in around:
                         add(1, "l" + left, kind == "id_number")
                         add(2, "l" + left, kind == "phone")
@@ -375,9 +441,12 @@ def learn(table: DataFrame, rounds: int = 3, threshold: float = 0.5) -> Scores:
                                 counted.add(a)
                         counted |= at
                 yield pd.DataFrame([(kind, bucket, g, n) for (kind, bucket), (g, n) in counts.items()], columns=["kind", "bucket", "good", "n"])
+                if lows:
+                    at, n = np.unique(np.frombuffer(b"".join(lows), dtype=np.uint32), return_counts=True)
+                    yield pd.DataFrame({"kind": 4, "bucket": at.astype(np.int32), "good": 0, "n": n})
 
         sums = table.select("slots").mapInPandas(tally, "kind int, bucket int, good long, n long").groupBy("kind", "bucket").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
-        # Rare words and patterns without a good slot say nothing; at most 4 x 2^20 rows are left.
+        # Rare words and patterns without a good slot say nothing; at most 5 x 2^20 rows are left.
         got = sums.where("n >= 3 or good > 0").toPandas()
         scores = Scores()
         for kind in (0, 1, 2):
@@ -387,6 +456,10 @@ def learn(table: DataFrame, rounds: int = 3, threshold: float = 0.5) -> Scores:
         part = got[got["kind"] == 3]
         scores.used[part["bucket"]] = part["good"]
         scores.seen[part["bucket"]] = part["n"]
+        if k == 0:
+            part = got[got["kind"] == 4]
+            lower_case[part["bucket"]] = part["n"]
+        scores.low, scores.learnt = lower_case, True
         shared.unpersist()
     return scores
 
@@ -401,7 +474,7 @@ def find_pii(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", r
         for b in batches:
             rows = []
             for d, t, blob in zip(b["doc_id"], b["text"], b["slots"]):
-                typed, slots, gaps, _ = _load(blob)
+                typed, slots, gaps, _, _ = _load(blob)
                 rows += [(d, x, y, k, v) for x, y, k, v in typed]
                 judged = judge(slots, scores, threshold)
                 rows += [(d, x, y, "name", t[x:y]) for x, y in _join_reversed(judged, lambda x, y, g=gaps: g.get((x, y)))]

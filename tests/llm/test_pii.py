@@ -47,6 +47,19 @@ def test_names_from_context(spark):
     assert "[NAME]" in r[3] and "Halrey" not in r[3] and len(r) == docs.count()
 
 
+def test_long_runs_and_capitals(spark):
+    fill = "we will call them about the new plan of the week, please look at it.\n"
+    extra = [
+        (600, "PLEASE CALL ANNA TARKOW ABOUT THE NEW PLAN"), (601, fill + "Anna Tarkow Peter Molvane Robert Quist Sofia Halrey\n"), (602, fill + "\nApproved by KRESHELMORE.\n"),
+        (603, "PLEASE LOOK AT THE NEW PLAN OF THE WEEK ABOUT IT"), (604, fill + "\nApproved by QA.\n"),
+    ] + [(700 + i, fill) for i in range(5)]
+    docs = corpus(spark).unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    got: dict[int, set[str]] = {}
+    for r in find_pii(docs).where("kind = 'name' AND doc_id >= 600").collect():
+        got.setdefault(r.doc_id, set()).add(r.pii_text)
+    assert got == {600: {"ANNA TARKOW"}, 601: {"Anna Tarkow", "Peter Molvane", "Robert Quist", "Sofia Halrey"}, 602: {"KRESHELMORE"}}
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert find_pii(docs).collect() == [] and redact(docs, find_pii(docs)).collect() == []
