@@ -140,16 +140,30 @@ def schedule(tasks: DataFrame, deps: DataFrame) -> DataFrame:
 
 def durations(effort: str, opt: str, most: str, pess: str) -> list:
     """The three-point estimate, or 0.8, 1 and 1.25 times the effort (missing: 1) where a part is missing."""
-    e = F.coalesce(F.col(effort), F.lit(1.0))
-    whole = F.col(opt).isNotNull() & F.col(most).isNotNull() & F.col(pess).isNotNull()
-    return [F.when(whole, F.col(c)).otherwise(e * f).alias(n) for c, f, n in ((opt, 0.8, "opt"), (most, 1.0, "most"), (pess, 1.25, "pess"))]
+    number = lambda c: F.when(~F.isnan(F.col(c).cast("double")) & (F.abs(F.col(c).cast("double")) < float("inf")), F.col(c).cast("double"))
+    e = F.coalesce(number(effort), F.lit(1.0))
+    whole = number(opt).isNotNull() & number(most).isNotNull() & number(pess).isNotNull()
+    return [F.when(whole, number(c)).otherwise(e * f).alias(n) for c, f, n in ((opt, 0.8, "opt"), (most, 1.0, "most"), (pess, 1.25, "pess"))]
+
+
+def with_estimates(tasks: DataFrame, deps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The schedule by the likeliest durations, and its pert_samples.
+
+    tasks has id, ordinal, effort, opt_duration, most_duration, pess_duration; a task in several rows: its last row."""
+    t = tasks.where(F.col("id").isNotNull()).select("id", "ordinal", *durations("effort", "opt_duration", "most_duration", "pess_duration"))
+    last = cut(t.groupBy("id").agg(F.max_by(F.struct("opt", "most", "pess"), "ordinal").alias("e"), F.max("ordinal").alias("ordinal")).select("id", "ordinal", "e.*"), "estimates")
+    plan = schedule(last.select("id", F.col("most").alias("dur"), "ordinal"), deps)
+    return plan, pert_samples(last, plan)
 
 
 def pert_samples(tasks: DataFrame, critical: DataFrame, trials: int = 2000, seed: int = 42) -> DataFrame:
     """(trial, duration): Beta-PERT draws summed over critical tasks, at least the longest single task.
 
     tasks has id, opt, most, pess. Draws depend on the task's id and the seed alone, so partitioning
-    changes nothing; each task batch is reduced to `trials` partial sums before the shuffle."""
+    changes nothing; each task batch is reduced to `trials` partial sums before the shuffle.
+    No task is left out: where pess is not over opt, or one of them is missing, each draw is `most`
+    (missing: 1); where most lies outside opt and pess, the range is widened to it."""
+    tasks = tasks.withColumn("most", F.coalesce(F.nanvl(F.col("most").cast("double"), F.lit(1.0)), F.lit(1.0)))
     t = tasks.join(critical.where("critical").select("id", F.lit(True).alias("crit")), "id", "left").select(F.col("id").cast("string").alias("id"), "opt", "most", "pess", F.coalesce("crit", F.lit(False)).alias("crit"))
 
     def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -157,6 +171,7 @@ def pert_samples(tasks: DataFrame, critical: DataFrame, trials: int = 2000, seed
         for b in batches:
             for i, a, m, z, crit in zip(b["id"], b["opt"], b["most"], b["pess"], b["crit"]):
                 if z > a:
+                    a, z = min(a, m), max(z, m)
                     rng = np.random.default_rng([seed, xxhash.xxh64_intdigest(i)])
                     x = a + (z - a) * rng.beta(1 + 4 * (m - a) / (z - a), 1 + 4 * (z - m) / (z - a), trials)
                 else:
@@ -166,5 +181,5 @@ def pert_samples(tasks: DataFrame, critical: DataFrame, trials: int = 2000, seed
                     total += x
         yield pd.DataFrame({"trial": np.arange(trials), "s": total, "m": most})
 
-    part = t.where("opt <= most and most <= pess").mapInPandas(draw, "trial int, s double, m double")
+    part = t.mapInPandas(draw, "trial int, s double, m double")
     return part.groupBy("trial").agg(F.greatest(F.sum("s"), F.max("m")).alias("duration"))

@@ -25,16 +25,19 @@ def from_canonical(df: DataFrame, order: str = "row_id") -> DataFrame:
         text.list_of(F.col("assignees_list")).alias("assignees"), text.list_of(F.col("skills")).alias("skills"), F.col("effort_score").alias("effort"), F.col("planned_effort").alias("planned"), F.col("actual_cost").alias("cost"),
         F.col("week_no").alias("week"), text.status_value(F.col("completion_status")).alias("status"), text.dependencies(F.col("depends_on")).alias("depends_on"),
         "business_value", "time_criticality", "risk_reduction", "job_size", "reach", "impact", "confidence", F.col("effort").alias("own_effort"), F.col("effort_score").alias("effort_score"),
+        "opt_duration", "most_duration", "pess_duration",
     )
 
 
 def from_legacy(df: DataFrame) -> DataFrame:
-    """A table of the older schema in canonical columns; missing efforts are estimated from the task text."""
+    """A table of the older schema in canonical columns; missing efforts are estimated from the task text, three-point estimates are kept."""
+    points = [c for c in df.columns if c.lower() in ("opt_duration", "most_duration", "pess_duration")]
     actual = F.when(F.col("Actual_Effort") > 0, F.col("Actual_Effort"))
     return df.select(
         "row_id", F.col("Project").alias("project"), F.col("Task").alias("task"), F.lit("").alias("assigned_member"), text.first_of(F.col("Assignees")).alias("task_leader"), F.to_json(text.list_of(F.col("Assignees"))).alias("assignees_list"),
         F.to_json(text.skill_tags(F.col("Description"))).alias("skills"), F.coalesce(actual, text.effort_estimate(F.concat_ws(" ", "Task", "Description"))).alias("effort_score"), F.col("Planned_Effort").alias("planned_effort"), F.col("Cost").alias("actual_cost"),
         F.datediff(F.substring("Week", 1, 10).try_cast("date"), F.lit("1995-01-02").cast("date")).cast("string").alias("__days"), F.col("Status").alias("completion_status"), F.lit("").alias("depends_on"),
+        *points,
     ).withColumn("week", F.floor(F.col("__days").cast("int") / 7) + 1).drop("__days")
 
 
@@ -43,14 +46,14 @@ def analyse(tasks: DataFrame) -> dict[str, DataFrame]:
     t = cut(tasks, "tasks")
     ex = people.expand_members(t)
     vel, remaining = flow.velocity(t), flow.remaining_effort(t)
-    nodes = t.select("id", F.col("effort").alias("dur"), F.col("row_id").alias("ordinal"))
     deps = t.select("id", F.explode("depends_on").alias("pred"))
+    plan, pert = schedule.with_estimates(t.withColumn("ordinal", F.col("row_id")), deps)
     efforts = people.member_effort(ex)
     profile = people.skill_profile(ex)
     prio = people.priority(t.select("project", "task", "business_value", "time_criticality", "risk_reduction", "job_size", "reach", "impact", "confidence", F.col("own_effort").alias("effort"), "effort_score"))
     return {
         "01_burnup": flow.burnup(t), "03_burndown": flow.burndown(t), "04_cfd": flow.cumulative_flow(t), "05_velocity": flow.control_limits(vel), "05_cusum": flow.cusum(vel), "06_evm": flow.earned_value(t),
-        "06_earned_schedule": flow.earned_schedule(flow.burnup(t)), "07_cpm": schedule.schedule(nodes, deps), "08_eta": forecast.summarize(forecast.eta_normal(remaining, vel)), "09_bus_factor": people.bus_factor(ex),
+        "06_earned_schedule": flow.earned_schedule(flow.burnup(t)), "07_cpm": plan, "08_pert_duration": pert, "08_eta": forecast.summarize(forecast.eta_normal(remaining, vel)), "09_bus_factor": people.bus_factor(ex),
         "10_priority": prio, "11_suggestions": people.suggest(t, profile, top=50), "12_what_if": flow.what_if(remaining, vel), "13_contribution": people.contribution(t), "14_profiles": profile, "15_workload": people.workload(ex),
         "16_skill_timeline": people.skill_timeline(t), "17_hhi": people.concentration(people.skill_rows(ex), "member", "skill", "effort"), "18_hhi_weeks": people.week_concentration(t), "19_leaderboard": people.leaderboard(ex),
         "20_lorenz": inequality.lorenz(efforts, "member", "effort"), "summary": summary(t, ex, efforts, remaining),

@@ -10,6 +10,7 @@ from planloom.session import read
 TEXT = ("project", "task", "assigned_member", "task_leader", "assignees_list", "skills", "completion_status", "depends_on")
 NUMERIC = (
     "effort_score", "planned_effort", "actual_cost", "business_value", "time_criticality", "risk_reduction", "job_size", "reach", "impact", "confidence", "effort",
+    "opt_duration", "most_duration", "pess_duration",
 )
 
 

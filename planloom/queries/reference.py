@@ -414,6 +414,14 @@ def cpm_relaxed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def pert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The input's tasks by their three-point estimates where given, else by their effort."""
+    t = canonical(read(spark, sf_dir, "external_input")).select(F.col("task").alias("id"), F.col("row_id").alias("ordinal"), F.col("effort_score").alias("effort"), "opt_duration", "most_duration", "pess_duration", "depends_on")
+    deps = t.select("id", F.explode(text.dependencies(F.col("depends_on"))).alias("pred"))
+    return schedule.with_estimates(t, deps)[1]
+
+
+@query()
+def pert_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
     tasks, deps = _order_graph(spark, sf_dir)
     plan = schedule.critical_path(tasks, deps)
     t = tasks.withColumns({c: F.lit(None).cast("double") for c in ("o", "m", "p")})

@@ -1,6 +1,7 @@
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from planloom.operators import forecast, schedule
 from planloom.sinks import report
@@ -41,6 +42,24 @@ def test_pert_is_seeded(spark):
     assert a == pytest.approx(b) and 3 < a[0] and a[-1] < 12
 
 
+def test_pert_of_any_estimates(spark):
+    t = spark.createDataFrame([("a", 5.0, 2.0, 4.0), ("b", 1.0, 9.0, 4.0), ("c", None, 3.0, 4.0), ("d", 1.0, None, 1.0)], "id string, opt double, most double, pess double")
+    one = lambda i: [r.duration for r in schedule.pert_samples(t.where(f"id = '{i}'"), t.select("id", F.lit(True).alias("critical")), 50).collect()]
+    assert set(one("a")) == {2.0} and set(one("c")) == {3.0} and set(one("d")) == {1.0}
+    assert len(set(one("b"))) == 50 and 1 <= min(one("b")) < max(one("b")) <= 9
+
+
+def test_pert_in_analysis(spark):
+    from planloom.plans import pipeline
+
+    rows = [(0, "A", "", 1.0, 100.0, 120.0, 200.0), (1, "B", "A", 4.0, None, 2.0, 3.0)]
+    df = spark.createDataFrame(rows, "row_id long, task string, depends_on string, effort_score double, Opt_Duration double, Most_Duration double, Pess_Duration double")
+    results = pipeline.analyse(pipeline.from_canonical(df))
+    d = [r.duration for r in results["08_pert_duration"].collect()]
+    assert len(d) == 2000 and 103.2 <= min(d) < max(d) <= 205
+    assert {r.id: r.duration for r in results["07_cpm"].collect()} == {"A": 120.0, "B": 4.0}
+
+
 def test_forecasts(spark):
     vel = spark.createDataFrame([(w, 4.0) for w in range(6)], "week int, velocity double")
     rem = spark.createDataFrame([(12.0,)], "remaining_effort double")
