@@ -14,7 +14,8 @@ works on footers (files x fields), which are far fewer than lines. Windows run p
 over footers.
 
 Defined results
-- unreadable, blank and null lines, and JSON that is no object: not read; counted in the catalogue.
+- unreadable, blank and null lines, and JSON that is no object: not read and not counted anywhere.
+- names that resolve to no field, and readable lines with only such names: left out, without a report.
 - a file without readable lines has no fields. A tracker's first file has no changes.
 - two names for one field in a file: the one in more lines, then the smaller name.
 - a type is that of most non-null values (ties: the first of array, number, object, string); a file
