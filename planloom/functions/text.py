@@ -32,8 +32,8 @@ SKILL_TAGS: dict[str, tuple[str, ...]] = {
 
 
 def clean(c: Column) -> Column:
-    """Trimmed, white space collapsed; null is ''."""
-    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+    """Trimmed, white space of every kind (no-break spaces too) collapsed; null is ''."""
+    return F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"(?U)\s+", " "))
 
 
 def _any(s: Column, parts: tuple[str, ...]) -> Column:

@@ -96,11 +96,19 @@ def text_of(v: Column) -> Column:
 
 
 def number_of(t: Column) -> Column:
-    """The number in a text such as 'EUR 1 074,15', '138.32€' or '2.5 h'."""
-    s = F.regexp_extract(F.regexp_replace(t, r"(?<=\d)[\s  ](?=\d{3})", ""), r"-?\d+(?:[.,]\d+)*", 0)
-    last = F.regexp_extract(s, r"[.,](\d+)$", 1)
-    whole = F.regexp_replace(F.regexp_replace(s, r"[.,]\d+$", ""), r"[.,]", "")
-    return F.when(s == "", None).when(last == "", F.try_to_number(s, F.lit("S999999999999")).cast("double")).otherwise(F.concat_ws(".", whole, last).try_cast("double"))
+    """The number in a text such as 'EUR 1 074,15', '138.32€', '1.234.567' or '2.5e3 h'.
+
+    Of points and commas the last kind is the decimal sign, unless it occurs more than once: then,
+    and with the other kind, it groups digits. A single one is always the decimal sign."""
+    s = F.regexp_extract(F.regexp_replace(t, r"(?<=\d)[\s\u00a0\u202f'’](?=\d{3}(?!\d))", ""), r"[-+]?\d+(?:[.,]\d+)*(?:[eE][-+]?\d+)?", 0)
+    # goes: a sign with another one behind it, and one with its like before it (doubles end long before 400 digits)
+    plain = F.regexp_replace(s, r"[.,](?=.*[.,])|(?<=\.[\d,]{0,400})\.|(?<=,[\d.]{0,400}),", "")
+    return F.replace(plain, F.lit(","), F.lit(".")).try_cast("double")
+
+
+def amount_of(v: Column, kind: Column) -> Column:
+    """The number a value stands for: a JSON number as it is, anything else through its text."""
+    return F.when(kind == "number", F.try_variant_get(v, "$", "double")).otherwise(number_of(text_of(v)))
 
 
 def footers(lines: DataFrame) -> DataFrame:
@@ -203,6 +211,6 @@ def one_table(lines: DataFrame, foot: DataFrame, fields: DataFrame, max_fields:
     c = cells(lines).join(chosen, ["file_id", "name"]).withColumns({"t": text_of(F.col("v")), "j": F.to_json("v")})
     out = []
     for f, kind in kinds.items():
-        value = number_of(F.col("t")) if kind == "number" else F.col("j") if kind == "array" else F.col("t")
+        value = amount_of(F.col("v"), F.col("kind")) if kind == "number" else F.col("j") if kind == "array" else F.col("t")
         out.append(F.max(F.when((F.col("field") == f) & F.col("kind").isNotNull(), value)).alias(f))
     return c.groupBy("file_id", "line_no").agg(*out)

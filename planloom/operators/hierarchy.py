@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from planloom.session import cut
+from planloom.session import Scratch, cut, drop_cut
 
 _STRAY = r"[\s\p{Z}\"'“”„‘’`´«»\[\](){}<>,;|/\\.:&+*#-]"
 _SALT = 64
@@ -54,29 +54,33 @@ def _nodes(df: DataFrame, node: str, ref: str, order: str) -> DataFrame:
     return cut(told.unionByName(numbered.where(F.col("ref").isNull()).select("v", "name", F.lit(None).cast("long").alias("parent"))), "edges")
 
 
-def _sizes(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None, int]:
-    """(v, size) of all nodes; (v, up) of those that run into a circle, up being 2^k steps on."""
-    state = nodes.select("v", F.col("parent").alias("up"), F.lit(1).cast("long").alias("size"))
-    left = state.where(F.col("up").isNotNull()).count()
+def _sizes(nodes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | None]:
+    """(v, size) of all nodes; (v, up) of those that run into a circle, up being 2^k steps on.
+
+    Only nodes that still climb are carried on; what the others gain is written once a round and summed at the end."""
+    climbing = scratch.cut(nodes.where(F.col("parent").isNotNull()).select("v", F.col("parent").alias("up"), F.lit(1).cast("long").alias("size")), "climbing")
+    gains: list[DataFrame] = []
+    left = climbing.count()
     while left:
-        climbing = state.where(F.col("up").isNotNull())
-        gain = climbing.groupBy(F.col("up").alias("v")).agg(F.sum("size").alias("gain"))
-        further = climbing.select("v", "up").join(climbing.select(F.col("v").alias("up"), F.col("up").alias("up2")), "up").select("v", "up2")
-        state = cut(
-            state.join(gain, "v", "left").join(further, "v", "left").select("v", F.col("up2").alias("up"), (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size")), "sizes", state
-        )
-        now = state.where(F.col("up").isNotNull()).count()
+        gain = scratch.cut(climbing.groupBy(F.col("up").alias("v")).agg(F.sum("size").alias("gain")), "gain")
+        gains.append(gain)
+        further = climbing.join(climbing.select(F.col("v").alias("up"), F.col("up").alias("up2")), "up").select("v", F.col("up2").alias("up"), "size")
+        climbing = scratch.cut(further.join(gain, "v", "left").select("v", "up", (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size")), "climbing")
+        now = climbing.count()
         if now == left:
             break
         left = now
-    return state.select("v", "size"), (state.where(F.col("up").isNotNull()).select("v", "up") if left else None), left
+    whole = nodes.select("v", F.lit(1).cast("long").alias("gain"))
+    for g in gains:
+        whole = whole.unionByName(g)
+    return whole.groupBy("v").agg(F.sum("gain").alias("size")), (climbing.select("v", "up") if left else None)
 
 
-def _circles(nodes: DataFrame, caught: DataFrame) -> DataFrame:
+def _circles(nodes: DataFrame, caught: DataFrame, scratch: Scratch) -> DataFrame:
     """(v, root): for nodes on or into a circle the smallest name on it."""
     images = caught.select("up").distinct().count()
     while True:
-        on = cut(caught.join(caught.select(F.col("v").alias("up"), F.col("up").alias("up2")), "up").select("v", F.col("up2").alias("up")), "caught", caught)
+        on = scratch.cut(caught.join(caught.select(F.col("v").alias("up"), F.col("up").alias("up2")), "up").select("v", F.col("up2").alias("up")), "caught")
         now = on.select("up").distinct().count()
         caught = on
         if now == images:
@@ -85,25 +89,28 @@ def _circles(nodes: DataFrame, caught: DataFrame) -> DataFrame:
     ring = caught.select(F.col("up").alias("v")).distinct().join(nodes, "v").select("v", F.col("parent").alias("next"), F.col("name").alias("least"))
     while True:
         ahead = ring.select(F.col("v").alias("next"), F.col("next").alias("next2"), F.col("least").alias("least2"))
-        moved = cut(ring.join(ahead, "next").select("v", F.col("next2").alias("next"), F.least("least", "least2").alias("least"), (F.col("least2") < F.col("least")).alias("fell")), "ring")
+        moved = scratch.cut(ring.join(ahead, "next").select("v", F.col("next2").alias("next"), F.least("least", "least2").alias("least"), (F.col("least2") < F.col("least")).alias("fell")), "ring")
         ring = moved.drop("fell")
         if moved.where("fell").isEmpty():
             break
     return caught.join(ring.select(F.col("v").alias("up"), F.col("least").alias("root")), "up").select("v", "root")
 
 
-def _chains(forest: DataFrame) -> DataFrame:
-    """(v, head, pos): each node's chain, named by its first node, and its place on it from 0."""
-    heavy = forest.where(F.col("parent").isNotNull()).groupBy("parent").agg(F.min_by("v", F.struct((-F.col("size")).alias("s"), "name")).alias("v")).select("v", F.lit(True).alias("heavy"))
-    start = forest.join(heavy, "v", "left").select(
-        "v", F.when(F.col("heavy"), F.col("parent")).otherwise(F.col("v")).alias("head"), F.when(F.col("heavy"), 1).otherwise(0).cast("long").alias("pos"), F.coalesce(~F.col("heavy"), F.lit(True)).alias("done")
-    )
-    state = cut(start, "chain")
-    while not state.where(~F.col("done")).isEmpty():
-        above = state.select(F.col("v").alias("head"), F.col("head").alias("head2"), F.col("pos").alias("pos2"), F.col("done").alias("done2"))
-        moved = state.where(~F.col("done")).join(above, "head").select("v", F.col("head2").alias("head"), (F.col("pos") + F.col("pos2")).alias("pos"), F.col("done2").alias("done"))
-        state = cut(state.where("done").unionByName(moved), "chain", state)
-    return state.drop("done")
+def _chains(forest: DataFrame, scratch: Scratch) -> DataFrame:
+    """(v, head, pos): each node's chain, named by its first node, and its place on it from 0.
+
+    Pointers double along the chains; a node whose pointer has reached a head is written once, later rounds only look it up."""
+    heavy = forest.where(F.col("parent").isNotNull()).groupBy("parent").agg(F.min_by("v", F.struct((-F.col("size")).alias("s"), "name")).alias("v"))
+    waiting = scratch.cut(heavy.select("v", F.col("parent").alias("head"), F.lit(1).cast("long").alias("pos")), "chain")
+    heads = forest.join(waiting.select("v"), "v", "left_anti").select("v", F.col("v").alias("head"), F.lit(0).cast("long").alias("pos"))
+    done = scratch.cut(heads, "chain")
+    while not waiting.isEmpty():
+        known = done.withColumn("fixed", F.lit(True)).unionByName(waiting.withColumn("fixed", F.lit(False)))
+        above = known.select(F.col("v").alias("head"), F.col("head").alias("head2"), F.col("pos").alias("pos2"), "fixed")
+        moved = scratch.cut(waiting.join(above, "head").select("v", F.col("head2").alias("head"), (F.col("pos") + F.col("pos2")).alias("pos"), "fixed"), "chain")
+        done = done.unionByName(moved.where("fixed").drop("fixed"))
+        waiting = moved.where("not fixed").drop("fixed")
+    return done
 
 
 def _offsets(starts: DataFrame) -> DataFrame:
@@ -121,16 +128,17 @@ def hierarchy(df: DataFrame, node: str, ref: str, order: str, paths: bool = True
     first). `first` is the node's number in depth-first order within its tree, n_descendants how many
     numbers follow that belong to it."""
     nodes = _nodes(df, node, ref, order)
-    sizes, caught, n_caught = _sizes(nodes)
-    circles = None
-    if n_caught:
-        circles = cut(_circles(nodes, caught), "circles")
+    scratch = Scratch()
+    sizes, caught = _sizes(nodes, scratch)
+    circles = None if caught is None else cut(_circles(nodes, caught, scratch), "circles")
     forest = nodes.join(sizes, "v")
     if circles is not None:
         forest = forest.join(circles.select("v"), "v", "left_anti")
     forest = cut(forest, "forest")
-    chain = _chains(forest)
-    labelled = cut(forest.join(chain, "v"), "labelled")  # v, name, parent, size, head, pos
+    scratch.clear()
+    labelled = cut(forest.join(_chains(forest, scratch), "v"), "labelled")  # v, name, parent, size, head, pos
+    scratch.clear()
+    drop_cut(forest)
     starts = labelled.where("pos = 0").select("head", "name", "parent", "size")
     members = None
     if paths:
@@ -154,6 +162,7 @@ def hierarchy(df: DataFrame, node: str, ref: str, order: str, paths: bool = True
         else:
             level = cut(following.select("head", *fields), "level")
         done = done.unionByName(level)
+    drop_cut(waiting)
     names = nodes.select(F.col("v").alias("parent"), F.col("name").alias("parent_name"))
     tree = labelled.join(done, "head").select(
         "name", "root", (F.col("depth0") + F.col("pos")).cast("int").alias("depth"), "parent", (F.col("first0") + F.col("pos")).alias("first"), (F.col("size") - 1).alias("n_descendants"),
@@ -166,3 +175,17 @@ def hierarchy(df: DataFrame, node: str, ref: str, order: str, paths: bool = True
         tree = tree.unionByName(lost)
     with_parent = tree.where(F.col("parent").isNotNull()).join(names, "parent").drop("parent")
     return with_parent.unionByName(tree.where(F.col("parent").isNull()).withColumn("parent_name", F.lit(None).cast("string")).drop("parent"))
+
+
+def descendants(tree: DataFrame, block: int = 4096) -> DataFrame:
+    """(name, descendant, distance) of every node and each of its descendants, from the intervals of hierarchy().
+
+    A node's interval is cut into blocks of numbers before it is unfolded, so no row holds a tree; a
+    number meets exactly one node of its tree, so the join's work is the result's size."""
+    n = F.col("n_descendants")
+    wide = tree.where(n > 0).select("root", "name", F.col("depth").alias("top"), "first", n, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((n - 1) / block))).alias("b"))
+    wide = wide.repartition("root", "first", "b")
+    low = F.col("b") * block + 1
+    asked = wide.select("root", "name", "top", F.explode(F.sequence(F.col("first") + low, F.col("first") + F.least(low + block - 1, n))).alias("first"))
+    below = tree.where(F.col("depth") >= 0).select("root", "first", F.col("name").alias("descendant"), "depth")
+    return asked.join(below, ["root", "first"]).select("name", "descendant", (F.col("depth") - F.col("top")).alias("distance"))

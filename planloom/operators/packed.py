@@ -39,18 +39,24 @@ _LEX = re.compile(
     rf"|(?P<text>[^\\\"'“”{_D}\s]+|\s)",
     re.DOTALL,
 )
-_NUMBER = re.compile(r"(?:^|(?<=[\s;,|/]))(?:\(\d{1,4}\)|\d{1,4}[.)])(?=\s)\s*")
-_FIRST_NUMBER = re.compile(r"\s*(?:\(\d{1,4}\)|\d{1,4}[.)])\s")
+_NUMBER = re.compile(r"(?:^|(?<=[\s;,|/]))(?:\(\d+\)|\d+[.)])(?=\s)\s*")
+_FIRST_NUMBER = re.compile(r"\s*(?:\(\d+\)|\d+[.)])\s")
 _SPECIAL = re.compile(rf"[\\\"“”{_D}\[\]{{}}()\d]|\s(?:{_WORDS})\s")
 _JSON_ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
 
 
-def _container(s: str) -> tuple[str, bool]:
-    """The inside of an enclosing bracket pair, and whether there was one."""
-    if s[0] in "[{":
-        end = _CLOSE[_OPEN.index(s[0])]
-        return (s[1:-1] if s[-1] == end else s[1:]), True
-    return s, False
+def _unboxed(s: str) -> tuple[str, bool]:
+    """The inside of all enclosing bracket pairs (of the outermost the closing one may lack), and whether there was one."""
+    a, b, boxed = 0, len(s), False
+    while a < b and s[a] in "[{" and (not boxed or s[b - 1] in "]}"):
+        if s[b - 1] == _CLOSE[_OPEN.index(s[a])]:
+            b -= 1
+        a, boxed = a + 1, True
+        while a < b and s[a].isspace():
+            a += 1
+        while a < b and s[b - 1].isspace():
+            b -= 1
+    return s[a:b], boxed
 
 
 def tokenize(field: str | None) -> list[str]:
@@ -62,11 +68,7 @@ def tokenize(field: str | None) -> list[str]:
         return []
     if not _SPECIAL.search(s):
         return [s]
-    s, boxed = _container(s)
-    boxes = 1
-    while boxed and boxes < 8 and s.strip()[:1] in ("[", "{") and s.strip()[-1:] in ("]", "}"):
-        s, _ = _container(s.strip())
-        boxes += 1
+    s, boxed = _unboxed(s)
     numbered = not boxed and _FIRST_NUMBER.match(s) is not None
     if numbered:
         s = _NUMBER.sub("\x00", s)
@@ -77,6 +79,7 @@ def tokenize(field: str | None) -> list[str]:
     closed = False  # the value's quotes have closed; only blanks may follow
     depth = 0
     started = False
+    last_close = None  # the last place where a single quote can close
 
     def flush() -> None:
         nonlocal buf, closed, started
@@ -120,7 +123,9 @@ def tokenize(field: str | None) -> list[str]:
                     quote, closed = "", True
                 else:
                     buf.append(c)
-            elif not started and (c != "'" or boxed or _closes_later(s, pos, c)):
+            elif not started and (c != "'" or boxed):
+                quote, started = c, True
+            elif not started and pos <= (last_close := _last_close(s, c) if last_close is None else last_close):
                 quote, started = c, True
             else:
                 buf.append(c)
@@ -164,13 +169,12 @@ def _ends(s: str, pos: int) -> bool:
     return _AFTER_QUOTE.match(s, pos) is not None
 
 
-def _closes_later(s: str, pos: int, c: str) -> bool:
-    i = s.find(c, pos)
-    while i >= 0:
-        if _ends(s, i + 1):
-            return True
-        i = s.find(c, i + 1)
-    return False
+def _last_close(s: str, c: str) -> int:
+    """The last place at which the quote c can be a closing one; -1 for none."""
+    i = s.rfind(c)
+    while i >= 0 and not _ends(s, i + 1):
+        i = s.rfind(c, 0, i)
+    return i
 
 
 def explode_packed(df: DataFrame, column: str, keep: list[str], pos: str = "pos", item: str = "item") -> DataFrame:

@@ -65,9 +65,8 @@ def p5_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p5_descendants(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every pair of a task and one of its descendants, with their distance."""
-    tree = hierarchy.hierarchy(read(spark, sf_dir, "external_input"), "task", "depends_on", "row_id")
-    pairs = tree.select(F.col("name").alias("descendant"), "depth", F.posexplode("path").alias("at", "task"))
-    return pairs.where(F.col("at") < F.col("depth")).select("task", "descendant", (F.col("depth") - F.col("at")).alias("distance"))
+    tree = hierarchy.hierarchy(read(spark, sf_dir, "external_input"), "task", "depends_on", "row_id", paths=False)
+    return hierarchy.descendants(tree).withColumnRenamed("name", "task")
 
 
 QUERIES = {

@@ -75,6 +75,23 @@ def drop_cut(df: DataFrame) -> None:
         df._cut_path = None
 
 
+class Scratch:
+    """Tables of one computation: those that its result no longer reads are deleted by clear()."""
+
+    def __init__(self) -> None:
+        self.tables: list[DataFrame] = []
+
+    def cut(self, df: DataFrame, name: str = "t") -> DataFrame:
+        t = cut(df, name)
+        self.tables.append(t)
+        return t
+
+    def clear(self) -> None:
+        for t in self.tables:
+            drop_cut(t)
+        self.tables = []
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over as many partitions as the session has cores, where its scan has fewer; large inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

@@ -1,6 +1,6 @@
 import random
 
-from planloom.operators.hierarchy import hierarchy
+from planloom.operators.hierarchy import descendants, hierarchy
 
 
 def tree(spark, rows, paths=True):
@@ -47,3 +47,20 @@ def test_star_and_empty(spark):
     got = tree(spark, [("r", None), *[(f"k{i}", "r") for i in range(300)]], paths=False)
     assert got["r"].n_descendants == 300 and sorted(r.first for r in got.values()) == list(range(301))
     assert tree(spark, []) == {}
+
+
+def test_descendants(spark):
+    """Chains, stars and a circle; blocks of any size give the same pairs."""
+    rows = [("r", None), *[(f"k{i}", "r") for i in range(9)], *[(f"l{i}", f"l{i - 1}" if i else "k3") for i in range(12)], ("x", "y"), ("y", "x")]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "row_id long, task string, up string")
+    up = dict(rows)
+    want = set()
+    for t in up:
+        x, d = up[t], 1
+        while x is not None and t not in ("x", "y"):
+            want.add((x, t, d))
+            x, d = up[x], d + 1
+    t = hierarchy(df, "task", "up", "row_id", paths=False)
+    for block in (1, 5, 4096):
+        got = [tuple(r) for r in descendants(t, block).collect()]
+        assert len(got) == len(set(got)) and set(got) == want

@@ -18,6 +18,7 @@ CASES = [
     ("1. A B 2. C D", ["A B", "C D"]), ("(1) A\n(2) B", ["A", "B"]), ("1) A; 2) A", ["A", "A"]),
     ("A、B；C", ["A", "B", "C"]), ("A and B and C", ["A", "B", "C"]), ('"A and Sons", B', ["A and Sons", "B"]),
     (",A,,", ["A"]), ('"never closed, B', ["never closed, B"]), ('["A", "B"', ["A", "B"]), ("D'Arcy, O'Neil", ["D'Arcy", "O'Neil"]),
+    ("[" * 10 + "a, b" + "]" * 10, ["a", "b"]), ("12345. Ann Lee; 12346. Bo Ng", ["Ann Lee", "Bo Ng"]), ("[[", ["["]),
     ("\ud83d", ["\ud83d"]),
 ]
 
@@ -52,6 +53,12 @@ def test_long_field():
     assert len(tokenize(";".join(["Ann Bo"] * 50_000))) == 50_000
 
 
+def test_time_is_linear():
+    """Quotes that never close, and brackets nested 100 000 deep."""
+    assert len(tokenize(",'a" * 40_000)) == 40_000
+    assert tokenize("[" * 100_000 + "a" + "]" * 100_000) == ["a"]
+
+
 def test_rows(spark):
     df = spark.createDataFrame([(1, "A;B", "x"), (2, None, "x"), (3, "", "x"), (1, "A;B", "x")], "row_id long, people string, item string")
     got = sorted(tuple(r) for r in explode_packed(df, "people", ["row_id"]).collect())
