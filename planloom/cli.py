@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import sys
 
 from planloom.plans import ingest, pipeline
 from planloom.session import get_session
@@ -28,6 +29,8 @@ def main(argv: list[str] | None = None) -> int:
     ing.add_argument("--sheet")
     ing.add_argument("--staging", required=True)
     ing.add_argument("--out", required=True)
+    for c in (run, ing):
+        c.add_argument("--form", choices=("mixed", "tables", "csv"), default="mixed", help="results of a row for each task or member as tables and the rest as files, all as tables, or all as files")
     a = p.parse_args(argv)
     spark = get_session()
     if a.what == "run":
@@ -38,8 +41,10 @@ def main(argv: list[str] | None = None) -> int:
     names = {c.lower() for c in df.columns}
     if not {"completion_status", "effort_score"} & names:
         df = pipeline.from_legacy(df if LEGACY <= names and "planned_effort" in names else trackers.map_schema(df))
-    pipeline.write(pipeline.analyse(pipeline.from_canonical(df)), a.out)
-    return 0
+    failed = pipeline.write(pipeline.analyse(pipeline.from_canonical(df)), a.out, {"mixed": None, "tables": True, "csv": False}[a.form])
+    for f in failed:
+        print("failed:", f, file=sys.stderr)
+    return 1 if failed else 0
 
 
 if __name__ == "__main__":

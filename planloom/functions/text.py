@@ -13,6 +13,8 @@ DONE_WORDS = ("x", "✓", "đã", "ok", "done", "hoàn thành", "true", "1", "ye
 NOT_STARTED_WORDS = ("", "0", "none", "nan", "pending", "todo", "to do", "not started", "chưa", "chua", "false", "no")
 PROGRESS_PARTS = ("doing", "in progress", "progress", "đang làm", "dang lam", "wip", "processing")
 DONE_PARTS = ("done", "hoàn thành", "hoan thanh", "completed", "complete", "finished", "xong", "100%", "ok", "check", "✓")
+WEEKDAYS = ("mon", "tue", "wed", "thu", "fri", "sat", "sun", "monday", "tuesday", "wednesday", "thursday", "friday", "saturday", "sunday")
+DONE_PHRASES = ("done", "hoàn thành", "hoan thanh", "completed", "xong", "100%")
 LEGACY_STATUS = {
     "Not Started": ("todo", "to do", "backlog", "open", "new", "planned", "pending", "not started", "ns"),
     "In Progress": ("doing", "in progress", "ip", "working", "wip", "progress"),
@@ -49,12 +51,12 @@ def to_number(c: Column) -> Column:
 def is_tasky(c: Column) -> Column:
     """A task text: has a letter, is no number and no weekday."""
     s = clean(c)
-    return s.rlike("[A-Za-zÀ-ỹ]") & ~s.rlike(r"(?i)^(mon|tue|wed|thu|fri|sat|sun|monday|tuesday|wednesday|thursday|friday|saturday|sunday)$")
+    return s.rlike("[A-Za-zÀ-ỹ]") & ~F.lower(s).isin(*WEEKDAYS)
 
 
 def detect_done(c: Column) -> Column:
     s = F.lower(F.trim(F.coalesce(c, F.lit(""))))
-    return s.isin(*DONE_WORDS) | _any(s, ("done", "hoàn thành", "hoan thanh", "completed", "xong", "100%"))
+    return s.isin(*DONE_WORDS) | _any(s, DONE_PHRASES)
 
 
 def status_value(c: Column) -> Column:
@@ -167,40 +169,59 @@ SKILL_PATTERNS: dict[str, tuple[str, ...]] = {
 }
 
 
+# Words that lift a label beside another one, and by how much.
+SKILL_TRIGGERS: dict[str, tuple[tuple[str, ...], float]] = {
+    "serves": (("api", "service", "backend"), 0.5),
+    "ships": (("deploy", "docker", "k8s", "triển khai", "trien khai"), 0.5),
+    "trial": (("ab test", "ab-test", "experiment", "thí nghiệm", "thi nghiem"), 0.5),
+    "guards": (("bảo mật", "bao mat", "security", "auth", "jwt", "sso"), 0.75),
+}
+
+
 def task_skills(c: Column) -> Column:
     """infer_skills with the default patterns and bonuses for labels that go together."""
     t = F.lower(clean(c))
-    hit = lambda label: reduce(lambda a, b: a | b, [t.rlike("(?iu)" + p) for p in SKILL_PATTERNS[label]])
-    front, back = hit("Frontend"), hit("Backend")
-    serves = front & _any(t, ("api", "service", "backend"))
-    trial = _any(t, ("ab test", "ab-test", "experiment", "thí nghiệm", "thi nghiem"))
-    bonuses = [
-        (serves, "Backend", 0.5), ((back | serves) & _any(t, ("deploy", "docker", "k8s", "triển khai", "trien khai")), "DevOps", 0.5), (trial, "Data/AI", 0.5), (trial, "Product/PM", 0.5),
-        (_any(t, ("bảo mật", "bao mat", "security", "auth", "jwt", "sso")), "Security", 0.75),
-    ]
-    return infer_skills(c, SKILL_PATTERNS, bonuses)
+    label_hit = lambda label: reduce(lambda a, b: a | b, [t.rlike("(?iu)" + p) for p in SKILL_PATTERNS[label]])
+    named = {k: _any(t, words) for k, (words, _) in SKILL_TRIGGERS.items()}
+    plus = {k: w for k, (_, w) in SKILL_TRIGGERS.items()}
+    served = label_hit("Frontend") & named["serves"]
+    return infer_skills(c, SKILL_PATTERNS, [
+        (served, "Backend", plus["serves"]), ((label_hit("Backend") | served) & named["ships"], "DevOps", plus["ships"]), (named["trial"], "Data/AI", plus["trial"]),
+        (named["trial"], "Product/PM", plus["trial"]), (named["guards"], "Security", plus["guards"]),
+    ])
+
+
+RANGE = 1 << 16  # row numbers in one range of a global fill
 
 
 def week_numbers(df: DataFrame, week: str, order: str) -> DataFrame:
     """df with week_no >= 1: weeks filled forward in row order; a column without any positive number gives 1..n.
 
-    The order of rows is global, so gaps are filled in two steps: within ranges of rows, then across
-    the ranges' last values, which are as few as the ranges."""
+    The order of rows is global, so gaps are filled in two steps: within ranges of RANGE row numbers,
+    then across the ranges' last values, one row a range; a task never holds more than a range."""
     n = to_number(F.col(week).cast("string"))
     d = df.withColumn("__w", n)
-    flags = d.agg(F.max("__w").alias("__most"), F.min(order).alias("__lo"), F.max(order).alias("__hi"))
-    size = F.greatest(F.floor((F.col("__hi") - F.col("__lo") + 1) / 512), F.lit(1))
-    d = d.join(F.broadcast(flags)).withColumn("__part", F.floor((F.col(order) - F.col("__lo")) / size))
+    flags = d.agg(F.max("__w").alias("__most"))
+    d = d.join(F.broadcast(flags)).withColumn("__part", F.floor(F.col(order) / RANGE))
     inner = W.partitionBy("__part").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
     ends = d.groupBy("__part").agg(F.max_by("__w", F.when(F.col("__w").isNotNull(), F.col(order))).alias("__last"), F.count(F.lit(1)).alias("__k"))
     run = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
     ends = ends.select("__part", F.last("__last", ignorenulls=True).over(run).alias("__before"), F.coalesce(F.sum("__k").over(run), F.lit(0)).alias("__base"))
-    j = d.withColumns({"__own": F.last("__w", ignorenulls=True).over(inner), "__rn": F.count(F.lit(1)).over(inner)}).join(F.broadcast(ends), "__part")
+    j = d.withColumns({"__own": F.last("__w", ignorenulls=True).over(inner), "__rn": F.count(F.lit(1)).over(inner)}).join(ends, "__part")
     filled = F.greatest(F.coalesce("__own", "__before", F.lit(1.0)).cast("int"), F.lit(1))
     no = F.when(F.coalesce(F.col("__most"), F.lit(0.0)) > 0, filled).otherwise((F.col("__base") + F.col("__rn")).cast("int"))
     return j.withColumn("week_no", no).select(*df.columns, "week_no")
 
 
+def fill_forward(df: DataFrame, column: str, order: str) -> DataFrame:
+    """column with gaps filled by the last value before, in row order; first within ranges, then over the ranges' last values."""
+    d = df.withColumn("__part", F.floor(F.col(order) / RANGE))
+    ends = d.groupBy("__part").agg(F.max_by(column, F.when(F.col(column).isNotNull(), F.col(order))).alias("__last"))
+    ends = ends.select("__part", F.last("__last", ignorenulls=True).over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)).alias("__before"))
+    inner = F.last(column, ignorenulls=True).over(W.partitionBy("__part").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
+    return d.withColumn("__own", inner).join(ends, "__part").withColumn(column, F.coalesce("__own", "__before")).select(*df.columns)
+
+
 def first_seen_rank(df: DataFrame, value: str, order: str) -> DataFrame:
     """(value, rank): distinct values numbered by their first row."""
     first = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.min(order).alias("first_row"))

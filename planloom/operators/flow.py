@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import WindowSpec
 from pyspark.sql import functions as F
 
+from planloom.session import cut
 
 def _week() -> WindowSpec:
     return W.orderBy("week")
@@ -36,6 +37,15 @@ def weekly(tasks: DataFrame) -> DataFrame:
     return tasks.where(F.col("week").isNotNull()).groupBy("week").agg(F.sum(e).alias("scope"), F.sum(F.when(is_done(F.col("status")), e).otherwise(0.0)).alias("completed"))
 
 
+def pace(tasks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(remaining_effort, velocity) of one pass over the tasks: both come from a written table of weekly sums."""
+    open_effort = F.sum(F.when(~is_done(F.col("status")), F.col("effort"))).alias("open")
+    e = F.coalesce(F.col("effort"), F.lit(1.0))
+    by = cut(tasks.groupBy("week").agg(F.sum(F.when(is_done(F.col("status")), e).otherwise(0.0)).alias("completed"), open_effort), "weeks")
+    line = by.where(F.col("week").isNotNull()).select("week", F.sum("completed").over(_run()).alias("completed_cumulative"))
+    return by.agg(F.coalesce(F.sum("open"), F.lit(0.0)).alias("remaining_effort")), _steps(line)
+
+
 def burnup(tasks: DataFrame) -> DataFrame:
     return weekly(tasks).select("week", F.sum("scope").over(_run()).alias("scope_cumulative"), F.sum("completed").over(_run()).alias("completed_cumulative"))
 
@@ -75,9 +85,12 @@ def burnup_filled(tasks: DataFrame) -> DataFrame:
 
 def velocity(tasks: DataFrame) -> DataFrame:
     """First differences of the completed line, not below 0; the first week is itself."""
-    b = burnup(tasks)
+    return _steps(burnup(tasks))
+
+
+def _steps(line: DataFrame) -> DataFrame:
     before = F.lag("completed_cumulative").over(_week())
-    return b.select("week", F.greatest(F.coalesce(F.col("completed_cumulative") - before, F.col("completed_cumulative")), F.lit(0.0)).alias("velocity"))
+    return line.select("week", F.greatest(F.coalesce(F.col("completed_cumulative") - before, F.col("completed_cumulative")), F.lit(0.0)).alias("velocity"))
 
 
 def remaining_effort(tasks: DataFrame) -> DataFrame:
@@ -150,7 +163,8 @@ def cusum(vel: DataFrame) -> DataFrame:
 
 
 def risk(evm: DataFrame, tasks: DataFrame, shares: DataFrame) -> DataFrame:
-    """One row (spi_last, spi_trend, overdue_rate, creep, gini, score): 100 times the logistic of a weighted sum.
+    """One row (spi_last, spi_trend, overdue_rate, creep, gini, score, level): 100 times the logistic of a weighted sum.
+    Without any week the score is 50.
 
     evm has week and spi, shares has contribution_pct; all but the shares' ranks are one-row aggregates."""
     from planloom.operators.inequality import gini
@@ -164,4 +178,30 @@ def risk(evm: DataFrame, tasks: DataFrame, shares: DataFrame) -> DataFrame:
     one = last.join(F.broadcast(creep)).join(F.broadcast(late)).join(F.broadcast(gini(shares, "contribution_pct")))
     one = one.select("spi_last", F.when(F.col("n") >= 4, F.col("trend")).otherwise(0.0).alias("spi_trend"), "overdue_rate", ((F.col("recent") - F.col("prev")) / F.greatest("prev", F.lit(1e-6))).alias("creep"), "gini")
     z = -1.5 * (1 - F.col("spi_last")) - F.col("overdue_rate") - 0.5 * F.greatest("creep", F.lit(0.0)) - 0.3 * F.col("gini") + 0.8 * F.col("spi_trend")
-    return one.withColumn("score", 100 / (1 + F.exp(-z)))
+    return one.withColumn("score", F.coalesce(100 / (1 + F.exp(-z)), F.lit(50.0))).withColumn("level", risk_level(F.col("score")))
+
+
+def risk_level(score: Column) -> Column:
+    """Low from 70, Medium from 40, else High: a high score is a good one."""
+    return F.when(score >= 70, "Low").when(score >= 40, "Medium").otherwise("High")
+
+
+def kpis(tasks: DataFrame, weekly: DataFrame, eta: DataFrame) -> DataFrame:
+    """One row of headline figures. tasks has project, member, effort, status; weekly has week, spi, cpi,
+    velocity (infinite, missing and NaN values leave the means alone; without a value a mean is 0, without
+    weeks spi and cpi are 1 and velocity 0); eta has p10, p50, p90."""
+    cols = {"spi": 1.0, "cpi": 1.0, "velocity": 0.0}
+    number = lambda c: F.when(~F.isnan(c) & (F.abs(c) < float("inf")), F.col(c))
+    one = tasks.agg(
+        F.count_distinct(F.nullif("project", F.lit(""))).alias("projects"), F.count_distinct(F.nullif("member", F.lit(""))).alias("members"), F.coalesce(F.sum("effort"), F.lit(0.0)).alias("effort_total"),
+        F.coalesce(F.sum(F.when(~is_done(F.col("status")), F.col("effort"))), F.lit(0.0)).alias("effort_remaining"),
+    )
+    last = F.max_by(F.struct(*cols), "week")
+    w = weekly.agg(F.count(F.lit(1)).alias("n"), *[F.avg(number(c)).alias(f"{c}_mean") for c in cols], last.alias("last"))
+    none = F.col("n") == 0
+    w = w.select(*[F.coalesce(F.col(f"{c}_mean"), F.when(none, d).otherwise(0.0)).alias(f"{c}_mean") for c, d in cols.items()], *[F.when(none, d).otherwise(F.col(f"last.{c}")).alias(f"{c}_last") for c, d in cols.items()])
+    e = eta.select(*[F.coalesce(p, F.lit(0.0)).alias(f"eta_{p}") for p in ("p10", "p50", "p90")])
+    # every side is one row
+    j = one.join(F.broadcast(w)).join(F.broadcast(e))
+    score = 50 - F.when(F.col("spi_last") < 0.9, 15).otherwise(0) - F.when(F.col("velocity_mean") < F.greatest(F.lit(1.0), 0.1 * F.col("effort_total")), 10).otherwise(0) - F.when(F.col("effort_remaining") > 0.5 * F.col("effort_total"), 10).otherwise(0)
+    return j.withColumn("risk_score", score.cast("int")).withColumn("risk_level", risk_level(score))

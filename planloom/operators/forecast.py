@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from planloom.operators.ranks import exact_quantiles
+from planloom.session import cut, drop_cut
+
 
 def uniform(key: Column) -> Column:
     """A uniform number in (0, 1) from the md5 of a text; the same in every engine and partitioning."""
@@ -63,18 +68,34 @@ def holt(values: list[float], horizon: int = 16) -> list[float]:
     if len(x) < 3:
         return [float(x.mean()) if len(x) else 0.0] * horizon
     best = (np.inf, 0.0, 0.0)
-    for a in np.linspace(0.05, 0.95, 19):
-        for b in np.linspace(0.0, 0.95, 20):
+    for a in range(5, 100, 5):
+        for b in range(0, 100, 5):
             level, trend, err = x[0], x[1] - x[0], 0.0
             for v in x[1:]:
                 e = v - (level + trend)
                 err += e * e
-                level, trend = level + trend + a * e, trend + a * b * e
+                level, trend = level + trend + a / 100 * e, trend + a / 100 * (b / 100) * e
             if err < best[0]:
                 best = (err, level, trend)
     return [max(0.0, float(best[1] + best[2] * h)) for h in range(1, horizon + 1)]
 
 
+def velocity_forecast(velocity: DataFrame, horizon: int = 16) -> DataFrame:
+    """(step, mean, eta_p50) for each step ahead: the series with its trend carried on (never below 0), and
+    the weeks one unit of effort takes at the median of the last 8 velocities. Fewer than three
+    velocities: their mean, eta_p50 0. The series is one row: it is as long as there are weeks."""
+    one = velocity.agg(F.array_sort(F.collect_list(F.struct("week", "velocity"))).alias("s")).select(F.transform("s", lambda x: x["velocity"].cast("double")).alias("v"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for v in b["v"]:
+                good = [float(x) for x in v if x is not None and np.isfinite(x) and x >= 0]
+                eta = 1.0 / (float(np.median(good[-8:])) + 1e-9) if len(good) >= 3 else 0.0
+                yield pd.DataFrame({"step": np.arange(1, horizon + 1), "mean": holt(good, horizon), "eta_p50": eta})
+
+    return one.mapInPandas(run, "step long, mean double, eta_p50 double")
+
+
 def _tree(x: np.ndarray, rng: np.random.Generator, depth: int, limit: int):  # noqa: ANN202
     if depth >= limit or len(x) <= 1 or x.max() == x.min():
         return len(x)
@@ -112,9 +133,9 @@ def anomalies(df: DataFrame, value: str, order: list[str], share: float = 0.1, t
         mean = np.mean([_depths(t, a) for t in forest], axis=0) if forest else np.zeros(len(a))
         return pd.Series(2.0 ** (-mean / max(_expected(n), 1e-9)))
 
-    scored = df.withColumn("score", score(x))
-    edge = scored.agg(F.percentile("score", 1 - share).alias("__edge"))
-    return scored.join(F.broadcast(edge)).withColumn("anomaly", (F.col("score") > F.col("__edge")).cast("int")).drop("__edge")
+    scored = cut(df.withColumn("score", score(x)), "scored")
+    edge = exact_quantiles(scored, "score", [1 - share])[0]
+    return scored.withColumn("anomaly", (F.col("score") > F.lit(edge)).cast("int"))
 
 
 def _cut_at(t: Column, k: int):  # noqa: ANN202
@@ -138,10 +159,17 @@ def effort_model(df: DataFrame, text: str, actual: str, features: int = 1 << 10,
     tf = HashingTF(numFeatures=features, inputCol="__grams", outputCol="__tf")
     idf = IDF(inputCol="__tf", outputCol="__x", minDocFreq=2).fit(tf.transform(train.where(~held)))
     model = GBTRegressor(featuresCol="__x", labelCol=actual, predictionCol="effort_p50", lossType="absolute", maxIter=trees, maxDepth=3, seed=seed).fit(idf.transform(tf.transform(train.where(~held))))
-    q = model.transform(idf.transform(tf.transform(train.where(held)))).agg(F.percentile(F.col(actual) - F.col("effort_p50"), F.array(F.lit(0.1), F.lit(0.9))).alias("__q"))
-    out = model.transform(idf.transform(tf.transform(rows))).join(F.broadcast(q))
-    low = F.greatest(F.col("effort_p50") + F.coalesce(F.col("__q")[0], F.lit(0.0)), F.lit(0.0))
-    return out.withColumns({"effort_p10": F.least(low, "effort_p50"), "effort_p90": F.greatest(F.col("effort_p50") + F.coalesce(F.col("__q")[1], F.lit(0.0)), "effort_p50")}).select(*df.columns, "effort_p10", "effort_p50", "effort_p90")
+    apart = cut(model.transform(idf.transform(tf.transform(train.where(held)))).select((F.col(actual) - F.col("effort_p50")).alias("r")), "residuals")
+    q = [x or 0.0 for x in exact_quantiles(apart, "r", [0.1, 0.9])]
+    drop_cut(apart)
+    out = model.transform(idf.transform(tf.transform(rows)))
+    low = F.greatest(F.col("effort_p50") + q[0], F.lit(0.0))
+    return out.withColumns({"effort_p10": F.least(low, "effort_p50"), "effort_p90": F.greatest(F.col("effort_p50") + q[1], "effort_p50")}).select(*df.columns, "effort_p10", "effort_p50", "effort_p90")
+
+
+def attach_effort(df: DataFrame, text: str, actual: str) -> DataFrame:
+    """effort_model's columns and effort_score: the actual effort where it is positive, else the model's median."""
+    return effort_model(df, text, actual).withColumn("effort_score", F.when(F.col(actual) > 0, F.col(actual)).otherwise(F.col("effort_p50")))
 
 
 def histogram(weeks: DataFrame) -> DataFrame:

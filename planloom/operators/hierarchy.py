@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from planloom.session import Scratch, cut, drop_cut
+from planloom.session import Rounds, Scratch, cut, drop_cut
 
 _STRAY = r"[\s\p{Z}\"'“”„‘’`´«»\[\](){}<>,;|/\\.:&+*#-]"
 _SALT = 64
@@ -59,21 +59,18 @@ def _sizes(nodes: DataFrame, scratch: Scratch) -> tuple[DataFrame, DataFrame | N
 
     Only nodes that still climb are carried on; what the others gain is written once a round and summed at the end."""
     climbing = scratch.cut(nodes.where(F.col("parent").isNotNull()).select("v", F.col("parent").alias("up"), F.lit(1).cast("long").alias("size")), "climbing")
-    gains: list[DataFrame] = []
+    gains = Rounds(nodes.sparkSession, "gains")
+    gains.add(nodes.select("v", F.lit(1).cast("long").alias("gain")))
     left = climbing.count()
     while left:
-        gain = scratch.cut(climbing.groupBy(F.col("up").alias("v")).agg(F.sum("size").alias("gain")), "gain")
-        gains.append(gain)
+        gain = gains.add(climbing.groupBy(F.col("up").alias("v")).agg(F.sum("size").alias("gain")))
         further = climbing.join(climbing.select(F.col("v").alias("up"), F.col("up").alias("up2")), "up").select("v", F.col("up2").alias("up"), "size")
         climbing = scratch.cut(further.join(gain, "v", "left").select("v", "up", (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size")), "climbing")
         now = climbing.count()
         if now == left:
             break
         left = now
-    whole = nodes.select("v", F.lit(1).cast("long").alias("gain"))
-    for g in gains:
-        whole = whole.unionByName(g)
-    return whole.groupBy("v").agg(F.sum("gain").alias("size")), (climbing.select("v", "up") if left else None)
+    return gains.all().groupBy("v").agg(F.sum("gain").alias("size")), (climbing.select("v", "up") if left else None)
 
 
 def _circles(nodes: DataFrame, caught: DataFrame, scratch: Scratch) -> DataFrame:
@@ -96,19 +93,20 @@ def _circles(nodes: DataFrame, caught: DataFrame, scratch: Scratch) -> DataFrame
     return caught.join(ring.select(F.col("v").alias("up"), F.col("least").alias("root")), "up").select("v", "root")
 
 
-def _chains(forest: DataFrame, scratch: Scratch) -> DataFrame:
+def _chains(forest: DataFrame, scratch: Scratch) -> Rounds:
     """(v, head, pos): each node's chain, named by its first node, and its place on it from 0.
 
     Pointers double along the chains; a node whose pointer has reached a head is written once, later rounds only look it up."""
     heavy = forest.where(F.col("parent").isNotNull()).groupBy("parent").agg(F.min_by("v", F.struct((-F.col("size")).alias("s"), "name")).alias("v"))
     waiting = scratch.cut(heavy.select("v", F.col("parent").alias("head"), F.lit(1).cast("long").alias("pos")), "chain")
     heads = forest.join(waiting.select("v"), "v", "left_anti").select("v", F.col("v").alias("head"), F.lit(0).cast("long").alias("pos"))
-    done = scratch.cut(heads, "chain")
+    done = Rounds(forest.sparkSession, "chains")
+    done.add(heads)
     while not waiting.isEmpty():
-        known = done.withColumn("fixed", F.lit(True)).unionByName(waiting.withColumn("fixed", F.lit(False)))
+        known = done.all().withColumn("fixed", F.lit(True)).unionByName(waiting.withColumn("fixed", F.lit(False)))
         above = known.select(F.col("v").alias("head"), F.col("head").alias("head2"), F.col("pos").alias("pos2"), "fixed")
         moved = scratch.cut(waiting.join(above, "head").select("v", F.col("head2").alias("head"), (F.col("pos") + F.col("pos2")).alias("pos"), "fixed"), "chain")
-        done = done.unionByName(moved.where("fixed").drop("fixed"))
+        done.add(moved.where("fixed").drop("fixed"))
         waiting = moved.where("not fixed").drop("fixed")
     return done
 
@@ -136,7 +134,9 @@ def hierarchy(df: DataFrame, node: str, ref: str, order: str, paths: bool = True
         forest = forest.join(circles.select("v"), "v", "left_anti")
     forest = cut(forest, "forest")
     scratch.clear()
-    labelled = cut(forest.join(_chains(forest, scratch), "v"), "labelled")  # v, name, parent, size, head, pos
+    chain = _chains(forest, scratch)
+    labelled = cut(forest.join(chain.all(), "v"), "labelled")  # v, name, parent, size, head, pos
+    chain.drop()
     scratch.clear()
     drop_cut(forest)
     starts = labelled.where("pos = 0").select("head", "name", "parent", "size")
@@ -152,19 +152,19 @@ def hierarchy(df: DataFrame, node: str, ref: str, order: str, paths: bool = True
     level = starts.where(F.col("parent").isNull()).select("head", F.lit(0).cast("long").alias("depth0"), F.col("name").alias("root"), F.lit(0).cast("long").alias("first0"))
     if paths:
         level = level.join(members, "head").withColumn("before", F.array().cast("array<string>"))
-    done = level = cut(level, "level")
+    done = Rounds(df.sparkSession, "levels")
+    level = done.add(level)
     while not level.isEmpty():
         fields = [(F.col("depth0") + F.col("up_pos") + 1).alias("depth0"), "root", (F.col("first0") + F.col("up_pos") + F.col("step")).alias("first0")]
         following = waiting.join(level.withColumnRenamed("head", "up_head"), "up_head")
         if paths:
             grown = F.concat("before", F.slice("members", F.lit(1), (F.col("up_pos") + 1).cast("int"))).alias("before")
-            level = cut(following.select("head", *fields, grown).join(members, "head"), "level")
+            level = done.add(following.select("head", *fields, grown).join(members, "head").select(*level.columns))
         else:
-            level = cut(following.select("head", *fields), "level")
-        done = done.unionByName(level)
+            level = done.add(following.select("head", *fields))
     drop_cut(waiting)
     names = nodes.select(F.col("v").alias("parent"), F.col("name").alias("parent_name"))
-    tree = labelled.join(done, "head").select(
+    tree = labelled.join(done.all(), "head").select(
         "name", "root", (F.col("depth0") + F.col("pos")).cast("int").alias("depth"), "parent", (F.col("first0") + F.col("pos")).alias("first"), (F.col("size") - 1).alias("n_descendants"),
         *([F.concat("before", F.slice("members", F.lit(1), (F.col("pos") + 1).cast("int"))).alias("path")] if paths else []),
     )

@@ -1,4 +1,4 @@
-"""Measures of inequality over one numeric column. Ranks come from a distributed sort where groups are unbounded."""
+"""Measures of inequality over one numeric column. Ranks come from running sums over ranges, quantiles from counting: no task sorts a whole column."""
 
 from __future__ import annotations
 
@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from planloom.operators.ranks import exact_quantiles, running_sums
+from planloom.session import cut, drop_cut
+
 
 def _clean(df: DataFrame, value: str) -> DataFrame:
     v = df.select(F.col(value).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
@@ -13,12 +16,10 @@ def _clean(df: DataFrame, value: str) -> DataFrame:
 
 
 def summed_ranks(df: DataFrame) -> DataFrame:
-    """(x, k, s): distinct values x with how often they occur and the sum of their ranks.
-
-    Equal values share one row, so the ranks need a window over distinct values only."""
+    """(x, k, s): distinct values x with how often they occur and the sum of their ranks."""
     by = df.groupBy("x").agg(F.count(F.lit(1)).cast("double").alias("k"))
-    before = F.coalesce(F.sum("k").over(W.orderBy("x").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    return by.withColumn("before", before).select("x", "k", (F.col("k") * F.col("before") + F.col("k") * (F.col("k") + 1) / 2).alias("s"))
+    before = F.col("upto") - F.col("k")
+    return running_sums(by, ["x"], upto="k").select("x", "k", (F.col("k") * before + F.col("k") * (F.col("k") + 1) / 2).alias("s"))
 
 
 def gini(df: DataFrame, value: str) -> DataFrame:
@@ -56,36 +57,34 @@ def theil_decomposition(df: DataFrame, group: str, value: str) -> DataFrame:
 
 def lorenz(df: DataFrame, key: str, value: str) -> DataFrame:
     """(rank, population_share, value_share) over the keys' values in ascending order; keys are already aggregated."""
-    order = W.orderBy("x", "k")
-    run = order.rowsBetween(W.unboundedPreceding, W.currentRow)
     d = df.select(F.col(key).alias("k"), F.col(value).cast("double").alias("x")).where(F.col("x").isNotNull()).withColumn("x", F.greatest("x", F.lit(0.0)))
-    whole = W.partitionBy()
-    n, t = F.count(F.lit(1)).over(whole), F.sum("x").over(whole)
-    return d.select(F.row_number().over(order).cast("long").alias("rank"), (F.row_number().over(order) / n).alias("population_share"), F.when(t > 0, F.sum("x").over(run) / t).otherwise(0.0).alias("value_share"))
+    run = running_sums(d, ["x", "k"], rank=F.lit(1), upto="x")
+    whole = run.agg(F.max("rank").alias("n"), F.max("upto").alias("t"))
+    j = run.join(F.broadcast(whole))
+    return j.select(F.col("rank").cast("long").alias("rank"), (F.col("rank") / F.col("n")).alias("population_share"), F.when(F.col("t") > 0, F.col("upto") / F.col("t")).otherwise(0.0).alias("value_share"))
 
 
 def winsorize(df: DataFrame, value: str, lower: float = 0.05, upper: float = 0.95) -> DataFrame:
-    """df with <value>_w: clipped to the interpolated quantiles."""
-    q = df.agg(F.percentile(F.col(value).cast("double"), F.array(F.lit(lower), F.lit(upper))).alias("q"))
+    """df with <value>_w: clipped to the interpolated quantiles of the finite values."""
+    low, high = exact_quantiles(df, value, [lower, upper])
     v = F.col(value).cast("double")
-    return df.join(F.broadcast(q)).withColumn(f"{value}_w", F.when(v.isNotNull(), F.least(F.greatest(v, F.col("q")[0]), F.col("q")[1]))).drop("q")
+    return df.withColumn(f"{value}_w", F.when(v.isNotNull(), F.least(F.greatest(v, F.lit(low)), F.lit(high))) if low is not None else v)
 
 
 def huber_mean(df: DataFrame, value: str, c: float = 1.345, eps: float = 1e-6, max_iter: int = 50) -> DataFrame:
-    """One row (huber_mean) by iterated weights from the median; each round is one aggregate over distinct values."""
-    x = df.select(F.col(value).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf"))).groupBy("x").agg(F.count(F.lit(1)).alias("k")).cache()
+    """One row (huber_mean) by iterated weights from the median; each round is a few aggregates over the distinct values."""
+    x = cut(df.select(F.col(value).cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x") & (F.abs("x") < float("inf"))).groupBy("x").agg(F.count(F.lit(1)).alias("k")), "values")
     spark = df.sparkSession
-    mu = x.agg(F.percentile("x", 0.5, F.col("k"))).first()[0]
+    mu = exact_quantiles(x, "x", [0.5], "k")[0]
     if mu is None:
         return spark.createDataFrame([(0.0,)], "huber_mean double")
     for _ in range(max_iter):
         r = F.abs(F.col("x") - mu)
-        s = x.agg(F.percentile(r, 0.5, F.col("k"))).first()[0] + eps
+        s = exact_quantiles(x, r, [0.5], "k")[0] + eps
         w = F.least(F.lit(1.0), c * s / (r + eps)) * F.col("k")
         new = x.agg(F.sum(w * F.col("x")) / F.sum(w)).first()[0]
-        close = abs(new - mu) < eps
-        if close:
+        if abs(new - mu) < eps:
             break
         mu = new
-    x.unpersist()
+    drop_cut(x)
     return spark.createDataFrame([(float(mu),)], "huber_mean double")

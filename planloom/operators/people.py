@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -118,24 +124,59 @@ def leaderboard(expanded: DataFrame) -> DataFrame:
     return m.select("member", "skill", (100 * F.col("effort") / F.when(most > 0, most).otherwise(1.0)).alias("score"))
 
 
-def suggest(tasks: DataFrame, profile: DataFrame, per_task: int = 3, top: int | None = None, buckets: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+def suggest(tasks: DataFrame, profile: DataFrame, per_task: int = 3, top: int | None = None, buckets: dict[str, tuple[str, ...]] | None = None, needs_at_once: int = 2000) -> DataFrame:
     """(task, member, score): the members whose profile is closest to a task's skills by cosine.
 
-    Tasks share few label sets, so members are scored once per distinct set and the best are kept
-    there; nothing of the size tasks x members exists. Members whose score is 0 are not suggested."""
+    Tasks share few label sets. Members are one row each (their scores by bucket) and stay where they
+    are; the distinct label sets are a query set, taken in blocks of `needs_at_once` against all
+    members, and each batch of members keeps its best few per set, so what is shuffled are those, not
+    sets x members. Members whose score is 0 are not suggested; ties go to the smaller name."""
     labels = F.array_sort(F.transform(F.when(F.size("skills") > 0, F.col("skills")).otherwise(F.array(F.lit("General"))), lambda s: bucket_of(s, buckets)))
     want = tasks.select("task", F.array_join(labels, "\x01").alias("need"))
-    sets = want.select("need").distinct()
-    need = sets.select("need", F.explode(F.split("need", "\x01")).alias("bucket")).groupBy("need", "bucket").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    norm_need = need.groupBy("need").agg(F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("norm"))
-    norm_member = profile.groupBy("member").agg(F.sqrt(F.sum(F.col("score") * F.col("score"))).alias("size"))
-    dots = need.join(profile, "bucket").groupBy("need", "member").agg(F.sum(F.col("n") * F.col("score")).alias("dot")).where("dot > 0")
-    scored = dots.join(norm_need, "need").join(norm_member, "member").select("need", "member", F.round(F.col("dot") / (F.col("norm") * F.col("size")), 9).alias("score"))
-    best = scored.withColumn("r", F.row_number().over(W.partitionBy("need").orderBy(F.desc("score"), "member"))).where(F.col("r") <= per_task).drop("r")
+    members = profile.groupBy("member").agg(F.map_from_entries(F.collect_list(F.struct("bucket", "score"))).alias("has")).where(F.col("member").isNotNull())  # a bucket occurs once a member
+    blocks: list[list[str]] = [[]]
+    for r in want.select("need").distinct().orderBy("need").toLocalIterator():
+        if len(blocks[-1]) == needs_at_once:
+            blocks.append([])
+        blocks[-1].append(r.need)
+    found = reduce(DataFrame.unionByName, [members.mapInPandas(_closest(b, per_task), "need string, member string, score double") for b in blocks])
+    best = found.withColumn("r", F.row_number().over(W.partitionBy("need").orderBy(F.desc("score"), "member"))).where(F.col("r") <= per_task).drop("r")
     out = want.join(best, "need").select("task", "member", "score")
     return out if top is None else out.orderBy(F.desc("score"), "task", "member").limit(top)
 
 
+def _closest(needs: list[str], k: int):  # noqa: ANN202
+    """Per batch of members the k best of each need (ties included by name)."""
+    parts = [n.split("\x01") for n in needs]
+    names = sorted({b for p in parts for b in p})
+    at = {b: i for i, b in enumerate(names)}
+    n = np.zeros((len(needs), len(names)))
+    for i, p in enumerate(parts):
+        for b in p:
+            n[i, at[b]] += 1
+    norm = np.sqrt((n * n).sum(axis=1))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            who = batch["member"].to_numpy(dtype=object)
+            has = [dict(x) for x in batch["has"]]
+            size = np.array([math.sqrt(sum(v * v for v in h.values())) for h in has])
+            dots = np.zeros((len(needs), len(who)))
+            for b, j in at.items():
+                dots += n[:, j : j + 1] * np.array([h.get(b, 0.0) for h in has])
+            with np.errstate(divide="ignore", invalid="ignore"):
+                score = np.where(dots > 0, np.round(dots / (norm[:, None] * size[None, :]), 9), 0.0)
+            rows = []
+            for i, need in enumerate(needs):
+                s = score[i]
+                edge = np.partition(s, len(s) - k)[len(s) - k] if len(s) > k else 0.0
+                good = np.flatnonzero((s >= edge) & (s > 0))
+                rows += [(need, who[j], s[j]) for j in sorted(good, key=lambda j: (-s[j], who[j]))[:k]]
+            yield pd.DataFrame(rows, columns=["need", "member", "score"])
+
+    return run
+
+
 def priority(tasks: DataFrame) -> DataFrame:
     """(project, task, wsjf, rice) of canonical tasks; missing inputs take their defaults, and a size
     column that is empty throughout is replaced by the next one."""

@@ -1,7 +1,9 @@
 """Critical path over a dependency graph, with circles laid out one task after the other.
 
-All passes are frontier joins cut by written tables: a round settles every task whose predecessors
-are settled. Rounds grow with the longest chain, memory with the frontier; no component is gathered.
+Chains (tasks with one predecessor whose only successor they are) are contracted first, by pointer
+doubling, so a chain of n tasks takes log2(n) rounds. Then frontiers advance over what is left: a
+round settles every chain whose predecessors are settled. Each round's rows are written once, no
+component is gathered, and what a result no longer reads is deleted.
 
 Defined results
 - tasks without a duration take 0; negative ones 0. A task in several rows: its last row.
@@ -19,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from planloom.session import cut
+from planloom.session import Rounds, Scratch, cut, drop_cut
 
 
 class CircularDependency(ValueError):
@@ -35,24 +37,63 @@ def graph(tasks: DataFrame, deps: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, cut(edges, "edges")
 
 
+def _contracted(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, head, upto): each task's chain, named by its first task, and the durations from there to it inclusive.
+
+    Tasks of a circle that is one closed chain have no first task and are left out."""
+    single_out = edges.groupBy("a").agg(F.max("b").alias("b"), F.count(F.lit(1)).alias("n")).where("n = 1")
+    single_in = edges.groupBy("b").agg(F.count(F.lit(1)).alias("m")).where("m = 1")
+    link = single_out.join(single_in, "b").select(F.col("b").alias("id"), F.col("a").alias("head"))
+    linked = scratch.cut(nodes.join(link, "id", "left").select("id", "dur", "head"), "links")
+    done = Rounds(nodes.sparkSession, "chains")
+    done.add(linked.where(F.col("head").isNull()).select("id", F.col("id").alias("head"), F.col("dur").alias("upto")))
+    waiting = linked.where(F.col("head").isNotNull()).select("id", "head", F.col("dur").alias("upto"))
+    left = waiting.count()
+    for _ in range(64):
+        if not left:
+            break
+        known = done.all().withColumn("fixed", F.lit(True)).unionByName(waiting.withColumn("fixed", F.lit(False)))
+        ahead = known.select(F.col("id").alias("head"), F.col("head").alias("head2"), F.col("upto").alias("upto2"), "fixed")
+        moved = scratch.cut(waiting.join(ahead, "head").select("id", F.col("head2").alias("head"), (F.col("upto") + F.col("upto2")).alias("upto"), "fixed"), "links")
+        done.add(moved.where("fixed").drop("fixed"))
+        waiting = moved.where("not fixed").drop("fixed")
+        now = waiting.count()
+        if now == left:  # only closed chains are left
+            break
+        left = now
+    out = scratch.cut(done.all(), "chained")
+    done.drop()
+    return out
+
+
 def _longest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, end): longest sum of durations ending with the task; tasks on or behind a circle are missing.
 
-    edges has columns a -> b; a task is settled when all its a's are."""
-    need = edges.groupBy(F.col("b").alias("id")).agg(F.count(F.lit(1)).alias("need"))
-    todo = cut(nodes.join(need, "id"), "need")
-    frontier = cut(nodes.join(need.select("id"), "id", "left_anti").select("id", F.col("dur").alias("end")), "front")
-    done = frontier
+    edges has columns a -> b; a chain is settled when all the a's of its head are."""
+    scratch = Scratch()
+    chain = _contracted(nodes, edges, scratch)
+    whole = chain.groupBy("head").agg(F.max("upto").alias("dur"))
+    of_a, of_b = chain.select(F.col("id").alias("a"), F.col("head").alias("ha")), chain.select(F.col("id").alias("b"), F.col("head").alias("hb"))
+    # the links inside a chain are all edges that end elsewhere than at a head
+    outer = scratch.cut(edges.join(of_a, "a", "left").join(of_b, "b", "left").where(F.col("b") == F.coalesce("hb", "b")).select(F.coalesce("ha", "a").alias("a"), "b"), "outer")
+    need = outer.groupBy(F.col("b").alias("id")).agg(F.count(F.lit(1)).alias("need"))
+    todo = scratch.cut(whole.select(F.col("head").alias("id"), "dur").join(need, "id"), "need")
+    fronts = Rounds(nodes.sparkSession, "fronts")
+    frontier = fronts.add(whole.select(F.col("head").alias("id"), F.lit(0.0).alias("start"), "dur").join(need.select("id"), "id", "left_anti"))
     waiting = None
     while not frontier.isEmpty():
-        step = frontier.join(edges, F.col("id") == F.col("a")).groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.max("end").alias("top"))
+        step = frontier.join(outer, F.col("id") == F.col("a")).groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("start") + F.col("dur")).alias("top"))
         merged = step if waiting is None else step.unionByName(waiting).groupBy("b").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
         merged = cut(merged, "wait")
         ready = merged.join(todo, F.col("b") == F.col("id")).where(F.col("n") == F.col("need"))
-        frontier = cut(ready.select("id", (F.col("top") + F.col("dur")).alias("end")), "front")
-        waiting = merged.join(frontier.select(F.col("id").alias("b")), "b", "left_anti")
-        done = done.unionByName(frontier)
-    return cut(done, "longest")
+        frontier = fronts.add(ready.select("id", F.col("top").alias("start"), "dur"))
+        still = merged.join(frontier.select(F.col("id").alias("b")), "b", "left_anti")
+        waiting = cut(still, "wait")
+        drop_cut(merged)
+    out = cut(chain.join(fronts.all().select(F.col("id").alias("head"), "start"), "head").select("id", (F.col("start") + F.col("upto")).alias("end")), "longest")
+    fronts.drop()
+    scratch.clear()
+    return out
 
 
 def critical_path(tasks: DataFrame, deps: DataFrame) -> DataFrame:
@@ -82,26 +123,30 @@ def circles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     reaches a task colours it; a colour's component is what reaches its largest id within the colour."""
     fore = _longest(nodes, edges.select(F.col("pred").alias("a"), F.col("id").alias("b")))
     back = _longest(nodes, edges.select(F.col("id").alias("a"), F.col("pred").alias("b")))
-    core = cut(nodes.select("id").join(fore, "id", "left_anti").join(back, "id", "left_anti"), "core")
-    found = nodes.select("id").join(core, "id", "left_anti").select("id", F.col("id").alias("comp"))
+    scratch, found = Scratch(), Rounds(nodes.sparkSession, "circles")
+    core = scratch.cut(nodes.select("id").join(fore, "id", "left_anti").join(back, "id", "left_anti"), "core")
+    found.add(nodes.select("id").join(core, "id", "left_anti").select("id", F.col("id").alias("comp")))
     while not core.isEmpty():
-        inner = cut(edges.join(core, "id", "left_semi").join(core.withColumnRenamed("id", "pred"), "pred", "left_semi"), "inner")
-        colour = cut(core.select("id", F.col("id").alias("c")), "colour")
+        inner = scratch.cut(edges.join(core, "id", "left_semi").join(core.withColumnRenamed("id", "pred"), "pred", "left_semi"), "inner")
+        colour = scratch.cut(core.select("id", F.col("id").alias("c")), "colour")
         while True:
             top = inner.join(colour.select(F.col("id").alias("pred"), "c"), "pred").groupBy("id").agg(F.max("c").alias("c2"))
-            moved = cut(colour.join(top, "id", "left").select("id", F.greatest("c", F.coalesce("c2", "c")).alias("c"), F.col("c").alias("was")), "colour")
+            moved = scratch.cut(colour.join(top, "id", "left").select("id", F.greatest("c", F.coalesce("c2", "c")).alias("c"), F.col("c").alias("was")), "colour")
             colour = moved.drop("was")
             if moved.where("c <> was").isEmpty():
                 break
-        hit = cut(colour.where("id = c"), "hit")
+        hit = scratch.cut(colour.where("id = c"), "hit")
         front = hit
         while not front.isEmpty():
             reach = front.join(inner, "id").select(F.col("pred").alias("id"), "c").distinct().join(colour, ["id", "c"], "left_semi").join(hit, "id", "left_anti")
-            front = cut(reach, "front")
-            hit = cut(hit.unionByName(front), "hit")
-        found = found.unionByName(hit.select("id", F.col("c").alias("comp")))
-        core = cut(core.join(hit.select("id"), "id", "left_anti"), "core")
-    return cut(found, "circles")
+            front = scratch.cut(reach, "front")
+            hit = scratch.cut(hit.unionByName(front), "hit")
+        found.add(hit.select("id", F.col("c").alias("comp")))
+        core = scratch.cut(core.join(hit.select("id"), "id", "left_anti"), "core")
+    scratch.clear()
+    drop_cut(fore)
+    drop_cut(back)
+    return found.all()
 
 
 def relaxed_path(tasks: DataFrame, deps: DataFrame) -> DataFrame:

@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from planloom.functions import text
 from planloom.operators import similarity
 from planloom.session import cut
-from planloom.sources.trackers import HINTS, fill_forward, role_columns
+from planloom.sources.trackers import HINTS, role_columns
 
+# The cost of a unit of effort, and names of date columns.
 UNIT_COST = 150.0
 DATE_HINTS = ("date", "ngay", "ngày", "due", "deadline", "start", "end", "created", "closed", "completed", "finish")
 _DATES = ("dd/MM/yyyy", "dd-MM-yyyy", "dd.MM.yyyy", "yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "d MMM yyyy")
@@ -33,7 +34,7 @@ def iso_weeks(df: DataFrame, dates: str, order: str) -> DataFrame:
     """df with week_no: ISO weeks of a date column, gaps filled forward and then by the first, renumbered by first appearance."""
     d = df.withColumn("__iso", F.weekofyear(dates))
     first = d.agg(F.min_by("__iso", F.when(F.col("__iso").isNotNull(), F.col(order))).alias("__first"))
-    d = fill_forward(d, "__iso", order).join(F.broadcast(first)).withColumn("__iso", F.coalesce("__iso", "__first", F.lit(1)))
+    d = text.fill_forward(d, "__iso", order).join(F.broadcast(first)).withColumn("__iso", F.coalesce("__iso", "__first", F.lit(1)))
     ranks = text.first_seen_rank(d, "__iso", order)  # 53 rows at most
     return d.join(F.broadcast(ranks), "__iso").withColumn("week_no", F.col("rank").cast("int")).select(*df.columns, "week_no")
 

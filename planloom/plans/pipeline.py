@@ -41,40 +41,56 @@ def from_legacy(df: DataFrame) -> DataFrame:
     ).withColumn("week", F.floor(F.col("__days").cast("int") / 7) + 1).drop("__days")
 
 
+# Results with a row for each task or member: written as tables, never through the driver.
+LARGE = ("07_cpm", "09_bus_factor", "10_priority", "13_contribution", "14_profiles", "15_workload", "17_hhi", "19_leaderboard", "20_lorenz")
+
+
 def analyse(tasks: DataFrame) -> dict[str, DataFrame]:
     """Every result by name; nothing runs but the tables that several results share."""
     t = cut(tasks, "tasks")
     ex = people.expand_members(t)
-    vel, remaining = flow.velocity(t), flow.remaining_effort(t)
+    remaining, vel = flow.pace(t)
     deps = t.select("id", F.explode("depends_on").alias("pred"))
     plan, pert = schedule.with_estimates(t.withColumn("ordinal", F.col("row_id")), deps)
+    plan = cut(plan, "plan")
     efforts = people.member_effort(ex)
     profile = people.skill_profile(ex)
+    evm = flow.earned_value(t)
+    eta = forecast.summarize(forecast.eta_normal(remaining, vel))
     prio = people.priority(t.select("project", "task", "business_value", "time_criticality", "risk_reduction", "job_size", "reach", "impact", "confidence", F.col("own_effort").alias("effort"), "effort_score"))
     return {
-        "01_burnup": flow.burnup(t), "03_burndown": flow.burndown(t), "04_cfd": flow.cumulative_flow(t), "05_velocity": flow.control_limits(vel), "05_cusum": flow.cusum(vel), "06_evm": flow.earned_value(t),
-        "06_earned_schedule": flow.earned_schedule(flow.burnup(t)), "07_cpm": plan, "08_pert_duration": pert, "08_eta": forecast.summarize(forecast.eta_normal(remaining, vel)), "09_bus_factor": people.bus_factor(ex),
-        "10_priority": prio, "11_suggestions": people.suggest(t, profile, top=50), "12_what_if": flow.what_if(remaining, vel), "13_contribution": people.contribution(t), "14_profiles": profile, "15_workload": people.workload(ex),
-        "16_skill_timeline": people.skill_timeline(t), "17_hhi": people.concentration(people.skill_rows(ex), "member", "skill", "effort"), "18_hhi_weeks": people.week_concentration(t), "19_leaderboard": people.leaderboard(ex),
-        "20_lorenz": inequality.lorenz(efforts, "member", "effort"), "summary": summary(t, ex, efforts, remaining),
+        "01_burnup": flow.burnup(t), "03_burndown": flow.burndown(t), "04_cfd": flow.cumulative_flow(t), "05_velocity": flow.control_limits(vel), "05_cusum": flow.cusum(vel), "05_forecast": forecast.velocity_forecast(vel),
+        "06_evm": evm, "06_earned_schedule": flow.earned_schedule(flow.burnup(t)), "07_cpm": plan, "07_cpm_cycles": plan.where(F.col("cycle_group").isNotNull()).select("cycle_group").distinct(),
+        "08_pert_duration": pert, "08_eta": eta, "09_bus_factor": people.bus_factor(ex), "10_priority": prio, "11_suggestions": people.suggest(t, profile, top=50), "12_what_if": flow.what_if(remaining, vel),
+        "13_contribution": people.contribution(t), "14_profiles": profile, "15_workload": people.workload(ex), "16_skill_timeline": people.skill_timeline(t),
+        "17_hhi": people.concentration(people.skill_rows(ex), "member", "skill", "effort"), "18_hhi_weeks": people.week_concentration(t), "19_leaderboard": people.leaderboard(ex),
+        "20_lorenz": inequality.lorenz(efforts, "member", "effort"), "21_risk": flow.risk(evm, t, people.contribution(t)),
+        "22_kpis": flow.kpis(t.withColumn("member", F.col("leader")), evm, eta), "summary": summary(t, efforts, remaining, profile, eta, flow.earned_schedule(flow.burnup(t)), plan),
     }
 
 
-def summary(t: DataFrame, ex: DataFrame, efforts: DataFrame, remaining: DataFrame) -> DataFrame:
-    one = t.agg(F.count_distinct("project").alias("projects"), F.count(F.lit(1)).alias("tasks"), F.sum("effort").alias("effort_total"))
-    # every side is one row
-    for side in (efforts.agg(F.count(F.lit(1)).alias("members")), remaining, inequality.gini(efforts, "effort"), inequality.measures(efforts, "effort")):
+def summary(t: DataFrame, efforts: DataFrame, remaining: DataFrame, profile: DataFrame, eta: DataFrame, es: DataFrame, plan: DataFrame) -> DataFrame:
+    """One row: projects, members, efforts, inequality of members' efforts, mean skill concentration, ETA, earned schedule, critical path."""
+    one = t.agg(F.count_distinct("project").alias("projects"), F.count(F.lit(1)).alias("tasks"), F.coalesce(F.sum("effort"), F.lit(0.0)).alias("effort_total"))
+    hhi = people.concentration(profile, "member", "bucket", "score").agg(F.coalesce(F.avg(F.coalesce("hhi", F.lit(0.0))), F.lit(0.0)).alias("avg_skill_hhi"))
+    sides = (
+        efforts.agg(F.count(F.lit(1)).alias("members")), remaining, inequality.gini(efforts, "effort"), inequality.measures(efforts, "effort"), hhi, eta.select(F.coalesce("p50", F.lit(0.0)).alias("eta_p50")),
+        es.agg(F.max("spi_t").alias("spi_t"), F.max("sv_t").alias("sv_t")), plan.agg(F.coalesce(F.max("ef"), F.lit(0.0)).alias("critical_duration")),
+    )
+    for side in sides:  # every side is one row
         one = one.join(F.broadcast(side))
     return one
 
 
-def write(results: dict[str, DataFrame], folder: str, tables: bool = False) -> None:
-    """Reports as delimited files, or as tables for results of any size. One result that fails doesn't stop the others."""
+def write(results: dict[str, DataFrame], folder: str, tables: bool | None = None) -> list[str]:
+    """Reports as delimited files, results of unbounded size (LARGE) as tables; tables=True: all as tables, False: none.
+
+    One result that fails doesn't stop the others; the names and reasons are written to failed.txt and returned."""
     os.makedirs(folder, exist_ok=True)
     failed = []
     for name, df in results.items():
         try:
-            if tables:
+            if name in LARGE if tables is None else tables:
                 report.write_table(df, f"{folder}/{name}")
             elif name == "12_what_if":
                 report.write_json(df, f"{folder}/{name}.json")
@@ -87,3 +103,4 @@ def write(results: dict[str, DataFrame], folder: str, tables: bool = False) -> N
     if failed:
         with open(f"{folder}/failed.txt", "w", encoding="utf-8") as f:
             f.write("\n".join(failed) + "\n")
+    return failed

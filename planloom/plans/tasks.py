@@ -25,29 +25,41 @@ def canonical(df: DataFrame) -> DataFrame:
     return df.withColumns(cols)
 
 
-def order_tasks(spark: SparkSession, sf_dir: str) -> DataFrame:
+COLUMNS = ("id", "project", "task", "leader", "assignees", "skills", "effort", "planned", "cost", "week", "status", "customer", "dated")
+
+
+def order_tasks(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     """One task per order: its project is the customer's segment, its team the suppliers of its lines.
 
-    Columns: id, project, task, leader, assignees, skills, effort, planned, cost, week, status, customer, dated.
-    Amounts are decimals, so sums don't depend on the order of rows. The dimensions are joined by
-    size: adaptive execution broadcasts them only where they are small.
+    Only the asked columns (none: all of COLUMNS) are built: a table that none of them needs is not
+    read. Lines are added up per order before any other join. Amounts are decimals, so sums don't
+    depend on the order of rows; dimensions are joined by size: adaptive execution broadcasts them
+    only where they are small.
     """
-    t = {n: read(spark, sf_dir, n) for n in ("orders", "lineitem", "customer", "supplier", "part")}
-    line = t["lineitem"].select("l_orderkey", "l_suppkey", "l_partkey", "l_quantity", (F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)").alias("cost"))
-    line = line.join(t["supplier"].select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"), "left").join(t["part"].select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"), "left")
-    per_order = line.groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_set("s_name")).alias("assignees"), F.array_sort(F.collect_set("p_type")).alias("skills"), F.sum("l_quantity").alias("qty"), F.sum("cost").alias("cost")
-    )
+    want = set(columns or COLUMNS)
+    if want - set(COLUMNS):
+        raise ValueError(f"no such columns: {sorted(want - set(COLUMNS))}")
+    t = read(spark, sf_dir, "orders")
+    sums = {"assignees": F.array_sort(F.collect_set("s_name")), "skills": F.array_sort(F.collect_set("p_type")), "effort": F.sum("l_quantity"), "cost": F.sum((F.col("l_extendedprice") * (1 - F.col("l_discount"))).cast("decimal(18,4)"))}
+    sums = {c: f.alias(f"line_{c}") for c, f in sums.items() if c in want}
+    if sums:
+        line = read(spark, sf_dir, "lineitem")
+        if "assignees" in want:
+            line = line.join(read(spark, sf_dir, "supplier").select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey"), "left")
+        if "skills" in want:
+            line = line.join(read(spark, sf_dir, "part").select("p_partkey", "p_type"), F.col("l_partkey") == F.col("p_partkey"), "left")
+        t = t.join(line.groupBy("l_orderkey").agg(*sums.values()), F.col("o_orderkey") == F.col("l_orderkey"), "left")
+    if want & {"project", "leader"}:
+        t = t.join(read(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"), "left")
     days = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1995-01-01").cast("date"))
-    return (
-        t["orders"].join(per_order, F.col("o_orderkey") == F.col("l_orderkey"), "left").join(t["customer"].select("c_custkey", "c_name", "c_mktsegment"), F.col("o_custkey") == F.col("c_custkey"), "left")
-        .select(
-            F.col("o_orderkey").alias("id"), F.col("c_mktsegment").alias("project"), F.concat(F.lit("O"), F.col("o_orderkey")).alias("task"), F.col("c_name").alias("leader"), "assignees", "skills",
-            F.coalesce("qty", F.lit(1.0)).alias("effort"), (F.col("o_totalprice").cast("decimal(18,2)") / 10000).cast("decimal(18,6)").alias("planned"), F.coalesce(F.col("cost"), F.lit(0)).cast("decimal(28,4)").alias("cost"),
-            (F.floor(days / 7) + 1).cast("int").alias("week"), F.when(F.col("o_orderstatus") == "F", "Completed").when(F.col("o_orderstatus") == "P", "In Progress").otherwise("Not Started").alias("status"),
-            F.col("o_custkey").alias("customer"), F.col("o_orderdate").alias("dated"),
-        )
-    )
+    made = {
+        "id": lambda: F.col("o_orderkey"), "project": lambda: F.col("c_mktsegment"), "task": lambda: F.concat(F.lit("O"), F.col("o_orderkey")), "leader": lambda: F.col("c_name"),
+        "assignees": lambda: F.col("line_assignees"), "skills": lambda: F.col("line_skills"), "effort": lambda: F.coalesce("line_effort", F.lit(1.0)),
+        "planned": lambda: (F.col("o_totalprice").cast("decimal(18,2)") / 10000).cast("decimal(18,6)"), "cost": lambda: F.coalesce(F.col("line_cost"), F.lit(0)).cast("decimal(28,4)"),
+        "week": lambda: (F.floor(days / 7) + 1).cast("int"), "status": lambda: F.when(F.col("o_orderstatus") == "F", "Completed").when(F.col("o_orderstatus") == "P", "In Progress").otherwise("Not Started"),
+        "customer": lambda: F.col("o_custkey"), "dated": lambda: F.col("o_orderdate"),
+    }
+    return t.select(*[made[c]().alias(c) for c in COLUMNS if c in want])
 
 
 # The same mapping for the SQL check.

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from planloom.functions import text
 from planloom.operators import flow, forecast, inequality, people, schedule, similarity
 from planloom.plans.tasks import TASKS_SQL, canonical, order_tasks
-from planloom.session import read
+from planloom.session import cut, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -41,12 +41,19 @@ def query(sql: str | None = None, name: str | None = None):  # noqa: ANN201
     return add
 
 
-def _expanded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return people.expand_members(order_tasks(spark, sf_dir))
+FLOW = ("week", "effort", "status")
+
+
+def _expanded(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    return people.expand_members(order_tasks(spark, sf_dir, "leader", "assignees", *columns))
 
 
 def _velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flow.velocity(order_tasks(spark, sf_dir))
+    return flow.velocity(order_tasks(spark, sf_dir, *FLOW))
+
+
+def _pace(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return flow.pace(order_tasks(spark, sf_dir, *FLOW))
 
 
 def r9(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
@@ -58,12 +65,12 @@ def r9(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
 
 @query(_WEEKS + " SELECT * FROM bu")
 def burnup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flow.burnup(order_tasks(spark, sf_dir))
+    return flow.burnup(order_tasks(spark, sf_dir, *FLOW))
 
 
 @query(_WEEKS + " SELECT week, scope_cumulative - completed_cumulative AS remaining_effort FROM bu")
 def burndown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flow.burndown(order_tasks(spark, sf_dir))
+    return flow.burndown(order_tasks(spark, sf_dir, *FLOW))
 
 
 _CFD = _T + """ SELECT week, sum(n) OVER w AS not_started, sum(p) OVER w AS in_progress, sum(c) OVER w AS completed FROM (
@@ -73,24 +80,24 @@ _CFD = _T + """ SELECT week, sum(n) OVER w AS not_started, sum(p) OVER w AS in_p
 
 @query(_CFD)
 def cfd(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flow.cumulative_flow(order_tasks(spark, sf_dir))
+    return flow.cumulative_flow(order_tasks(spark, sf_dir, *FLOW))
 
 
 @query(_CFD)
 def cfd_binned(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flow.binned_flow(order_tasks(spark, sf_dir))
+    return flow.binned_flow(order_tasks(spark, sf_dir, *FLOW))
 
 
 @query(_WEEKS + " SELECT week, scope AS total_effort, completed AS completed_effort, greatest(sum(scope - completed) OVER (ORDER BY week), 0.0) AS remaining_effort FROM wk")
 def burndown_v2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flow.burndown_detail(order_tasks(spark, sf_dir))
+    return flow.burndown_detail(order_tasks(spark, sf_dir, *FLOW))
 
 
 @query(_WEEKS + """, s AS (SELECT week, sum(sum(effort)) OVER (ORDER BY week) AS scope_cumulative FROM tasks GROUP BY week),
 c AS (SELECT week, sum(sum(effort)) OVER (ORDER BY week) AS c FROM tasks WHERE status = 'Completed' GROUP BY week)
 SELECT s.week, scope_cumulative, coalesce(last_value(c IGNORE NULLS) OVER (ORDER BY s.week), 0.0) AS completed_cumulative FROM s LEFT JOIN c ON s.week = c.week""")
 def burnup_ffill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flow.burnup_filled(order_tasks(spark, sf_dir))
+    return flow.burnup_filled(order_tasks(spark, sf_dir, *FLOW))
 
 
 @query(_WEEKS + " SELECT * FROM vel")
@@ -100,7 +107,7 @@ def velocity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_WEEKS + " SELECT * FROM rem")
 def remaining_effort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flow.remaining_effort(order_tasks(spark, sf_dir))
+    return flow.remaining_effort(order_tasks(spark, sf_dir, *FLOW))
 
 
 @query(_WEEKS + """, st AS (SELECT avg(velocity) AS mu, CASE WHEN stddev_pop(velocity) > 0 THEN stddev_pop(velocity) ELSE greatest(1e-6, avg(velocity) / 4) END AS sd FROM vel),
@@ -126,14 +133,14 @@ k AS (SELECT ev, "at", greatest(least((SELECT count(*) FROM n WHERE pv <= ev) -
 e AS (SELECT week + (ev - pv) / (pv1 - pv) * (week1 - week) AS es, CAST("at" AS DOUBLE) AS "at" FROM n JOIN k ON i = idx + 1)
 SELECT round(es, 6) AS es, "at", round(es - "at", 6) AS sv_t, round(es / "at", 6) AS spi_t FROM e""")
 def earned_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r9(flow.earned_schedule(flow.burnup(order_tasks(spark, sf_dir))), "es", "sv_t", "spi_t")
+    return r9(flow.earned_schedule(flow.burnup(order_tasks(spark, sf_dir, *FLOW))), "es", "sv_t", "spi_t")
 
 
 @query(_T + """, w AS (SELECT week, coalesce(sum(CASE WHEN status = 'Completed' THEN effort END), 0) AS ev, sum(planned) AS pv, sum(cost) AS ac, count(*) FILTER (status = 'Completed') AS n_done FROM tasks GROUP BY week),
 s AS (SELECT week, n_done, ev AS velocity, sum(ev) OVER (ORDER BY week) AS e, CAST(sum(pv) OVER (ORDER BY week) AS DOUBLE) AS p, CAST(sum(ac) OVER (ORDER BY week) AS DOUBLE) AS a FROM w)
 SELECT week, n_done, velocity, round(e, 4) AS ev_sum, round(p, 4) AS pv_sum, round(a, 2) AS ac_sum, round(CASE WHEN p > 0 THEN e / p ELSE 1 END, 6) AS spi, round(CASE WHEN a > 0 THEN e / a ELSE 1 END, 9) AS cpi FROM s""")
 def evm_weekly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = flow.earned_value(order_tasks(spark, sf_dir))
+    e = flow.earned_value(order_tasks(spark, sf_dir, *FLOW, "planned", "cost"))
     return r9(r9(r9(e, "ev_sum", "pv_sum", digits=4), "ac_sum", digits=2), "spi").withColumn("cpi", F.round("cpi", 9))
 
 
@@ -147,8 +154,7 @@ UNION ALL SELECT 'scope-20%', ceil(round(r * 0.8::DOUBLE / m, 9)), ceil(round(r
 
 @query(_WEEKS + _WHAT)
 def what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = order_tasks(spark, sf_dir)
-    return flow.what_if(flow.remaining_effort(t), flow.velocity(t))
+    return flow.what_if(*_pace(spark, sf_dir))
 
 
 # Members and skills
@@ -156,72 +162,72 @@ def what_if(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_EXP + " SELECT task, project, week, effort, status, member FROM ex")
 def member_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _expanded(spark, sf_dir).select("task", "project", "week", "effort", "status", "member")
+    return _expanded(spark, sf_dir, "task", "project", "week", "effort", "status").select("task", "project", "week", "effort", "status", "member")
 
 
 @query(_ME + " SELECT * FROM me")
 def member_effort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return people.member_effort(_expanded(spark, sf_dir))
+    return people.member_effort(_expanded(spark, sf_dir, "effort"))
 
 
 @query(_EXP + " SELECT member, week, sum(effort) AS effort FROM ex GROUP BY member, week")
 def workload_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return people.workload(_expanded(spark, sf_dir))
+    return people.workload(_expanded(spark, sf_dir, "week", "effort"))
 
 
 @query(_EXP + " SELECT member, skill, sum(effort) AS effort FROM sk GROUP BY member, skill")
 def skill_heatmap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return people.skill_matrix(_expanded(spark, sf_dir))
+    return people.skill_matrix(_expanded(spark, sf_dir, "task", "week", "effort", "skills"))
 
 
 @query(_EXP + f", b AS (SELECT member, {_BUCKET} AS bucket, sum(effort) AS e FROM sk GROUP BY 1, 2) SELECT member, bucket, round_even(e / max(e) OVER (PARTITION BY member) * 100, 2) AS score FROM b")
 def skill_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return people.skill_profile(_expanded(spark, sf_dir), TYPE_BUCKETS)
+    return people.skill_profile(_expanded(spark, sf_dir, "task", "week", "effort", "skills"), TYPE_BUCKETS)
 
 
 @query(_EXP + ", b AS (SELECT member, skill, sum(effort) AS e FROM sk GROUP BY 1, 2) SELECT member, round(sum(e * e) / (sum(e) * sum(e)), 9) AS hhi FROM b GROUP BY member")
 def skill_hhi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r9(people.concentration(people.skill_rows(_expanded(spark, sf_dir)), "member", "skill", "effort"), "hhi", digits=9)
+    return r9(people.concentration(people.skill_rows(_expanded(spark, sf_dir, "task", "week", "effort", "skills")), "member", "skill", "effort"), "hhi", digits=9)
 
 
 @query(_T + """, b AS (SELECT week, unnest(CASE WHEN len(skills) > 0 THEN skills ELSE ['General'] END) AS skill, effort FROM tasks),
 c AS (SELECT week, skill, sum(effort) AS e FROM b GROUP BY 1, 2) SELECT week, round(sum(e * e) / (sum(e) * sum(e)), 9) AS hhi FROM c GROUP BY week""")
 def hhi_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r9(people.week_concentration(order_tasks(spark, sf_dir)), "hhi", digits=9)
+    return r9(people.week_concentration(order_tasks(spark, sf_dir, "week", "effort", "skills")), "hhi", digits=9)
 
 
 @query(_T + " SELECT week, skill, sum(effort) AS effort FROM (SELECT week, effort, unnest(skills) AS skill FROM tasks) GROUP BY week, skill")
 def skill_timeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return people.skill_timeline(order_tasks(spark, sf_dir))
+    return people.skill_timeline(order_tasks(spark, sf_dir, "week", "effort", "skills"))
 
 
 @query(_EXP + """, m AS (SELECT member, skill, sum(effort) AS effort FROM sk GROUP BY 1, 2)
 SELECT skill, member, effort FROM m WHERE skill IN (SELECT skill FROM m GROUP BY 1 ORDER BY sum(effort) DESC, 1 LIMIT 6) AND member IN (SELECT member FROM m GROUP BY 1 ORDER BY sum(effort) DESC, 1 LIMIT 8)""")
 def skill_flow_top(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return people.skill_flow(_expanded(spark, sf_dir))
+    return people.skill_flow(_expanded(spark, sf_dir, "task", "week", "effort", "skills"))
 
 
 @query(_EXP + """, p AS (SELECT DISTINCT task, member FROM ex), q AS (SELECT member, task, count(*) OVER (PARTITION BY task) AS mpt FROM p),
 d AS (SELECT member, CAST(count(*) AS DOUBLE) AS degree_tasks, CAST(count(*) FILTER (mpt = 1) AS DOUBLE) AS solo_tasks FROM q GROUP BY member)
 SELECT member, degree_tasks, solo_tasks, round(solo_tasks / degree_tasks, 9) AS solo_share, round(0.7 * (solo_tasks / degree_tasks) + 0.3 * degree_tasks / (SELECT max(degree_tasks) FROM d), 9) AS key_person_index FROM d""")
 def bus_factor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r9(people.bus_factor(_expanded(spark, sf_dir)), "solo_share", "key_person_index", digits=9)
+    return r9(people.bus_factor(_expanded(spark, sf_dir, "task")), "solo_share", "key_person_index", digits=9)
 
 
 @query(_EXP + " SELECT member, task, effort FROM ex")
 def bipartite_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return people.bipartite(_expanded(spark, sf_dir))
+    return people.bipartite(_expanded(spark, sf_dir, "task", "effort"))
 
 
 @query(_T + """, r AS (SELECT project, unnest(assignees) AS member, effort / len(assignees) AS v FROM tasks WHERE len(assignees) > 0 AND effort > 0),
 s AS (SELECT project, member, sum(v) AS value FROM r GROUP BY 1, 2) SELECT project, member, round(value, 6) AS value, round(100 * value / sum(value) OVER (PARTITION BY project), 6) AS contribution_pct FROM s""")
 def shapley(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r9(people.contribution(order_tasks(spark, sf_dir)), "value", "contribution_pct")
+    return r9(people.contribution(order_tasks(spark, sf_dir, "project", "assignees", "effort")), "value", "contribution_pct")
 
 
 @query(_EXP + ", m AS (SELECT member, skill, sum(effort) AS e FROM (SELECT member, effort, unnest(skills) AS skill FROM ex) GROUP BY 1, 2) SELECT member, skill, round(100 * e / max(e) OVER (PARTITION BY member), 6) AS score FROM m")
 def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return r9(people.leaderboard(_expanded(spark, sf_dir)), "score")
+    return r9(people.leaderboard(_expanded(spark, sf_dir, "effort", "skills")), "score")
 
 
 @query(_EXP + f""", b AS (SELECT member, {_BUCKET} AS bucket, sum(effort) AS e FROM sk GROUP BY 1, 2),
@@ -235,8 +241,8 @@ sc AS (SELECT d.need, d.member, round(dot / ((SELECT sqrt(sum(n * n)) FROM nb WH
 best AS (SELECT *, row_number() OVER (PARTITION BY need ORDER BY score DESC, member) AS r FROM sc)
 SELECT task, member, score FROM need JOIN best USING (need) WHERE r <= 3""")
 def assign_top3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    profile = people.skill_profile(_expanded(spark, sf_dir), TYPE_BUCKETS)
-    return people.suggest(order_tasks(spark, sf_dir), profile, buckets=TYPE_BUCKETS)
+    t = cut(order_tasks(spark, sf_dir, "task", "leader", "assignees", "skills", "effort", "week"), "tasks")
+    return people.suggest(t, people.skill_profile(people.expand_members(t), TYPE_BUCKETS), buckets=TYPE_BUCKETS)
 
 
 _CLEAN = "CASE WHEN isnan({0}) THEN NULL ELSE {0} END"
@@ -261,7 +267,7 @@ def rice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _efforts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return people.member_effort(_expanded(spark, sf_dir))
+    return people.member_effort(_expanded(spark, sf_dir, "effort"))
 
 
 @query(_ME + ", n AS (SELECT effort AS x, row_number() OVER (ORDER BY effort) AS i, count(*) OVER () AS n FROM me) SELECT round(2 * sum(i * x) / (max(n) * sum(x)) - (max(n) + 1.0) / max(n), 9) AS gini FROM n")
@@ -282,7 +288,7 @@ def inequality_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 b AS (SELECT g, sum(x) AS s, avg(x / mg * ln(x / mg)) AS tg, max(t) AS t FROM q GROUP BY g)
 SELECT (SELECT round(avg(x / mu * ln(x / mu)), 9) FROM q) AS t_total, round(avg(s / (t / n) * ln(s / (t / n))), 9) AS t_between, round(sum(s / t * tg), 9) AS t_within FROM b CROSS JOIN (SELECT count(*) AS n FROM b)""")
 def theil_decomp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = _expanded(spark, sf_dir).groupBy("project", "member").agg(F.sum("effort").alias("effort"))
+    d = _expanded(spark, sf_dir, "project", "effort").groupBy("project", "member").agg(F.sum("effort").alias("effort"))
     return r9(inequality.theil_decomposition(d, "project", "effort"), "t_total", "t_between", "t_within", digits=9)
 
 
@@ -388,7 +394,7 @@ def name_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _order_graph(spark: SparkSession, sf_dir: str, circles: bool = False) -> tuple[DataFrame, DataFrame]:
     """A customer's orders by date form a heap: each waits for the one at half its place."""
-    t = order_tasks(spark, sf_dir).select(F.col("id"), F.col("effort").alias("dur"), F.col("id").alias("ordinal"), "customer", F.row_number().over(W.partitionBy("customer").orderBy("dated", "id")).alias("rn"))
+    t = order_tasks(spark, sf_dir, "id", "effort", "customer", "dated").select(F.col("id"), F.col("effort").alias("dur"), F.col("id").alias("ordinal"), "customer", F.row_number().over(W.partitionBy("customer").orderBy("dated", "id")).alias("rn"))
     up = t.select("customer", F.col("rn").alias("half"), F.col("id").alias("pred"))
     deps = t.withColumn("half", F.floor(F.col("rn") / 2).cast("int")).join(up, ["customer", "half"]).select("pred", "id")
     if circles:
@@ -436,8 +442,7 @@ u AS (SELECT t AS trial, (CAST('0x' || substr(md5('42-' || t || 'a'), 1, 8) AS B
 w AS (SELECT ceil(round(remaining_effort / greatest(mu + sd * (sqrt(-2 * ln(a)) * cos(2 * pi() * b)), 1e-6), 6)) AS weeks FROM u CROSS JOIN st CROSS JOIN rem)
 SELECT quantile_cont(weeks, 0.1) AS p10, quantile_cont(weeks, 0.5) AS p50, quantile_cont(weeks, 0.9) AS p90 FROM w""")
 def eta_hash_mc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = order_tasks(spark, sf_dir)
-    return forecast.summarize(forecast.eta_normal(flow.remaining_effort(t), flow.velocity(t)))
+    return forecast.summarize(forecast.eta_normal(*_pace(spark, sf_dir)))
 
 
 @query(_WEEKS + """, v AS (SELECT list(velocity ORDER BY week) AS v FROM vel),
@@ -446,14 +451,12 @@ c AS (SELECT t, w, sum(x) OVER (PARTITION BY t ORDER BY w) AS s FROM d),
 f AS (SELECT t, coalesce(min(w) FILTER (s >= remaining_effort), 104) AS weeks FROM c CROSS JOIN rem GROUP BY t)
 SELECT CAST(quantile_cont(weeks, 0.1) AS DOUBLE) AS p10, CAST(quantile_cont(weeks, 0.5) AS DOUBLE) AS p50, CAST(quantile_cont(weeks, 0.9) AS DOUBLE) AS p90 FROM f""")
 def eta_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = order_tasks(spark, sf_dir)
-    return forecast.summarize(forecast.eta_bootstrap(flow.remaining_effort(t), flow.velocity(t)))
+    return forecast.summarize(forecast.eta_bootstrap(*_pace(spark, sf_dir)))
 
 
 @query()
 def eta_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = order_tasks(spark, sf_dir)
-    return forecast.histogram(forecast.eta_normal(flow.remaining_effort(t), flow.velocity(t)))
+    return forecast.histogram(forecast.eta_normal(*_pace(spark, sf_dir)))
 
 
 @query(_WEEKS + " SELECT step, m AS mean FROM (SELECT round(avg(velocity), 6) AS m FROM (SELECT velocity FROM vel ORDER BY week DESC LIMIT 5)) CROSS JOIN range(1, 17) r(step)")
@@ -509,9 +512,9 @@ o AS (SELECT (SELECT spi FROM s WHERE r = 1) AS a, (SELECT (max(spi) FILTER (r =
   (SELECT count(*) FILTER (status <> 'Completed' AND week < (SELECT max(week) FROM tasks)) / CAST(count(*) AS DOUBLE) FROM tasks) AS d,
   (SELECT (avg(k) FILTER (r <= 3) - avg(k) FILTER (r > 3)) / avg(k) FILTER (r > 3) FROM s) AS p, (SELECT 2 * sum(i * x) / (max(n) * sum(x)) - (max(n) + 1.0) / max(n) FROM ci) AS g)
 SELECT round(a, 6) AS spi_last, round(t, 6) AS spi_trend, round(d, 6) AS overdue_rate, round(p, 6) AS creep, round(g, 6) AS gini,
-round(100 / (1 + exp(-(-1.5 * (1 - a) - d - 0.5 * greatest(p, 0) - 0.3 * g + 0.8 * t))), 4) AS score FROM o""")
+round(100 / (1 + exp(-(-1.5 * (1 - a) - d - 0.5 * greatest(p, 0) - 0.3 * g + 0.8 * t))), 4) AS score, CASE WHEN 100 / (1 + exp(-(-1.5 * (1 - a) - d - 0.5 * greatest(p, 0) - 0.3 * g + 0.8 * t))) >= 70 THEN 'Low' WHEN 100 / (1 + exp(-(-1.5 * (1 - a) - d - 0.5 * greatest(p, 0) - 0.3 * g + 0.8 * t))) >= 40 THEN 'Medium' ELSE 'High' END AS level FROM o""")
 def risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = order_tasks(spark, sf_dir)
+    t = cut(order_tasks(spark, sf_dir, "project", "assignees", "effort", "planned", "cost", "week", "status"), "tasks")
     return r9(r9(flow.risk(flow.earned_value(t), t, people.contribution(t)), "spi_last", "spi_trend", "overdue_rate", "creep", "gini"), "score", digits=4)
 
 

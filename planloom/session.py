@@ -92,6 +92,32 @@ class Scratch:
         self.tables = []
 
 
+class Rounds:
+    """A table written in rounds: each round's rows are written once and all are read as one table, however many rounds there are."""
+
+    def __init__(self, spark: SparkSession, name: str = "rounds") -> None:
+        self.spark, self.path, self.n = spark, f"{shared_dir(spark)}/planloom/{name}-{uuid.uuid4().hex[:12]}", 0
+        self.schema = None
+
+    def add(self, df: DataFrame) -> DataFrame:
+        """Write df and give it back as read."""
+        path = f"{self.path}/r{self.n}"
+        df.write.parquet(path)
+        if self.schema is None:
+            fs, p = _file_system(self.spark, self.path)
+            fs.deleteOnExit(p)
+            self.schema = df.schema
+        self.n += 1
+        return self.spark.read.schema(self.schema).parquet(path)
+
+    def all(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(f"{self.path}/*")
+
+    def drop(self) -> None:
+        fs, p = _file_system(self.spark, self.path)
+        fs.delete(p, True)
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over as many partitions as the session has cores, where its scan has fewer; large inputs stay as they are."""
     cores = df.sparkSession.sparkContext.defaultParallelism

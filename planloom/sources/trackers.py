@@ -7,22 +7,26 @@ are small by format (2^20 rows), are opened by one task.
 
 from __future__ import annotations
 
-import os
+import io
+import json
 import re
-import shutil
 import sys
-import tempfile
+import urllib.parse
 import urllib.request
+import uuid
 import xml.etree.ElementTree as ET
 import zipfile
 from collections.abc import Iterator
+from itertools import islice
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from planloom.functions.text import to_number
+from planloom.functions.text import fill_forward, to_number
 from planloom.operators.forecast import uniform
+from planloom.session import shared_dir
 
 # Header hints of the roles of columns, and the aliases of the older schema.
 HINTS: dict[str, tuple[str, ...]] = {
@@ -59,26 +63,32 @@ def sheet_export_url(url: str) -> str:
     return f"https://docs.google.com/spreadsheets/d/{m.group(1)}/export?format=csv&gid={gid[-1]}"
 
 
-def _local(path: str) -> str:
-    """A path Spark can read: stdin ('-') and web addresses are copied to a temporary file first."""
+def _shared(spark: SparkSession, path: str, suffix: str = ".csv") -> str:
+    """A path all executors can read: stdin ('-') and what a web address holds is first copied to the shared folder."""
     if path != "-" and not path.startswith(("http://", "https://")):
         return path
-    fd, name = tempfile.mkstemp(suffix=".csv")
-    with os.fdopen(fd, "wb") as out:
-        if path == "-":
-            shutil.copyfileobj(sys.stdin.buffer, out)
-        else:
-            with urllib.request.urlopen(sheet_export_url(path), timeout=60) as r:  # noqa: S310
-                shutil.copyfileobj(r, out)
+    name = f"{shared_dir(spark)}/planloom/source-{uuid.uuid4().hex[:12]}{suffix}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(name)
+    fs = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = fs.create(target)
+    try:
+        with sys.stdin.buffer if path == "-" else urllib.request.urlopen(path, timeout=60) as r:  # noqa: S310
+            while chunk := r.read(1 << 20):
+                out.write(bytearray(chunk))
+    finally:
+        out.close()
+    fs.deleteOnExit(target)
     return name
 
 
-def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8") -> DataFrame:
-    """All columns as text, with row_id in file order."""
-    df = spark.read.csv(_local(path), sep=sep, encoding=encoding, header=True, multiLine=True, escape='"', ignoreLeadingWhiteSpace=False)
-    bom = [c for c in df.columns if c.startswith("﻿")]
+def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", multi_line: bool = True) -> DataFrame:
+    """All columns as text, with row_id in file order.
+
+    Quoted line breaks make a file one task; `multi_line=False` reads large files without them in parallel splits."""
+    df = spark.read.csv(_shared(spark, sheet_export_url(path)), sep=sep, encoding=encoding, header=True, multiLine=multi_line, escape='"', ignoreLeadingWhiteSpace=False)
+    bom = [c for c in df.columns if c.startswith("\ufeff")]
     for c in bom:
-        df = df.withColumnRenamed(c, c.lstrip("﻿"))
+        df = df.withColumnRenamed(c, c.lstrip("\ufeff"))
     return df.withColumn("row_id", F.monotonically_increasing_id())
 
 
@@ -134,19 +144,6 @@ def map_schema(df: DataFrame, order: str = "row_id", today: str | None = None) -
     return fill_forward(d, "__d", order).withColumn("Week", week_text(F.coalesce("__d", now))).drop("__d")
 
 
-def fill_forward(df: DataFrame, column: str, order: str, parts: int = 512) -> DataFrame:
-    """column with gaps filled by the last value before, in row order; first within ranges of rows, then over the ranges' last values."""
-    from pyspark.sql import Window as W
-
-    flags = df.agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
-    size = F.greatest(F.floor((F.col("__hi") - F.col("__lo") + 1) / parts), F.lit(1))
-    d = df.join(F.broadcast(flags)).withColumn("__part", F.floor((F.col(order) - F.col("__lo")) / size))
-    ends = d.groupBy("__part").agg(F.max_by(column, F.when(F.col(column).isNotNull(), F.col(order))).alias("__last"))
-    ends = ends.select("__part", F.last("__last", ignorenulls=True).over(W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)).alias("__before"))
-    inner = F.last(column, ignorenulls=True).over(W.partitionBy("__part").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow))
-    return d.withColumn("__own", inner).join(F.broadcast(ends), "__part").withColumn(column, F.coalesce("__own", "__before")).select(*df.columns)
-
-
 # Worksheets
 
 
@@ -154,16 +151,19 @@ _NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
 _REL = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
 
 
-def workbook_cells(path: str) -> Iterator[tuple[str, int, list[str | None]]]:
-    """(sheet, row from 0, cells as text) of an .xlsx file."""
-    with zipfile.ZipFile(path) as z:
+CELLS = "path string, sheet string, row_idx int, cells array<string>, sheet_idx int"
+
+
+def workbook_cells(content: bytes) -> Iterator[tuple[str, int, list[str | None], int]]:
+    """(sheet, row from 0, cells as text, place of the sheet in the workbook) of an .xlsx file's content."""
+    with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
         strings: list[str] = []
         if "xl/sharedStrings.xml" in names:
             for si in ET.parse(z.open("xl/sharedStrings.xml")).getroot().findall("m:si", _NS):
                 strings.append("".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")))
         rels = {r.get("Id"): r.get("Target") for r in ET.parse(z.open("xl/_rels/workbook.xml.rels")).getroot()}
-        for sheet in ET.parse(z.open("xl/workbook.xml")).getroot().find("m:sheets", _NS):
+        for place, sheet in enumerate(ET.parse(z.open("xl/workbook.xml")).getroot().find("m:sheets", _NS)):
             target = rels[sheet.get(_REL)].lstrip("/")
             target = target if target.startswith("xl/") else f"xl/{target}"
             for _, row in ET.iterparse(z.open(target)):
@@ -182,7 +182,7 @@ def workbook_cells(path: str) -> Iterator[tuple[str, int, list[str | None]]]:
                         if kind == "s" and value is not None:
                             value = strings[int(value)]
                     cells.append(value)
-                yield sheet.get("name"), int(row.get("r") or 1) - 1, cells
+                yield sheet.get("name"), int(row.get("r") or 1) - 1, cells, place
                 row.clear()
 
 
@@ -193,37 +193,73 @@ def _column(letters: str) -> int:
     return n - 1
 
 
-class _WorkbookReader(DataSourceReader):
-    def __init__(self, paths: list[str]) -> None:
-        self.paths = paths
+def read_workbook(spark: SparkSession, *paths: str) -> DataFrame:
+    """The raw cells of .xlsx files on any file system Spark reads, one task for each file."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for path, content in zip(b["path"], b["content"]):
+                rows = ((path, *r) for r in workbook_cells(content))
+                while part := list(islice(rows, 10_000)):
+                    yield pd.DataFrame(part, columns=["path", "sheet", "row_idx", "cells", "sheet_idx"])
+
+    return spark.read.format("binaryFile").load(list(paths)).select("path", "content").mapInPandas(run, CELLS)
+
+
+# Shared sheets through their service's interface
+
+
+def _get(url: str, token: str) -> dict:
+    request = urllib.request.Request(url, headers={"Authorization": f"Bearer {token}"} if token else {})
+    with urllib.request.urlopen(request, timeout=60) as r:  # noqa: S310
+        return json.load(r)
+
+
+class _SheetReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]) -> None:
+        self.id, self.tab, self.token = options["id"], options.get("tab"), options.get("token", "")
+        self.base = options.get("endpoint", "https://sheets.googleapis.com").rstrip("/") + f"/v4/spreadsheets/{self.id}"
 
     def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.paths]
+        tabs = [s["properties"]["title"] for s in _get(f"{self.base}?fields=sheets.properties.title", self.token)["sheets"]]
+        return [InputPartition((k, t)) for k, t in enumerate(tabs) if self.tab in (None, t)]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for sheet, row, cells in workbook_cells(partition.value):
-            yield partition.value, sheet, row, cells
-
+        place, tab = partition.value
+        rows = _get(f"{self.base}/values/{urllib.parse.quote(tab, safe='')}", self.token).get("values", [])
+        for k, row in enumerate(rows):
+            yield self.id, tab, k, [None if c is None else str(c) for c in row], place
 
-class WorkbookSource(DataSource):
-    """Data source 'workbook': the raw cells of .xlsx files, one task for each file.
 
-    spark.dataSource.register(WorkbookSource); spark.read.format("workbook").option("path", "a.xlsx,b.xlsx").load()"""
+class SheetSource(DataSource):
+    """Data source 'sheet': the raw cells of a shared sheet, one task for each tab. Options: id, tab (none: all), token, endpoint."""
 
     @classmethod
     def name(cls) -> str:
-        return "workbook"
+        return "sheet"
 
     def schema(self) -> str:
-        return "path string, sheet string, row_idx int, cells array<string>"
+        return CELLS
 
     def reader(self, schema) -> DataSourceReader:  # noqa: ANN001
-        return _WorkbookReader([p for p in self.options["path"].split(",") if p])
+        return _SheetReader(dict(self.options))
 
 
-def read_workbook(spark: SparkSession, *paths: str) -> DataFrame:
-    spark.dataSource.register(WorkbookSource)
-    return spark.read.format("workbook").option("path", ",".join(paths)).load()
+def read_sheet(spark: SparkSession, sheet_id: str, tab: str | None = None, token: str = "", endpoint: str | None = None) -> DataFrame:
+    """The table of a shared sheet's tab under its detected header; without a tab, of the one that scores best, the first of equals."""
+    spark.dataSource.register(SheetSource)
+    options = {"id": sheet_id, "token": token} | ({"tab": tab} if tab else {}) | ({"endpoint": endpoint} if endpoint else {})
+    cells = spark.read.format("sheet").options(**options).load()
+    best = best_tab(cells).first()
+    if best is None:
+        raise ValueError("the sheet has no such tab with rows")
+    return sheet_table(cells, sheet_id, best.sheet, best.header_row)
+
+
+def best_tab(cells: DataFrame) -> DataFrame:
+    """The one row (path, sheet, header_row, sheet_score) of the tab with the best sheet_score, the first of equals."""
+    place = cells.groupBy("path", "sheet").agg(F.min("sheet_idx").alias("place"))
+    return sheet_scores(cells, detect_headers(cells)).join(place, ["path", "sheet"]).orderBy(F.desc("sheet_score"), "place").limit(1).drop("place")
 
 
 def header_score(cells: Column) -> Column:
@@ -270,6 +306,21 @@ def sheet_scores(cells: DataFrame, headers: DataFrame) -> DataFrame:
     return headers.join(n, ["path", "sheet"], "left").select("path", "sheet", "header_row", (F.col("score") + F.floor(F.least(F.coalesce("n", F.lit(0)), F.lit(200)) / 10)).alias("sheet_score"))
 
 
+# Words in the title of a sheet of tasks.
+TITLE_HINTS = ("timeline", "task", "nhiệm vụ", "project", "dự án", "du an", "work", "backlog", "week", "sprint")
+_ROLES_OF_SHEETS = ("task", "assignee", "week", "status", "planned", "project", "cost")
+
+
+def title_scores(cells: DataFrame) -> DataFrame:
+    """(path, sheet, place, sheet_score): 2 for a title with a hint, half a point for each hint that each of the first 8 rows contains."""
+    hints = [h for r in _ROLES_OF_SHEETS for h in HINTS[r]]
+    row = F.lower(F.array_join(F.transform("cells", lambda x: F.coalesce(x, F.lit(""))), " "))
+    points = F.when(F.col("row_idx") < 8, sum((F.col("__row").contains(h).cast("int") for h in hints), F.lit(0)) * 0.5).otherwise(0.0)
+    by = cells.withColumn("__row", row).groupBy("path", "sheet").agg(F.min("sheet_idx").alias("place"), F.sum(points).alias("p"))
+    titled = F.greatest(*[F.lower("sheet").contains(h).cast("int") for h in TITLE_HINTS]) * 2.0
+    return by.select("path", "sheet", "place", (F.col("p") + titled).alias("sheet_score"))
+
+
 def sheet_table(cells: DataFrame, path: str, sheet: str, header_row: int) -> DataFrame:
     """One sheet as a table of text columns named by its header row; blank names are col_i, blank rows are dropped."""
     one = cells.where((F.col("path") == path) & (F.col("sheet") == sheet))
@@ -285,20 +336,29 @@ def sheet_table(cells: DataFrame, path: str, sheet: str, header_row: int) -> Dat
     return body.select(F.col("row_idx").cast("long").alias("row_id"), *[F.try_element_at("cells", F.lit(i + 1)).alias(n) for i, n in enumerate(names)])
 
 
+def workbook_url(url: str) -> str:
+    """The address of a shared sheet's whole workbook as .xlsx; other addresses as they are."""
+    m = re.search(r"/spreadsheets/d/([^/]+)/", url)
+    return f"https://docs.google.com/spreadsheets/d/{m.group(1)}/export?format=xlsx" if m and "docs.google.com/spreadsheets" in url else url
+
+
 def ingest_workbook(spark: SparkSession, path: str, sheet: str | None = None) -> DataFrame:
-    """The task table of a workbook: the named sheet, else the one that scores best (the first of equals)."""
-    cells = read_workbook(spark, path)
-    best = sheet_scores(cells, find_headers(cells))
-    chosen = (best.where(F.col("sheet") == sheet) if sheet else best).orderBy(F.desc("sheet_score"), "sheet").first()
-    if chosen is None:
-        raise ValueError("the workbook has no such sheet with rows")
-    return sheet_table(cells, path, chosen.sheet, chosen.header_row)
+    """The task table of a workbook (a file or a web address): the named sheet, else the one with the best title_scores, the first of equals."""
+    file = _shared(spark, workbook_url(path), ".xlsx")
+    cells = read_workbook(spark, file)
+    scored = title_scores(cells)
+    named = scored.where(F.col("sheet") == sheet).first() if sheet else None
+    chosen = named or scored.orderBy(F.desc("sheet_score"), "place").first()
+    header = chosen and find_headers(cells.where(F.col("sheet") == chosen.sheet)).first()
+    if not header:
+        raise ValueError("the workbook has no sheet with rows")
+    return sheet_table(cells, header.path, chosen.sheet, header.header_row)
 
 
 def synthetic(spark: SparkSession, n_tasks: int = 200, seed: int = 42, anchor: str = "2024-01-01") -> DataFrame:
     """Generated tasks in the older schema; every value hangs on the task's number and the seed only."""
-    members = ["Alice Nguyen", "A. Nguyen", "Bob Tran", "Charlie Pham", "Duc Le", "Minh Vo"]
-    skills = ["backend api", "database sql", "react ui", "android kotlin", "devops docker", "ml nlp", "ux design", "scrum sprint"]
+    members = ["Ines Faber", "I. Faber", "Jonas Reiter", "Kaya Demir", "Lotte Brandt", "Milan Horvat"]
+    topics = ["sql report", "rest gateway", "react form", "kotlin screen", "terraform module", "nlp labels", "figma sketch", "sprint board"]
     u = lambda k: uniform(F.concat_ws("-", F.lit(str(seed)), F.col("id").cast("string"), F.lit(k)))
     of = lambda values, x: F.element_at(F.array(*map(F.lit, values)), (F.floor(x * len(values)) + 1).cast("int"))
     size = F.when(u("n") < 0.7, 1).when(u("n") < 0.95, 2).otherwise(3)
@@ -309,7 +369,7 @@ def synthetic(spark: SparkSession, n_tasks: int = 200, seed: int = 42, anchor: s
     t = t.withColumn("actual", F.when(F.col("Status") == "Completed", F.col("plan") * (0.7 + 0.6 * u("a"))).otherwise(0.0))
     monday = F.date_sub(F.date_trunc("week", F.lit(anchor).cast("timestamp")).cast("date"), (F.floor(u("w") * 21) * 7).cast("int"))
     return t.select(
-        F.col("id").alias("row_id"), F.concat(F.lit("T"), "id").alias("Task"), of(["Apollo", "Zephyr"], u("j")).alias("Project"), F.concat(F.lit("Task "), "id", F.lit(": "), of(skills, u("k")), F.lit("; build/bugfix/feature")).alias("Description"),
+        F.col("id").alias("row_id"), F.concat(F.lit("T"), "id").alias("Task"), of(["Harbour", "Lantern"], u("j")).alias("Project"), F.concat(F.lit("Piece "), "id", F.lit(" of the "), of(topics, u("k"))).alias("Description"),
         F.concat_ws("; ", F.transform(F.slice(ranked, F.lit(1), size), lambda x: x["m"])).alias("Assignees"), "Status", week_text(monday.cast("timestamp")).alias("Week"),
         F.col("plan").alias("Planned_Effort"), F.col("actual").alias("Actual_Effort"), (F.col("actual") * (5 + 10 * u("c"))).alias("Cost"),
     )

@@ -123,7 +123,10 @@ def test_sinks(spark, tmp_path):
     raw = (tmp_path / "x.csv").read_bytes()
     assert raw.startswith(b"\xef\xbb\xbf") and "ü".encode() in raw
     report.write_json(df, str(tmp_path / "x.json"))
-    report.stage(df.drop("l"), str(tmp_path / "s"))
+    report.stage(df.withColumn("t", F.lit("a<b")), str(tmp_path / "s"), {"sheet": "Plan"})
+    assert sorted(p.name for p in (tmp_path / "s").iterdir() if not p.name.startswith(".")) == ["diagnostics.csv", "diagnostics.json", "external_input.csv", "external_input.xlsx", "preview.html", "raw_snapshot.csv"]
+    back = trackers.ingest_workbook(spark, str(tmp_path / "s/external_input.xlsx"))
+    assert [(r.i, r.t) for r in back.orderBy("row_id").collect()] == [("1", "a<b"), ("2", "a<b")]
     assert report.safe_name("a/b:c.txt") == "abc.txt"
 
 
@@ -160,3 +163,64 @@ def test_build_without_hints(spark):
     got = {r.row_id: r for r in ingest.build_tasks(raw, "S", merge=False).collect()}
     assert [got[i].week for i in (0, 2, 3, 9)] == [1, 1, 2, 2] and got[1].completion_status == "Completed" and got[0].completion_status == "Not Started"
     assert got[0].actual_cost == got[0].effort_score * 150
+
+
+def test_sheet_choice(spark, tmp_path):
+    """By title and hints of the first rows, the first of equals; an unknown name falls back to that."""
+    p = str(tmp_path / "c.xlsx")
+    workbook(p, {"Notes": [["a", "b", "c"]] * 40, "Sprint": [["x"], ["Task", "Owner"], ["Do", "Ann"]], "Backlog": [["x"], ["Task", "Owner"], ["Else", "Bo"]]})
+    assert [r.Task for r in trackers.ingest_workbook(spark, p).collect()] == ["Do"]
+    assert [r.Task for r in trackers.ingest_workbook(spark, p, "Backlog").collect()] == ["Else"]
+    assert [r.Task for r in trackers.ingest_workbook(spark, p, "nowhere").collect()] == ["Do"]
+    assert trackers.workbook_url("https://docs.google.com/spreadsheets/d/ab1/edit#gid=3") == "https://docs.google.com/spreadsheets/d/ab1/export?format=xlsx" and trackers.workbook_url("p.xlsx") == "p.xlsx"
+
+
+@pytest.fixture
+def service(tmp_path):
+    """A local server with a workbook and a sheet service."""
+    import http.server
+    import json
+    import threading
+    import urllib.parse
+
+    p = tmp_path / "w.xlsx"
+    workbook(str(p), {"Tasks": [["Task", "Owner"], ["Do", "Ann"]]})
+    tabs = {"Notes": [["hello"]], "My plan": [["Plan"], ["Task", "Project", "Assignees", "Status"], ["Do", "P", "Ann", "done"], ["Else", "P"]]}
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            path = urllib.parse.urlparse(self.path).path
+            if path == "/w.xlsx":
+                body = p.read_bytes()
+            elif path == "/v4/spreadsheets/S":
+                body = json.dumps({"sheets": [{"properties": {"title": t}} for t in tabs]}).encode()
+            else:
+                body = json.dumps({"values": tabs[urllib.parse.unquote(path.rsplit("/", 1)[1])]}).encode()
+            self.send_response(200 if self.headers.get("Authorization") == "Bearer k" or path == "/w.xlsx" else 403)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.ThreadingHTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    yield f"http://127.0.0.1:{server.server_port}"
+    server.shutdown()
+
+
+def test_from_the_web(spark, service):
+    assert [(r.Task, r.Owner) for r in trackers.ingest_workbook(spark, f"{service}/w.xlsx").collect()] == [("Do", "Ann")]
+    t = trackers.read_sheet(spark, "S", token="k", endpoint=service)
+    assert [(r.Task, r.Project, r.Status) for r in t.orderBy("row_id").collect()] == [("Do", "P", "done"), ("Else", "P", None)]
+    assert [r.hello for r in trackers.read_sheet(spark, "S", "Notes", "k", service).collect()] == []
+
+
+def test_failures_are_told(spark, tmp_path):
+    from planloom.plans import pipeline
+
+    good = spark.createDataFrame([(1,)], "i int")
+    bad = good.select(F.raise_error(F.lit("no")).alias("x"))
+    failed = pipeline.write({"a": good, "b": bad}, str(tmp_path))
+    assert len(failed) == 1 and failed[0].startswith("b:") and (tmp_path / "a.csv").exists() and (tmp_path / "failed.txt").exists()
+    assert pipeline.write({"07_cpm": good}, str(tmp_path)) == [] and (tmp_path / "07_cpm").is_dir()

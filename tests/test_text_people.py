@@ -56,7 +56,38 @@ def test_names(spark):
     n = spark.createDataFrame([("Alice Nguyen",), ("Alice Nguyn",), ("Bob Tran",), (None,), (" ",)], "n string")
     got = {r.name: r.canonical for r in similarity.greedy_groups(n, "n").collect()}
     assert got == {"Alice Nguyen": "Alice Nguyn", "Alice Nguyn": "Alice Nguyn", "Bob Tran": "Bob Tran"}
-    assert similarity.sequence_groups(["Alice Nguyen", "Alice Nguyn", "Bob"]) == {"Alice Nguyen": "Alice Nguyen", "Alice Nguyn": "Alice Nguyen", "Bob": "Bob"}
+
+
+def test_link_entities(spark):
+    """Against the groups taken one after the other."""
+    import difflib
+    import random
+
+    rng = random.Random(5)
+    people = ["Alice Nguyen", "Đặng Thu", "Bob Lund", "Bo", "Maria de la Cruz", "???", "!!"]
+
+    def typed():
+        n = list(rng.choice(people))
+        if rng.random() < 0.5:
+            n.insert(rng.randrange(len(n) + 1), rng.choice("aenx"))
+        return "".join(n)
+
+    rows = [(i, "; ".join(typed() for _ in range(rng.randrange(4)))) for i in range(60)] + [(60, None), (61, " ;; "), (62, "Alice Nguyen / Alice Nguyn, Bob")]
+    groups: list[tuple[str, list[str]]] = []
+    lists = {i: [x.strip() for x in (s or "").replace("/", ";").replace(",", ";").split(";") if x.strip()] for i, s in rows}
+    for n in dict.fromkeys(x for i in sorted(lists) for x in lists[i]):
+        k = similarity.bare(n)
+        for first, members in groups:
+            if difflib.SequenceMatcher(None, k, first).ratio() >= 0.92:
+                members.append(n)
+                break
+        else:
+            groups.append((k, [n]))
+    canonical = {m: min(ms, key=lambda x: (-len(x), x)) for _, ms in groups for m in ms}
+    df = spark.createDataFrame(rows, "row_id long, people string")
+    got = {r.row_id: r for r in similarity.link_entities(df, "people", "row_id").collect()}
+    assert {i: r.assignees_list for i, r in got.items()} == {i: [canonical[x] for x in v] for i, v in lists.items()}
+    assert got[60].assigned_member == "" and got[62].assigned_member == canonical["Alice Nguyen"]
 
 
 def test_similar_pairs_lose_none(spark):
