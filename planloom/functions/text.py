@@ -90,7 +90,7 @@ def split_people(c: Column, signs: str = r"[+;,/|&]+") -> Column:
 def list_of(c: Column) -> Column:
     """A packed list: JSON where it begins with '[' (unreadable: empty), else split at signs."""
     s = F.trim(F.coalesce(c, F.lit("")))
-    as_json = F.coalesce(F.from_json(s, "array<string>"), F.array().cast("array<string>"))
+    as_json = F.coalesce(F.from_json(s, "array<string>", {"allowSingleQuotes": "false"}), F.array().cast("array<string>"))
     return F.when(s.startswith("["), as_json).otherwise(split_people(c))
 
 
