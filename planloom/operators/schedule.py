@@ -1,9 +1,9 @@
 """Critical path over a dependency graph, with circles laid out one task after the other.
 
-Chains (tasks with one predecessor whose only successor they are) are contracted first, by pointer
-doubling, so a chain of n tasks takes log2(n) rounds. Then frontiers advance over what is left: a
-round settles every chain whose predecessors are settled. Each round's rows are written once, no
-component is gathered, and what a result no longer reads is deleted.
+Tasks with one predecessor hang from it, so the graph falls into trees whose heads have none or
+several. Within trees everything is found by pointer doubling, in log2(depth) rounds; only between
+heads do frontiers advance, a round settling every head whose predecessors are settled. Each
+round's rows are written once, no component is gathered, and what a result no longer reads is deleted.
 
 Defined results
 - tasks without a duration take 0; negative ones 0. A task in several rows: its last row.
@@ -37,60 +37,83 @@ def graph(tasks: DataFrame, deps: DataFrame) -> tuple[DataFrame, DataFrame]:
     return nodes, cut(edges, "edges")
 
 
-def _contracted(nodes: DataFrame, edges: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, head, upto): each task's chain, named by its first task, and the durations from there to it inclusive.
-
-    Tasks of a circle that is one closed chain have no first task and are left out."""
-    single_out = edges.groupBy("a").agg(F.max("b").alias("b"), F.count(F.lit(1)).alias("n")).where("n = 1")
-    single_in = edges.groupBy("b").agg(F.count(F.lit(1)).alias("m")).where("m = 1")
-    link = single_out.join(single_in, "b").select(F.col("b").alias("id"), F.col("a").alias("head"))
-    linked = scratch.cut(nodes.join(link, "id", "left").select("id", "dur", "head"), "links")
-    done = Rounds(nodes.sparkSession, "chains")
-    done.add(linked.where(F.col("head").isNull()).select("id", F.col("id").alias("head"), F.col("dur").alias("upto")))
-    waiting = linked.where(F.col("head").isNotNull()).select("id", "head", F.col("dur").alias("upto"))
-    left = waiting.count()
-    for _ in range(64):
-        if not left:
-            break
-        known = done.all().withColumn("fixed", F.lit(True)).unionByName(waiting.withColumn("fixed", F.lit(False)))
-        ahead = known.select(F.col("id").alias("head"), F.col("head").alias("head2"), F.col("upto").alias("upto2"), "fixed")
-        moved = scratch.cut(waiting.join(ahead, "head").select("id", F.col("head2").alias("head"), (F.col("upto") + F.col("upto2")).alias("upto"), "fixed"), "links")
-        done.add(moved.where("fixed").drop("fixed"))
-        waiting = moved.where("not fixed").drop("fixed")
-        now = waiting.count()
-        if now == left:  # only closed chains are left
-            break
-        left = now
-    out = scratch.cut(done.all(), "chained")
-    done.drop()
-    return out
-
-
-def _longest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, end): longest sum of durations ending with the task; tasks on or behind a circle are missing.
-
-    edges has columns a -> b; a chain is settled when all the a's of its head are."""
-    scratch = Scratch()
-    chain = _contracted(nodes, edges, scratch)
-    whole = chain.groupBy("head").agg(F.max("upto").alias("dur"))
-    of_a, of_b = chain.select(F.col("id").alias("a"), F.col("head").alias("ha")), chain.select(F.col("id").alias("b"), F.col("head").alias("hb"))
-    # the links inside a chain are all edges that end elsewhere than at a head
-    outer = scratch.cut(edges.join(of_a, "a", "left").join(of_b, "b", "left").where(F.col("b") == F.coalesce("hb", "b")).select(F.coalesce("ha", "a").alias("a"), "b"), "outer")
-    need = outer.groupBy(F.col("b").alias("id")).agg(F.count(F.lit(1)).alias("need"))
-    todo = scratch.cut(whole.select(F.col("head").alias("id"), "dur").join(need, "id"), "need")
-    fronts = Rounds(nodes.sparkSession, "fronts")
-    frontier = fronts.add(whole.select(F.col("head").alias("id"), F.lit(0.0).alias("start"), "dur").join(need.select("id"), "id", "left_anti"))
+class _Trees:
+    """A graph as trees of tasks with one predecessor each.
+
+    chain: (id, dur, head, upto), upto being the durations from the head to the task inclusive; linked:
+    (id, dur, head) with the direct predecessor as head, null for heads; caught: (id, up) of the tasks
+    whose predecessors run into a circle that nothing else enters, or None; arcs: (a, b, ha, upto), the
+    dependencies that end at heads."""
+
+    def __init__(self, nodes: DataFrame, edges: DataFrame) -> None:
+        self.nodes, self.scratch = nodes, Scratch()
+        cut_ = self.scratch.cut
+        single = edges.groupBy("id").agg(F.max("pred").alias("head"), F.count(F.lit(1)).alias("n")).where("n = 1")
+        self.linked = cut_(nodes.join(single.select("id", "head"), "id", "left").select("id", "dur", "head"), "links")
+        done = Rounds(nodes.sparkSession, "trees")
+        done.add(self.linked.where(F.col("head").isNull()).select("id", F.col("id").alias("head"), F.col("dur").alias("upto")))
+        waiting = self.linked.where(F.col("head").isNotNull()).select("id", "head", F.col("dur").alias("upto"))
+        left = waiting.count()
+        while left:
+            known = done.all().withColumn("fixed", F.lit(True)).unionByName(waiting.withColumn("fixed", F.lit(False)))
+            ahead = known.select(F.col("id").alias("head"), F.col("head").alias("head2"), F.col("upto").alias("upto2"), "fixed")
+            moved = cut_(waiting.join(ahead, "head").select("id", F.col("head2").alias("head"), (F.col("upto") + F.col("upto2")).alias("upto"), "fixed"), "links")
+            done.add(moved.where("fixed").drop("fixed"))
+            waiting = moved.where("not fixed").drop("fixed")
+            now = waiting.count()
+            if now == left:  # all that is left runs into closed circles
+                break
+            left = now
+        self.chain = cut_(done.all().join(nodes.select("id", "dur"), "id"), "chain")
+        done.drop()
+        self.caught = waiting.select("id", F.col("head").alias("up")) if left else None
+        heads = self.linked.where(F.col("head").isNull()).select(F.col("id").alias("b"))
+        of_a = self.chain.select(F.col("id").alias("a"), F.col("head").alias("ha"), "upto")
+        self.arcs = cut_(edges.select(F.col("pred").alias("a"), F.col("id").alias("b")).join(heads, "b").join(of_a, "a", "left"), "arcs")
+
+    def starts(self) -> DataFrame:
+        """(id, value): when the heads that are on or behind no circle can start."""
+        base = self.chain.where("id = head").select("id", F.lit(0.0).alias("base"))
+        return _fronts(base, self.arcs.select(F.coalesce("ha", "a").alias("a"), "b", F.coalesce("upto", F.lit(0.0)).alias("w")))
+
+    def tails(self) -> DataFrame:
+        """(id, value): the longest sum of durations from a head on, of heads ahead of no circle."""
+        base = self.chain.groupBy(F.col("head").alias("id")).agg(F.max("upto").alias("base"))
+        return _fronts(base, self.arcs.where(F.col("ha").isNotNull()).select(F.col("b").alias("a"), F.col("ha").alias("b"), F.col("upto").alias("w")))
+
+    def whole_tails(self, tails: DataFrame) -> DataFrame:
+        """(id, tail) of every task of a graph without circles: its subtree's farthest end, trees beyond included."""
+        beyond = self.arcs.join(tails.select(F.col("id").alias("b"), "value"), "b").groupBy(F.col("a").alias("id")).agg(F.max("value").alias("ext"))
+        far = self.scratch.cut(self.chain.join(beyond, "id", "left").select("id", (F.col("upto") + F.coalesce("ext", F.lit(0.0))).alias("m")), "far")
+        climbing = self.scratch.cut(self.linked.where(F.col("head").isNotNull()).select("id", F.col("head").alias("up")).join(far, "id"), "climbing")
+        gains = Rounds(self.nodes.sparkSession, "far")
+        gains.add(far)
+        while not climbing.isEmpty():
+            gain = gains.add(climbing.groupBy(F.col("up").alias("id")).agg(F.max("m").alias("m")))
+            further = climbing.join(climbing.select(F.col("id").alias("up"), F.col("up").alias("up2")), "up").select("id", F.col("up2").alias("up"), "m")
+            climbing = self.scratch.cut(further.join(gain.withColumnRenamed("m", "g"), "id", "left").select("id", "up", F.greatest("m", F.coalesce("g", "m")).alias("m")), "climbing")
+        most = gains.all().groupBy("id").agg(F.max("m").alias("m"))
+        out = cut(self.chain.join(most, "id").select("id", (F.col("dur") - F.col("upto") + F.col("m")).alias("tail")), "tails")
+        gains.drop()
+        return out
+
+
+def _fronts(base: DataFrame, arcs: DataFrame) -> DataFrame:
+    """(id, value): the greatest of a head's base and value(a) + w over the arcs a -> b = id; heads on or behind a circle are missing."""
+    scratch, fronts = Scratch(), Rounds(base.sparkSession, "fronts")
+    arcs = scratch.cut(arcs.groupBy("a", "b").agg(F.max("w").alias("w")), "arcs")
+    need = arcs.groupBy(F.col("b").alias("id")).agg(F.count(F.lit(1)).alias("need"))
+    todo = scratch.cut(base.join(need, "id"), "need")
+    frontier = fronts.add(base.join(need.select("id"), "id", "left_anti").select("id", F.col("base").alias("value")))
     waiting = None
     while not frontier.isEmpty():
-        step = frontier.join(outer, F.col("id") == F.col("a")).groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("start") + F.col("dur")).alias("top"))
+        step = frontier.join(arcs, F.col("id") == F.col("a")).groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("value") + F.col("w")).alias("top"))
         merged = step if waiting is None else step.unionByName(waiting).groupBy("b").agg(F.sum("n").alias("n"), F.max("top").alias("top"))
-        merged = cut(merged, "wait")
+        merged = scratch.cut(merged, "wait")
         ready = merged.join(todo, F.col("b") == F.col("id")).where(F.col("n") == F.col("need"))
-        frontier = fronts.add(ready.select("id", F.col("top").alias("start"), "dur"))
-        still = merged.join(frontier.select(F.col("id").alias("b")), "b", "left_anti")
-        waiting = cut(still, "wait")
-        drop_cut(merged)
-    out = cut(chain.join(fronts.all().select(F.col("id").alias("head"), "start"), "head").select("id", (F.col("start") + F.col("upto")).alias("end")), "longest")
+        frontier = fronts.add(ready.select("id", F.greatest("base", "top").alias("value")))
+        waiting = merged.join(frontier.select(F.col("id").alias("b")), "b", "left_anti")
+    out = cut(fronts.all(), "fronts")
     fronts.drop()
     scratch.clear()
     return out
@@ -98,36 +121,75 @@ def _longest(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 def critical_path(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     """(id, es, ef, ls, lf, duration, slack, critical); raises CircularDependency."""
-    nodes, edges = graph(tasks, deps)
-    n = nodes.count()
-    ahead = _longest(nodes, edges.select(F.col("pred").alias("a"), F.col("id").alias("b")))
-    if ahead.count() < n:
-        raise CircularDependency("tasks depend on each other in a circle")
-    return _laid_out(nodes, edges, ahead)
+    return _laid_out(*graph(tasks, deps))
 
 
-def _laid_out(nodes: DataFrame, edges: DataFrame, ahead: DataFrame) -> DataFrame:
-    tail = _longest(nodes, edges.select(F.col("id").alias("a"), F.col("pred").alias("b")))
+def _laid_out(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    trees = _Trees(nodes, edges)
+    starts = None if trees.caught is not None else trees.starts()
+    if starts is None or starts.count() < trees.chain.where("id = head").count():
+        trees.scratch.clear()
+        raise CircularDependency("tasks depend on each other in a circle")
+    tail = trees.whole_tails(trees.tails())
+    ahead = cut(trees.chain.join(starts.select(F.col("id").alias("head"), "value"), "head").select("id", "dur", (F.col("value") + F.col("upto")).alias("end")), "ends")
+    trees.scratch.clear()
+    drop_cut(starts)
     whole = ahead.agg(F.max("end").alias("total"))
-    j = nodes.join(ahead, "id").join(tail.withColumnRenamed("end", "tail"), "id").join(F.broadcast(whole))
+    j = ahead.join(tail, "id").join(F.broadcast(whole))
     ls = F.col("total") - F.col("tail")
-    out = j.select("id", "ordinal", (F.col("end") - F.col("dur")).alias("es"), F.col("end").alias("ef"), ls.alias("ls"), (ls + F.col("dur")).alias("lf"), F.col("dur").alias("duration"))
+    out = j.select("id", (F.col("end") - F.col("dur")).alias("es"), F.col("end").alias("ef"), ls.alias("ls"), (ls + F.col("dur")).alias("lf"), F.col("dur").alias("duration"))
     slack = F.col("ls") - F.col("es")
-    return out.withColumns({"slack": slack, "critical": F.abs(slack) < 1e-9}).drop("ordinal")
+    return out.withColumns({"slack": slack, "critical": F.abs(slack) < 1e-9})
+
+
+def _closed(caught: DataFrame, linked: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, comp): the closed circles among tasks with one predecessor each, named by their largest id.
+
+    Images under more and more steps shrink to the circles; the largest id spreads round them by doubling."""
+    images = -1
+    while True:
+        on = scratch.cut(caught.select("up").distinct(), "images")
+        now = on.count()
+        if now == images:
+            break
+        images = now
+        caught = scratch.cut(caught.join(caught.select(F.col("id").alias("up"), F.col("up").alias("up2")), "up").select("id", F.col("up2").alias("up")), "caught")
+    ring = on.select(F.col("up").alias("id")).join(linked.select("id", "head"), "id").select("id", F.col("head").alias("next"), F.col("id").alias("comp"))
+    while True:
+        ahead = ring.select(F.col("id").alias("next"), F.col("next").alias("next2"), F.col("comp").alias("comp2"))
+        moved = scratch.cut(ring.join(ahead, "next").select("id", F.col("next2").alias("next"), F.greatest("comp", "comp2").alias("comp"), (F.col("comp2") > F.col("comp")).alias("rose")), "ring")
+        ring = moved.drop("rose")
+        if moved.where("rose").isEmpty():
+            return ring.select("id", "comp")
 
 
 def circles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, comp): each task's strongly connected component, named by its largest id.
 
-    Tasks that peel off from either end are components of their own. In the rest the largest id that
-    reaches a task colours it; a colour's component is what reaches its largest id within the colour."""
-    fore = _longest(nodes, edges.select(F.col("pred").alias("a"), F.col("id").alias("b")))
-    back = _longest(nodes, edges.select(F.col("id").alias("a"), F.col("pred").alias("b")))
+    Closed circles of tasks with one predecessor come first. Of the others, trees whose heads peel off
+    from either end hold no circle. In the rest the largest id that reaches a task colours it; a
+    colour's component is what reaches its largest id within the colour."""
+    trees = _Trees(nodes, edges)
     scratch, found = Scratch(), Rounds(nodes.sparkSession, "circles")
-    core = scratch.cut(nodes.select("id").join(fore, "id", "left_anti").join(back, "id", "left_anti"), "core")
-    found.add(nodes.select("id").join(core, "id", "left_anti").select("id", F.col("id").alias("comp")))
+    heads = trees.chain.where("id = head").select("id")
+    open_heads = heads.join(trees.starts(), "id", "left_anti").join(trees.tails(), "id", "left_anti").select(F.col("id").alias("head"))
+    core = scratch.cut(trees.chain.join(open_heads, "head").select("id"), "core")
+    closed = None
+    if trees.caught is not None:
+        closed = found.add(_closed(trees.caught, trees.linked, scratch))
+    alone = nodes.select("id").join(core, "id", "left_anti")
+    found.add((alone if closed is None else alone.join(closed.select("id"), "id", "left_anti")).select("id", F.col("id").alias("comp")))
+    trees.scratch.clear()
     while not core.isEmpty():
         inner = scratch.cut(edges.join(core, "id", "left_semi").join(core.withColumnRenamed("id", "pred"), "pred", "left_semi"), "inner")
+        # what nothing leads to, or what leads nowhere, is on no circle
+        both = inner.select("id").intersect(inner.select(F.col("pred").alias("id")))
+        kept = scratch.cut(core.join(both, "id", "left_semi"), "core")
+        lost = core.join(kept, "id", "left_anti")
+        if not lost.isEmpty():
+            found.add(lost.select("id", F.col("id").alias("comp")))
+            core = kept
+            continue
         colour = scratch.cut(core.select("id", F.col("id").alias("c")), "colour")
         while True:
             top = inner.join(colour.select(F.col("id").alias("pred"), "c"), "pred").groupBy("id").agg(F.max("c").alias("c2"))
@@ -144,8 +206,6 @@ def circles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         found.add(hit.select("id", F.col("c").alias("comp")))
         core = scratch.cut(core.join(hit.select("id"), "id", "left_anti"), "core")
     scratch.clear()
-    drop_cut(fore)
-    drop_cut(back)
     return found.all()
 
 
@@ -160,7 +220,7 @@ def relaxed_path(tasks: DataFrame, deps: DataFrame) -> DataFrame:
     up, down = comp.select(F.col("id").alias("pred"), F.col("comp").alias("cp")), comp.select("id", F.col("comp").alias("ci"))
     between = edges.join(up, "pred").join(down, "id").where("cp <> ci").select(F.col("cp").alias("pred"), F.col("ci").alias("id")).distinct()
     between = cut(between, "between")
-    laid = _laid_out(b, between, _longest(b, between.select(F.col("pred").alias("a"), F.col("id").alias("b"))))
+    laid = _laid_out(b.select("id", "dur"), between)
     order = W.partitionBy("comp").orderBy("ordinal", "id").rowsBetween(W.unboundedPreceding, -1)
     at = j.withColumn("shift", F.coalesce(F.sum("dur").over(order), F.lit(0.0)))
     loops = edges.where("pred = id").select("id", F.lit(True).alias("self"))

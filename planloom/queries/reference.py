@@ -751,7 +751,7 @@ def week_periods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "legacy_tasks").select("row_id", trackers.week_text(F.col("loaded_at")).alias("period"), text.to_number(F.col("week")).alias("number"))
 
 
-@query("""SELECT DISTINCT name, lower(regexp_replace(regexp_replace(strip_accents(trim(name)), '[^\x00-\x7F]', '', 'g'), '\s+', ' ', 'g')) AS plain,
+@query(r"""SELECT DISTINCT name, lower(regexp_replace(regexp_replace(strip_accents(trim(name)), '[^\x00-\x7F]', '', 'g'), '\s+', ' ', 'g')) AS plain,
 regexp_replace(regexp_replace(lower(regexp_replace(regexp_replace(strip_accents(trim(replace(replace(name, 'đ', 'd'), 'Đ', 'D'))), '[^\x00-\x7F]', '', 'g'), '\s+', ' ', 'g')), '[^a-z0-9\s]', '', 'g'), '\s+', ' ', 'g') AS bare
 FROM (SELECT assigned_member AS name FROM external_input UNION SELECT task_leader FROM external_input) WHERE name IS NOT NULL""")
 def name_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
