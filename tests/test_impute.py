@@ -18,9 +18,9 @@ def test_levels(spark):
     ]
     got = fills(spark, rows)
     assert set(got) == {(2, "planned"), (3, "cost"), (6, "planned"), (6, "cost")}
-    assert (got[2, "planned"].filled_value, got[2, "planned"].level, got[2, "planned"].donors) == (10.0, "record", [1])
+    assert (got[2, "planned"].filled_value, got[2, "planned"].level, got[2, "planned"].donors[0]) == (10.0, "record", 1)
     assert got[3, "cost"].level == "group and category" and got[3, "cost"].filled_value in (100.0, 110.0)
-    assert got[6, "cost"].filled_value == 0.0 and got[6, "cost"].level == "group and time"
+    assert got[6, "cost"].filled_value == 0.0 and got[6, "cost"].level == "group and time" and got[2, "planned"].filled_label is None
 
 
 def test_stand_ins(spark):
@@ -44,7 +44,34 @@ def test_no_donor_and_empty(spark):
     assert fills(spark, []) == {}
 
 
-def test_hot_block_is_salted(spark):
+def test_stand_ins_do_not_hang_on_the_number_of_rows(spark):
+    odd = [(9000 + i, f"u{i}", "p", "a", 1, 9999.0, 60.0) for i in range(2)]
+    for n in (997, 999, 1001):
+        df = spark.createDataFrame([(i, f"t{i}", "p", "a", 1, 5.0 + i % 7, 50.0 + i) for i in range(n)] + odd, SCHEMA)
+        assert impute.stand_ins(df, ["planned", "cost"]) == {"planned": [9999.0], "cost": []}
+
+
+def test_fills_do_not_hang_on_cell_rows(spark):
+    """A hot block with many equal values, whole and cut into small cells."""
+    rows = [(i, f"t{i % 700}", f"p{i % 2}", "ab"[i % 3 == 0], i % 9, None if i % 7 == 0 else float(i % 40), None if i % 5 == 0 else float(3 * (i % 40) + i % 3)) for i in range(1, 3000)]
+    whole = fills(spark, rows)
+    for cell_rows in (20, 333):
+        cut = fills(spark, rows, cell_rows=cell_rows)
+        assert {k: (r.filled_value, r.donors, r.level) for k, r in cut.items()} == {k: (r.filled_value, r.donors, r.level) for k, r in whole.items()}
+
+
+def test_mixed_distance_and_majority(spark):
+    """Of equally placed donors the one alike in category and time wins; categorical gaps take the weighted majority."""
+    rows = [(i, f"t{i}", "p", "a" if i % 2 else "b", i % 2, 8.0 + i * 1e-6, 100.0 if i % 2 else 900.0) for i in range(40)] + [(90, "x", "p", "a", 1, 8.0, None)]
+    assert fills(spark, rows)[90, "cost"].filled_value == 100.0
+    rows += [(91, "y", "p", None, 1, 8.0, 100.0), (92, "z", "p", " ", 0, 8.0, 900.0), (93, "t3", "p", None, 1, 8.0, 100.0)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = {r.row_id: r for r in impute.hot_deck(df, "row_id", ["planned", "cost"], "task", "project", "status", "week", labels=["status"], fill=["status"]).collect()}
+    assert {i: (r.field_name, r.filled_label, r.filled_value) for i, r in got.items()} == {91: ("status", "a", None), 92: ("status", "b", None), 93: ("status", "a", None)}
+    assert got[93].level == "record" and len(got[91].donors) == got[91].n_donors
+
+
+def test_hot_block_is_spread(spark):
     rows = [(i, f"t{i}", "p", "a", 1, 8.0, float(i)) for i in range(300)] + [(1000 + i, f"g{i}", "p", "a", 1, 8.0, None) for i in range(30)]
     got = fills(spark, rows, cell_rows=50)
     assert len(got) == 30 and all(r.n_donors >= 1 and r.filled_value is not None for r in got.values())
