@@ -1,19 +1,24 @@
 """Variant spellings of names within a group: sparse cosine joins and average-linkage clustering.
 
 1. Each distinct name of a group becomes a unit vector of weighted character 2- and 3-grams of its
-   folded tokens (nicknames add their long form). Grams fall into 2^16 buckets, so the table of
-   their weights has a fixed bound and is broadcast.
+   folded tokens (nicknames add their long form). Weights come from exact counts of all grams.
 2. A sparse cosine join finds all pairs of a group with cosine >= `cosine`: grams are ordered rarest
    first, and only the prefix is joined whose remainder weighs less than the threshold. The first
    common gram of a pair over the threshold lies in both prefixes, so no pair is lost.
-3. Each candidate is compared token by token (typing errors, initials, swapped parts, nicknames,
-   user names, firms' legal forms). Full names that agree are strong pairs; components of strong
-   pairs are clustered by average linkage.
-4. Short forms (initials, a given name alone, user names) form clusters of their own and join the
+3. Each candidate is scored token by token (typing errors, initials, swapped parts, nicknames, user
+   names, firms' legal forms), tokens paired by the best assignment whatever their number. Two
+   spellings of a token that are both in use in four groups or more, neither under 15 % of the other,
+   are two names, not variants. Full names that agree are strong pairs.
+4. Components of strong pairs are clustered by average linkage over the sparse scores (a pair that is
+   no candidate counts 0): clusters that are each other's closest are joined, round by round, which
+   gives the same clusters as joining the closest pair first.
+5. Short forms (initials, a given name alone, user names) form clusters of their own and join the
    full cluster with the highest average similarity.
 
-Scale: nothing is compared outside its group and candidate pairs; components are labelled by
-joins, and average linkage sees one component (the spellings of a few similar names) at a time.
+Scale: nothing is compared outside its group and candidate pairs. A gram of a hot group is joined in
+blocks of `block` names. Weights are broadcast up to `most_grams` grams; beyond, vectors are joined to
+the names instead. Components are labelled by joins; those of up to `component` names are linked in
+one task each, larger ones by the same rounds as joins.
 
 Defined results
 - null and blank names, and names of a null group: not linked. Repeated names count once.
@@ -30,14 +35,12 @@ import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from planloom.llm.edits import edits
 from planloom.llm.textfold import fold
-from planloom.session import cut
-
-GRAM_BUCKETS = 1 << 16
-TOKEN_BUCKETS = 1 << 18
+from planloom.session import Scratch, cut
 
 # Titles, particles, legal forms and short forms of given names.
 TITLES = frozenset("mr mrs ms miss mx dr prof professor sir eng ing engr herr frau mme mlle madame monsieur sr sra srta dipl phd dott anh chi ong ba".split()) - {"anh"}
@@ -67,8 +70,9 @@ _APOSTROPHES = re.compile(r"[’'`´‘]")
 _SPLIT = re.compile(r"[^a-z0-9.]+|(?<=\.)(?=\S)|(?<=[^.])\.(?=[a-z0-9])")
 
 
-def bucket(s: str, buckets: int) -> int:
-    return xxhash.xxh32_intdigest(s) % buckets
+def gram_key(s: str) -> int:
+    """A gram as a signed 64-bit number."""
+    return xxhash.xxh3_64_intdigest(s) - (1 << 63)
 
 
 class Name:
@@ -122,7 +126,7 @@ class Name:
                 padded = f"#{form}#"
                 for n in (2, 3):
                     for i in range(len(padded) - n + 1):
-                        b = bucket(padded[i : i + n], GRAM_BUCKETS)
+                        b = gram_key(padded[i : i + n])
                         out[b] = out.get(b, 0.0) + 1.0
         return out
 
@@ -166,8 +170,6 @@ def compare(a: Name, b: Name, common) -> tuple[float, bool]:  # noqa: ANN001
         return 1.0, True
     if len(a.tokens) == 1:
         return _single(a, b, common)
-    if len(b.tokens) > 6:
-        return (0.95, True) if edits(a.joined, b.joined, 2) <= 2 else (0.0, False)
     found = _align(a, b, common)
     if not found[0] and len(a.tokens) < len(b.tokens):  # a particle typed as a part of its own
         found = max((_align(a, b.merged(k), common) for k in range(len(b.tokens) - 1)))
@@ -180,29 +182,92 @@ def _align(a: Name, b: Name, common) -> tuple[float, bool]:  # noqa: ANN001
     m, n = len(a.tokens), len(b.tokens)
     # a legal form with a typing error is left among the tokens
     spare = [b.initials[j] or bool(a.legal and not b.legal and len(t) <= 6 and any(edits(t, k, 1) <= 1 for k, v in LEGAL.items() if v == a.legal)) for j, t in enumerate(b.tokens)]
-    best, spelled = 0.0, 0
-    for order in permutations(range(n), m):
-        found = [s[i][j] for i, j in enumerate(order)]
-        # initials of one side may lack a partner; full tokens may not
-        loose = [i for i in range(m) if found[i] == 0]
-        if any(not a.initials[i] for i in loose) or any(not spare[j] for j in range(n) if j not in order or found[order.index(j)] == 0):
-            continue
-        hits = [f for f in found if f > 0]
-        if len(hits) < 2:
-            continue
-        mean = sum(hits) / len(hits)
-        k = sum(1 for i, j in enumerate(order) if found[i] > 0 and not a.initials[i] and not b.initials[j])
-        # a middle initial that stands on both sides must agree
-        if loose and len(loose) == sum(a.initials) and any(b.initials) and k >= 2:
-            mean -= 0.2
-        if (mean, k) > (best, spelled):
-            best, spelled = mean, k
+    chosen = _assigned(s, a.initials, b.initials, spare)
+    if chosen is None:
+        return 0.0, False
+    hits = [s[i][j] for i, j in chosen]
+    if len(hits) < 2:
+        return 0.0, False
+    best = sum(hits) / len(hits)
+    spelled = sum(not a.initials[i] and not b.initials[j] for i, j in chosen)
+    # a middle initial that stands on both sides must agree
+    loose = m - len(hits)
+    if loose and loose == sum(a.initials) and any(b.initials) and spelled >= 2:
+        best -= 0.2
     if not best:
         return 0.0, False
     same_form = all(i == j for i, j in zip(sorted(a.initials), sorted(b.initials))) and m == n
     return best, spelled >= 2 or (same_form and spelled == 1 and best > 0.85)
 
 
+_NEVER = -1e6
+
+
+def _assigned(s: list[list[float]], first: tuple[bool, ...], second: tuple[bool, ...], spare: list[bool]) -> list[tuple[int, int]] | None:
+    """The pairs (i, j) of the one-to-one assignment with the greatest sum of s, more spelled-out pairs at equal sums.
+
+    Only initials of the first side and spare tokens of the second may lack a partner; None when
+    others would. Up to three tokens all ways are tried, beyond that the Hungarian method is used."""
+    m, n = len(first), len(second)
+    worth = [[s[i][j] + (0.0 if first[i] or second[j] else 1e-6) if s[i][j] > 0 else _NEVER for j in range(n)] for i in range(m)]
+    if n <= 3:
+        best: tuple[float, list[tuple[int, int]] | None] = (_NEVER / 2, None)
+        for order in permutations(range(n), m):
+            hit = [(i, j) for i, j in enumerate(order) if worth[i][j] > 0]
+            left, right = {i for i, _ in hit}, {j for _, j in hit}
+            if all(first[i] for i in range(m) if i not in left) and all(spare[j] for j in range(n) if j not in right):
+                total = sum(worth[i][j] for i, j in hit)
+                if total > best[0]:
+                    best = (total, hit)
+        return best[1]
+    size = m + n  # each token may also be paired with nothing
+    cost = [[_NEVER] * size for _ in range(size)]
+    for i in range(m):
+        cost[i][:n] = worth[i]
+        for j in range(n, size):
+            cost[i][j] = 0.0 if first[i] else _NEVER
+    for i in range(m, size):
+        for j in range(n):
+            cost[i][j] = 0.0 if spare[j] else _NEVER
+        for j in range(n, size):
+            cost[i][j] = 0.0
+    match = _hungarian([[-c for c in row] for row in cost])
+    if sum(cost[i][j] for i, j in enumerate(match)) < _NEVER / 2:
+        return None
+    return [(i, j) for i, j in enumerate(match) if i < m and j < n]
+
+
+def _hungarian(cost: list[list[float]]) -> list[int]:
+    """The column of each row in the cheapest assignment of a square matrix, by shortest augmenting paths."""
+    n = len(cost)
+    u, v, owner, way = [0.0] * (n + 1), [0.0] * (n + 1), [0] * (n + 1), [0] * (n + 1)
+    for row in range(1, n + 1):
+        owner[0], at = row, 0
+        least, used = [float("inf")] * (n + 1), [False] * (n + 1)
+        while owner[at]:
+            used[at], i, step, nxt = True, owner[at], float("inf"), 0
+            for j in range(1, n + 1):
+                if not used[j]:
+                    c = cost[i - 1][j - 1] - u[i] - v[j]
+                    if c < least[j]:
+                        least[j], way[j] = c, at
+                    if least[j] < step:
+                        step, nxt = least[j], j
+            for j in range(n + 1):
+                if used[j]:
+                    u[owner[j]] += step
+                    v[j] -= step
+                else:
+                    least[j] -= step
+            at = nxt
+        while at:
+            owner[at], at = owner[way[at]], way[at]
+    out = [0] * n
+    for j in range(1, n + 1):
+        out[owner[j] - 1] = j - 1
+    return out
+
+
 def _single(a: Name, b: Name, common) -> tuple[float, bool]:  # noqa: ANN001
     t = a.tokens[0]
     if len(b.tokens) == 1:
@@ -242,110 +307,154 @@ def _single(a: Name, b: Name, common) -> tuple[float, bool]:  # noqa: ANN001
     return best, False
 
 
-def average_linkage(names: list[Name], common, threshold: float) -> list[int]:  # noqa: ANN001
-    """A label for each name: clusters whose average similarity is at least the threshold are joined, closest first."""
-    n = len(names)
-    sim: dict[int, dict[int, float]] = {i: {} for i in range(n)}
-    for i in range(n):
-        for j in range(i + 1, n):
-            s = compare(names[i], names[j], common)[0]
-            if s > 0:
-                sim[i][j] = sim[j][i] = s
-    size = dict.fromkeys(range(n), 1)
-    label = list(range(n))
-    members = {i: [i] for i in range(n)}
-    while True:
-        best = max(((s / (size[i] * size[j]), -i, -j) for i in sim for j, s in sim[i].items() if i < j), default=None)
-        if best is None or best[0] < threshold:
-            break
-        i, j = -best[1], -best[2]
-        for k, s in sim.pop(j).items():
-            sim[k].pop(j)
-            if k != i:
-                sim[i][k] = sim[k][i] = sim[i].get(k, 0.0) + s
-        size[i] += size.pop(j)
-        members[i] += members.pop(j)
-    for i, m in members.items():
-        for k in m:
-            label[k] = i
+def average_linkage(ids: list[int], pairs: list[tuple[int, int, float]], threshold: float) -> dict[int, int]:
+    """id -> cluster, its smallest id: clusters that are each other's closest join while their average similarity is at least the threshold.
+
+    Pairs not listed count 0; of equally close ones the one with the smallest id is the closest."""
+    label = {i: i for i in ids}
+    size = dict.fromkeys(ids, 1)
+    sums: dict[int, dict[int, float]] = {i: {} for i in ids}
+    for i, j, s in pairs:
+        sums[i][j] = sums[j][i] = s
+    fresh = set(ids)
+    closest: dict[int, int] = {}
+    while fresh:
+        for i in fresh:
+            best = min(((-round(s / (size[i] * size[j]), 9), j) for j, s in sums[i].items()), default=None)
+            closest.pop(i, None)
+            if best is not None and -best[0] >= threshold:
+                closest[i] = best[1]
+        joined = [(i, j) for i, j in closest.items() if i < j and closest.get(j) == i]
+        fresh = set()
+        for i, j in joined:
+            for k, s in sums.pop(j).items():
+                del sums[k][j]
+                if k != i:
+                    sums[i][k] = sums[k][i] = sums[i].get(k, 0.0) + s
+            size[i] += size.pop(j)
+            label[j] = i
+            closest.pop(j, None)
+            fresh.add(i)
+        # who lost or neighbours a changed cluster looks again
+        fresh |= {k for i in list(fresh) for k in sums[i]} | {k for k, c in closest.items() if c not in size}
+    for i in sorted(ids):
+        at = i
+        while label[at] != at:
+            at = label[at]
+        label[i] = at
     return label
 
 
+def _linked_by_rounds(names: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """average_linkage as joins, for components of any size: (nid, cluster) from (nid) and (a, b, score)."""
+    scratch = Scratch()
+    label = scratch.cut(names.select("nid", F.col("nid").alias("cluster")), "linkage")
+    while True:
+        size = label.groupBy("cluster").agg(F.count(F.lit(1)).alias("n"))
+        ends = pairs.join(label.select(F.col("nid").alias("a"), F.col("cluster").alias("i")), "a").join(label.select(F.col("nid").alias("b"), F.col("cluster").alias("j")), "b").where("i <> j")
+        sums = ends.select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "score").groupBy("i", "j").agg(F.sum("score").alias("s"))
+        mean = sums.join(size.select(F.col("cluster").alias("i"), F.col("n").alias("ni")), "i").join(size.select(F.col("cluster").alias("j"), F.col("n").alias("nj")), "j")
+        mean = mean.select("i", "j", F.round(F.col("s") / (F.col("ni") * F.col("nj")), 9).alias("m")).where(F.col("m") >= threshold)
+        both = mean.unionByName(mean.select(F.col("j").alias("i"), F.col("i").alias("j"), "m"))
+        best = scratch.cut(both.groupBy("i").agg(F.min_by("j", F.struct(-F.col("m"), F.col("j"))).alias("j")), "closest")
+        mutual = best.join(best.select(F.col("i").alias("j"), F.col("j").alias("i")), ["i", "j"]).where("i < j")
+        mutual = scratch.cut(mutual.select(F.col("j").alias("cluster"), F.col("i").alias("into")), "joined")
+        if mutual.isEmpty():
+            out = cut(label, "linkage")
+            scratch.clear()
+            return out
+        label = scratch.cut(label.join(mutual, "cluster", "left").select("nid", F.coalesce("into", "cluster").alias("cluster")), "linkage")
+
+
 def _components(pairs: DataFrame, names: DataFrame) -> DataFrame:
     """(nid, comp): the smallest nid reachable over the pairs."""
-    edges = cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
-    labels = cut(names.select("nid", F.col("nid").alias("comp")), "labels")
+    scratch = Scratch()
+    edges = scratch.cut(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
+    # only names with a pair take part in the rounds
+    labels = scratch.cut(edges.select(F.col("a").alias("nid")).distinct().withColumn("comp", F.col("nid")), "labels")
     while True:
         low = edges.join(labels.select(F.col("nid").alias("b"), "comp"), "b").groupBy(F.col("a").alias("nid")).agg(F.min("comp").alias("low"))
         moved = labels.join(low, "nid", "left").select("nid", F.least("comp", "low").alias("comp"), F.col("comp").alias("was"))
         # follow the label's own label, so that chains shorten by half
         ahead = moved.select(F.col("nid").alias("comp"), F.col("comp").alias("comp2"))
-        moved = cut(moved.join(ahead, "comp").select("nid", F.col("comp2").alias("comp"), "was"), "labels")
+        moved = scratch.cut(moved.join(ahead, "comp").select("nid", F.col("comp2").alias("comp"), "was"), "labels")
         labels = moved.select("nid", "comp")
         if moved.where("comp <> was").isEmpty():
-            return labels
+            out = cut(names.select("nid").join(labels, "nid", "left").select("nid", F.coalesce("comp", "nid").alias("comp")), "components")
+            scratch.clear()
+            return out
 
 
-def link_names(pairs_of: DataFrame, group: str = "project", name: str = "name", cosine: float = 0.2, strong: float = 0.7, linkage: float = 0.4, weak: float = 0.3) -> DataFrame:
+def _of_names(names: DataFrame, make, schema: str, columns: list[str]) -> DataFrame:  # noqa: ANN001
+    """The rows that make(row) gives for each row of names."""
+    given = names.columns
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield pd.DataFrame([x for r in zip(*(b[c] for c in given)) for x in make(*r)], columns=columns)
+
+    return names.mapInPandas(run, schema)
+
+
+def _unit(grams: dict[int, float], weight, often) -> list[tuple[int, float]]:  # noqa: ANN001
+    """(gram, share) of a unit vector, rarest grams first."""
+    v = [(k, c * weight(k)) for k, c in grams.items()]
+    norm = sum(x * x for _, x in v) ** 0.5
+    return sorted(((k, x / norm) for k, x in v), key=lambda p: (often(p[0]), p[0])) if norm else []
+
+
+def link_names(
+    pairs_of: DataFrame, group: str = "project", name: str = "name", cosine: float = 0.2, strong: float = 0.7, linkage: float = 0.4, weak: float = 0.3,
+    block: int = 1000, most_grams: int = 1_000_000, component: int = 2000,
+) -> DataFrame:
     """(group, name, entity) for the distinct names of each group; entity numbers are unique over all groups."""
     spark = pairs_of.sparkSession
+    scratch = Scratch()
     names = pairs_of.select(F.col(group).alias("grp"), F.col(name).alias("name")).where(F.col("grp").isNotNull() & (F.length(F.trim("name")) > 0)).distinct()
     names = cut(names.withColumn("nid", F.monotonically_increasing_id()), "names")
-
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows: dict[tuple[str, int, str], int] = {}
-            for g, s in zip(b["grp"], b["name"]):
-                n = Name(s)
-                for k in n.grams():
-                    rows["g", k, ""] = rows.get(("g", k, ""), 0) + 1
-                for t in n.tokens:
-                    rows["t", bucket(t, TOKEN_BUCKETS), g] = 1
-            yield pd.DataFrame([(*k, v) for k, v in rows.items()], columns=["what", "bucket", "grp", "n"])
-
-    # At most 2^16 grams and 2^18 tokens, whatever the input's size.
-    tallies = names.select("grp", "name").mapInPandas(counted, "what string, bucket int, grp string, n long")
-    grams = tallies.where("what = 'g'").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()
-    tokens = tallies.where("what = 't'").groupBy("bucket").agg(F.count_distinct("grp").alias("n")).where("n > 1").toPandas()
     total = max(names.count(), 1)
-    weight = np.full(GRAM_BUCKETS, np.log(1 + total), dtype=np.float32)
-    seen = np.zeros(GRAM_BUCKETS, dtype=np.int64)
-    weight[grams["bucket"]] = np.log(1 + total / grams["n"].to_numpy(dtype=float))
-    seen[grams["bucket"]] = grams["n"]
-    used = np.zeros(TOKEN_BUCKETS, dtype=np.int32)
-    used[tokens["bucket"]] = tokens["n"]
-    shared = spark.sparkContext.broadcast((weight, seen, used))
-
-    def vector(n: Name) -> list[tuple[int, float]]:
-        w, df, _ = shared.value
-        v = [(k, c * float(w[k])) for k, c in n.grams().items()]
-        norm = sum(x * x for _, x in v) ** 0.5
-        return sorted(((k, x / norm) for k, x in v), key=lambda p: (df[p[0]], p[0])) if norm else []
-
-    def prefixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for g, s, i in zip(b["grp"], b["name"], b["nid"]):
-                v = vector(Name(s))
-                rest = sum(x * x for _, x in v)
-                for k, x in v:
-                    if rest < cosine * cosine:
-                        break
-                    rows.append((g, k, i))
-                    rest -= x * x
-            yield pd.DataFrame(rows, columns=["grp", "gram", "nid"])
-
-    keyed = cut(names.select("grp", "name", "nid").mapInPandas(prefixes, "grp string, gram int, nid long"), "grams")
-    left, right = keyed.withColumnRenamed("nid", "a"), keyed.withColumnRenamed("nid", "b")
-    candidates = left.join(right, ["grp", "gram"]).where("a < b").select("a", "b").distinct()
-    candidates = candidates.join(names.select(F.col("nid").alias("a"), F.col("name").alias("name_a")), "a").join(names.select(F.col("nid").alias("b"), F.col("name").alias("name_b")), "b")
-
-    def common_of():  # noqa: ANN202
-        known = shared.value[2]
-        return lambda t: int(known[bucket(t, TOKEN_BUCKETS)])
+
+    # how many groups use each token; every name gets those of its own tokens
+    tokens = scratch.cut(_of_names(names.select("grp", "name", "nid"), lambda g, s, i: [(g, i, k, t) for k, t in enumerate(Name(s).tokens)], "grp string, nid long, at int, token string", ["grp", "nid", "at", "token"]), "tokens")
+    used = tokens.select("grp", "token").distinct().groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    uses = tokens.join(used, "token").groupBy("nid").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "n"))), lambda x: x["n"].cast("int")).alias("uses"))
+    told = names.join(uses, "nid", "left").select("nid", "grp", "name", F.coalesce("uses", F.array().cast("array<int>")).alias("uses"))
+
+    grams = scratch.cut(_of_names(names.select("name", "nid"), lambda s, i: [(i, k, c) for k, c in Name(s).grams().items()], "nid long, gram long, c double", ["nid", "gram", "c"]), "grams")
+    often = scratch.cut(grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")), "often")
+    shared = None
+    if often.count() <= most_grams:
+        rows = often.toPandas().sort_values("gram")
+        shared = spark.sparkContext.broadcast((rows["gram"].to_numpy(), rows["n"].to_numpy()))
+
+    def lookups():  # noqa: ANN202
+        keys, counts = shared.value
+        at = dict(zip(keys.tolist(), counts.tolist()))
+        return (lambda k: np.log(1 + total / at[k])), (lambda k: at[k])
+
+    share = F.col("c") * F.log(1 + total / F.col("n"))
+    whole = W.partitionBy("nid")
+    rarest = W.partitionBy("nid").orderBy("n", "gram").rowsBetween(W.unboundedPreceding, -1)
+    weighed = grams.join(often, "gram").select("nid", "gram", "n", share.alias("x")).withColumn("x", F.col("x") / F.sqrt(F.sum(F.col("x") * F.col("x")).over(whole)))
+    gone = F.coalesce(F.sum(F.col("x") * F.col("x")).over(rarest), F.lit(0.0))
+    prefix = weighed.withColumn("gone", gone).where(1 - F.col("gone") >= cosine * cosine - 1e-9).select("nid", "gram")
+    keyed = scratch.cut(prefix.join(names.select("nid", "grp"), "nid").select("grp", "gram", "nid"), "prefixes")
+    # a gram of a hot group is joined in blocks: each name stands in one block on the left and in all on the right
+    many = keyed.groupBy("grp", "gram").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks")).where("blocks > 1")
+    parts = keyed.join(many, ["grp", "gram"], "left").select("grp", "gram", "nid", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    left = parts.select("grp", "gram", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int").alias("part"), F.col("nid").alias("a"))
+    right = parts.select("grp", "gram", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), F.col("nid").alias("b"))
+    candidates = left.join(right, ["grp", "gram", "part"]).where("a < b").select("a", "b").distinct()
+    side = lambda c: told.select(F.col("nid").alias(c), F.col("name").alias(f"name_{c}"), F.col("uses").alias(f"uses_{c}"))
+    candidates = candidates.join(side("a"), "a").join(side("b"), "b")
+    if shared is None:
+        vectors = scratch.cut(weighed.groupBy("nid").agg(F.map_from_entries(F.collect_list(F.struct("gram", "x"))).alias("v")), "vectors")
+        candidates = candidates.join(vectors.select(F.col("nid").alias("a"), F.col("v").alias("v_a")), "a").join(vectors.select(F.col("nid").alias("b"), F.col("v").alias("v_b")), "b")
 
     def scored(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        common = common_of()
+        weight = often_ = None
+        if shared is not None:
+            weight, often_ = lookups()
         memo: dict[str, tuple[Name, dict[int, float]]] = {}
 
         def of(s: str) -> tuple[Name, dict[int, float]]:
@@ -353,37 +462,50 @@ def link_names(pairs_of: DataFrame, group: str = "project", name: str = "name",
                 if len(memo) > 50_000:
                     memo.clear()
                 n = Name(s)
-                memo[s] = (n, dict(vector(n)))
+                memo[s] = (n, dict(_unit(n.grams(), weight, often_)) if weight else {})
             return memo[s]
 
         for b in batches:
             rows = []
-            for i, j, s, t in zip(b["a"], b["b"], b["name_a"], b["name_b"]):
-                (m, u), (n, v) = of(s), of(t)
+            given = zip(b["v_a"], b["v_b"]) if shared is None else [(None, None)] * len(b)
+            for i, j, s, t, x, y, (u, v) in zip(b["a"], b["b"], b["name_a"], b["name_b"], b["uses_a"], b["uses_b"], given):
+                (m, p), (n, q) = of(s), of(t)
+                u, v = (p, q) if u is None else (dict(u), dict(v))
                 if len(v) < len(u):
                     u, v = v, u
-                c = sum(x * v.get(k, 0.0) for k, x in u.items())
+                c = sum(w * v.get(k, 0.0) for k, w in u.items())
                 if c >= cosine:
-                    score, sure = compare(m, n, common)
+                    known = dict(zip(m.tokens, x)) | dict(zip(n.tokens, y))
+                    score, sure = compare(m, n, lambda t, known=known: int(known.get(t, 0)))
                     if score > 0:
-                        rows.append((i, j, c, score, sure, m.full, n.full))
-            yield pd.DataFrame(rows, columns=["a", "b", "cosine", "score", "sure", "full_a", "full_b"])
+                        rows.append((i, j, c, score, sure))
+            yield pd.DataFrame(rows, columns=["a", "b", "cosine", "score", "sure"])
 
-    pairs = cut(candidates.mapInPandas(scored, "a long, b long, cosine double, score double, sure boolean, full_a boolean, full_b boolean"), "pairs")
+    pairs = cut(candidates.mapInPandas(scored, "a long, b long, cosine double, score double, sure boolean"), "pairs")
+    scratch.clear()
     comps = _components(pairs.where(F.col("sure") & (F.col("score") >= strong)), names)
-    groups = names.join(comps, "nid").groupBy("comp").agg(F.sort_array(F.collect_list(F.struct("nid", "name"))).alias("m")).select(F.col("m.nid").alias("nids"), F.col("m.name").alias("names"))
+    inside = pairs.join(comps.select(F.col("nid").alias("a"), "comp"), "a").join(comps.select(F.col("nid").alias("b"), F.col("comp").alias("comp_b")), "b").where("comp = comp_b").select("comp", "a", "b", "score")
+    inside = scratch.cut(inside, "inside")
+    size = comps.groupBy("comp").agg(F.count(F.lit(1)).alias("n"))
+    large = scratch.cut(size.where(F.col("n") > component).select("comp"), "large")
+    small = inside.join(large, "comp", "left_anti").groupBy("comp").agg(F.collect_list(F.struct("a", "b", "score")).alias("p"))
 
     def clustered(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        common = common_of()
         for b in batches:
             rows = []
-            for ids, spelled in zip(b["nids"], b["names"]):
-                parsed = [Name(s) for s in spelled]
-                label = average_linkage(parsed, common, linkage) if len(parsed) > 1 else [0]
-                rows += [(i, ids[k], n.full) for i, k, n in zip(ids, label, parsed)]
-            yield pd.DataFrame(rows, columns=["nid", "cluster", "is_full"])
-
-    clusters = cut(groups.mapInPandas(clustered, "nid long, cluster long, is_full boolean"), "clusters")
+            for p in b["p"]:
+                listed = sorted((x["a"], x["b"], x["score"]) for x in p)
+                ids = sorted({i for x in listed for i in x[:2]})
+                rows += average_linkage(ids, listed, linkage).items()
+            yield pd.DataFrame(rows, columns=["nid", "cluster"])
+
+    done = small.mapInPandas(clustered, "nid long, cluster long")
+    if not large.isEmpty():
+        done = done.unionByName(_linked_by_rounds(comps.join(large, "comp", "left_semi"), inside.join(large, "comp", "left_semi"), linkage))
+    done = scratch.cut(done, "clustered")
+    full = _of_names(names.select("name", "nid"), lambda s, i: [(i, Name(s).full)], "nid long, is_full boolean", ["nid", "is_full"])
+    clusters = cut(full.join(done, "nid", "left").select("nid", F.coalesce("cluster", "nid").alias("cluster"), "is_full"), "clusters")
+    scratch.clear()
     about = clusters.groupBy("cluster").agg(F.max("is_full").alias("is_full"), F.count(F.lit(1)).alias("size"))
     both = pairs.select("a", "b", "score").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "score"))
     ends = both.join(clusters.select(F.col("nid").alias("a"), F.col("cluster").alias("short")), "a").join(clusters.select(F.col("nid").alias("b"), F.col("cluster").alias("long")), "b")
