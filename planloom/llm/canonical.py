@@ -3,7 +3,7 @@
 1. Values and all canonical names and aliases are folded (case, accents, punctuation, spacing).
 2. A multi-pattern automaton finds every name or alias that stands as whole words in the value;
    of overlapping mentions the longest wins, and of several the one that covers most.
-3. Values without a mention go to similarity: the edit distance (with swaps) of the letters without
+3. Values without a mention lose what `noise` matches at their ends and go to similarity: the edit distance (with swaps) of the letters without
    blanks, else the token-set similarity, in which each token of the alias looks for its closest
    token of the value. Below the thresholds the value is unmatched (-1).
 
@@ -72,7 +72,7 @@ STATUS_ALIASES: dict[str, tuple[str, ...]] = {
     ),
 }
 # What people add around a status; it says nothing about the status itself.
-NOISE = re.compile(
+STATUS_NOISE = re.compile(
     r"\([^()]*\)\s*$|@\s*\d[\d/.\-]*\s*$|^\s*status\s*[:=]|^\s*now\s|\bsince\s+\w+\s*$|\bpls\.? check\b|\bplease check\b|\bsee (?:notes?|ticket)\b|\d{1,2}[./]\d{1,2}[./]?\s*$",
     re.IGNORECASE,
 )
@@ -92,9 +92,9 @@ def _limit(n: int) -> int:
 class Matcher:
     """Finds the canonical id of a value."""
 
-    def __init__(self, names: list[tuple[int, str]], aliases: dict[str, tuple[str, ...]], threshold: float) -> None:
+    def __init__(self, names: list[tuple[int, str]], aliases: dict[str, tuple[str, ...]], threshold: float, noise: re.Pattern[str] | None = None) -> None:
         self.exact = {n: i for i, n in sorted(names, reverse=True)}
-        self.threshold = threshold
+        self.threshold, self.noise = threshold, noise
         forms: dict[str, int] = {}
         for i, n in sorted(names):
             for a in (n, *aliases.get(n, ())):
@@ -153,15 +153,16 @@ class Matcher:
             return None, "empty", 0.0
         if value in self.exact:
             return self.exact[value], "exact", 1.0
-        core = value
-        while (shorter := NOISE.sub(" ", core).strip()) != core.strip() and shorter:
-            core = shorter
-        text = normal(core)
+        text = normal(value)
         if not self.forms or not text:
             return -1, "none", 0.0
         i = self.mention(text)
         if i is not None:
             return i, "mention", 1.0
+        core = value
+        while self.noise is not None and (shorter := self.noise.sub(" ", core).strip()) != core.strip() and shorter:
+            core = shorter
+        text = normal(core) or text
         score, i = self.similar(text)
         return (i, "similar", score) if score >= self.threshold else (-1, "none", score)
 
@@ -196,19 +197,20 @@ def _token_set(alias: list[str], tokens: list[str]) -> float:
 
 def match_canonical(
     df: DataFrame, column: str, names: DataFrame, id_column: str, name_column: str, keep: list[str],
-    aliases: dict[str, tuple[str, ...]] | None = None, threshold: float = 0.57, max_names: int = 10_000,
+    aliases: dict[str, tuple[str, ...]], noise: re.Pattern[str] | None = None, threshold: float = 0.57, max_names: int = 10_000,
 ) -> DataFrame:
-    """The `keep` columns with canonical_id, how and score for each row of df."""
+    """The `keep` columns with canonical_id, how and score for each row of df.
+
+    aliases lists other spellings of canonical names; noise matches what people add around a value."""
     rows = names.where(F.col(name_column).isNotNull()).select(F.col(id_column).alias("i"), F.col(name_column).alias("n")).limit(max_names + 1).collect()
     if len(rows) > max_names:
         raise ValueError(f"more than {max_names} canonical names")
     listed = [(r.i, r.n) for r in rows]
-    chosen = STATUS_ALIASES if aliases is None else aliases
     src = df.select(*keep, F.col(column).alias("__value"))
     schema = T.StructType([src.schema[c] for c in keep] + [T.StructField("canonical_id", T.IntegerType()), T.StructField("how", T.StringType()), T.StructField("score", T.DoubleType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = Matcher(listed, chosen, threshold)
+        m = Matcher(listed, aliases, threshold, noise)
         known: dict[str | None, tuple[int | None, str, float]] = {}
         for b in batches:
             if len(known) > 200_000:  # memory of a long task; results don't depend on it

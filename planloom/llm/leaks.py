@@ -3,9 +3,11 @@
 Every run of `n` folded words of an item and of a document becomes a 64-bit SimHash. The item
 windows are indexed under `blocks` disjoint bit blocks; two fingerprints within `blocks - 1` bits
 of each other agree on at least one block, so looking up every block of every document window
-finds all item windows in that radius (pigeonhole). Each candidate is then verified exactly by the
-weighted share of the item window's words that stand in the document window in the same place;
-a leak needs the share 1, that is `n` consecutive equal words.
+finds all item windows in that radius (pigeonhole). Each candidate is then verified by the exact
+similarity of the two windows: the weighted Jaccard share of their shingles of `shingle` words, a
+shingle weighing log(1 + windows / windows that hold it) over the item windows. A window is
+accepted from `similarity` on; n_words counts only words in windows of similarity 1, that is `n`
+consecutive equal words, so a leak in the strict sense is a row with n_words > 0.
 
 Scale: documents are never shuffled; each is read whole in one task. The item index is broadcast
 only up to `max_windows` windows (8 bytes and 2 ints each); more items are taken in several blocks,
@@ -14,11 +16,13 @@ each a pass over the documents.
 Defined results
 - null, empty and blank texts, and texts or items of fewer than `n` words: no row.
 - the same passage several times, repeated rows of a document or item: one row for each pair of ids.
+- shingles longer than the window: the window is one shingle.
 - words are runs of letters or digits after case folding, decomposition and dropping of marks.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from functools import reduce
 
@@ -68,8 +72,8 @@ def simhashes(codes: np.ndarray, n: int) -> np.ndarray:
 class WindowIndex:
     """Item windows under each bit block of their SimHash."""
 
-    def __init__(self, items: list[tuple[int, str]], n: int, blocks: int) -> None:
-        self.n, self.blocks, self.width = n, blocks, 64 // blocks
+    def __init__(self, items: list[tuple[int, str]], n: int, blocks: int, shingle: int) -> None:
+        self.n, self.blocks, self.width, self.shingle = n, blocks, 64 // blocks, min(shingle, n)
         vocabulary = _Vocabulary()
         prints, codes, self.item, self.start, self.words = [], [], [], [], []
         for k, (item_id, text) in enumerate(items):
@@ -82,6 +86,14 @@ class WindowIndex:
             self.item += [k] * len(s)
             self.start += range(len(s))
         self.ids = [i for i, _ in items]
+        self.windows = len(self.start)
+        # how many item windows hold a shingle: those that begin up to n - shingle words before it
+        self.held: dict[tuple[str, ...], int] = {}
+        for w in self.words:
+            last = len(w) - n
+            for k in range(len(w) - self.shingle + 1 if last >= 0 else 0):
+                t = tuple(w[k : k + self.shingle])
+                self.held[t] = self.held.get(t, 0) + min(k, last) - max(0, k - n + self.shingle) + 1
         self.prints = np.concatenate(prints) if prints else np.empty(0, dtype=np.uint64)
         self.item, self.start = np.array(self.item, dtype=np.int32), np.array(self.start, dtype=np.int32)
         self.order, self.values = [], []
@@ -94,6 +106,15 @@ class WindowIndex:
     def block(self, prints: np.ndarray, b: int) -> np.ndarray:
         return (prints >> np.uint64(b * self.width)) & np.uint64((1 << self.width) - 1)
 
+    def similarity(self, a: list[str], b: list[str]) -> float:
+        """The weighted Jaccard share of two windows' shingles; a repeated shingle counts once."""
+        if a == b:
+            return 1.0
+        k = self.shingle
+        x, y = ({tuple(w[i : i + k]) for i in range(len(w) - k + 1)} for w in (a, b))
+        weigh = lambda s: sum(math.log(1 + self.windows / self.held.get(t, 1)) for t in s)
+        return weigh(x & y) / weigh(x | y)
+
     def candidates(self, prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (position in prints, item window) within `blocks - 1` bits."""
         left, right = [], []
@@ -118,14 +139,14 @@ class WindowIndex:
 
 def leaks(
     documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text",
-    n: int = 12, blocks: int = 3, max_windows: int = 200_000,
+    n: int = 12, blocks: int = 3, max_windows: int = 200_000, shingle: int = 5, similarity: float = 0.8,
 ) -> DataFrame:
-    """One row (doc_id, item_id, n_words) per document and item that share a run of n words;
-    n_words counts the item's words that stand in shared runs."""
+    """One row (doc_id, item_id, n_words, similarity) per document and item with a window of that similarity;
+    n_words counts the item's words that stand in shared runs of n words, 0 where windows are only similar."""
     docs = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") >= 2 * n - 1)
     docs = spread(docs)
     its = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).where(F.col("text").isNotNull()).distinct()
-    schema = T.StructType([docs.schema["doc_id"], T.StructField("item_id", its.schema["item_id"].dataType), T.StructField("n_words", T.IntegerType())])
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("item_id", its.schema["item_id"].dataType), T.StructField("n_words", T.IntegerType()), T.StructField("similarity", T.DoubleType())])
     # The items are the stated query set: taken in blocks of bounded size, against all documents.
     blocks_of_items: list[list[tuple[int, str]]] = [[]]
     held = 0
@@ -137,21 +158,21 @@ def leaks(
         blocks_of_items[-1].append((r.item_id, r.text))
         held += size
     spark = documents.sparkSession
-    passes = [docs.mapInPandas(_search(spark.sparkContext.broadcast(WindowIndex(b, n, blocks)), n), schema) for b in blocks_of_items]
-    return reduce(DataFrame.unionByName, passes).groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"))
+    passes = [docs.mapInPandas(_search(spark.sparkContext.broadcast(WindowIndex(b, n, blocks, shingle)), n, similarity), schema) for b in blocks_of_items]
+    return reduce(DataFrame.unionByName, passes).groupBy("doc_id", "item_id").agg(F.max("n_words").alias("n_words"), F.max("similarity").alias("similarity"))
 
 
-def _search(shared, n: int):  # noqa: ANN001, ANN202
+def _search(shared, n: int, similarity: float):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         index = shared.value
         for whole in batches:
             for a in range(0, len(whole), 1000):
-                yield _leaks_of(index, whole.iloc[a : a + 1000], n)
+                yield _leaks_of(index, whole.iloc[a : a + 1000], n, similarity)
 
     return run
 
 
-def _leaks_of(index: WindowIndex, batch: pd.DataFrame, n: int) -> pd.DataFrame:
+def _leaks_of(index: WindowIndex, batch: pd.DataFrame, n: int, similarity: float) -> pd.DataFrame:
     vocabulary = _Vocabulary()
     texts = [words(t) for t in batch["text"]]
     sizes = np.array([len(t) for t in texts])
@@ -164,9 +185,15 @@ def _leaks_of(index: WindowIndex, batch: pd.DataFrame, n: int) -> pd.DataFrame:
     i, j = index.candidates(prints[at])
     i = at[i]
     held: dict[tuple[int, int], set[int]] = {}
+    best: dict[tuple[int, int], float] = {}
     for p, w in dict.fromkeys(zip(i.tolist(), j.tolist())):
         k, s = int(index.item[w]), int(index.start[w])
-        if flat[p : p + n] == index.words[k][s : s + n]:
-            held.setdefault((int(owner[p]), k), set()).update(range(s, s + n))
+        pair = (int(owner[p]), k)
+        alike = index.similarity(flat[p : p + n], index.words[k][s : s + n])
+        if alike >= similarity:
+            best[pair] = max(best.get(pair, 0.0), alike)
+            held.setdefault(pair, set()).update(range(s, s + n) if alike == 1.0 and flat[p : p + n] == index.words[k][s : s + n] else ())
     ids = batch["doc_id"].tolist()
-    return pd.DataFrame({"doc_id": [ids[d] for d, _ in held], "item_id": [index.ids[k] for _, k in held], "n_words": np.array([len(v) for v in held.values()], dtype="int32")})
+    return pd.DataFrame({
+        "doc_id": [ids[d] for d, _ in held], "item_id": [index.ids[k] for _, k in held], "n_words": np.array([len(v) for v in held.values()], dtype="int32"), "similarity": np.array([best[k] for k in held], dtype=float),
+    })

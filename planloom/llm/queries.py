@@ -14,7 +14,7 @@ def p3_matched(spark: SparkSession, sf_dir: str) -> DataFrame:
     names = read(spark, sf_dir, "status_reference")
     parts = []
     for table, column in (("external_input", "completion_status"), ("legacy_tasks", "status")):
-        m = canonical.match_canonical(read(spark, sf_dir, table), column, names, "status_id", "status_name", ["row_id"])
+        m = canonical.match_canonical(read(spark, sf_dir, table), column, names, "status_id", "status_name", ["row_id"], canonical.STATUS_ALIASES, canonical.STATUS_NOISE)
         parts.append(m.select(F.lit(table).alias("src"), "row_id", F.col("canonical_id").alias("status_id"), "how", "score"))
     return parts[0].unionByName(parts[1])
 
@@ -43,7 +43,12 @@ def p7_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
+    return leaks.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items")).where("n_words > 0").select("doc_id", "item_id")
+
+
+def p8_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document and item with a window at least similar, how many words are shared and the best similarity."""
+    return leaks.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "eval_items"))
 
 
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,5 +61,10 @@ def p9_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.redact(docs, pii.find_pii(docs)).select("doc_id", "redacted")
 
 
-QUERIES = {"p9_found": p9_found, "p9_redacted": p9_redacted, "p6_found": p6_found, "p6_entities": p6_entities, "p3_found": p3_found, "p3_matched": p3_matched, "p7_ids": p7_ids, "p8_found": p8_found}
-ORACLES: dict[str, str] = {}
+QUERIES = {"p9_found": p9_found, "p9_redacted": p9_redacted, "p6_found": p6_found, "p6_entities": p6_entities, "p3_found": p3_found, "p3_matched": p3_matched, "p7_ids": p7_ids, "p8_found": p8_found, "p8_windows": p8_windows}
+_FOLDED = "regexp_extract_all(strip_accents(lower(text)), '[\\p{L}\\p{N}]+')"
+_P8 = f"""WITH i AS (SELECT item_id, w, unnest(range(1, len(w) - 10)) AS k FROM (SELECT item_id, {_FOLDED} AS w FROM eval_items) WHERE len(w) >= 12),
+d AS (SELECT doc_id, w, unnest(range(1, len(w) - 10)) AS k FROM (SELECT doc_id, {_FOLDED} AS w FROM documents) WHERE len(w) >= 12)
+SELECT DISTINCT doc_id, item_id FROM (SELECT doc_id, array_to_string(w[k : k + 11], ' ') AS t FROM d) JOIN (SELECT item_id, array_to_string(w[k : k + 11], ' ') AS t FROM i) USING (t)"""
+
+ORACLES: dict[str, str] = {"p8_found": _P8}

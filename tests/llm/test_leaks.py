@@ -25,6 +25,32 @@ def test_cases(spark):
     assert pairs(spark, docs, []) == {} and pairs(spark, [], [(9, ITEM)]) == {}
 
 
+def test_similarity_of_windows():
+    """Weighted Jaccard of shingles against the plain definition; equal windows are 1, reordered ones are less."""
+    import math
+
+    texts = [(1, "a b c d e f g h i j"), (2, "a b c d e x y z i j")]
+    index = WindowIndex(texts, 8, 3, 5)
+    windows = [tuple(t.split()[k : k + 8]) for _, t in texts for k in range(3)]
+    shingles = lambda w: {tuple(w[k : k + 5]) for k in range(4)}
+    df = {s: sum(s in shingles(w) for w in windows) for w in windows for s in shingles(w)}
+    assert index.held == df
+    weigh = lambda s: sum(math.log(1 + len(windows) / df.get(t, 1)) for t in s)
+    for a in windows:
+        for b in [*windows, tuple(reversed(a))]:
+            want = 1.0 if a == b else weigh(shingles(a) & shingles(b)) / weigh(shingles(a) | shingles(b))
+            assert abs(index.similarity(list(a), list(b)) - want) < 1e-12
+
+
+def test_similar_windows_are_told_apart(spark):
+    """At a lower similarity a window with another last word is accepted, but shares no run of n words."""
+    text = " ".join(f"w{i}" for i in range(12))
+    d = spark.createDataFrame([(1, text), (2, text[:-3] + "w1")], "doc_id long, text string")
+    i = spark.createDataFrame([(9, text)], "item_id long, text string")
+    got = {r.doc_id: (r.n_words, r.similarity) for r in leaks(d, i, blocks=32, similarity=0.5).collect()}
+    assert got[1] == (12, 1.0) and got[2][0] == 0 and 0.5 <= got[2][1] < 1
+
+
 def test_item_blocks_against_brute_force(spark):
     rng = random.Random(5)
     vocabulary = [f"w{i}" for i in range(40)]
@@ -39,7 +65,7 @@ def test_item_blocks_against_brute_force(spark):
 def test_radius_is_complete():
     """Multi-index lookup finds every pair within blocks - 1 bits."""
     rng = np.random.default_rng(1)
-    index = WindowIndex([(0, "a")], 1, 3)
+    index = WindowIndex([(0, "a")], 1, 3, 5)
     base = rng.integers(0, 2**63, 300, dtype=np.uint64)
     index.prints, index.item, index.start = base, np.zeros(300, np.int32), np.zeros(300, np.int32)
     index.order = [np.argsort(index.block(base, b), kind="stable").astype(np.int32) for b in range(3)]
