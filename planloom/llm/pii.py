@@ -1,13 +1,16 @@
 """Personal information in free text by bootstrapped contextual extraction.
 
-1. Seeds: identifiers with a format of their own (formats.py) and a list of given names. Every run of
-   name-like words of a text is a slot; its context is the two tokens on either side, with typed
-   identifiers, numbers and neighbouring slots as placeholders.
+1. Seeds: identifiers with a format of their own (formats.py) and a list of given names. Which seed
+   names are also ordinary words is counted in the corpus: a spelling that more texts hold in lower
+   case than in capitals is one. Every run of name-like words of a text is a slot; its context is the
+   two tokens on either side, with typed identifiers, numbers and neighbouring slots as placeholders.
 2. Each round scores the graph of patterns and instances over the whole corpus: a pattern (left
    context, right context, or both nearest tokens) is as good as the share of its slots that hold a
-   known name, and a word is as name-like as the share of its uses in accepted slots. Accepted
-   slots make their words known, which lifts further patterns. Codes (words with many digits) that
-   have no known format are scored in the same way against identity and phone numbers.
+   known name, and a word is as name-like as the share of its uses in accepted slots; the parts of
+   'first.last' e-mail addresses are such uses too. Accepted slots make their words known, which
+   lifts further patterns. Identifiers of every kind are seeds of patterns in the same way: codes with
+   many digits, stretches like streets and stretches like addresses of mail that have no known format
+   are put out where their left context mostly holds identifiers of one kind.
    A run of more than 7 words (capitals, a heading, names without commas) is cut once lower-case uses
    are known: at words seen more in lower case or hardly ever as names, at titles, before given names
    that follow a surname, and at last after 7 words. The pieces are slots like others.
@@ -15,9 +18,11 @@
    All-capitals slots without a listed given name need a good pattern, and a word of four letters or
    one that is known as a name: shorter ones are mostly abbreviations.
 
-Scale: texts are tokenised once into a table of slots; each round is one narrow pass with partial
-aggregation. Scores live in arrays of 2^20 buckets, so what is collected and broadcast has a fixed
-bound whatever the corpus's size.
+Scale: texts are tokenised once; their slots are kept in compressed groups of texts. Scores are exact,
+keyed by 64-bit hashes of patterns and words, and only those that can matter are kept. Up to
+`most_keys` of them are broadcast; beyond, each group of texts asks for the words and then the
+patterns it holds, and gets them by joins, with the same results. The tally of a round is one narrow
+pass with partial aggregation.
 
 Defined results
 - null and empty texts, texts without identifiers: no row. Texts are read whole.
@@ -29,10 +34,10 @@ from __future__ import annotations
 
 import pickle
 import re
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
-import numpy as np
 import pandas as pd
 import xxhash
 from pyspark.sql import DataFrame
@@ -41,20 +46,12 @@ from pyspark.sql import functions as F
 from planloom.llm.formats import typed_spans
 from planloom.llm.names import LONG_FORMS, NICKNAMES
 from planloom.llm.textfold import fold_word as fold
-from planloom.session import cut, spread
+from planloom.session import cut, drop_cut, spread
 
-BUCKETS = 1 << 20
 # Seed given names (with those of NICKNAMES), titles and particles.
 SEED_NAMES = frozenset(
-    "amara anais anh bjorn edouard hieu hoang ingrid inigo jean-luc kenji lidia lukasz marie-claude mira noemie priya quynh soren thao tor zoe anna maria peter john james mary thomas daniel "
-    "david laura julia paul pierre marie sophie claire jose juan carlos ana luis miguel elena sofia hannes giulia marco luca emma olivia noah mia".split()
+    "amara anais anh bjorn edouard hieu hoang ingrid inigo jean-luc kenji lidia lukasz marie-claude mira noemie priya quynh soren thao tor zoe anna maria peter john james mary thomas daniel david laura julia paul pierre marie sophie claire jose juan carlos ana luis miguel elena sofia hannes giulia marco luca emma olivia noah mia".split()
 ) | frozenset(NICKNAMES) | frozenset(LONG_FORMS)
-# Short forms that are also words: they begin no lower-case name.
-WORDS_TOO = frozenset(
-    "will theo max kit tip pat sue mark val bill rich sid con des corny nat mick dick jo jan lex pip stevie red ace mina gus meg fran bas joe leo willa gail charlie bert".split()
-)
-ACCENTED = frozenset("anais bjorn edouard hieu hoang inigo lukasz noemie quynh soren thao zoe jurgen jose sofia".split())
-LOWER_SHORT = frozenset("zoe hieu thao anh tor mira".split())
 TITLES = frozenset(
     "mr mrs ms miss mx dr prof herr frau hr fr sr sra srta dra m mme mlle monsieur madame señor señora don doña ing eng ông bà chị cô ong ba chi co anh professor".split()
 )
@@ -63,13 +60,40 @@ _SURE_TITLES = frozenset("mr mrs miss mx dr prof herr frau madame monsieur".spli
 LONGEST = 7  # words of a slot
 PARTICLES = frozenset("van von der den de di del della la le du da dos".split())
 _TOKEN = re.compile(r"\x00\d+\x00|[^\W\d_]+(?:[-'’][^\W\d_]+)*|\d[\w.,:/\-]*|\n|[^\w\s]", re.UNICODE)
-_CODE = re.compile(r"(?<![\w.,/:+\-])(?=(?:[ .\-/]?\w)*)[A-Z]{0,4}[ \-]?\d(?:[ .\-/]?[\dA-Z]){4,20}(?![\w])")
+_CODE = re.compile(r"(?<![\w.,/:+\-])(?=(?:[ .\-/]?\w)*)[A-Z]{0,4}[ \-]?\d(?:[ .\-/]?[\dA-Z]){4,}(?![\w])")
+_CAPS = r"[^\W\d_a-zß-ÿ][^\W\d_]*(?:[-'’][^\W\d_]+)*"
+_STREET_LIKE = re.compile(rf"(?<!\w)(?:\d{{1,5}}[A-Za-z]?,? {_CAPS}(?: {_CAPS}){{0,3}}|{_CAPS}(?: {_CAPS}){{0,3}},? \d{{1,5}}[A-Za-z]?)(?!\w|[.,:/]\d)")
+_MAIL_LIKE = re.compile(r"(?<![\w.+-])[\w.+-]+ ?(?:@|＠|\W(?:at|AT|arroba|chez)\W) ?\w[\w-]*(?: ?(?:\.|\W(?:dot|DOT|punto|point)\W) ?\w[\w-]*)+")
 _PLACE = {"email": "<E>", "phone": "<P>", "id_number": "<I>", "address": "<A>"}
 
 
+KINDS = ("name", "id_number", "phone", "email", "address")
+
+
 @lru_cache(maxsize=1 << 18)
-def _bucket(s: str) -> int:
-    return xxhash.xxh32_intdigest(s) & (BUCKETS - 1)
+def _key(s: str) -> int:
+    return xxhash.xxh3_64_intdigest(s) - (1 << 63)
+
+
+class Spelling:
+    """Words as they are compared; `ordinary` holds the spellings that fold to a seed name but are ordinary words."""
+
+    def __init__(self, ordinary: frozenset[str]) -> None:
+        self.ordinary = ordinary
+        self.known: dict[str, str] = {}
+
+    def plain(self, w: str) -> str:
+        """The folded word; accented ordinary words are told apart from the seed they fold to."""
+        f = self.known.get(w)
+        if f is None:
+            bare = w.rstrip(".")
+            f = fold(bare)
+            if f in SEED_NAMES and not bare.isascii() and bare.lower() in self.ordinary:
+                f += "~"
+            if len(self.known) > 200_000:
+                self.known.clear()
+            self.known[w] = f
+        return f
 
 
 class Slot:
@@ -77,7 +101,7 @@ class Slot:
 
     __slots__ = ("before", "code", "left", "piece", "right", "titled", "words")
 
-    def __init__(self, words: list[tuple[str, int, int]], left: list[str], right: list[str], before: int, titled: bool, code: bool, piece: bool = False) -> None:
+    def __init__(self, words: list[tuple[str, int, int]], left: list[str], right: list[str], before: int, titled: bool, code: str, piece: bool = False) -> None:
         self.words, self.left, self.right, self.before, self.titled, self.code, self.piece = words, left, right, before, titled, code, piece
 
 
@@ -97,8 +121,8 @@ def _is_cap(w: str) -> bool:
     return w[0].isalpha() and w[0].isupper()
 
 
-def find_slots(text: str, typed: list[tuple[int, int, str]], lower_case: set[int] | None = None) -> list[Slot]:
-    """The slots of a text; lower_case gets the buckets of its lower-case words."""
+def find_slots(text: str, typed: list[tuple[int, int, str]], spelling: Spelling, lower_case: set[int] | None = None) -> list[Slot]:
+    """The slots of a text; lower_case gets the keys of its lower-case words."""
     tokens = _scan(text, typed)
     n = len(tokens)
     low = [t if t[0] in "<\n" else "#" if t[0].isdigit() else fold(t) for t, _, _ in tokens]
@@ -111,12 +135,12 @@ def find_slots(text: str, typed: list[tuple[int, int, str]], lower_case: set[int
             kinds.append("I" if len(w) == 1 else "C")
         elif f in PARTICLES:
             kinds.append("p")
-        elif f in SEED_NAMES and f not in WORDS_TOO and (len(f) > 4 or f in LOWER_SHORT):
+        elif f in SEED_NAMES and len(f) > 2 and w not in spelling.ordinary and t[0] not in spelling.ordinary:
             kinds.append("s")
         else:
             kinds.append("l")
     if lower_case is not None:
-        lower_case.update(_bucket("w" + _plain(t[0])) for t, k in zip(tokens, kinds) if k == "l")
+        lower_case.update(_key("v" + spelling.plain(t[0])) for t, k in zip(tokens, kinds) if k == "l")
     slots: list[Slot] = []
     last_end = -9
     i = 0
@@ -162,14 +186,16 @@ def find_slots(text: str, typed: list[tuple[int, int, str]], lower_case: set[int
             while len(left) < 2:
                 left.insert(0, "\n")
             right = (low[end : end + 2] + ["\n", "\n"])[:2]
-            slots.append(Slot(words, left, right, first - last_end, titled, False))
+            slots.append(Slot(words, left, right, first - last_end, titled, ""))
             last_end = end
         i = max(end, i + 1)
-    for m in _CODE.finditer(text):
-        a, b = m.span()
-        if sum(c.isdigit() for c in m.group()) >= 6 and all(b <= x or a >= y for x, y, _ in typed):
-            before = [t for t, (_, _, e) in zip(low, tokens) if e <= a][-2:]
-            slots.append(Slot([(m.group(), a, b)], (["\n", "\n"] + before)[-2:], ["", ""], 9, False, True))
+    free = list(typed)
+    for what, form in (("mail", _MAIL_LIKE), ("street", _STREET_LIKE), ("code", _CODE)):
+        for m in form.finditer(text):
+            a, b = m.span()
+            if (what != "code" or sum(c.isdigit() for c in m.group()) >= 6) and all(b <= x or a >= y for x, y, _ in free):
+                before = [t for t, (_, _, e) in zip(low, tokens) if e <= a][-2:]
+                slots.append(Slot([(m.group(), a, b)], (["\n", "\n"] + before)[-2:], ["", ""], 9, False, what))
     # neighbours of a slot as placeholders: C for a slot that follows closely
     names = [s for s in slots if not s.code]
     for s, t in zip(names, names[1:]):
@@ -181,79 +207,77 @@ def find_slots(text: str, typed: list[tuple[int, int, str]], lower_case: set[int
 
 
 class Scores:
-    """What the rounds have learnt, in arrays of fixed size."""
+    """What the rounds have learnt: (good, all) by the key of a pattern or word."""
 
-    def __init__(self) -> None:
-        self.known = np.zeros((3, BUCKETS), dtype=np.float32)  # names, id numbers, phones: good slots of a pattern
-        self.all = np.zeros((3, BUCKETS), dtype=np.float32)
-        self.used = np.zeros(BUCKETS, dtype=np.float32)  # words: uses in accepted slots
-        self.seen = np.zeros(BUCKETS, dtype=np.float32)
-        self.low = np.zeros(BUCKETS, dtype=np.float32)  # words: texts that have it in lower case
-        self.learnt = False
+    def __init__(self, spelling: Spelling, held: dict[int, tuple[int, int]] | None = None) -> None:
+        self.spelling, self.held, self.learnt = spelling, held or {}, held is not None
+        self.asked: set[int] | None = None  # where patterns are only listed
 
     def word(self, f: str) -> float | None:
         """Share of a word's uses that are names; None when it has hardly been seen."""
-        b = _bucket("w" + f)
-        n = float(self.seen[b])
-        return float(self.used[b]) / n if n >= 3 else None
+        used, seen = self.held.get(_key("w" + f), (0, 0))
+        return used / seen if seen >= 3 else None
 
     def common(self, f: str) -> bool:
         """A word seen more in lower case than in capitals."""
-        b = _bucket("w" + f)
-        return bool((f not in SEED_NAMES or f in WORDS_TOO) and self.low[b] >= 3 and self.low[b] > self.seen[b])
+        low = self.held.get(_key("v" + f), (0, 0))[1]
+        return (f not in SEED_NAMES or f in self.spelling.ordinary) and low >= 3 and low > self.held.get(_key("w" + f), (0, 0))[1]
 
     def is_known(self, f: str) -> bool:
         if f in SEED_NAMES:
             return True
-        b = _bucket("w" + f)
-        return bool(self.used[b] >= 2 and self.used[b] >= 0.6 * self.seen[b])
+        used, seen = self.held.get(_key("w" + f), (0, 0))
+        return used >= 2 and used >= 0.6 * seen
+
+    def given(self, f: str) -> bool:
+        """A given name: listed, or mostly the first word of accepted names of several words."""
+        if f in SEED_NAMES:
+            return True
+        first, uses = self.held.get(_key("g" + f), (0, 0))
+        return first >= 3 and first >= 0.7 * uses and self.is_known(f)
 
     def pattern(self, key: str, kind: int) -> float:
-        b = _bucket(key)
-        n = float(self.known[kind, b])
-        return n / (float(self.all[kind, b]) + 0.5) if n >= 2 else 0.0
+        k = _key(f"{kind}{key}")
+        if self.asked is not None:
+            self.asked.add(k)
+        good, every = self.held.get(k, (0, 0))
+        return good / (every + 0.5) if good >= 2 else 0.0
 
 
 def _keys(left: list[str], right: list[str]) -> tuple[str, str, str]:
     return "l" + " ".join(left), "r" + " ".join(right), "m" + left[-1] + " | " + right[0]
 
 
-@lru_cache(maxsize=1 << 17)
-def _plain(w: str) -> str:
-    f = fold(w.rstrip("."))
-    # other accented words that fold to a seed are not that name
-    return f if w.isascii() or f not in SEED_NAMES or f in ACCENTED else f + "~"
-
-
-def _shouted(words: list[tuple[str, int, int]]) -> bool:
-    return all(w[0].isupper() for w in words) and any(len(_plain(w[0])) > 1 for w in words)
+def _shouted(words: list[tuple[str, int, int]], plain) -> bool:  # noqa: ANN001
+    return all(w[0].isupper() for w in words) and any(len(plain(w[0])) > 1 for w in words)
 
 
 def pieces(s: Slot, scores: Scores) -> list[Slot]:
     """A slot of more than LONGEST words cut into slots; the words between them are context."""
     n = len(s.words)
-    plain = [_plain(w[0]) for w in s.words]
+    ordinary = scores.spelling.ordinary
+    plain = [scores.spelling.plain(w[0]) for w in s.words]
     around = [*s.left, *plain, *s.right]  # word k stands at k + 2
     out: list[Slot] = []
     a, titled = 0, s.titled
 
     def close(b: int) -> None:
         if b > a:
-            out.append(Slot(list(s.words[a:b]), around[a : a + 2], around[b + 2 : b + 4], s.before if a == 0 else 9, titled, False, True))
+            out.append(Slot(list(s.words[a:b]), around[a : a + 2], around[b + 2 : b + 4], s.before if a == 0 else 9, titled, "", True))
 
     for k, f in enumerate(plain):
         share = scores.word(f)
-        given = f in SEED_NAMES and f not in WORDS_TOO
+        given = scores.given(f) and f not in ordinary
         is_title = f in _SURE_TITLES and k + 1 < n
         # 'WILL' is a name only before one
-        word_too = f in WORDS_TOO and scores.common(f) and not (k + 1 < n and scores.is_known(plain[k + 1]))
-        odd = len(f) > 1 and f not in SEED_NAMES and f not in PARTICLES and ((share is not None and share < 0.15) or scores.common(f))
+        word_too = f in SEED_NAMES and f in ordinary and scores.common(f) and not (k + 1 < n and scores.is_known(plain[k + 1]))
+        odd = len(f) > 1 and not scores.given(f) and f not in PARTICLES and ((share is not None and share < 0.15) or scores.common(f))
         if is_title or word_too or odd:
             if titled and k == a and not is_title and not scores.common(f):
                 continue  # a title outweighs a word's share
             close(k)
             a, titled = k + 1, is_title
-        elif k > a and ((given and len(plain[k - 1]) > 1 and plain[k - 1] not in SEED_NAMES and plain[k - 1] not in PARTICLES) or k - a >= LONGEST):
+        elif k > a and ((given and len(plain[k - 1]) > 1 and not scores.given(plain[k - 1]) and plain[k - 1] not in PARTICLES) or k - a >= LONGEST):
             close(k)
             a, titled = k, False
     close(n)
@@ -264,11 +288,12 @@ def trimmed(s: Slot, scores: Scores) -> tuple[list[tuple[str, int, int]], list[s
     """The slot without leading and trailing words that are hardly ever names, and its contexts."""
     words = list(s.words)
     left, right = list(s.left), list(s.right)
-    capitals = _shouted(words)
+    _plain = scores.spelling.plain
+    capitals = _shouted(words, _plain)
 
     def odd(w: str) -> bool:
         f = _plain(w)
-        if len(f) == 1 or f in SEED_NAMES or f in PARTICLES:
+        if len(f) == 1 or scores.given(f) or f in PARTICLES:
             return False
         share = scores.word(f)
         return (share is not None and share < 0.15) or (capitals and scores.common(f))
@@ -292,21 +317,29 @@ def _rest(s: Slot, words: list[tuple[str, int, int]], scores: Scores) -> Slot |
     """What follows the word at which trimmed() cut a slot short, as a slot of its own."""
     if not words or words[-1][2] >= s.words[-1][2]:
         return None
+    _plain = scores.spelling.plain
     after = [w for w in s.words if w[1] > words[-1][1]]
     if len(after) < 2:
         return None
-    return Slot(after[1:], [_plain(words[-1][0]), _plain(after[0][0])], s.right, 9, False, False, s.piece)
+    return Slot(after[1:], [_plain(words[-1][0]), _plain(after[0][0])], s.right, 9, False, "", s.piece)
+
+
+# Kinds (places in KINDS) that a stretch without a known format may have.
+_CODE_KINDS = {"code": (1, 2), "mail": (3,), "street": (4,)}
 
 
 def judge(slots: list[Slot], scores: Scores, threshold: float) -> list[tuple[Slot, list[tuple[str, int, int]], bool, tuple[str, str, str], bool]]:
     """(slot, words, accepted, pattern keys, holds a known name) for each slot, left to right."""
     out = []
     previous = False
+    _plain = scores.spelling.plain
     waiting = list(reversed(slots))
     while waiting:
         s = waiting.pop()
         if s.code:
             keys = _keys(s.left, s.right)
+            for kind in _CODE_KINDS[s.code] if scores.asked is not None else ():
+                scores.pattern(keys[0], kind)
             out.append((s, s.words, False, keys, False))
             continue
         if len(s.words) > LONGEST and not s.piece:
@@ -317,8 +350,13 @@ def judge(slots: list[Slot], scores: Scores, threshold: float) -> list[tuple[Slo
         rest = _rest(s, words, scores)
         if rest is not None:
             waiting.append(rest)
-        if previous and 0 < s.before <= 2 and left and left[0] == "<C>":
-            left = ["<N>", *left[1:]]
+        if 0 < s.before <= 2 and left and left[0] == "<C>":
+            follows = ["<N>", *left[1:]]
+            if scores.asked is not None and words:
+                for k in _keys(follows, right):
+                    scores.pattern(k, 0)
+            if previous:
+                left = follows
         if not words:
             out.append((s, words, False, ("", "", ""), False))
             previous = False
@@ -329,11 +367,11 @@ def judge(slots: list[Slot], scores: Scores, threshold: float) -> list[tuple[Slo
         good = max(scores.pattern(k, 0) for k in keys)
         spelled = [f for f in plain if len(f) > 1 and f not in PARTICLES]
         lower = words[0][0][0].islower() and plain[0] not in PARTICLES
-        seeds = plain[0] in SEED_NAMES or plain[-1] in SEED_NAMES
-        shouted = _shouted(words) and not s.titled
-        full = len(spelled) >= 2 and (plain[0] in SEED_NAMES or plain[-1] in SEED_NAMES) and not lower
-        accepted = bool(spelled) and ((s.titled and not lower) or good >= threshold or (full and good >= threshold / 4) or (full and plain[0] in SEED_NAMES and scores.word(spelled[-1]) is None))
-        if s.piece and full and plain[0] in SEED_NAMES and scores.is_known(spelled[-1]):
+        seeds = scores.given(plain[0]) or scores.given(plain[-1])
+        shouted = _shouted(words, _plain) and not s.titled
+        full = len(spelled) >= 2 and (scores.given(plain[0]) or scores.given(plain[-1])) and not lower
+        accepted = bool(spelled) and ((s.titled and not lower) or good >= threshold or (full and good >= threshold / 4) or (full and scores.given(plain[0]) and scores.word(spelled[-1]) is None))
+        if s.piece and full and scores.given(plain[0]) and scores.is_known(spelled[-1]):
             accepted = True
         if shouted and not seeds:
             accepted = good >= threshold and any(len(f) > 3 or scores.is_known(f) for f in spelled)
@@ -344,9 +382,10 @@ def judge(slots: list[Slot], scores: Scores, threshold: float) -> list[tuple[Slo
     return out
 
 
-def _join_reversed(found: list, text_gap) -> list[tuple[int, int]]:  # noqa: ANN001
+def _join_reversed(found: list, text_gap, scores: Scores) -> list[tuple[int, int]]:  # noqa: ANN001
     """Stretches of the accepted slots; 'Last, First' becomes one."""
     spans: list[tuple[int, int]] = []
+    _plain = scores.spelling.plain
     k = 0
     while k < len(found):
         s, words, accepted, keys, _ = found[k]
@@ -354,8 +393,8 @@ def _join_reversed(found: list, text_gap) -> list[tuple[int, int]]:  # noqa: ANN
             t, more, ok, _, _ = found[k + 1]
             if not t.code and more and text_gap(words[-1][2], more[0][1]) == ", " and (accepted or ok):
                 firsts, lasts = [_plain(w[0]) for w in more], [_plain(w[0]) for w in words]
-                given = firsts[0] in SEED_NAMES or (len(firsts[0]) == 1 and more[0][0].endswith("."))
-                if given and len(more) <= 2 and len(lasts) <= 2 and not any(f in SEED_NAMES and len(f) > 3 for f in lasts) and all(len(f) == 1 for f in firsts[1:]):
+                given = scores.given(firsts[0]) or (len(firsts[0]) == 1 and more[0][0].endswith("."))
+                if given and len(more) <= 2 and len(lasts) <= 2 and not any(scores.given(f) and len(f) > 3 for f in lasts) and all(len(f) == 1 for f in firsts[1:]):
                     spans.append((words[0][1], more[-1][2]))
                     k += 2
                     continue
@@ -365,136 +404,235 @@ def _join_reversed(found: list, text_gap) -> list[tuple[int, int]]:  # noqa: ANN
     return spans
 
 
-def slots_table(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, text, slots): the slots and typed stretches of each text, serialised."""
-    docs = spread(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") > 0))
+def _ordinary(docs: DataFrame) -> frozenset[str]:
+    """Lower-case spellings that fold to a seed name and stand in lower case in three texts more than in capitals, or beyond.
+
+    Words are counted in the JVM; what is collected are spellings of the seed list."""
+    words = F.array_distinct(F.regexp_extract_all("text", F.lit(r"\p{L}+(?:[-'’]\p{L}+)*"), F.lit(0)))
+    counts = docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
+
+    def seeds(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            yield b[[fold(w) in SEED_NAMES for w in b["w"]]]
+
+    low: dict[str, int] = {}
+    for r in counts.mapInPandas(seeds, "w string, n long").collect():
+        low[r.w.lower()] = low.get(r.w.lower(), 0) + (r.n if r.w[0].islower() else -r.n)
+    return frozenset(w for w, n in low.items() if n >= 3)
+
+
+GROUP, GROUP_CHARS = 100, 200_000  # texts and characters of a group, the last text in full
+
+
+def slots_table(docs: DataFrame, spelling: Spelling) -> DataFrame:
+    """(gid, blob): groups of texts with their slots and typed stretches, compressed."""
+
+    def packed(rows: list) -> tuple[int, bytes]:
+        blob = zlib.compress(pickle.dumps(rows, protocol=5), 1)
+        return xxhash.xxh3_64_intdigest(blob) - (1 << 63), blob
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for whole in batches:
-            for a in range(0, len(whole), 1000):
-                b = whole.iloc[a : a + 1000]
-                blobs = []
-                for t in b["text"]:
-                    typed = typed_spans(t)
-                    low: set[int] = set()
-                    slots = [(s.words, s.left, s.right, s.before, s.titled, s.code) for s in find_slots(t, typed, low)]
-                    gaps = {(x[0][-1][2], y[0][0][1]): t[x[0][-1][2] : y[0][0][1]] for x, y in zip(slots, slots[1:]) if 0 < y[0][0][1] - x[0][-1][2] <= 3}
-                    around = [(k, *_around(t, x, y)) for x, y, k in typed if k in ("id_number", "phone")]
-                    blobs.append(pickle.dumps(([(x, y, k, t[x:y]) for x, y, k in typed], slots, gaps, around, np.array(list(low), dtype=np.uint32).tobytes())))
-                yield pd.DataFrame({"doc_id": b["doc_id"], "text": b["text"], "slots": blobs})
-
-    return docs.mapInPandas(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, slots binary")
-
-
-def _around(text: str, a: int, b: int) -> tuple[str, str]:
+        for b in batches:
+            out, rows, size = [], [], 0
+            for d, t in zip(b["doc_id"], b["text"]):
+                typed = typed_spans(t)
+                low: set[int] = set()
+                slots = [(s.words, s.left, s.right, s.before, s.titled, s.code) for s in find_slots(t, typed, spelling, low)]
+                gaps = {(x[0][-1][2], y[0][0][1]): t[x[0][-1][2] : y[0][0][1]] for x, y in zip(slots, slots[1:]) if 0 < y[0][0][1] - x[0][-1][2] <= 3}
+                around = [(k, _around(t, x)) for x, _, k in typed]
+                rows.append((d, t, typed, slots, gaps, around, low))
+                size += len(t)
+                if len(rows) == GROUP or size > GROUP_CHARS:
+                    out.append(packed(rows))
+                    rows, size = [], 0
+            if rows:
+                out.append(packed(rows))
+            yield pd.DataFrame(out, columns=["gid", "blob"])
+
+    return docs.mapInPandas(run, "gid long, blob binary")
+
+
+def _around(text: str, a: int) -> str:
     left = [fold(x) if x[0].isalpha() else "#" if x[0].isdigit() else x for x in _TOKEN.findall(text[max(0, a - 60) : a])][-2:]
-    return " ".join((["\n", "\n"] + left)[-2:]), ""
+    return " ".join((["\n", "\n"] + left)[-2:])
 
 
-def _load(blob: bytes):  # noqa: ANN202
-    typed, slots, gaps, around, low = pickle.loads(blob)  # noqa: S301 - written by slots_table
-    return typed, [Slot(*s) for s in slots], gaps, around, low
+def _load(blob: bytes) -> Iterator[tuple]:
+    for d, t, typed, slots, gaps, around, low in pickle.loads(zlib.decompress(blob)):  # noqa: S301 - written by slots_table
+        yield d, t, typed, [Slot(*s) for s in slots], gaps, around, low
 
 
-def learn(table: DataFrame, rounds: int = 3, threshold: float = 0.5) -> Scores:
-    """Score patterns and words over the whole table, round by round."""
-    spark = table.sparkSession
-    scores = Scores()
-    lower_case = scores.low
-    for k in range(rounds):
-        shared = spark.sparkContext.broadcast(scores)
+def _mail_names(t: str) -> list[str]:
+    """The parts of a 'first.last' local part."""
+    parts = re.split(r"[._\-+]", re.split(r"\s?[@＠(\[{]", t, maxsplit=1)[0])
+    return [fold(p) for p in parts if len(p) > 2 and p.isalpha()] if len(parts) > 1 else []
+
+
+class Learning:
+    """Rounds over a table of slots; `scored` lends each group of texts the scores it needs."""
+
+    def __init__(self, table: DataFrame, spelling: Spelling, most_keys: int, threshold: float) -> None:
+        self.table, self.most, self.threshold = table, most_keys, threshold
+        self.spelling = spelling
+        self.scores: DataFrame | None = None
+
+    def scored(self, use, schema: str, scores: DataFrame | None) -> DataFrame:  # noqa: ANN001
+        """use(texts of a group, Scores) for every group."""
+        spelling = self.spelling
+        if scores is None or scores.count() <= self.most:
+            rows = None if scores is None else scores.toPandas()
+            held = None if rows is None else dict(zip(rows["key"].tolist(), zip(rows["good"].tolist(), rows["n"].tolist())))
+            shared = self.table.sparkSession.sparkContext.broadcast(held)
 
-        def tally(batches: Iterator[pd.DataFrame], shared=shared, k=k) -> Iterator[pd.DataFrame]:  # noqa: ANN001
-            now = shared.value
+            def from_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+                s = Scores(spelling, shared.value)
+                for b in batches:
+                    for blob in b["blob"]:
+                        yield use(_load(blob), s)
+
+            return self.table.select("blob").mapInPandas(from_all, schema)
+        asked = _asked(self.table, scores, lambda blob, held: _word_keys(blob, spelling), ["blob"])
+        threshold = self.threshold
+        both = _asked(asked, scores, lambda blob, held: _pattern_keys(blob, spelling, held, threshold), ["blob", "held"])
+
+        def from_own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                counts: dict[tuple[int, int], list[int]] = {}
-                lows: list[bytes] = []
-
-                def add(kind: int, key: str, good: bool, counts=counts) -> None:  # noqa: ANN001
-                    c = counts.setdefault((kind, _bucket(key)), [0, 0])
-                    c[0] += good
-                    c[1] += 1
-
-                for blob in b["slots"]:
-                    typed, slots, gaps, around, low = _load(blob)
-                    if k == 0:
-                        lows.append(low)
-                    for kind, left, _ in around:
-                        add(1, "l" + left, kind == "id_number")
-                        add(2, "l" + left, kind == "phone")
-                    counted: set[int] = set()
-                    for s, words, accepted, keys, known in judge(slots, now, threshold):
-                        if s.code:
-                            continue
-                        if words:
-                            for key in keys:
-                                add(0, key, known)
-                        inside = {w[1] for w in words} if accepted or (k == 0 and known and len(words) > 1 and _plain(words[0][0]) in SEED_NAMES) else set()
+                for blob, held in zip(b["blob"], b["held"]):
+                    yield use(_load(blob), Scores(spelling, _as_dict(held)))
+
+        return both.select("blob", "held").mapInPandas(from_own, schema)
+
+    def round(self, first: bool) -> None:
+        threshold, plain = self.threshold, self.spelling.plain
+
+        def tally(texts: Iterator[tuple], now: Scores) -> pd.DataFrame:
+            counts: dict[int, list[int]] = {}
+
+            def add(key: str | int, good: bool) -> None:
+                c = counts.setdefault(key if isinstance(key, int) else _key(key), [0, 0])
+                c[0] += good
+                c[1] += 1
+
+            for _, t, typed, slots, _, around, low in texts:
+                for k in low:
+                    add(k, False)
+                for kind, left in around:
+                    for i in (1, 2, 3, 4):
+                        add(f"{i}l{left}", kind == KINDS[i])
+                for x, y, kind in typed:
+                    for f in _mail_names(t[x:y]) if kind == "email" else ():
+                        add("w" + f, True)
+                counted: set[int] = set()
+                for s, words, accepted, keys, known in judge(slots, now, threshold):
+                    if s.code:
+                        continue
+                    if words:
+                        for key in keys:
+                            add("0" + key, known)
+                    if accepted and len(words) > 1:
                         for w, a, _ in words:
-                            f = _plain(w)
-                            if len(f) > 1:
-                                add(3, "w" + f, a in inside)
-                        at = {a for _, a, _ in words}
-                        for w, a, _ in s.words:
-                            if a not in at and a not in counted and len(_plain(w)) > 1:
-                                add(3, "w" + _plain(w), False)
-                                counted.add(a)
-                        counted |= at
-                yield pd.DataFrame([(kind, bucket, g, n) for (kind, bucket), (g, n) in counts.items()], columns=["kind", "bucket", "good", "n"])
-                if lows:
-                    at, n = np.unique(np.frombuffer(b"".join(lows), dtype=np.uint32), return_counts=True)
-                    yield pd.DataFrame({"kind": 4, "bucket": at.astype(np.int32), "good": 0, "n": n})
-
-        sums = table.select("slots").mapInPandas(tally, "kind int, bucket int, good long, n long").groupBy("kind", "bucket").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
-        # Rare words and patterns without a good slot say nothing; at most 5 x 2^20 rows are left.
-        got = sums.where("n >= 3 or good > 0").toPandas()
-        scores = Scores()
-        for kind in (0, 1, 2):
-            part = got[got["kind"] == kind]
-            scores.known[kind, part["bucket"]] = part["good"]
-            scores.all[kind, part["bucket"]] = part["n"]
-        part = got[got["kind"] == 3]
-        scores.used[part["bucket"]] = part["good"]
-        scores.seen[part["bucket"]] = part["n"]
-        if k == 0:
-            part = got[got["kind"] == 4]
-            lower_case[part["bucket"]] = part["n"]
-        scores.low, scores.learnt = lower_case, True
-        shared.unpersist()
-    return scores
-
-
-def find_pii(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = 3, threshold: float = 0.5) -> DataFrame:
-    """(doc_id, start, end, kind, pii_text): every stretch of personal information; offsets in code points."""
-    table = cut(slots_table(documents, doc_id, text), "slots")
-    shared = table.sparkSession.sparkContext.broadcast(learn(table, rounds, threshold))
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        scores = shared.value
+                            if len(plain(w)) > 1 and plain(w) not in PARTICLES:
+                                add("g" + plain(w), a == words[0][1])
+                    inside = {w[1] for w in words} if accepted or (first and known and len(words) > 1 and plain(words[0][0]) in SEED_NAMES) else set()
+                    for w, a, _ in words:
+                        f = plain(w)
+                        if len(f) > 1:
+                            add("w" + f, a in inside)
+                    at = {a for _, a, _ in words}
+                    for w, a, _ in s.words:
+                        if a not in at and a not in counted and len(plain(w)) > 1:
+                            add("w" + plain(w), False)
+                            counted.add(a)
+                    counted |= at
+            return pd.DataFrame([(k, g, n) for k, (g, n) in counts.items()], columns=["key", "good", "n"])
+
+        counts = self.scored(tally, "key long, good long, n long", self.scores).groupBy("key").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
+        # A pattern needs two good slots, a word, its lower case or its first places three uses; the rest never counts.
+        new = cut(counts.where("n >= 3 or good >= 2"), "scores")
+        if self.scores is not None:
+            drop_cut(self.scores)
+        self.scores = new
+
+
+def _as_dict(held) -> dict[int, tuple[int, int]]:  # noqa: ANN001
+    return {r["key"]: (r["good"], r["n"]) for r in held}
+
+
+def _asked(table: DataFrame, scores: DataFrame, ask, columns: list[str]) -> DataFrame:  # noqa: ANN001
+    """(gid, blob, held): what the scores hold of the keys that ask(blob, held so far) lists for each group, with those held so far."""
+
+    def keys(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = []
-            for d, t, blob in zip(b["doc_id"], b["text"], b["slots"]):
-                typed, slots, gaps, _, _ = _load(blob)
-                rows += [(d, x, y, k, v) for x, y, k, v in typed]
-                judged = judge(slots, scores, threshold)
-                rows += [(d, x, y, "name", t[x:y]) for x, y in _join_reversed(judged, lambda x, y, g=gaps: g.get((x, y)))]
-                for s, words, _, keys, _ in judged:
-                    if s.code:
-                        as_id, as_phone = scores.pattern(keys[0], 1), scores.pattern(keys[0], 2)
-                        if max(as_id, as_phone) >= 0.8:
-                            rows.append((d, words[0][1], words[0][2], "id_number" if as_id >= as_phone else "phone", t[words[0][1] : words[0][2]]))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "end", "kind", "pii_text"])
+            for gid, blob, held in zip(b["gid"], b["blob"], b["held"] if "held" in columns else [None] * len(b)):
+                yield pd.DataFrame({"gid": gid, "key": list(ask(blob, held))}).astype({"gid": "int64", "key": "int64"})
 
-    return table.mapInPandas(run, f"doc_id {table.schema['doc_id'].dataType.simpleString()}, start int, end int, kind string, pii_text string")
+    # one group's keys are bounded by the group's size
+    got = table.select("gid", *columns).mapInPandas(keys, "gid long, key long").join(scores, "key").groupBy("gid").agg(F.collect_list(F.struct("key", "good", "n")).alias("got"))
+    none = F.array().cast("array<struct<key:bigint,good:bigint,n:bigint>>")
+    j = table.join(got, "gid", "left")
+    before = F.col("held") if "held" in columns else none
+    return cut(j.select("gid", "blob", F.concat(before, F.coalesce("got", none)).alias("held")), "asked")
+
+
+def _word_keys(blob: bytes, spelling: Spelling) -> set[int]:
+    plain = {spelling.plain(w[0]) for _, _, _, slots, *_ in _load(blob) for s in slots if not s.code for w in s.words}
+    return {_key(x + f) for f in plain for x in "wvg"}
+
+
+def _pattern_keys(blob: bytes, spelling: Spelling, held, threshold: float) -> set[int]:  # noqa: ANN001
+    scores = Scores(spelling, _as_dict(held))
+    scores.asked = set()
+    for _, _, _, slots, *_ in _load(blob):
+        judge(slots, scores, threshold)
+    return scores.asked
+
+
+def find_pii(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = 3, threshold: float = 0.5, most_keys: int = 1_000_000) -> DataFrame:
+    """(doc_id, start, end, kind, pii_text, by): every stretch of personal information; offsets in code points; `by` is 'format' or 'pattern'."""
+    docs = spread(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") > 0))
+    spelling = Spelling(_ordinary(docs))
+    table = cut(slots_table(docs, spelling), "slots")
+    learning = Learning(table, spelling, most_keys, threshold)
+    for k in range(rounds):
+        learning.round(k == 0)
+
+    def put_out(texts: Iterator[tuple], scores: Scores) -> pd.DataFrame:
+        rows = []
+        for d, t, typed, slots, gaps, _, _ in texts:
+            rows += [(d, x, y, k, t[x:y], "format") for x, y, k in typed]
+            judged = judge(slots, scores, threshold)
+            spans = _join_reversed(judged, lambda x, y, g=gaps: g.get((x, y)), scores)
+            rows += [(d, x, y, "name", t[x:y], "pattern") for x, y in spans]
+            for s, words, _, keys, _ in judged:
+                if s.code:
+                    score, kind = max((scores.pattern(keys[0], i), -i) for i in _CODE_KINDS[s.code])
+                    a, b = words[0][1:]
+                    if score >= 0.8 and all(b <= x or a >= y for x, y in (spans if s.code != "code" else ())):
+                        rows.append((d, a, b, KINDS[-kind], t[a:b], "pattern"))
+        return pd.DataFrame(rows, columns=["doc_id", "start", "end", "kind", "pii_text", "by"])
+
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start int, end int, kind string, pii_text string, by string"
+    return learning.scored(put_out, schema, learning.scores)
 
 
 def redact(documents: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """documents with `redacted`: each stretch replaced by its kind in brackets, the rest as it stands."""
+    """documents with `redacted`: each stretch replaced by its kind in brackets, the rest as it stands. Of overlapping stretches the first counts."""
     spans = found.groupBy("doc_id").agg(F.array_sort(F.collect_set(F.struct("start", "end", "kind"))).alias("spans"))
     joined = documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(spans, "doc_id", "left")
-    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-    done = F.aggregate(
-        F.coalesce("spans", F.array().cast("array<struct<start:int,end:int,kind:string>>")), start,
-        lambda s, x: F.when(x["start"] >= s["at"], F.struct(F.concat(s["out"], F.substring("text", s["at"] + 1, x["start"] - s["at"]), F.lit("["), F.upper(x["kind"]), F.lit("]")).alias("out"), x["end"].alias("at"))).otherwise(s),
-    )
-    return joined.withColumn("d", done).select("doc_id", "text", F.when(F.col("text").isNotNull(), F.concat("d.out", F.expr("substring(text, d.at + 1)"))).alias("redacted"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for t, found_in in zip(b["text"], b["spans"]):
+                if t is None or found_in is None:
+                    out.append(t)
+                    continue
+                parts, at = [], 0
+                for x in found_in:
+                    if x["start"] >= at:
+                        parts += [t[at : x["start"]], f"[{x['kind'].upper()}]"]
+                        at = x["end"]
+                out.append("".join(parts) + t[at:])
+            yield pd.DataFrame({"doc_id": b["doc_id"], "text": b["text"], "redacted": out})
+
+    return joined.mapInPandas(run, f"doc_id {joined.schema['doc_id'].dataType.simpleString()}, text string, redacted string")

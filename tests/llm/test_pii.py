@@ -63,3 +63,30 @@ def test_long_runs_and_capitals(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert find_pii(docs).collect() == [] and redact(docs, find_pii(docs)).collect() == []
+
+
+def test_scores_by_join_are_the_same(spark):
+    docs = corpus(spark)
+    rows = lambda f: sorted(tuple(r) for r in f.collect())
+    assert rows(find_pii(docs)) == rows(find_pii(docs, most_keys=0)) != []
+
+
+def test_ordinary_words_are_counted(spark):
+    """'Will' and 'Mark' are seeds; where texts mostly hold them in lower case they begin no lower-case name."""
+    fill = "we will mark it next week, and nobody will mark anything else.\n"
+    docs = corpus(spark).unionByName(spark.createDataFrame([(800 + i, fill * (1 + i % 2)) for i in range(8)] + [(820, "Please call philippa kreshel on 01 99 00 26 34 about it."), (821, "Bên tôi sẽ tìm cách. Tìm thêm và tìm nữa.")], "doc_id long, text string"))
+    got = {(r.doc_id, r.pii_text) for r in find_pii(docs).where("kind = 'name' AND doc_id >= 800").collect()}
+    assert got == {(820, "philippa kreshel")}
+
+
+def test_unseen_formats_by_context(spark):
+    """Stretches without a known format are found where the context mostly holds identifiers of one kind."""
+    rows = [(i, f"Ticket {i}. The parcel ships to {10 + i} Larchfield Street, and write to a.b{i}@mail.example.com soon. Staff code 00 705 793 {100 + i} applies.") for i in range(40)]
+    rows += [(100, "The parcel ships to 88 Hohlweg Quentra soon."), (101, "Please write to zoe at uni (dot) example (dot) org soon."), (102, "Staff code QX99-12-33-7781-2 applies."), (103, "We count to 88 Red Apples here.")]
+    got = {(r.doc_id, r.kind, r.pii_text, r.by) for r in find_pii(spark.createDataFrame(rows, "doc_id long, text string")).where("doc_id >= 100").collect()}
+    assert {(100, "address", "88 Hohlweg Quentra", "pattern"), (102, "id_number", "QX99-12-33-7781-2", "pattern")} <= got and not [g for g in got if g[0] == 103]
+
+
+def test_long_text_is_redacted_in_linear_time(spark):
+    docs = spark.createDataFrame([(1, "mail a.b@mail.example.com now. " * 20_000)], "doc_id long, text string")
+    assert redact(docs, find_pii(docs)).first().redacted == "mail [EMAIL] now. " * 20_000
