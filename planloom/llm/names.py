@@ -455,28 +455,27 @@ def link_names(
         weight = often_ = None
         if shared is not None:
             weight, often_ = lookups()
-        memo: dict[str, tuple[Name, dict[int, float]]] = {}
+        memo: dict[str, tuple[Name, dict[int, float], dict[str, int]]] = {}
 
-        def of(s: str) -> tuple[Name, dict[int, float]]:
+        def of(s: str, uses: np.ndarray) -> tuple[Name, dict[int, float], dict[str, int]]:
             if s not in memo:
                 if len(memo) > 50_000:
                     memo.clear()
                 n = Name(s)
-                memo[s] = (n, dict(_unit(n.grams(), weight, often_)) if weight else {})
+                memo[s] = (n, dict(_unit(n.grams(), weight, often_)) if weight else {}, dict(zip(n.tokens, map(int, uses))))
             return memo[s]
 
         for b in batches:
             rows = []
             given = zip(b["v_a"], b["v_b"]) if shared is None else [(None, None)] * len(b)
             for i, j, s, t, x, y, (u, v) in zip(b["a"], b["b"], b["name_a"], b["name_b"], b["uses_a"], b["uses_b"], given):
-                (m, p), (n, q) = of(s), of(t)
+                (m, p, known_a), (n, q, known_b) = of(s, x), of(t, y)
                 u, v = (p, q) if u is None else (dict(u), dict(v))
                 if len(v) < len(u):
                     u, v = v, u
                 c = sum(w * v.get(k, 0.0) for k, w in u.items())
                 if c >= cosine:
-                    known = dict(zip(m.tokens, x)) | dict(zip(n.tokens, y))
-                    score, sure = compare(m, n, lambda t, known=known: int(known.get(t, 0)))
+                    score, sure = compare(m, n, lambda t, k=known_a, l=known_b: k.get(t) or l.get(t, 0))
                     if score > 0:
                         rows.append((i, j, c, score, sure))
             yield pd.DataFrame(rows, columns=["a", "b", "cosine", "score", "sure"])

@@ -61,9 +61,9 @@ LONGEST = 7  # words of a slot
 PARTICLES = frozenset("van von der den de di del della la le du da dos".split())
 _TOKEN = re.compile(r"\x00\d+\x00|[^\W\d_]+(?:[-'’][^\W\d_]+)*|\d[\w.,:/\-]*|\n|[^\w\s]", re.UNICODE)
 _CODE = re.compile(r"(?<![\w.,/:+\-])(?=(?:[ .\-/]?\w)*)[A-Z]{0,4}[ \-]?\d(?:[ .\-/]?[\dA-Z]){4,}(?![\w])")
-_CAPS = r"[^\W\d_a-zß-ÿ][^\W\d_]*(?:[-'’][^\W\d_]+)*"
-_STREET_LIKE = re.compile(rf"(?<!\w)(?:\d{{1,5}}[A-Za-z]?,? {_CAPS}(?: {_CAPS}){{0,3}}|{_CAPS}(?: {_CAPS}){{0,3}},? \d{{1,5}}[A-Za-z]?)(?!\w|[.,:/]\d)")
-_MAIL_LIKE = re.compile(r"(?<![\w.+-])[\w.+-]+ ?(?:@|＠|\W(?:at|AT|arroba|chez)\W) ?\w[\w-]*(?: ?(?:\.|\W(?:dot|DOT|punto|point)\W) ?\w[\w-]*)+")
+_NUMBER = re.compile(r"\d{1,5}[A-Za-z]?")
+_AT_LIKE = re.compile(r"[@＠]|[(\[{<] ?(?:at|AT|arroba|chez) ?[)\]}>]")
+_AFTER_AT = re.compile(r" ?\w[\w-]*(?: ?(?:\.|[(\[{<] ?(?:dot|DOT|punto|point) ?[)\]}>]) ?\w[\w-]*)+")
 _PLACE = {"email": "<E>", "phone": "<P>", "id_number": "<I>", "address": "<A>"}
 
 
@@ -75,6 +75,34 @@ def _key(s: str) -> int:
     return xxhash.xxh3_64_intdigest(s) - (1 << 63)
 
 
+def _mail_like(text: str, typed: list[tuple[int, int, str]]) -> Iterator[tuple[str, int, int]]:
+    """Stretches round an at sign in any of its spellings."""
+    for m in _AT_LIKE.finditer(text):
+        if any(x <= m.start() < y for x, y, _ in typed):
+            continue
+        end = m.start() - (m.start() > 0 and text[m.start() - 1] == " ")
+        begin = end
+        while begin > 0 and (text[begin - 1].isalnum() or text[begin - 1] in "_.+-"):
+            begin -= 1
+        right = _AFTER_AT.match(text, m.end())
+        if begin < end and right:
+            yield "mail", begin, right.end()
+
+
+def _street_like(text: str, tokens: list[tuple[str, int, int]], kinds: list[str]) -> Iterator[tuple[str, int, int]]:
+    """A number and up to four capitalised words behind it or, without such, before it."""
+    for i, (t, a, b) in enumerate(tokens):
+        if not t[0].isdigit() or not _NUMBER.fullmatch(t.rstrip(".,:/-")) or len(t) - len(t.rstrip(".,:/-")) > 1:
+            continue
+        for step, ok in ((1, t[-1] not in ".:/-"), (-1, True)):
+            edge, j = i, i + step
+            while ok and 0 <= j < len(tokens) and abs(j - i) <= 4 and kinds[j] == "C" and text[tokens[min(j, edge)][2] : tokens[max(j, edge)][1]] in (" ", ", "):
+                edge, j = j, j + step
+            if edge != i:
+                yield "street", min(a, tokens[edge][1]), max(a + len(t.rstrip(".,:/-")), tokens[edge][2])
+                break
+
+
 class Spelling:
     """Words as they are compared; `ordinary` holds the spellings that fold to a seed name but are ordinary words."""
 
@@ -189,13 +217,10 @@ def find_slots(text: str, typed: list[tuple[int, int, str]], spelling: Spelling,
             slots.append(Slot(words, left, right, first - last_end, titled, ""))
             last_end = end
         i = max(end, i + 1)
-    free = list(typed)
-    for what, form in (("mail", _MAIL_LIKE), ("street", _STREET_LIKE), ("code", _CODE)):
-        for m in form.finditer(text):
-            a, b = m.span()
-            if (what != "code" or sum(c.isdigit() for c in m.group()) >= 6) and all(b <= x or a >= y for x, y, _ in free):
-                before = [t for t, (_, _, e) in zip(low, tokens) if e <= a][-2:]
-                slots.append(Slot([(m.group(), a, b)], (["\n", "\n"] + before)[-2:], ["", ""], 9, False, what))
+    for what, a, b in (*_mail_like(text, typed), *_street_like(text, tokens, kinds), *(("code", *m.span()) for m in _CODE.finditer(text) if sum(c.isdigit() for c in m.group()) >= 6)):
+        if all(b <= x or a >= y for x, y, _ in typed):
+            before = [t for t, (_, _, e) in zip(low, tokens) if e <= a][-2:]
+            slots.append(Slot([(text[a:b], a, b)], (["\n", "\n"] + before)[-2:], ["", ""], 9, False, what))
     # neighbours of a slot as placeholders: C for a slot that follows closely
     names = [s for s in slots if not s.code]
     for s, t in zip(names, names[1:]):
