@@ -189,10 +189,13 @@ def _leaks_of(index: WindowIndex, batch: pd.DataFrame, n: int, similarity: float
     for p, w in dict.fromkeys(zip(i.tolist(), j.tolist())):
         k, s = int(index.item[w]), int(index.start[w])
         pair = (int(owner[p]), k)
-        alike = index.similarity(flat[p : p + n], index.words[k][s : s + n])
-        if alike >= similarity:
+        here, there = flat[p : p + n], index.words[k][s : s + n]
+        if here == there:
+            best[pair] = 1.0
+            held.setdefault(pair, set()).update(range(s, s + n))
+        elif (alike := index.similarity(here, there)) >= similarity:
             best[pair] = max(best.get(pair, 0.0), alike)
-            held.setdefault(pair, set()).update(range(s, s + n) if alike == 1.0 and flat[p : p + n] == index.words[k][s : s + n] else ())
+            held.setdefault(pair, set())
     ids = batch["doc_id"].tolist()
     return pd.DataFrame({
         "doc_id": [ids[d] for d, _ in held], "item_id": [index.ids[k] for _, k in held], "n_words": np.array([len(v) for v in held.values()], dtype="int32"), "similarity": np.array([best[k] for k in held], dtype=float),
