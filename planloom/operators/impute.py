@@ -72,10 +72,16 @@ def observed(column: str, stand: list[float]) -> Column:
     return F.when(good, c)
 
 
+def _place() -> Column:
+    """The order among equal values."""
+    return F.shiftrightunsigned(F.xxhash64("id"), 1)
+
+
 def _spread_cells(units: DataFrame, cell_rows: int, scratch: Scratch) -> DataFrame:
     """units with `path`, the cell of each row: cells of a block follow each other in the block's order (x, h) and are of bounded size."""
-    u = scratch.cut(units.withColumns({"path": F.array(F.floor(F.col("x") * _CELL).cast("int")), "h": F.shiftrightunsigned(F.xxhash64("id"), 1)}), "units")
+    stored = scratch.cut(units.withColumn("path", F.array(F.floor(F.col("x") * _CELL).cast("int"))), "units")
     while True:
+        u = stored.withColumn("h", _place())
         size = u.groupBy("block", "path").agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.min("h").alias("hlo"), F.max("h").alias("hhi"))
         hot = scratch.cut(size.where((F.col("n") > cell_rows) & ((F.col("lo") < F.col("hi")) | (F.col("hlo") < F.col("hhi")))), "hot")
         most = hot.agg(F.max("n")).first()[0]
@@ -88,7 +94,7 @@ def _spread_cells(units: DataFrame, cell_rows: int, scratch: Scratch) -> DataFra
         by_value = 2 * F.size(F.filter("q", lambda q: q < F.col("x"))) + F.array_contains("q", F.col("x")).cast("int")
         by_hash = F.floor((F.col("h") - F.col("hlo")).cast("double") / (F.col("hhi") - F.col("hlo")).cast("double") * parts).cast("int")
         step = F.when(F.col("q").isNotNull(), by_value).when(F.col("hlo").isNotNull(), by_hash)
-        u = scratch.cut(j.withColumn("path", F.when(step.isNull(), F.col("path")).otherwise(F.array_append("path", step))).select(*u.columns), "units")
+        stored = scratch.cut(j.withColumn("path", F.when(step.isNull(), F.col("path")).otherwise(F.array_append("path", step))).select(*stored.columns), "units")
 
 
 def _numbered(units: DataFrame, cell_rows: int) -> DataFrame:
@@ -109,10 +115,10 @@ _WEIGHTS = {"record": 8.0, "group": 2.0, "category": 1.0, "time": 1.0, "measure"
 _WEEKS = 8.0
 
 
-def _distance(gap: Column, donor: Column, n_measures: int) -> Column:
-    """The weighted mean difference over the features the gap has; 0 to 1."""
-    parts = []
-    for name, w in (("record", _WEIGHTS["record"]), ("group", _WEIGHTS["group"]), ("category", _WEIGHTS["category"])):
+def _distance(gap: Column, donor: Column, n_measures: int, level: Column) -> Column:
+    """The weighted mean difference over the features the gap has; 0 to 1. Blocks up to level 4 lie within a group or record."""
+    parts = [(_WEIGHTS["group"], gap["grouped"], F.when(level <= 4, 0.0).otherwise(1.0))]
+    for name, w in (("record", _WEIGHTS["record"]), ("category", _WEIGHTS["category"])):
         parts.append((w, gap[name].isNotNull(), F.when(gap[name] == donor[name], 0.0).otherwise(1.0)))
     parts.append((_WEIGHTS["time"], gap["time"].isNotNull(), F.coalesce(F.least(F.abs(gap["time"] - donor["time"]) / _WEEKS, F.lit(1.0)), F.lit(1.0))))
     for i in range(n_measures):
@@ -127,7 +133,7 @@ def _fills(units: DataFrame, k: int, cell_rows: int, n_measures: int) -> DataFra
     n = _numbered(units, cell_rows)
     donors = n.where("donor").select("block", "at", F.col("id").alias("donor_id"), F.col("feat").alias("of"), "value", "label")
     gaps = n.where(~F.col("donor")).select("block", "id", "field", "level", "feat", F.explode(F.sequence(F.col("at") - k + 1, F.col("at") + k)).alias("at"))
-    near = gaps.join(donors, ["block", "at"]).withColumn("d", F.round(_distance(F.col("feat"), F.col("of"), n_measures), 9))
+    near = gaps.join(donors, ["block", "at"]).withColumn("d", F.round(_distance(F.col("feat"), F.col("of"), n_measures, F.col("level")), 9))
     # 2k candidates at most for each gap and block
     tier = F.when(F.col("level") <= 3, 0).when(F.col("level") == 4, 1).otherwise(2).alias("tier")
     each = near.groupBy("id", "field").agg(F.array_sort(F.collect_list(F.struct(tier, "d", "donor_id", "level", "value", "label"))).alias("c"))
@@ -173,8 +179,10 @@ def hot_deck(
     def feat(field: str) -> Column:
         """A record's features as seen for one field, which is no feature of itself."""
         own = labels[texts.index(field)] if field in texts else ""
-        unless = lambda name, c: F.lit(None).cast("long").alias(name) if own == c else F.col(name)
-        return F.struct(unless("record", key), unless("group", group), unless("category", category), "time", F.array(*[F.lit(None).cast("double") if m == field else F.log1p(m) for m in nums]).alias("m"))
+        unless = lambda name, c: F.lit(None).cast("int").alias(name) if own == c else F.when(F.col(name).isNotNull(), F.hash(name)).alias(name)
+        grouped = F.lit(False) if own == group else F.col("group").isNotNull()
+        # compared only among a gap's few candidates, so 32 bits do
+        return F.struct(unless("record", key), grouped.alias("grouped"), unless("category", category), F.col("time").cast("float").alias("time"), F.array(*[F.lit(None).cast("float") if m == field else F.log1p(m).cast("float") for m in nums]).alias("m"))
 
     def entry(level: int, field: str, parts: list[str], x: Column, of: str = "") -> Column:
         """A unit of one level's block, or null where a part of the block is null."""
