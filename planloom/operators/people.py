@@ -38,8 +38,9 @@ def expand_members(tasks: DataFrame, split: bool = False) -> DataFrame:
     Effort counts in full for every member; with `split` it is divided among them."""
     team = F.coalesce(F.when(F.size("assignees") > 0, F.col("assignees")), F.when(F.length(F.trim("leader")) > 0, F.array("leader")))
     t = tasks.withColumn("__team", team)
-    share = F.col("effort") / F.size("__team") if split else F.col("effort")
-    return t.withColumn("effort", share).select(*[c for c in tasks.columns], F.explode("__team").alias("member"))
+    if split:
+        t = t.withColumn("effort", F.col("effort") / F.size("__team"))
+    return t.select(*tasks.columns, F.explode("__team").alias("member"))
 
 
 def member_effort(expanded: DataFrame) -> DataFrame:
