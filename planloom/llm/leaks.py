@@ -62,9 +62,11 @@ def simhashes(codes: np.ndarray, n: int) -> np.ndarray:
     for a in range(0, m, _PASS_WORDS):
         part = codes[a : min(a + _PASS_WORDS, m) + n - 1]
         bits = np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        sums = np.zeros((len(part) + 1, 64), dtype=np.int32)
-        np.cumsum(bits, axis=0, out=sums[1:])
-        high = (sums[n:] - sums[:-n]) * 2 > n
+        m_part = len(part) - n + 1
+        sums = bits[:m_part].astype(np.uint8 if n < 256 else np.uint32)
+        for k in range(1, n):
+            sums += bits[k : k + m_part]
+        high = sums > n // 2
         out[a : a + len(part) - n + 1] = np.packbits(high, axis=1, bitorder="little").view(np.uint64).ravel()
     return out
 
