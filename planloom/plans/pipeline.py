@@ -60,10 +60,10 @@ def analyse(tasks: DataFrame) -> dict[str, DataFrame]:
     prio = people.priority(t.select("project", "task", "business_value", "time_criticality", "risk_reduction", "job_size", "reach", "impact", "confidence", F.col("own_effort").alias("effort"), "effort_score"))
     return {
         "01_burnup": flow.burnup(t), "03_burndown": flow.burndown(t), "04_cfd": flow.cumulative_flow(t), "05_velocity": flow.control_limits(vel), "05_cusum": flow.cusum(vel), "05_forecast": forecast.velocity_forecast(vel),
-        "06_evm": evm, "06_earned_schedule": flow.earned_schedule(flow.burnup(t)), "07_cpm": plan, "07_cpm_cycles": plan.where(F.col("cycle_group").isNotNull()).select("cycle_group").distinct(),
-        "08_pert_duration": pert, "08_eta": eta, "09_bus_factor": people.bus_factor(ex), "10_priority": prio, "11_suggestions": people.suggest(t, profile, top=50), "12_what_if": flow.what_if(remaining, vel),
-        "13_contribution": people.contribution(t), "14_profiles": profile, "15_workload": people.workload(ex), "16_skill_timeline": people.skill_timeline(t),
-        "17_hhi": people.concentration(people.skill_rows(ex), "member", "skill", "effort"), "18_hhi_weeks": people.week_concentration(t), "19_leaderboard": people.leaderboard(ex),
+        "06_evm": evm, "06_earned_schedule": flow.earned_schedule(flow.burnup(t)), "07_cpm": plan.orderBy("es", "id"), "07_cpm_cycles": plan.where(F.col("cycle_group").isNotNull()).select("cycle_group").distinct(),
+        "08_pert_duration": pert, "08_eta": eta, "09_bus_factor": people.bus_factor(ex), "10_priority": prio.orderBy(F.desc_nulls_last("wsjf"), F.desc_nulls_last("rice"), "project", "task"), "11_suggestions": people.suggest(t, profile, top=50), "12_what_if": flow.what_if(remaining, vel),
+        "13_contribution": people.contribution(t).orderBy(F.asc_nulls_last("project"), F.desc("contribution_pct"), "member"), "14_profiles": profile, "15_workload": people.workload(ex), "16_skill_timeline": people.skill_timeline(t),
+        "17_hhi": people.concentration(people.skill_rows(ex), "member", "skill", "effort"), "18_hhi_weeks": people.week_concentration(t), "19_leaderboard": people.leaderboard(ex).orderBy("member", F.desc("score"), "skill"),
         "20_lorenz": inequality.lorenz(efforts, "member", "effort"), "21_risk": flow.risk(evm, t, people.contribution(t)),
         "22_kpis": flow.kpis(t.withColumn("member", F.col("leader")), evm, eta), "summary": summary(t, efforts, remaining, profile, eta, flow.earned_schedule(flow.burnup(t)), plan),
     }
