@@ -18,11 +18,13 @@
    All-capitals slots without a listed given name need a good pattern, and a word of four letters or
    one that is known as a name: shorter ones are mostly abbreviations.
 
-Scale: texts are tokenised once; their slots are kept in compressed groups of texts. Scores are exact,
-keyed by 64-bit hashes of patterns and words, and only those that can matter are kept. Up to
-`most_keys` of them are broadcast; beyond, each group of texts asks for the words and then the
-patterns it holds, and gets them by joins, with the same results. The tally of a round is one narrow
-pass with partial aggregation.
+Scale: texts are tokenised once; their slots are kept in compressed groups of texts. What a round
+judges are chains: slots that hang on each other, with their words and contexts but without their
+places. Equal chains are judged alike, so each round judges every distinct chain once and weighs it
+by its count; the texts are gone through again only to put out. Scores are exact, keyed by 64-bit
+hashes of patterns and words, and only those that can matter are kept. Up to `most_keys` of them are
+broadcast; beyond, each group of texts or chains asks for the words and then the patterns it holds,
+and gets them by joins, with the same results.
 
 Defined results
 - null and empty texts, texts without identifiers: no row. Texts are read whole.
@@ -32,11 +34,15 @@ Defined results
 
 from __future__ import annotations
 
+import json
 import pickle
 import re
 import zlib
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import accumulate
 
 import pandas as pd
 import xxhash
@@ -59,8 +65,10 @@ _LOWER_TITLES = frozenset("ông bà chị cô anh".split())
 _SURE_TITLES = frozenset("mr mrs miss mx dr prof herr frau madame monsieur".split())
 LONGEST = 7  # words of a slot
 PARTICLES = frozenset("van von der den de di del della la le du da dos".split())
-_TOKEN = re.compile(r"\x00\d+\x00|[^\W\d_]+(?:[-'’][^\W\d_]+)*|\d[\w.,:/\-]*|\n|[^\w\s]", re.UNICODE)
-_CODE = re.compile(r"(?<![\w.,/:+\-])(?=(?:[ .\-/]?\w)*)[A-Z]{0,4}[ \-]?\d(?:[ .\-/]?[\dA-Z]){4,}(?![\w])")
+_TOKEN = re.compile(r"(\x00\d+\x00|[^\W\d_]+(?:[-'’][^\W\d_]+)*|\d[\w.,:/\-]*|\n|[^\w\s])", re.UNICODE)
+_CODE = re.compile(r"(?<![\w.,/:+\-])[A-Z]{0,4}[ \-]?\d(?:[ .\-/]?[\dA-Z]){4,}(?![\w])")
+_IN_CODE = re.compile(r"\d(?:[ .\-/]?[\dA-Z]){5}")
+_BEGINS = re.compile("[CIsp]")
 _NUMBER = re.compile(r"\d{1,5}[A-Za-z]?")
 _AT_LIKE = re.compile(r"[@＠]|[(\[{<] ?(?:at|AT|arroba|chez) ?[)\]}>]")
 _AFTER_AT = re.compile(r" ?\w[\w-]*(?: ?(?:\.|[(\[{<] ?(?:dot|DOT|punto|point) ?[)\]}>]) ?\w[\w-]*)+")
@@ -89,18 +97,42 @@ def _mail_like(text: str, typed: list[tuple[int, int, str]]) -> Iterator[tuple[s
             yield "mail", begin, right.end()
 
 
-def _street_like(text: str, tokens: list[tuple[str, int, int]], kinds: list[str]) -> Iterator[tuple[str, int, int]]:
+def _street_like(text: str, tokens: list[str], starts: list[int], ends: list[int], kinds: str) -> Iterator[tuple[str, int, int]]:
     """A number and up to four capitalised words behind it or, without such, before it."""
-    for i, (t, a, b) in enumerate(tokens):
-        if not t[0].isdigit() or not _NUMBER.fullmatch(t.rstrip(".,:/-")) or len(t) - len(t.rstrip(".,:/-")) > 1:
-            continue
-        for step, ok in ((1, t[-1] not in ".:/-"), (-1, True)):
-            edge, j = i, i + step
-            while ok and 0 <= j < len(tokens) and abs(j - i) <= 4 and kinds[j] == "C" and text[tokens[min(j, edge)][2] : tokens[max(j, edge)][1]] in (" ", ", "):
-                edge, j = j, j + step
-            if edge != i:
-                yield "street", min(a, tokens[edge][1]), max(a + len(t.rstrip(".,:/-")), tokens[edge][2])
-                break
+    i = kinds.find("d")
+    while i >= 0:
+        t, bare = tokens[i], tokens[i].rstrip(".,:/-")
+        if _NUMBER.fullmatch(bare) and len(t) - len(bare) <= 1:
+            for step, ok in ((1, t[-1] not in ".:/-"), (-1, True)):
+                edge, j = i, i + step
+                while ok and 0 <= j < len(tokens) and abs(j - i) <= 4 and kinds[j] == "C" and text[ends[min(j, edge)] : starts[max(j, edge)]] in (" ", ", "):
+                    edge, j = j, j + step
+                if edge != i:
+                    yield "street", min(starts[i], starts[edge]), max(starts[i] + len(bare), ends[edge])
+                    break
+        i = kinds.find("d", i + 1)
+
+
+class _Remembered(dict):
+    """What a function gives for a token: words recur."""
+
+    def __init__(self, of) -> None:  # noqa: ANN001
+        super().__init__()
+        self.of = of
+
+    def __missing__(self, token: str):  # noqa: ANN204
+        if len(self) > 200_000:
+            self.clear()
+        self[token] = x = self.of(token)
+        return x
+
+    def __reduce__(self):  # noqa: ANN204
+        return _Remembered, (self.of,)
+
+
+def _low(t: str) -> str:
+    """A token as it stands in a context."""
+    return t if t[0] in "<\n" else "#" if t[0].isdigit() else fold(t)
 
 
 class Spelling:
@@ -108,20 +140,31 @@ class Spelling:
 
     def __init__(self, ordinary: frozenset[str]) -> None:
         self.ordinary = ordinary
-        self.known: dict[str, str] = {}
+        self.known = _Remembered(self._plain)
+        self.plain = self.known.__getitem__
+        self.kinds = _Remembered(self._kind)
+        self.lows = _Remembered(_low)
+        self.lower_keys = _Remembered(lambda t: _key("v" + self.plain(t)) if self.kinds[t] == "l" else None)
 
-    def plain(self, w: str) -> str:
+    def __reduce__(self):  # noqa: ANN204
+        return Spelling, (self.ordinary,)
+
+    def _plain(self, w: str) -> str:
         """The folded word; accented ordinary words are told apart from the seed they fold to."""
-        f = self.known.get(w)
-        if f is None:
-            bare = w.rstrip(".")
-            f = fold(bare)
-            if f in SEED_NAMES and not bare.isascii() and bare.lower() in self.ordinary:
-                f += "~"
-            if len(self.known) > 200_000:
-                self.known.clear()
-            self.known[w] = f
-        return f
+        bare = w.rstrip(".")
+        f = fold(bare)
+        return f + "~" if f in SEED_NAMES and not bare.isascii() and bare.lower() in self.ordinary else f
+
+    def _kind(self, t: str) -> str:
+        """A letter for a token: capitalised word, initial, particle, seed name in lower case, other word, number, rest."""
+        if not t[0].isalpha():
+            return "d" if t[0].isdigit() else "."
+        if t[0].isupper():
+            return "I" if len(t) == 1 else "C"
+        f = fold(t)
+        if f in PARTICLES:
+            return "p"
+        return "s" if f in SEED_NAMES and len(f) > 2 and t not in self.ordinary else "l"
 
 
 class Slot:
@@ -133,58 +176,52 @@ class Slot:
         self.words, self.left, self.right, self.before, self.titled, self.code, self.piece = words, left, right, before, titled, code, piece
 
 
-def _scan(text: str, typed: list[tuple[int, int, str]]) -> list[tuple[str, int, int]]:
-    """The tokens with their offsets in the text; a typed stretch is the token \\x00kind."""
-    out: list[tuple[str, int, int]] = []
+def _scan(text: str, typed: list[tuple[int, int, str]]) -> tuple[list[str], list[int], list[int]]:
+    """The tokens, where they start and where they end; a typed stretch is one token, its kind's placeholder."""
+    tokens: list[str] = []
+    starts: list[int] = []
+    ends: list[int] = []
     at = 0
     for a, b, kind in [*typed, (len(text), len(text), "")]:
-        out += [(m.group(), m.start(), m.end()) for m in _TOKEN.finditer(text, at, a)]
+        parts = _TOKEN.split(text[at:a])  # tokens stand between the blanks
+        edges = list(accumulate(map(len, parts), initial=at))
+        tokens += parts[1::2]
+        starts += edges[1:-1:2]
+        ends += edges[2::2]
         if kind:
-            out.append((_PLACE[kind], a, b))
+            tokens.append(_PLACE[kind])
+            starts.append(a)
+            ends.append(b)
         at = b
-    return out
-
-
-def _is_cap(w: str) -> bool:
-    return w[0].isalpha() and w[0].isupper()
+    return tokens, starts, ends
 
 
 def find_slots(text: str, typed: list[tuple[int, int, str]], spelling: Spelling, lower_case: set[int] | None = None) -> list[Slot]:
     """The slots of a text; lower_case gets the keys of its lower-case words."""
-    tokens = _scan(text, typed)
+    tokens, starts, ends = _scan(text, typed)
     n = len(tokens)
-    low = [t if t[0] in "<\n" else "#" if t[0].isdigit() else fold(t) for t, _, _ in tokens]
-    kinds = []
-    for t, f in zip(tokens, low):
-        w = t[0]
-        if not w[0].isalpha():
-            kinds.append(".")
-        elif _is_cap(w):
-            kinds.append("I" if len(w) == 1 else "C")
-        elif f in PARTICLES:
-            kinds.append("p")
-        elif f in SEED_NAMES and len(f) > 2 and w not in spelling.ordinary and t[0] not in spelling.ordinary:
-            kinds.append("s")
-        else:
-            kinds.append("l")
+    kinds = "".join(map(spelling.kinds.__getitem__, tokens))
+    lows = spelling.lows
     if lower_case is not None:
-        lower_case.update(_key("v" + spelling.plain(t[0])) for t, k in zip(tokens, kinds) if k == "l")
+        lower_case.update(map(spelling.lower_keys.__getitem__, set(tokens)))
+        lower_case.discard(None)
     slots: list[Slot] = []
     last_end = -9
     i = 0
-    while i < n:
+    while begin := _BEGINS.search(kinds, i):
+        i = begin.start()
         k = kinds[i]
         # 'de' and 'von' before a name are prepositions; 'van' begins surnames
-        if k not in "CIsp" or (k == "p" and not (low[i] == "van" and i + 1 < n and kinds[i + 1] == "C" and tokens[i + 1][1] == tokens[i][2] + 1)):
+        if k == "p" and not (lows[tokens[i]] == "van" and i + 1 < n and kinds[i + 1] == "C" and starts[i + 1] == ends[i] + 1):
             i += 1
             continue
         j, words, lower = i, [], k == "s"
         while j < n:
-            w, a, b = tokens[j]
-            if words and (text[words[-1][2] : a].strip("  ") or (a > words[-1][2] + 3)):
+            w, a, b = tokens[j], starts[j], ends[j]
+            if words and ((a > words[-1][2] + 3) or text[words[-1][2] : a].strip("\u00a0 ")):
                 break
             kj = kinds[j]
-            if kj == "I" and j + 1 < n and tokens[j + 1][0] == "." and tokens[j + 1][1] == b:
+            if kj == "I" and j + 1 < n and tokens[j + 1] == "." and starts[j + 1] == b:
                 words.append((w + ".", a, b + 1))
                 j += 2
                 continue
@@ -193,7 +230,7 @@ def find_slots(text: str, typed: list[tuple[int, int, str]], spelling: Spelling,
                 j += 1
                 if lower and kj == "l":
                     break
-                if kj == "C" and fold(w) in TITLES and j < n and tokens[j][0] == "." and tokens[j][1] == b:
+                if kj == "C" and j < n and tokens[j] == "." and starts[j] == b and fold(w) in TITLES:
                     j += 1  # the dot of a title
                     words[-1] = (w + ".", a, b + 1)
                 continue
@@ -206,20 +243,22 @@ def find_slots(text: str, typed: list[tuple[int, int, str]], spelling: Spelling,
         while len(words) > 1 and fold(words[0][0].rstrip(".")) in TITLES and (words[0][0] != "Anh"):
             words.pop(0)
             titled = True
-        if words and not titled and i > 0 and fold(tokens[i - 1][0]) in ("ong", "ba", "chi", "co", "anh") and tokens[i - 1][0] in _LOWER_TITLES:
+        if words and not titled and i > 0 and tokens[i - 1] in _LOWER_TITLES:
             titled = True
             first = i - 1
         if words:
-            left = low[max(0, first - 2) : first]
+            left = [lows[t] for t in tokens[max(0, first - 2) : first]]
             while len(left) < 2:
                 left.insert(0, "\n")
-            right = (low[end : end + 2] + ["\n", "\n"])[:2]
+            right = ([lows[t] for t in tokens[end : end + 2]] + ["\n", "\n"])[:2]
             slots.append(Slot(words, left, right, first - last_end, titled, ""))
             last_end = end
         i = max(end, i + 1)
-    for what, a, b in (*_mail_like(text, typed), *_street_like(text, tokens, kinds), *(("code", *m.span()) for m in _CODE.finditer(text) if sum(c.isdigit() for c in m.group()) >= 6)):
+    codes = (("code", *m.span()) for m in _CODE.finditer(text) if sum(c.isdigit() for c in m.group()) >= 6) if _IN_CODE.search(text) else ()
+    for what, a, b in (*_mail_like(text, typed), *_street_like(text, tokens, starts, ends, kinds), *codes):
         if all(b <= x or a >= y for x, y, _ in typed):
-            before = [t for t, (_, _, e) in zip(low, tokens) if e <= a][-2:]
+            k = bisect_right(ends, a)
+            before = [lows[t] for t in tokens[max(0, k - 2) : k]]
             slots.append(Slot([(text[a:b], a, b)], (["\n", "\n"] + before)[-2:], ["", ""], 9, False, what))
     # neighbours of a slot as placeholders: C for a slot that follows closely
     names = [s for s in slots if not s.code]
@@ -237,6 +276,7 @@ class Scores:
     def __init__(self, spelling: Spelling, held: dict[int, tuple[int, int]] | None = None) -> None:
         self.spelling, self.held, self.learnt = spelling, held or {}, held is not None
         self.asked: set[int] | None = None  # where patterns are only listed
+        self.judged: dict[Chain, list] = {}
 
     def word(self, f: str) -> float | None:
         """Share of a word's uses that are names; None when it has hardly been seen."""
@@ -361,12 +401,6 @@ def judge(slots: list[Slot], scores: Scores, threshold: float) -> list[tuple[Slo
     waiting = list(reversed(slots))
     while waiting:
         s = waiting.pop()
-        if s.code:
-            keys = _keys(s.left, s.right)
-            for kind in _CODE_KINDS[s.code] if scores.asked is not None else ():
-                scores.pattern(keys[0], kind)
-            out.append((s, s.words, False, keys, False))
-            continue
         if len(s.words) > LONGEST and not s.piece:
             # without counts of lower-case words there is nothing to cut by
             waiting += reversed(pieces(s, scores) if scores.learnt else [])
@@ -407,24 +441,71 @@ def judge(slots: list[Slot], scores: Scores, threshold: float) -> list[tuple[Slo
     return out
 
 
-def _join_reversed(found: list, text_gap, scores: Scores) -> list[tuple[int, int]]:  # noqa: ANN001
-    """Stretches of the accepted slots; 'Last, First' becomes one."""
+# A chain: slots whose judgement doesn't hang on other slots, without offsets; each one is (words, left, right, before, titled).
+Chain = tuple[tuple[tuple[str, ...], tuple[str, ...], tuple[str, ...], int, bool], ...]
+
+
+def _chains(slots: list[Slot]) -> Iterator[tuple[Chain, list[tuple[int, int]]]]:
+    """The chains of a text's slots with the offsets of their words. Long slots stay with the slot before, which is the one that counts where they have no pieces."""
+    chain: list = []
+    at: list[tuple[int, int]] = []
+    for s in slots:
+        if s.code:
+            continue
+        before = s.before if 0 < s.before <= 2 else 9
+        if chain and not (before < 9 and "<C>" in s.left) and len(s.words) <= LONGEST:
+            yield tuple(chain), at
+            chain, at = [], []
+        chain.append((tuple([w[0] for w in s.words]), tuple(s.left), tuple(s.right), before, s.titled))
+        at += [w[1:] for w in s.words]
+    if chain:
+        yield tuple(chain), at
+
+
+def _slots_of(chain: Chain) -> list[Slot]:
+    """The slots of a chain; a word's offset is its place in the chain."""
+    out, k = [], 0
+    for words, left, right, before, titled in chain:
+        out.append(Slot([(w, i, i + 1) for i, w in enumerate(words, k)], list(left), list(right), before, titled, ""))
+        k += len(words)
+    return out
+
+
+def _stretches(chain: Chain, scores: Scores, threshold: float) -> list[tuple[int, int, bool, bool, bool]]:
+    """(first word, last word, accepted, may be the surname, may be the given names of 'Last, First') of what a chain's slots are judged to hold."""
+    known = scores.judged.get(chain)
+    if known is None:
+        slots = _slots_of(chain)
+        begin, end = {s.words[0][1] for s in slots}, {s.words[-1][2] for s in slots}
+        known = []
+        for _, words, accepted, _, _ in judge(slots, scores, threshold):
+            if not words:
+                known.append((-1, -1, False, False, False))
+                continue
+            f = [scores.spelling.plain(w[0]) for w in words]
+            last = len(f) <= 2 and words[-1][2] in end and not any(scores.given(x) and len(x) > 3 for x in f)
+            first = len(f) <= 2 and words[0][1] in begin and (scores.given(f[0]) or (len(f[0]) == 1 and words[0][0].endswith("."))) and all(len(x) == 1 for x in f[1:])
+            known.append((words[0][1], words[-1][1], accepted, last, first))
+        if len(scores.judged) > 100_000:
+            scores.judged.clear()
+        scores.judged[chain] = known
+    return known
+
+
+def _joined(found: list[tuple[int, int, bool, bool, bool]], text: str) -> list[tuple[int, int]]:
+    """The accepted stretches; 'Last, First' becomes one."""
     spans: list[tuple[int, int]] = []
-    _plain = scores.spelling.plain
     k = 0
     while k < len(found):
-        s, words, accepted, keys, _ = found[k]
-        if k + 1 < len(found) and not s.code and words:
-            t, more, ok, _, _ = found[k + 1]
-            if not t.code and more and text_gap(words[-1][2], more[0][1]) == ", " and (accepted or ok):
-                firsts, lasts = [_plain(w[0]) for w in more], [_plain(w[0]) for w in words]
-                given = scores.given(firsts[0]) or (len(firsts[0]) == 1 and more[0][0].endswith("."))
-                if given and len(more) <= 2 and len(lasts) <= 2 and not any(scores.given(f) and len(f) > 3 for f in lasts) and all(len(f) == 1 for f in firsts[1:]):
-                    spans.append((words[0][1], more[-1][2]))
-                    k += 2
-                    continue
+        x, y, accepted, last, _ = found[k]
+        if last and k + 1 < len(found):
+            then, until, ok, _, first = found[k + 1]
+            if first and (accepted or ok) and then == y + 2 and text[y:then] == ", ":
+                spans.append((x, until))
+                k += 2
+                continue
         if accepted:
-            spans.append((words[0][1], words[-1][2]))
+            spans.append((x, y))
         k += 1
     return spans
 
@@ -446,35 +527,83 @@ def _ordinary(docs: DataFrame) -> frozenset[str]:
     return frozenset(w for w, n in low.items() if n >= 3)
 
 
-GROUP, GROUP_CHARS = 100, 200_000  # texts and characters of a group, the last text in full
+GROUP, GROUP_CHARS = 500, 500_000  # texts and characters of a group, the last text in full
+MOST_COUNTED = 100_000  # chains, and keys, that a task counts before it passes the counts on
 
 
-def slots_table(docs: DataFrame, spelling: Spelling) -> DataFrame:
-    """(gid, blob): groups of texts with their slots and typed stretches, compressed."""
+def _packed(chains: list[Chain], rest: list) -> tuple[int, bytes]:
+    blob = zlib.compress(pickle.dumps((chains, rest), protocol=5), 1)
+    return xxhash.xxh3_64_intdigest(blob) - (1 << 63), blob
+
 
-    def packed(rows: list) -> tuple[int, bytes]:
-        blob = zlib.compress(pickle.dumps(rows, protocol=5), 1)
-        return xxhash.xxh3_64_intdigest(blob) - (1 << 63), blob
+def _load(blob: bytes) -> tuple[list[Chain], list]:
+    return pickle.loads(zlib.decompress(blob))  # noqa: S301 - written by _packed
+
+
+def slots_table(docs: DataFrame, spelling: Spelling) -> DataFrame:
+    """Three kinds of rows: (gid, blob), groups of texts with their chains, codes and typed stretches, compressed;
+    (chain, n), how often a task saw a chain; (key, good, n), its counts of what no round changes: lower-case words, contexts of typed stretches, names in addresses of mail."""
+    columns = ["gid", "blob", "chain", "key", "good", "n"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        often: Counter = Counter()
+        every: Counter = Counter()
+        good: Counter = Counter()
+
+        def counted() -> pd.DataFrame:
+            rows = [(None, None, json.dumps(c, ensure_ascii=False, separators=(",", ":")), None, None, n) for c, n in often.items()] + [(None, None, None, k, good[k], n) for k, n in every.items()]
+            often.clear(), every.clear(), good.clear()
+            return pd.DataFrame(rows, columns=columns, dtype=object)
+
         for b in batches:
-            out, rows, size = [], [], 0
+            out, rows, size, places = [], [], 0, {}
             for d, t in zip(b["doc_id"], b["text"]):
                 typed = typed_spans(t)
                 low: set[int] = set()
-                slots = [(s.words, s.left, s.right, s.before, s.titled, s.code) for s in find_slots(t, typed, spelling, low)]
-                gaps = {(x[0][-1][2], y[0][0][1]): t[x[0][-1][2] : y[0][0][1]] for x, y in zip(slots, slots[1:]) if 0 < y[0][0][1] - x[0][-1][2] <= 3}
-                around = [(k, _around(t, x)) for x, _, k in typed]
-                rows.append((d, t, typed, slots, gaps, around, low))
+                slots = find_slots(t, typed, spelling, low)
+                refs = []
+                for chain, at in _chains(slots):
+                    often[chain] += 1
+                    refs.append((places.setdefault(chain, len(places)), at))
+                every.update(low)
+                for x, y, kind in typed:
+                    left = _around(t, x)
+                    for i in (1, 2, 3, 4):
+                        k = _key(f"{i}l{left}")
+                        every[k] += 1
+                        good[k] += kind == KINDS[i]
+                    for f in _mail_names(t[x:y]) if kind == "email" else ():
+                        k = _key("w" + f)
+                        every[k] += 1
+                        good[k] += 1
+                rows.append((d, t, typed, [(s.code, *s.words[0][1:], s.left) for s in slots if s.code], refs))
                 size += len(t)
                 if len(rows) == GROUP or size > GROUP_CHARS:
-                    out.append(packed(rows))
-                    rows, size = [], 0
+                    out.append(_packed(list(places), rows))
+                    rows, size, places = [], 0, {}
             if rows:
-                out.append(packed(rows))
-            yield pd.DataFrame(out, columns=["gid", "blob"])
+                out.append(_packed(list(places), rows))
+            yield pd.DataFrame([(*x, None, None, None, None) for x in out], columns=columns, dtype=object)
+            if len(often) > MOST_COUNTED or len(every) > MOST_COUNTED:
+                yield counted()
+        yield counted()
+
+    return docs.mapInPandas(run, "gid long, blob binary, chain string, key long, good long, n long")
 
-    return docs.mapInPandas(run, "gid long, blob binary")
+
+def chains_table(slots: DataFrame) -> DataFrame:
+    """(gid, blob): every distinct chain with the times it stands in the texts, in compressed groups."""
+    spark = slots.sparkSession
+    parts = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # tasks have counted their own chains; a fixed number of parts, since judging costs more than the bytes tell
+    counts = slots.where("chain IS NOT NULL").select("chain", "n").repartition(parts, "chain").groupBy("chain").agg(F.sum("n").alias("n"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            chains, n = b["chain"].tolist(), b["n"].tolist()
+            yield pd.DataFrame([_packed([json.loads(c) for c in chains[i : i + 1000]], n[i : i + 1000]) for i in range(0, len(n), 1000)], columns=["gid", "blob"])
+
+    return counts.mapInPandas(run, "gid long, blob binary")
 
 
 def _around(text: str, a: int) -> str:
@@ -482,11 +611,6 @@ def _around(text: str, a: int) -> str:
     return " ".join((["\n", "\n"] + left)[-2:])
 
 
-def _load(blob: bytes) -> Iterator[tuple]:
-    for d, t, typed, slots, gaps, around, low in pickle.loads(zlib.decompress(blob)):  # noqa: S301 - written by slots_table
-        yield d, t, typed, [Slot(*s) for s in slots], gaps, around, low
-
-
 def _mail_names(t: str) -> list[str]:
     """The parts of a 'first.last' local part."""
     parts = re.split(r"[._\-+]", re.split(r"\s?[@＠(\[{]", t, maxsplit=1)[0])
@@ -494,84 +618,74 @@ def _mail_names(t: str) -> list[str]:
 
 
 class Learning:
-    """Rounds over a table of slots; `scored` lends each group of texts the scores it needs."""
+    """Rounds over a table of chains and the counts that stay; `scored` lends each group the scores it needs."""
 
-    def __init__(self, table: DataFrame, spelling: Spelling, most_keys: int, threshold: float) -> None:
-        self.table, self.most, self.threshold = table, most_keys, threshold
+    def __init__(self, chains: DataFrame, fixed: DataFrame, spelling: Spelling, most_keys: int, threshold: float) -> None:
+        self.chains, self.fixed, self.most, self.threshold = chains, fixed, most_keys, threshold
         self.spelling = spelling
         self.scores: DataFrame | None = None
 
-    def scored(self, use, schema: str, scores: DataFrame | None) -> DataFrame:  # noqa: ANN001
-        """use(texts of a group, Scores) for every group."""
-        spelling = self.spelling
+    def scored(self, table: DataFrame, use, schema: str) -> DataFrame:  # noqa: ANN001
+        """use(chains, rest, Scores) for every group of the table."""
+        spelling, scores = self.spelling, self.scores
         if scores is None or scores.count() <= self.most:
             rows = None if scores is None else scores.toPandas()
             held = None if rows is None else dict(zip(rows["key"].tolist(), zip(rows["good"].tolist(), rows["n"].tolist())))
-            shared = self.table.sparkSession.sparkContext.broadcast(held)
+            shared = table.sparkSession.sparkContext.broadcast(held)
 
             def from_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 s = Scores(spelling, shared.value)
                 for b in batches:
                     for blob in b["blob"]:
-                        yield use(_load(blob), s)
+                        yield use(*_load(blob), s)
 
-            return self.table.select("blob").mapInPandas(from_all, schema)
-        asked = _asked(self.table, scores, lambda blob, held: _word_keys(blob, spelling), ["blob"])
+            return table.select("blob").mapInPandas(from_all, schema)
+        asked = _asked(table, scores, lambda blob, held: _word_keys(blob, spelling), ["blob"])
         threshold = self.threshold
         both = _asked(asked, scores, lambda blob, held: _pattern_keys(blob, spelling, held, threshold), ["blob", "held"])
 
         def from_own(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for b in batches:
                 for blob, held in zip(b["blob"], b["held"]):
-                    yield use(_load(blob), Scores(spelling, _as_dict(held)))
+                    yield use(*_load(blob), Scores(spelling, _as_dict(held)))
 
         return both.select("blob", "held").mapInPandas(from_own, schema)
 
     def round(self, first: bool) -> None:
         threshold, plain = self.threshold, self.spelling.plain
 
-        def tally(texts: Iterator[tuple], now: Scores) -> pd.DataFrame:
+        def tally(chains: list[Chain], times: list[int], now: Scores) -> pd.DataFrame:
             counts: dict[int, list[int]] = {}
 
-            def add(key: str | int, good: bool) -> None:
-                c = counts.setdefault(key if isinstance(key, int) else _key(key), [0, 0])
-                c[0] += good
-                c[1] += 1
+            def add(key: str, good: bool, n: int) -> None:
+                c = counts.setdefault(_key(key), [0, 0])
+                c[0] += n if good else 0
+                c[1] += n
 
-            for _, t, typed, slots, _, around, low in texts:
-                for k in low:
-                    add(k, False)
-                for kind, left in around:
-                    for i in (1, 2, 3, 4):
-                        add(f"{i}l{left}", kind == KINDS[i])
-                for x, y, kind in typed:
-                    for f in _mail_names(t[x:y]) if kind == "email" else ():
-                        add("w" + f, True)
+            for chain, n in zip(chains, times):
                 counted: set[int] = set()
-                for s, words, accepted, keys, known in judge(slots, now, threshold):
-                    if s.code:
-                        continue
+                for s, words, accepted, keys, known in judge(_slots_of(chain), now, threshold):
                     if words:
                         for key in keys:
-                            add("0" + key, known)
+                            add("0" + key, known, n)
                     if accepted and len(words) > 1:
                         for w, a, _ in words:
                             if len(plain(w)) > 1 and plain(w) not in PARTICLES:
-                                add("g" + plain(w), a == words[0][1])
+                                add("g" + plain(w), a == words[0][1], n)
                     inside = {w[1] for w in words} if accepted or (first and known and len(words) > 1 and plain(words[0][0]) in SEED_NAMES) else set()
                     for w, a, _ in words:
                         f = plain(w)
                         if len(f) > 1:
-                            add("w" + f, a in inside)
+                            add("w" + f, a in inside, n)
                     at = {a for _, a, _ in words}
                     for w, a, _ in s.words:
                         if a not in at and a not in counted and len(plain(w)) > 1:
-                            add("w" + plain(w), False)
+                            add("w" + plain(w), False, n)
                             counted.add(a)
                     counted |= at
             return pd.DataFrame([(k, g, n) for k, (g, n) in counts.items()], columns=["key", "good", "n"])
 
-        counts = self.scored(tally, "key long, good long, n long", self.scores).groupBy("key").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
+        counts = self.scored(self.chains, tally, "key long, good long, n long").unionByName(self.fixed).groupBy("key").agg(F.sum("good").alias("good"), F.sum("n").alias("n"))
         # A pattern needs two good slots, a word, its lower case or its first places three uses; the rest never counts.
         new = cut(counts.where("n >= 3 or good >= 2"), "scores")
         if self.scores is not None:
@@ -600,44 +714,58 @@ def _asked(table: DataFrame, scores: DataFrame, ask, columns: list[str]) -> Data
 
 
 def _word_keys(blob: bytes, spelling: Spelling) -> set[int]:
-    plain = {spelling.plain(w[0]) for _, _, _, slots, *_ in _load(blob) for s in slots if not s.code for w in s.words}
+    plain = {spelling.plain(w) for chain in _load(blob)[0] for words, *_ in chain for w in words}
     return {_key(x + f) for f in plain for x in "wvg"}
 
 
 def _pattern_keys(blob: bytes, spelling: Spelling, held, threshold: float) -> set[int]:  # noqa: ANN001
     scores = Scores(spelling, _as_dict(held))
     scores.asked = set()
-    for _, _, _, slots, *_ in _load(blob):
-        judge(slots, scores, threshold)
+    chains, rest = _load(blob)
+    for chain in chains:
+        judge(_slots_of(chain), scores, threshold)
+    for row in rest:
+        for code, _, _, left in row[3] if isinstance(row, tuple) else ():  # chains have counts instead of texts
+            _code_score(code, left, scores)
     return scores.asked
 
 
+def _code_score(code: str, left: list[str], scores: Scores) -> tuple[float, int]:
+    """The best score of the kinds that a stretch without a known format may have, and that kind's place in KINDS."""
+    key = _keys(left, ["", ""])[0]
+    score, kind = max((scores.pattern(key, i), -i) for i in _CODE_KINDS[code])
+    return score, -kind
+
+
 def find_pii(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", rounds: int = 3, threshold: float = 0.5, most_keys: int = 1_000_000) -> DataFrame:
     """(doc_id, start, end, kind, pii_text, by): every stretch of personal information; offsets in code points; `by` is 'format' or 'pattern'."""
     docs = spread(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).where(F.length("text") > 0))
     spelling = Spelling(_ordinary(docs))
     table = cut(slots_table(docs, spelling), "slots")
-    learning = Learning(table, spelling, most_keys, threshold)
+    chains = cut(chains_table(table), "chains")
+    fixed = cut(table.where("key IS NOT NULL").groupBy("key").agg(F.sum("good").alias("good"), F.sum("n").alias("n")), "fixed")
+    learning = Learning(chains, fixed, spelling, most_keys, threshold)
     for k in range(rounds):
         learning.round(k == 0)
+    drop_cut(chains)
+    drop_cut(fixed)
 
-    def put_out(texts: Iterator[tuple], scores: Scores) -> pd.DataFrame:
+    def put_out(chains: list[Chain], texts: list[tuple], scores: Scores) -> pd.DataFrame:
         rows = []
-        for d, t, typed, slots, gaps, _, _ in texts:
+        judged = [_stretches(c, scores, threshold) for c in chains]
+        for d, t, typed, codes, refs in texts:
             rows += [(d, x, y, k, t[x:y], "format") for x, y, k in typed]
-            judged = judge(slots, scores, threshold)
-            spans = _join_reversed(judged, lambda x, y, g=gaps: g.get((x, y)), scores)
+            found = [(at[i][0], at[j][1], *more) if i >= 0 else (-1, -1, *more) for k, at in refs for i, j, *more in judged[k]]
+            spans = _joined(found, t)
             rows += [(d, x, y, "name", t[x:y], "pattern") for x, y in spans]
-            for s, words, _, keys, _ in judged:
-                if s.code:
-                    score, kind = max((scores.pattern(keys[0], i), -i) for i in _CODE_KINDS[s.code])
-                    a, b = words[0][1:]
-                    if score >= 0.8 and all(b <= x or a >= y for x, y in (spans if s.code != "code" else ())):
-                        rows.append((d, a, b, KINDS[-kind], t[a:b], "pattern"))
+            for code, a, b, left in codes:
+                score, kind = _code_score(code, left, scores)
+                if score >= 0.8 and all(b <= x or a >= y for x, y in (spans if code != "code" else ())):
+                    rows.append((d, a, b, KINDS[kind], t[a:b], "pattern"))
         return pd.DataFrame(rows, columns=["doc_id", "start", "end", "kind", "pii_text", "by"])
 
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, start int, end int, kind string, pii_text string, by string"
-    return learning.scored(put_out, schema, learning.scores)
+    return learning.scored(table.where("blob IS NOT NULL").select("gid", "blob"), put_out, schema)
 
 
 def redact(documents: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

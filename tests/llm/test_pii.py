@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from planloom.llm.formats import typed_spans
 from planloom.llm.pii import find_pii, redact
@@ -90,3 +91,33 @@ def test_unseen_formats_by_context(spark):
 def test_long_text_is_redacted_in_linear_time(spark):
     docs = spark.createDataFrame([(1, "mail a.b@mail.example.com now. " * 20_000)], "doc_id long, text string")
     assert redact(docs, find_pii(docs)).first().redacted == "mail [EMAIL] now. " * 20_000
+
+
+def test_equal_chains_are_judged_once(spark):
+    """Rounds go over distinct chains with their counts, not over the texts."""
+    import pickle
+    import zlib
+
+    from planloom.llm import pii
+
+    line = "Please call Anna Tarkow about the estimate.\n"
+    docs = spark.createDataFrame([(i, line * 3) for i in range(200)], "doc_id long, text string")
+    slots = pii.slots_table(docs, pii.Spelling(frozenset()))
+    got: dict[str, int] = {}
+    for r in pii.chains_table(slots).collect():
+        for chain, n in zip(*pickle.loads(zlib.decompress(r.blob))):
+            assert str(chain) not in got
+            got[str(chain)] = n
+    # the first line stands at the start of its text; 'Please' and the name hang together
+    assert sorted(got.values()) == [200, 400]
+    fixed = slots.where("key IS NOT NULL").groupBy("key").agg(F.sum("n").alias("n")).collect()
+    assert {r.n for r in fixed} == {200} and len({r.key for r in fixed}) == 4
+
+
+def test_formats_are_tested_for_before_they_are_sought():
+    from planloom.llm.formats import FORMATS, _may_match
+
+    texts = [t for t, _ in FORMS] + ["Am Hof 3", "Hauptstr. 4", "Neue-Straße 12", "số 3 phố Cầu", "SỐ 3 PHỐ CẦU", "C/ Río 3", "12 RUE DES LILAS", "ann(AT)b.co", "X1234567", "12 bis rue de Lyon"]
+    for t in texts:
+        assert all(may or not p.search(t) for (_, p), may in zip(FORMATS, _may_match(t)))
+    assert _may_match("The build took 62 minutes, and nobody objected.") == (False,) * 5
