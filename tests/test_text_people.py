@@ -100,3 +100,22 @@ def test_similar_pairs_lose_none(spark):
     want = {(a, b) for a, b in itertools.combinations(names, 2) if round(similarity.jaro_winkler(a, b), 9) >= 0.85}
     got = similarity.similar_pairs(spark.createDataFrame([(x,) for x in names], "n string"), "n", 0.85).collect()
     assert {(r.name_a, r.name_b) for r in got} == want
+
+
+def test_linked_names_meet_all_alike_and_few_others(spark):
+    """Pairs are compared where they meet: none within the ratio is missing, and anagrams and common letters move no rows."""
+    import difflib
+    import random
+
+    r = random.Random(5)
+    part = ["ma", "ri", "an", "el", "tor", "vel", "kin", "sk", "o", "da", "x1 "]
+    names = {"".join(r.choice(part) for _ in range(r.choice([1, 2, 4, 8, 9, 20]))).strip() for _ in range(120)}
+    for s in list(names):
+        for _ in range(2):
+            i = r.randrange(len(s))
+            names |= {s[:i] + s[i + 1 :], s[:i] + r.choice("abq ") + s[i:]}
+    names = sorted(n for n in names if n)
+    met = [tuple(x) for x in similarity._met(spark.createDataFrame([(n,) for n in names], "name string"), lambda s: s, 0.92, 0.92 / 1.08, 3, 0.08).distinct().collect()]
+    pairs = {tuple(sorted(p)) for p in met}
+    alike = {(s, t) for s in names for t in names if s < t and max(difflib.SequenceMatcher(None, s, t).ratio(), difflib.SequenceMatcher(None, t, s).ratio()) >= 0.92}
+    assert alike and alike <= pairs and len(pairs) < 3 * len(alike)
